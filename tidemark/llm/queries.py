@@ -5,13 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, token_count
+from tidemark.llm._common import remainder
+from tidemark.llm import exact_dedup, html_extract, labelled_pages, language_id, mixing, near_dedup, sharding, token_count
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: At most about so many labelled rows are read to learn the language filters and the toxic terms.
+SAMPLE_ROWS = 20_000
+
+
+def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 8 shards of near equal bytes."""
+    shards = sharding.kd_shards(_table(spark, sf_dir, "documents"), 8)
+    return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op4_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document equals after white space is normalised."""
+    return exact_dedup.exact_duplicates(spark, f"{sf_dir}/documents.parquet").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document under the word-level vocabulary."""
     import public_tokenizers
@@ -19,14 +35,45 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    weights = html_extract.learn(labelled_pages.labelled_pages())
+    return html_extract.extract_pages(_table(spark, sf_dir, "pages"), weights)
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix 1 : 2 : 3 takes from every document."""
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "shard", "block", "quota")
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents under 3-word shingles and similarity 0.85."""
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; learned where crc32 of the id modulo 4 is not 2."""
+    docs = _table(spark, sf_dir, "documents")
+    labelled = docs.where("lang is not null and text is not null").where(remainder("doc_id", 4) != 2)
+    filters = language_id.learn(language_id.sample(labelled, SAMPLE_ROWS))
+    held_out = docs.withColumn("held_out", remainder("doc_id", 4) == 2)
+    return language_id.identify(held_out, filters, keep=["held_out"])
+
+
 QUERIES = {
+    "op2_kd_shards": op2_kd_shards,
+    "op4_exact_duplicates": op4_exact_duplicates,
     "op6_token_counts": op6_token_counts,
+    "op7_main_text": op7_main_text,
     "op8_mix_sources": op8_mix_sources,
+    "op9_near_duplicates": op9_near_duplicates,
+    "op10_language": op10_language,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_exact_duplicates": r"""
+        WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+        SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+               doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+        FROM d""",
+}
