@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm._common import remainder
-from tidemark.llm import exact_dedup, html_extract, labelled_pages, language_id, mixing, near_dedup, sharding, token_count
+from tidemark.llm import decontaminate, exact_dedup, html_extract, labelled_pages, language_id, mixing, near_dedup, sharding, token_count, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,12 +17,24 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 SAMPLE_ROWS = 20_000
 
 
+def op1_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds, exactly or edited."""
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 8 shards of near equal bytes."""
     shards = sharding.kd_shards(_table(spark, sf_dir, "documents"), 8)
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; learned where crc32 of the id modulo 3 is not 1."""
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, toxicity.training_labels(_table(spark, sf_dir, "labels")), SAMPLE_ROWS)
+    return toxicity.score(docs.withColumn("held_out", remainder("doc_id", 3) == 1), model, keep=["held_out"])
+
+
 def op4_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document equals after white space is normalised."""
     return exact_dedup.exact_duplicates(spark, f"{sf_dir}/documents.parquet").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -61,7 +73,9 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_benchmark_leaks": op1_benchmark_leaks,
     "op2_kd_shards": op2_kd_shards,
+    "op3_toxicity": op3_toxicity,
     "op4_exact_duplicates": op4_exact_duplicates,
     "op6_token_counts": op6_token_counts,
     "op7_main_text": op7_main_text,

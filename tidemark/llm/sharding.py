@@ -21,6 +21,7 @@ result.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -70,6 +71,11 @@ def place(cuts: list[Cut], node: Column) -> Column:
     return node * 2 + side
 
 
+def beyond(x: float) -> float:
+    """The next number above ``x``."""
+    return math.nextafter(x, math.inf)
+
+
 def medians(light: DataFrame, targets: dict[int, tuple[str, float, float]]) -> list[Cut]:
     """For each node (dimension, weight wanted on the left, tolerance) the cut of its light atoms."""
     cuts: dict[int, Cut] = {}
@@ -106,14 +112,13 @@ def medians(light: DataFrame, targets: dict[int, tuple[str, float, float]]) -> l
             single = stop["a"] == stop["b"]
             if stop["w"] <= tolerance or (single and tied is not None):
                 after = want - left > left + stop["w"] - want  # the nearer end of the bin
-                edge = stop["b"] + (1e-15 if after else 0) if after else stop["a"]
-                edge = edge if not after else max(stop["b"] * (1 + 1e-15), stop["b"] + 1e-15)
+                edge = beyond(stop["b"]) if after else stop["a"]
                 cuts[n] = Cut(n, d, tied, edge) if tied is not None else Cut(n, d, edge, 0.0)
                 del open_[n]
             elif single:
                 open_[n] = [d, 0.0, 1.0 + 1e-9, left, stop["a"]]
             else:
-                open_[n] = [d, stop["a"], max(stop["b"] * (1 + 1e-15), stop["b"] + 1e-15), left, tied]
+                open_[n] = [d, stop["a"], beyond(stop["b"]), left, tied]
     return list(cuts.values())
 
 
@@ -189,16 +194,15 @@ def kd_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col
         dealt = []
         for a, p in pieces.items():
             whole, below = sum(p.values()), 0.0
-            for n, w in sorted(p.items()):
-                dealt.append((a, n - shards, below / whole, (below + w) / whole))
+            parts = [(n, w) for n, w in sorted(p.items()) if w > 0]
+            for i, (n, w) in enumerate(parts):
+                dealt.append((a, n - shards, below / whole, 2.0 if i + 1 == len(parts) else (below + w) / whole))
                 below += w
         table = F.broadcast(spark.createDataFrame(dealt, "atom binary, to int, low double, high double"))
         h = rows.join(table.select("atom").distinct(), "atom", "left_semi")
-        count = h.groupBy("atom").agg(F.count(F.lit(1)).alias("copies"))
         # rows of one atom are all of one size: an even spread by hash of the id deals them out
         even = (F.crc32(F.col("doc_id").cast("string").cast("binary")) + 0.5) / F.lit(2.0**32)
-        h = h.withColumn("u", even).join(table, "atom").where("u >= low and (u < high or high >= 1) and (low < 1)")
-        h = h.groupBy(*rows.columns, "u").agg(F.min("to").alias("shard")).drop("u") if False else h.select(*rows.columns, F.col("to").alias("shard"))
+        h = h.withColumn("u", even).join(table, "atom").where("u >= low and u < high").select(*rows.columns, F.col("to").alias("shard"))
         placed = placed.where("shard is not null").select(*rows.columns, "shard").unionByName(h.select(*rows.columns, "shard"))
     placed = materialise(placed.select("doc_id", "size", "text_crc32", "shard"))
     return with_slots(placed)
