@@ -13,9 +13,9 @@
 4. Keys are not expanded into pairs. In each round every key links its members to
    one of them, drawn by hash, and each class proposes its closest partner from
    another component. Proposals are verified on the full shingle sets; components
-   are merged. When a round merges nothing new, all pairs of a key whose members
-   still lie in different components and whose signatures are within the radius
-   are verified too. So no link between components is lost, and copies of one text
+   are merged. After ``STAR_ROUNDS`` rounds, all pairs of a key whose members still
+   lie in different components and whose signatures are within the radius are
+   verified too. So no link between components is lost, and copies of one text
    never meet in pairs.
 
 Texts with fewer words than a shingle has are one shingle as a whole; texts without
@@ -31,7 +31,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm._common import WordIds, ascii_words, map_batches, materialise, mix64
@@ -79,14 +78,18 @@ class Signer:
     def set_of(self, text: str | None) -> np.ndarray:
         return shingles(self.ids.of(ascii_words(text)), self.size)
 
-    def signature(self, s: np.ndarray) -> np.ndarray:
-        """The top 16 bits of a mixed minimum for each hash function."""
+    def minima(self, s: np.ndarray) -> np.ndarray:
+        """The smallest value of each hash function over the set."""
         least = np.full(len(self.a), np.iinfo(np.uint64).max)
         for i in range(0, len(s), 2048):
             block = s[i : i + 2048, None] * self.a
             block += self.b
             np.minimum(least, block.min(axis=0), out=least)
-        return (mix64(least) >> np.uint64(48)).astype(np.uint16)
+        return least
+
+    def signature(self, s: np.ndarray) -> np.ndarray:
+        """The top 16 bits of each minimum, mixed."""
+        return (mix64(self.minima(s)) >> np.uint64(48)).astype(np.uint16)
 
 
 def sketch(docs: DataFrame, size: int, symbols: int, seed: int, id_col: str, text_col: str) -> DataFrame:

@@ -14,7 +14,7 @@ document combine as 1 - product (1 - p); without any, the score is the rate of t
 documents among those without matches.
 
 Learning reads a sample of labelled rows, drawn by hash of the id, of at most about
-``sample_rows`` rows (a documented bound of the classifier). Scores read every whole
+``sample_rows`` rows (a documented bound of the classifier), of copies one. Scores read every whole
 text, and only the text.
 
 Null and empty texts have the score of texts without matches. Conflicting labels of
@@ -25,15 +25,17 @@ the smoothed rate. Repeated rows are scored alike.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm._common import map_batches, remainder
 from tidemark.llm.language_id import sample
+from tidemark.llm.near_dedup import Signer
 
 EDGES = ".,;:!?()[]{}<>\"'`*%$&#/\\|~^_+=-“”„‟«»‹›‘’‚…–—"
 OPEN, CLOSE = "\"“„«‹‘‚'", "\"”“»›’‘'"
@@ -43,7 +45,6 @@ EXACT, FUZZY, FUZZY_START = 0, 1, 2
 #: Prior belief (toxic, clean documents) in a match of each kind.
 PRIOR = {EXACT: (4.0, 1.0), FUZZY: (4.0, 1.0), FUZZY_START: (1.0, 2.0)}
 QUOTED = 0.4
-CLEAN = re.compile(r"[^\W\d_]", re.U)
 
 
 def core(word: str) -> str:
@@ -242,11 +243,38 @@ def match_rows(docs: DataFrame, entries: list[str]) -> DataFrame:
     return map_batches(docs.select("text", "toxic"), make, "toxic boolean, found array<string>")
 
 
+def without_copies(rows: DataFrame, rounds: int = 4) -> DataFrame:
+    """One row of each group of copies and near copies, so that a rare word of a much copied text is no evidence.
+
+    Rows that agree in the MinHash of one of ``rounds`` hash functions over 5-word
+    shingles count as copies; the row with the smallest id stays.
+    """
+    kinds = dict(rows.dtypes)
+
+    def make():
+        signer = Signer(5, rounds, 23)
+
+        def work(batch: pa.RecordBatch) -> dict[str, object]:
+            least = np.stack([signer.minima(signer.set_of(t)) for t in batch.column(1).to_pylist()]).view(np.int64)
+            out = {"id": batch.column(0), "text": batch.column(1), "toxic": batch.column(2)}
+            return out | {f"h{i}": pa.array(least[:, i]) for i in range(rounds)}
+
+        return work
+
+    schema = f"id {kinds['id']}, text string, toxic boolean, " + ", ".join(f"h{i} long" for i in range(rounds))
+    out = map_batches(rows.select("id", "text", "toxic"), make, schema)
+    for i in range(rounds):
+        first = W.partitionBy(f"h{i}").orderBy("id")
+        out = out.withColumn("nth", F.row_number().over(first)).where("nth = 1")
+    return out.select("id", "text", "toxic")
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Lexicon and probabilities from the labelled rows of ``docs``."""
     marked = labels.where("toxic is not null").groupBy(F.col(id_col).alias("id")).agg((F.max("toxic") == 1).alias("toxic"))
     marked = sample(marked, sample_rows, "id")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marked, "id").persist()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marked, "id")
+    rows = without_copies(rows).persist()
     toxic, clean = (rows.where(c).count() for c in ("toxic", "not toxic"))
     entries: list[str] = []
     if toxic and clean:
