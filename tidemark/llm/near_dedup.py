@@ -287,3 +287,9 @@ def near_duplicates(
     out = rows.join(named, "digest", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The documents that stand for their component, with all columns; rows with a null id stay."""
+    gone = near_duplicates(docs, id_col=id_col, **options).where("not kept").select(F.col("doc_id").alias("__gone"))
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm._common import remainder
-from tidemark.llm import decontaminate, exact_dedup, html_extract, labelled_pages, language_id, mixing, near_dedup, sharding, token_count, toxicity
+from tidemark.llm import decontaminate, exact_dedup, html_extract, labelled_pages, language_id, mixing, near_dedup, sharding, substring_dedup, token_count, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -40,6 +40,11 @@ def op4_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(spark, f"{sf_dir}/documents.parquet").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that an earlier document holds too."""
+    return substring_dedup.repeats(_table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document under the word-level vocabulary."""
     import public_tokenizers
@@ -77,6 +82,7 @@ QUERIES = {
     "op2_kd_shards": op2_kd_shards,
     "op3_toxicity": op3_toxicity,
     "op4_exact_duplicates": op4_exact_duplicates,
+    "op5_repeated_passages": op5_repeated_passages,
     "op6_token_counts": op6_token_counts,
     "op7_main_text": op7_main_text,
     "op8_mix_sources": op8_mix_sources,
