@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fee rates by market and VIP tier (maker, taker), and margin tiers (notional below, rate).
-FEES = {"spot": ((0.0010, 0.0010), (0.0009, 0.0010)), "perpetual": ((0.0002, 0.0005), (0.00016, 0.0004))}
-MARGIN_TIERS = ((50_000, 0.004), (250_000, 0.005), (1_000_000, 0.01), (10_000_000, 0.025))
-LAST_TIER = 0.05
+# Fee rates (maker, taker) by market and VIP tier 0 to 3; margin tiers (notional below, rate).
+FEES = {
+    "spot": ((0.0010, 0.0010), (0.0009, 0.0010), (0.0008, 0.0010), (0.0007, 0.0009)),
+    "perp": ((0.0002, 0.0005), (0.00016, 0.0004), (0.00010, 0.0003), (0.00008, 0.0002)),
+}
+MARGIN_TIERS = ((50_000, 0.005), (250_000, 0.010), (1_000_000, 0.015))
+LAST_TIER = 0.025
 ADV = 15e9
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Sentiment words and the substrings that mark a risk market.
-BULLISH = ("bullish", "buy", "long", "moon", "rally", "surge", "breakout", "gain", "growth", "strong")
-BEARISH = ("bearish", "sell", "short", "crash", "dump", "drop", "loss", "fear", "weak", "decline")
+# Sentiment words, and the substrings that mark a risk market.
+BULLISH = ("moon", "bull", "bullish", "long", "buy", "up", "rally", "surge", "pump", "breakout", "all-time high", "ath", "undervalued", "growth", "strong")
+BEARISH = ("bear", "bearish", "short", "sell", "down", "crash", "dump", "correction", "overvalued", "weak", "decline", "drop", "loss", "red")
+RISK_WORDS = ("war", "conflict", "attack", "invasion", "nuke", "nuclear", "sanctions", "ban", "restrict", "default", "recession", "fed rate", "rate hike", "tariff", "crisis", "crash", "btc ban", "crypto ban", "sec", "regulation")
 TECHNICAL_WEIGHTS = {"trend": 0.25, "mean_reversion": 0.20, "momentum": 0.25, "volatility": 0.15, "stat_arb": 0.15}
 CRYPTO_WEIGHTS = {"trend": 0.30, "mean_reversion": 0.15, "momentum": 0.30, "volatility": 0.15, "stat_arb": 0.10}
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def beta_fraction(a: float, b: float, x: float) -> float:
@@ -43,7 +44,7 @@ def t_p_value(t: float | None, df: int) -> float | None:
     return beta_fraction(df / 2, 0.5, df / (df + t * t))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([t_p_value(a, int(b)) for a, b in zip(t, df, strict=True)], dtype="float64")
 
@@ -85,7 +86,7 @@ def mann_whitney(df: DataFrame, by: list[str], group: str, value: str) -> DataFr
     sd = F.sqrt(F.col("n1") * F.col("n0") / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
     z = F.try_divide(u - F.col("n1") * F.col("n0") / 2 - 0.5, sd)
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def upper(x: pd.Series) -> pd.Series:
         return x.map(lambda v: None if pd.isna(v) else 0.5 * math.erfc(v / math.sqrt(2)))
 

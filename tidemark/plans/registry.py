@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+from tidemark.plans import books, indicators, market, research, stream
+
 
 def plans() -> tuple[dict, dict]:
     """Query functions and oracle SQL by name."""
-    return {}, {}
+    queries, sql = {}, {}
+    for part in (market, indicators, research, books, stream):
+        queries |= part.QUERIES
+        sql |= part.SQL
+    return queries, sql

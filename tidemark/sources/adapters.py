@@ -67,8 +67,8 @@ def fundamentals(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
     return li.groupBy(F.col("l_suppkey").alias("ticker"), F.trunc(F.to_date("l_shipdate"), "quarter").alias("report_period")).agg(
         F.to_date(F.max("l_shipdate")).alias("filing_date"),
-        F.round(F.avg("l_discount"), 4).alias("gross_margin"),
-        F.round(F.avg("l_tax"), 4).alias("tax_rate"),
+        F.round(F.avg("l_discount"), 8).alias("gross_margin"),
+        F.round(F.avg("l_tax"), 8).alias("tax_rate"),
         F.round(F.sum("l_quantity") / F.lit(10), 4).alias("bvps"),
     )
 
@@ -120,7 +120,7 @@ SQL = {
         CASE WHEN l_discount > 0.06 THEN 'BEAT' WHEN l_discount < 0.04 THEN 'MISS' ELSE 'MEET' END AS surprise
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey)""",
     "fundamentals": """fundamentals AS (SELECT l_suppkey AS ticker, CAST(date_trunc('quarter', l_shipdate) AS DATE) AS report_period, CAST(max(l_shipdate) AS DATE) AS filing_date,
-        round(avg(l_discount), 4) AS gross_margin, round(avg(l_tax), 4) AS tax_rate, round(sum(l_quantity) / 10, 4) AS bvps FROM lineitem GROUP BY 1, 2)""",
+        round(avg(l_discount), 8) AS gross_margin, round(avg(l_tax), 8) AS tax_rate, round(sum(l_quantity) / 10, 4) AS bvps FROM lineitem GROUP BY 1, 2)""",
     "funding": "funding AS (SELECT symbol, time_bucket(INTERVAL 8 HOUR, ts, TIMESTAMP '1970-01-01') AS ts, round((avg(price) - 50) / 100000, 8) AS rate FROM trades GROUP BY 1, 2)",
     "eav": """capped AS (SELECT *, close * sum(volume) OVER (PARTITION BY symbol ORDER BY d) AS mcap FROM bars),
         eav AS (SELECT symbol AS asset, 'price' AS metric, epoch_ms(d::TIMESTAMP) AS ts_ms, close AS value FROM capped
