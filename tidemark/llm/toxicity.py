@@ -150,8 +150,9 @@ class Matcher:
             self.known = {}
         words = text.split()
         known = self.known
-        for new in set(words) - known.keys():
-            self.lookup(new)
+        for new in set(words):
+            if new not in known:
+                self.lookup(new)
         out = set()
         for i, m in enumerate(map(known.__getitem__, words)):
             if m is not None:
