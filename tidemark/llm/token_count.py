@@ -139,7 +139,7 @@ class Counter:
         parts = [self.table.blank.split(t) if self.table.odd.search(t) else t.split() for t in texts]
         if len(self.known) > self.limit:
             self.known = {}
-        new = list(set().union(*parts) - self.known.keys())
+        new = [w for w in set().union(*parts) if w not in self.known]
         for i in range(0, len(new), 20_000):
             self.learn(new[i : i + 20_000])
         return [sum(map(self.known.__getitem__, p)) for p in parts]
