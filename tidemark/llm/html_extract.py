@@ -43,8 +43,8 @@ PIECE = re.compile(r"[a-z]+")
 
 
 def features(name: str, attributes: str) -> tuple[str, ...]:
-    """An element's name and the words of its class, id and role."""
-    found = [f"<{name}>"]
+    """An element's name, unless it only marks words, and the words of its class, id and role."""
+    found = [] if name in INLINE else [f"<{name}>"]
     for m in ATTRIBUTE.finditer(attributes or ""):
         value = re.sub(r"([a-z])([A-Z])", r"\1 \2", m[2] or m[3] or m[4] or "")
         found += PIECE.findall(value.lower())

@@ -200,25 +200,31 @@ def kd_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col
                 below += w
         table = F.broadcast(spark.createDataFrame(dealt, "atom binary, to int, low double, high double"))
         h = rows.join(table.select("atom").distinct(), "atom", "left_semi")
-        # rows of one atom are all of one size: an even spread by hash of the id deals them out
-        even = (F.crc32(F.col("doc_id").cast("string").cast("binary")) + 0.5) / F.lit(2.0**32)
-        h = h.withColumn("u", even).join(table, "atom").where("u >= low and u < high").select(*rows.columns, F.col("to").alias("shard"))
+        # rows of one atom are all of one size: their numbers deal them out
+        h = numbered(h, "atom", rows.count())
+        last = h.groupBy("atom").agg(F.max("number").alias("last"))
+        h = h.join(last, "atom").withColumn("u", (F.col("number") + 0.5) / (F.col("last") + 1))
+        h = h.join(table, "atom").where("u >= low and u < high").select(*rows.columns, F.col("to").alias("shard"))
         placed = placed.where("shard is not null").select(*rows.columns, "shard").unionByName(h.select(*rows.columns, "shard"))
     placed = materialise(placed.select("doc_id", "size", "text_crc32", "shard"))
     return with_slots(placed)
 
 
-def with_slots(placed: DataFrame, bucket_rows: int = 20_000) -> DataFrame:
-    """Number the rows of each shard without gaps.
+def numbered(rows: DataFrame, key: str, total: int, bucket_rows: int = 20_000) -> DataFrame:
+    """Add ``number``: 0, 1, 2, ... within each key, by hash of the id.
 
     Rows fall into buckets by hash of the id; the buckets' counts give each its first
-    slot, and rows are numbered inside their bucket only.
+    number, and rows are numbered inside their bucket only.
     """
-    n = placed.count()
-    buckets = max(1, -(-n // bucket_rows))
-    b = placed.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
-    per = b.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    offset = per.withColumn("begin", F.sum("n").over(W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)))
-    inner = F.row_number().over(W.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32"))
-    out = b.join(offset.drop("n"), ["shard", "bucket"])
-    return out.select("doc_id", "size", "text_crc32", "shard", (F.coalesce("begin", F.lit(0)) + inner - 1).cast("long").alias("slot"))
+    buckets = max(1, -(-total // bucket_rows))
+    b = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+    per = b.groupBy(key, "bucket").agg(F.count(F.lit(1)).alias("n"))
+    offset = per.withColumn("begin", F.sum("n").over(W.partitionBy(key).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)))
+    inner = F.row_number().over(W.partitionBy(key, "bucket").orderBy("doc_id", "text_crc32"))
+    out = b.join(offset.drop("n"), [key, "bucket"])
+    return out.withColumn("number", (F.coalesce("begin", F.lit(0)) + inner - 1).cast("long")).select(*rows.columns, "number")
+
+
+def with_slots(placed: DataFrame) -> DataFrame:
+    """Number the rows of each shard without gaps."""
+    return numbered(placed, "shard", placed.count()).withColumnRenamed("number", "slot").select("doc_id", "size", "text_crc32", "shard", "slot")

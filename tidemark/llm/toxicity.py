@@ -1,7 +1,7 @@
 """Toxicity by a lexicon trie intersected with Levenshtein automata, and context windows.
 
-Lexicon: words and word beginnings whose documents are toxic far more often than the
-others are learned from labelled documents. Matching: the Levenshtein automata of all
+Lexicon: words and word beginnings outside quotations whose documents are toxic far
+more often than the others are learned from labelled documents. Matching: the Levenshtein automata of all
 entries, run over the trie of the entries, form one deterministic automaton whose
 states are built when first reached; a word is read once, letter by letter, and most
 words reach the dead state early. It finds entries spelled exactly, misspelled ones
@@ -166,6 +166,13 @@ def quoted(words: list[str], at: int) -> bool:
     return opens and any(w.rstrip(".,;:!?")[-1:] in CLOSE and w.rstrip(".,;:!?") for w in words[at : at + WINDOW + 1])
 
 
+def unquoted(words: list[str]) -> list[str]:
+    """The words that do not stand in quotation marks."""
+    if not any(w[0] in OPEN for w in words):
+        return words
+    return [w for i, w in enumerate(words) if not quoted(words, i)]
+
+
 class Model:
     """Lexicon entries and match probabilities."""
 
@@ -190,7 +197,7 @@ def term_counts(labelled: DataFrame) -> DataFrame:
         def work(batch: pa.RecordBatch) -> dict[str, object]:
             count = [Counter(), Counter()]
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = {core(w) for w in set((text or "").split())}
+                words = {core(w) for w in set(unquoted((text or "").split()))}
                 terms = {w for w in words if len(w) >= 4}
                 terms |= {w[:n] for w in words for n in STEMS if n < len(w)}
                 count[not toxic].update(terms)
