@@ -10,13 +10,15 @@
    within the radius has a chunk with one error at most. Enumerating that error,
    every chunk gives one key for each of its symbols, with that symbol masked: all
    pairs within the radius share a key.
-4. Keys are not expanded into pairs. In each round every key links its members to
-   one of them, drawn by hash, and each class proposes its closest partner from
-   another component. Proposals are verified on the full shingle sets; components
-   are merged. After ``STAR_ROUNDS`` rounds, all pairs of a key whose members still
-   lie in different components and whose signatures are within the radius are
-   verified too. So no link between components is lost, and copies of one text
-   never meet in pairs.
+4. Keys are not expanded into pairs. Every key links its members to the member that
+   shares most keys with most others, and each class is compared on the full sets
+   with its best such centre: its family. Links merge components, and a second
+   comparison goes to the nearest centre of another component.
+5. Members of one family that are still apart can only link if they share shingles
+   that the centre lacks, or lie nearer to the centre than the threshold asks for (see
+   :func:`within_families`); an equi join on those rare shingles finds such pairs.
+   Classes of different families that share a key are compared in full. So no link
+   between components is lost, and copies never meet in all their pairs.
 
 Texts with fewer words than a shingle has are one shingle as a whole; texts without
 words, and nulls, have an empty set and link with nothing. Rows with equal ids count
@@ -35,9 +37,6 @@ from pyspark.sql import functions as F
 
 from tidemark.llm._common import WordIds, ascii_words, map_batches, materialise, mix64
 
-STAR_ROUNDS = 2
-
-
 def radius_for(threshold: float, symbols: int, miss: float) -> int:
     """Smallest r with P(Binomial(symbols, 1 - threshold) > r) <= miss."""
     p, tail = 1 - threshold, 1.0
@@ -154,17 +153,22 @@ def close_pairs(pairs: DataFrame, symbols: int, radius: int, threshold: float) -
     def make():
         def work(batch: pa.RecordBatch) -> dict[str, object]:
             d = count(batch.column("sig_a").to_pylist(), batch.column("sig_b").to_pylist())
-            return {"a": batch.column("a"), "b": batch.column("b"), "distance": pa.array(d, pa.int64())}
+            near = pa.array(np.flatnonzero(d <= radius))
+            return {"a": batch.column("a").take(near), "b": batch.column("b").take(near), "distance": pa.array(d[d <= radius], pa.int64())}
 
         return work
 
     sized = pairs.where((F.col("n_a") >= low * F.col("n_b")) & (F.col("n_b") >= low * F.col("n_a")))
     sized = sized.select("a", "b", "sig_a", "sig_b")
-    return map_batches(sized, make, "a long, b long, distance long").where(F.col("distance") <= radius)
+    return map_batches(sized, make, "a long, b long, distance long")
+
 
+def compared(edges: DataFrame, texts: DataFrame, size: int, percent: int, rest: bool = False) -> DataFrame:
+    """(a, b, inner, n_a, n_b, same) of the pairs (a, b), from their full sets.
 
-def verified(edges: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of (a, b) the pairs with 100 * |intersection| >= percent * |union| on the full sets."""
+    ``same``: 100 * |intersection| >= percent * |union|. With ``rest`` also the
+    shingles of a that b does not have.
+    """
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     both = edges.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
@@ -172,25 +176,58 @@ def verified(edges: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     def make():
         signer, last = Signer(size, 1, 0), {}
 
-        def set_of(node: int, text: str) -> np.ndarray:
+        def set_of(node: int, text: pa.StringScalar) -> np.ndarray:
             if node not in last:
                 if len(last) >= 64:
                     last.clear()
-                last[node] = signer.set_of(text)
+                last[node] = signer.set_of(text.as_py())
             return last[node]
 
         def work(batch: pa.RecordBatch) -> dict[str, object]:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            same = []
+            inner, n_a, n_b, same, others = [], [], [], [], []
             for x, y, tx, ty in zip(a, b, batch.column(2), batch.column(3), strict=True):
-                p, q = set_of(x, tx.as_py()), set_of(y, ty.as_py())
-                inner = len(np.intersect1d(p, q, assume_unique=True))
-                same.append(100 * inner >= percent * (len(p) + len(q) - inner))
-            return {"a": batch.column(0), "b": batch.column(1), "same": pa.array(same, pa.bool_())}
+                p, q = set_of(x, tx), set_of(y, ty)
+                k = len(np.intersect1d(p, q, assume_unique=True))
+                inner.append(k)
+                n_a.append(len(p))
+                n_b.append(len(q))
+                same.append(100 * k >= percent * (len(p) + len(q) - k))
+                if rest:
+                    others.append(np.setdiff1d(p, q, assume_unique=True).view(np.int64))
+            out = {"a": batch.column(0), "b": batch.column(1), "inner": pa.array(inner, pa.int64()), "n_a": pa.array(n_a, pa.int64()), "n_b": pa.array(n_b, pa.int64()), "same": pa.array(same, pa.bool_())}
+            return out | ({"others": pa.array(others, pa.list_(pa.int64()))} if rest else {})
 
         return work
 
-    return map_batches(both, make, "a long, b long, same boolean").where("same").select("a", "b")
+    return map_batches(both, make, "a long, b long, inner long, n_a long, n_b long, same boolean" + (", others array<long>" if rest else ""))
+
+
+def within_families(compared_to: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one family that can link although the centre c does not join them.
+
+    With i = |a and c|, every b has |a and b| <= min(i_a, i_b) + o, where o counts the
+    shingles that a and b share outside c. So a pair must share such a shingle (found
+    by an equi join on them), or have both i at least as large as the intersection
+    that the threshold asks for.
+    """
+    need = (F.col("a.n_a") + F.col("b.n_a")) * F.lit(percent / (100 + percent)) - 1e-6
+    m = compared_to.join(label, compared_to["a"] == label["node"]).drop("node")
+    m = m.select(F.col("b").alias("centre"), F.col("a").alias("node"), "component", "inner", "n_a", "n_b", "others")
+    bare = m.drop("others")
+    # Members that the bound does not rule out: at least as near to the centre as the smallest partner asks for.
+    small = m.groupBy("centre").agg(F.min("n_a").alias("least"))
+    border = bare.join(small, "centre").where(F.col("inner") >= (F.col("n_a") + F.col("least")) * F.lit(percent / (100 + percent)) - 1e-6)
+    loose = border.alias("s").join(label.alias("l"), F.col("s.centre") == F.col("l.node")).where("s.component <> l.component").select("s.*")
+    low = F.least(F.col("a.inner"), F.col("b.inner"))
+    direct = loose.alias("a").join(border.alias("b"), (F.col("a.centre") == F.col("b.centre")) & (F.col("a.component") != F.col("b.component")) & (low >= need))
+    direct = direct.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
+    x = m.select("centre", "node", "component", "inner", "n_a", F.explode("others").alias("shingle"))
+    several = x.groupBy("centre", "shingle").agg((F.min("component") < F.max("component")).alias("split")).where("split").drop("split")
+    x = x.join(several, ["centre", "shingle"])
+    shared = x.alias("a").join(x.alias("b"), (F.col("a.centre") == F.col("b.centre")) & (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.component") < F.col("b.component")))
+    shared = shared.groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b")).agg(F.count(F.lit(1)).alias("o"), F.first(low).alias("low"), F.first(need).alias("need")).where("low + o >= need")
+    return direct.union(shared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -215,6 +252,11 @@ def components(edges: DataFrame) -> DataFrame:
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
+def keys_of(members: DataFrame) -> DataFrame:
+    """(key, members): the number of classes with each key."""
+    return members.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
+
+
 def fingerprint(pairs: DataFrame) -> tuple:
     """Number of pairs and a sum over their hashes, to see whether a step changed them."""
     return tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -263,25 +305,37 @@ def near_duplicates(
         named = components(between).toDF("component", "root")
         return materialise(label.join(named, "component", "left").select("node", F.coalesce("root", "component").alias("component")))
 
-    for turn in range(STAR_ROUNDS):
-        tagged = members.join(label, "node")
-        draw = F.struct(F.xxhash64(F.lit(turn), "key", "node").alias("draw"), F.col("node").alias("centre"), F.col("component").alias("other"))
-        centre = tagged.groupBy("key").agg(F.min(draw).alias("c")).select("key", "c.centre", "c.other")
-        star = tagged.join(centre, "key").where("component <> other").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-        near = signed(star)
-        # Each class proposes its closest partner; the others wait for later rounds.
-        best = near.groupBy("a").agg(F.min(F.struct("distance", "b")).alias("m")).select("a", "m.b")
-        label = merge(label, materialise(verified(best, texts, size, percent)))
-
-    # What is left in different components is compared in full.
-    tagged = members.join(label, "node")
+    # A member that shares many keys with many others lies in the middle of a family.
+    popular = members.join(keys_of(members), "key").groupBy("node").agg(F.sum("members").alias("popularity"))
+    popular = materialise(popular)
+    tagged = members.join(popular, "node")
+    draw = F.struct(F.col("popularity"), F.xxhash64("node").alias("draw"), F.col("node").alias("centre"))
+    centre = tagged.groupBy("key").agg(F.max(draw).alias("c")).select("key", "c.centre", F.col("c.popularity").alias("p"))
+    star = members.join(centre, "key").where("node <> centre").groupBy(F.col("node").alias("a"), F.col("centre").alias("b")).agg(F.max("p").alias("p"))
+    near = signed(star.select("a", "b")).join(star, ["a", "b"])
+    # Each class is compared with the most popular centre within the radius: its family.
+    family = near.groupBy("a").agg(F.max(F.struct("p", "b")).alias("m")).select("a", "m.b")
+    to_centre = materialise(compared(family, texts, size, percent, rest=True))
+    label = merge(label, to_centre.where("same").select("a", "b"))
+    # and with the nearest centre of another component
+    closest = near.join(label.toDF("a", "ca"), "a").join(label.toDF("b", "cb"), "b").where("ca <> cb").groupBy("a").agg(F.min(F.struct("distance", "b")).alias("m")).select("a", "m.b")
+    closest = closest.join(family, ["a", "b"], "left_anti")
+    label = merge(label, materialise(compared(closest, texts, size, percent).where("same").select("a", "b")))
+
+    # Members of one family that are still apart: only what the centre's bound leaves.
+    inside = within_families(to_centre, label, percent)
+    # Members of different families (or of none) that share a key are compared in full.
+    member_of = to_centre.select(F.col("a").alias("node"), F.col("b").alias("family")).unionByName(to_centre.select(F.col("b").alias("node"), F.col("b").alias("family")).distinct())
+    member_of = member_of.groupBy("node").agg(F.min("family").alias("family"))
+    tagged = members.join(label, "node").join(member_of, "node", "left").join(node.select("node", "n"), "node")
     split = tagged.groupBy("key").agg((F.min("component") < F.max("component")).alias("split")).where("split").select("key")
-    rest = tagged.join(split, "key")
-    # One row for each key, component and node; equal components never meet.
-    x = rest.select("key", F.col("node").alias("a"), F.col("component").alias("ca"))
-    y = rest.select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
-    pairs = x.join(y, "key").where("ca < cb").select("a", "b").distinct()
-    label = merge(label, materialise(verified(signed(pairs), texts, size, percent)))
+    rest = materialise(tagged.join(split, "key"))
+    x, y = rest.alias("x"), rest.alias("y")
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & ~F.coalesce(F.col("x.family") == F.col("y.family"), F.lit(False))
+    fits = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
+    across = x.join(y, apart & fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    pairs = inside.union(signed(across).select("a", "b")).distinct()
+    label = merge(label, materialise(compared(pairs, texts, size, percent).where("same").select("a", "b")))
 
     named = classes.select("digest", "node").join(label, "node").select("digest", "component")
     out = rows.join(named, "digest", "left")
