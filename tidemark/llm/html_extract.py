@@ -32,13 +32,13 @@ CLOSED_BY_BLOCK = ("p", "li", "dt", "dd", "option", "tr", "td", "th")
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|[^<]+|<",
+    r"|<[/a-zA-Z][^<>]*\Z|[^<]+|<",
     re.S,
 )
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-#: The most a word can score either way, so that an advert within an article does not cut it in two.
-LIMIT = 3.0
+#: The most and the least a word can score: an advert within an article must not cut it in two.
+MOST, LEAST = 3.0, -1.0
 PIECE = re.compile(r"[a-z]+")
 
 
@@ -61,9 +61,8 @@ def tokens(page: str):
         name = m[2]
         if name is None:
             raw = m[0]
-            if skip is None and raw[0] != "<" or raw == "<":
-                if skip is None:
-                    yield "text", raw, tuple(f for _, fs in stack for f in fs), block
+            if skip is None and (raw[0] != "<" or raw == "<"):
+                yield "text", raw, tuple(f for _, fs in stack for f in fs), block
             continue
         name, closing = name.lower(), bool(m[1])
         if skip is not None:
@@ -128,7 +127,7 @@ def learn(labelled: list[tuple[str, set[str]]]) -> Weights:
                 tags[not is_main] += 1
     odds = {f: math.log((inside[f] + 0.5) / words[0]) - math.log((outside[f] + 0.5) / words[1]) for f in inside.keys() | outside.keys()}
     # elements around both kinds (html, body, div, p) say nothing
-    word = {f: max(-LIMIT, min(LIMIT, v)) for f, v in odds.items() if v > 1.5 or v < -2.5}
+    word = {f: max(LEAST, min(MOST, v)) for f, v in odds.items() if v > 1.5 or v < -2.5}
     tag = math.log((tags[0] + 1) / words[0]) - math.log((tags[1] + 1) / words[1])
     return Weights(word, -max(0.1, min(0.5, abs(tag) / 4)), 0.3)
 
