@@ -24,6 +24,7 @@ EDGE = [
     (6, "x " * 20_000, "en", None, 1),
     (7, "ÀÉ \U0001f600 ß <|endoftext|>", "de", "a", 1),
     (8, "word", "en", "c", 1),
+    (9, "", "en", "no words", 0),
 ]
 
 
@@ -136,7 +137,7 @@ def test_near_duplicates_of_edge_rows(edge, empty):
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(edge, size=3, percent=85).collect()}
     assert got[5] == 4 and got[1] == 1 and got[2] == 2 and got[3] == 3
     assert near_dedup.near_duplicates(empty).count() == 0
-    assert sorted(r.doc_id for r in near_dedup.keep_one(edge).collect()) == [1, 2, 3, 4, 6, 7, 8]
+    assert sorted(r.doc_id for r in near_dedup.keep_one(edge).collect()) == [1, 2, 3, 4, 6, 7, 8, 9]
 
 
 def test_masked_keys_find_all_pairs_within_the_radius():

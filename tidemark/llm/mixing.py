@@ -22,7 +22,7 @@ windows are over one shard, or over the shards of one source (one row each).
 
 Null text counts 0 words and takes 0; a null source is a source of its own, last
 in the order; rows with the same id are separate documents that share an order
-key; an empty table gives an empty result; columns other than the three named are
+key; a source without words has target 0; an empty table gives an empty result; columns other than the three named are
 ignored here and kept by :func:`apply_mix`.
 """
 
@@ -68,7 +68,7 @@ def shard_quotas(shards: DataFrame, max_repeat: int) -> DataFrame:
     by = W.partitionBy("source")
     s = shards.withColumn("seats", seats).withColumn("n", F.count(F.lit(1)).over(by))
     s = s.withColumn("blocks", F.ceil(F.col("words") / F.col("block")))
-    part = F.col("words").cast("double") / F.col("source_size")
+    part = F.coalesce(F.try_divide(F.col("words").cast("double"), F.col("source_size")), F.lit(0.0))
     low = F.greatest(F.lit(0), F.ceil(part * (F.col("seats") - F.col("n") / 2) - 0.5))
     high = F.greatest(F.lit(0), F.floor(part * (F.col("seats") + F.col("n") / 2) + 0.5))
     most = F.lit(max_repeat) * F.col("blocks")

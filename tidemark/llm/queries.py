@@ -96,4 +96,33 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM d""",
+    "op8_mix_sources": r"""
+        WITH d AS (SELECT doc_id AS id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size FROM documents),
+        w AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS docs, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth FROM d GROUP BY source),
+        v AS (SELECT *, nth % 3 + 1 AS weight, 3 * source_size AS cap FROM w),
+        r AS (SELECT *, sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0) AS rest, sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS share
+              FROM v WINDOW b AS (ORDER BY cap / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        f AS (SELECT cap / weight AS edge, rest, share FROM r WHERE rest::DOUBLE / share <= cap / weight ORDER BY cap / weight, nth LIMIT 1),
+        t AS (SELECT source, source_size, ceil(docs / 20000)::BIGINT AS shards,
+              CASE WHEN cap / weight < edge THEN cap::DOUBLE ELSE least(cap::DOUBLE, weight * f.rest::DOUBLE / f.share) END AS target FROM r CROSS JOIN f),
+        p AS (SELECT *, greatest(1, floor(min(target) FILTER (WHERE target > 0) OVER () / 1000))::BIGINT AS block FROM t),
+        e AS (SELECT d.*, source_size, target, block, ('0x' || substr(md5('17:shard:' || id), 1, 8))::BIGINT % shards AS shard,
+              ('0x' || substr(md5('17:draw:' || id), 1, 8))::BIGINT AS draw FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+        s AS (SELECT source, shard, sum(size)::BIGINT AS words, any_value(source_size) AS source_size, any_value(block) AS block,
+              round(any_value(target) / any_value(block))::BIGINT AS seats, count(*) OVER (PARTITION BY source) AS n FROM e GROUP BY source, shard),
+        q AS (SELECT *, ceil(words / block)::BIGINT AS blocks, coalesce(words::DOUBLE / nullif(source_size, 0), 0) AS part FROM s),
+        b AS (SELECT *, least(greatest(0, ceil(part * (seats - n / 2) - 0.5)), 3 * blocks)::BIGINT AS low, least(greatest(0, floor(part * (seats + n / 2) + 0.5)), 3 * blocks)::BIGINT AS high FROM q),
+        k AS (SELECT source, shard, words, unnest(range(low + 1, high + 1)) AS k FROM b),
+        o AS (SELECT source, any_value(seats) - sum(low) AS free FROM b GROUP BY source),
+        won AS (SELECT k.source, shard, count(*) AS won FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY words::DOUBLE / (2 * k - 1) DESC, shard, k) AS place FROM k) k
+              JOIN o ON k.source IS NOT DISTINCT FROM o.source WHERE place <= free GROUP BY k.source, shard),
+        u AS (SELECT b.source, b.shard, words, blocks, low + coalesce(won, 0) AS quota FROM b LEFT JOIN won ON b.source IS NOT DISTINCT FROM won.source AND b.shard = won.shard),
+        x AS (SELECT e.*, blocks, quota, sum(size) OVER (PARTITION BY e.source, e.shard ORDER BY draw, id ROWS UNBOUNDED PRECEDING)::BIGINT AS fin,
+              ('0x' || substr(md5('17:start:' || coalesce(e.source, '') || ':' || e.shard), 1, 8))::BIGINT % greatest(blocks, 1) AS lo
+              FROM e JOIN u ON e.source IS NOT DISTINCT FROM u.source AND e.shard = u.shard),
+        y AS (SELECT *, fin - size AS beg, CASE WHEN blocks > 0 THEN quota // blocks ELSE 0 END AS rounds, CASE WHEN blocks > 0 THEN quota % blocks ELSE quota END AS extra FROM x)
+        SELECT id AS doc_id, size, source_size, target,
+               (rounds * size + greatest(0, least(fin, least(lo + extra, blocks) * block) - greatest(beg, lo * block)) + greatest(0, least(fin, greatest(lo + extra - blocks, 0) * block) - beg))::BIGINT AS taken,
+               shard, block, quota::BIGINT AS quota
+        FROM y""",
 }
