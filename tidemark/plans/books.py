@@ -13,7 +13,6 @@ from tidemark.sources.tables import table
 
 QUERIES, SQL = {}, {}
 CAPITAL = 1_000_000.0
-w = X.series()
 
 
 def plan(name: str, sql: str | None, views: str = ""):
@@ -121,6 +120,7 @@ def fund_metrics(spark, sf):
 
 def crossed(spark, sf):
     """Daily sign of the 20-day mean crossing: +1 above, -1 below by more than 5 %, else 0."""
+    w = X.series()
     m = X.roll(F.avg, F.col("close"), w, 20)
     x = A.bars_1d(spark, sf).select(F.col("symbol").alias("ticker"), "d", "close", F.coalesce(F.try_divide(F.col("close"), m) - 1, F.lit(0.0)).alias("gap"))
     return x.withColumn("signal", F.when(F.col("gap") > 0.05, 1).when(F.col("gap") < -0.05, -1).otherwise(0))

@@ -12,7 +12,6 @@ from tidemark.sources import adapters as A
 from tidemark.sources.adapters import with_views
 
 QUERIES, SQL = {}, {}
-w = X.series()
 
 
 def plan(name: str, sql: str | None, views: str = "bars"):
@@ -31,6 +30,7 @@ def r6(c, name):
 
 def priced(spark, sf):
     """Bars with the return, the difference to the day before and the true range."""
+    w = X.series()
     b = A.bars_1d(spark, sf)
     c = F.col("close")
     return b.withColumns({"ret": X.change(c, w), "delta": F.coalesce(c - F.lag(c).over(w), F.lit(0.0)), "tr": X.true_range(F.col("high"), F.col("low"), c, w)})
@@ -53,6 +53,7 @@ def full(expr: str, n: int, x: str) -> str:
     q AS (SELECT symbol, d, z, (close - (m - 2 * s)) / (4 * s) AS b FROM z)
     SELECT symbol, d, round(z, 6) AS z, round(b, 6) AS pct_b, CASE WHEN z < -2 AND b < 0.2 THEN 'bullish' WHEN z > 2 AND b > 0.8 THEN 'bearish' ELSE 'neutral' END AS signal FROM q""")
 def mean_reversion(spark, sf):
+    w = X.series()
     c = F.col("close")
     m, s = X.roll(F.avg, c, w, 20), X.roll(F.stddev_samp, c, w, 20)
     z = F.try_divide(c - X.roll(F.avg, c, w, 50), X.roll(F.stddev_samp, c, w, 50))
@@ -64,6 +65,7 @@ def mean_reversion(spark, sf):
 @plan("ret_sum_momentum", f"""WITH {P} SELECT symbol, d, round(0.4 * {full('sum(ret)', 21, 'ret')} + 0.3 * {full('sum(ret)', 63, 'ret')} + 0.3 * {full('sum(ret)', 126, 'ret')}, 6) AS momentum,
     round(volume / {full('avg(volume)', 21, 'volume')}, 6) AS volume_ratio FROM p""")
 def momentum(spark, sf):
+    w = X.series()
     r = F.col("ret")
     score = 0.4 * X.roll(F.sum, r, w, 21) + 0.3 * X.roll(F.sum, r, w, 63) + 0.3 * X.roll(F.sum, r, w, 126)
     return priced(spark, sf).select("symbol", "d", r6(score, "momentum"), r6(F.col("volume") / X.roll(F.avg, F.col("volume"), w, 21), "volume_ratio"))
@@ -91,6 +93,7 @@ def ema(spark, sf):
     l AS (SELECT *, lag(f) OVER (PARTITION BY symbol ORDER BY d) AS pf, lag(s) OVER (PARTITION BY symbol ORDER BY d) AS ps FROM j)
     SELECT symbol, d, CASE WHEN pf <= ps AND f > s THEN 'buy' WHEN pf >= ps AND f < s THEN 'sell' ELSE 'hold' END AS action FROM l""")
 def ema_cross(spark, sf):
+    w = X.series()
     return with_emas(spark, sf).select("symbol", "d", X.crossover(F.col("ema8"), F.col("ema21"), w).alias("action"))
 
 
@@ -108,23 +111,27 @@ def rsi_sql(n: int) -> str:
 
 @plan("rsi", f"WITH {P} SELECT symbol, d, round({rsi_sql(14)}, 6) AS rsi14, round({rsi_sql(28)}, 6) AS rsi28 FROM p")
 def rsi(spark, sf):
+    w = X.series()
     d = F.col("delta")
     return priced(spark, sf).select("symbol", "d", r6(X.rsi(d, w, 14), "rsi14"), r6(X.rsi(d, w, 28), "rsi28"))
 
 
 @plan("bollinger", f"WITH b AS (SELECT symbol, d, {full('avg(close)', 20, 'close')} AS m, {full('stddev_samp(close)', 20, 'close')} AS s FROM bars) SELECT symbol, d, round(m + 2 * s, 6) AS upper, round(m, 6) AS middle, round(m - 2 * s, 6) AS lower FROM b")
 def bollinger(spark, sf):
+    w = X.series()
     m, s = X.roll(F.avg, F.col("close"), w, 20), X.roll(F.stddev_samp, F.col("close"), w, 20)
     return A.bars_1d(spark, sf).select("symbol", "d", r6(m + 2 * s, "upper"), r6(m, "middle"), r6(m - 2 * s, "lower"))
 
 
 @plan("atr", f"WITH {P} SELECT symbol, d, round(tr, 5) AS tr, round({full("avg(tr)", 14, "tr")}, 5) AS atr FROM p")
 def atr(spark, sf):
+    w = X.series()
     return priced(spark, sf).select("symbol", "d", F.round("tr", 5).alias("tr"), F.round(X.roll(F.avg, F.col("tr"), w, 14), 5).alias("atr"))
 
 
 def adx_frame(spark, sf):
     """+DI, -DI and ADX from adjusted exponential means; the first DX is null where both DI are 0."""
+    w = X.series()
     b = priced(spark, sf)
     up, down = F.col("high") - F.lag("high").over(w), F.lag("low").over(w) - F.col("low")
     b = b.withColumns({"up": F.when((up > down) & (up > 0), up).otherwise(0.0), "down": F.when((down > up) & (down > 0), down).otherwise(0.0)})
@@ -153,6 +160,7 @@ def adx(spark, sf):
     g AS (SELECT symbol, d, hv, hv / {full('avg(hv)', 63, 'hv')} AS regime, (hv - {full('avg(hv)', 63, 'hv')}) / {full('stddev_samp(hv)', 63, 'hv')} AS vz FROM h)
     SELECT symbol, d, round(hv, 6) AS hv, round(regime, 6) AS regime, round(vz, 6) AS vol_z, CASE WHEN regime < 0.8 AND vz < -1 THEN 'bullish' WHEN regime > 1.2 AND vz > 1 THEN 'bearish' ELSE 'neutral' END AS signal FROM g""")
 def vol_regime(spark, sf):
+    w = X.series()
     h = priced(spark, sf).select("symbol", "d", (X.roll(F.stddev_samp, F.col("ret"), w, 21) * F.sqrt(F.lit(252.0))).alias("hv"))
     m, s = X.roll(F.avg, F.col("hv"), w, 63), X.roll(F.stddev_samp, F.col("hv"), w, 63)
     g = h.select("symbol", "d", "hv", (F.col("hv") / m).alias("regime"), ((F.col("hv") - m) / s).alias("vz"))
@@ -162,6 +170,7 @@ def vol_regime(spark, sf):
 
 @plan("rolling_skew_kurt", f"WITH {P} SELECT symbol, d, round({full('skewness(ret)', 63, 'ret')}, 4) AS skew, round({full('kurtosis(ret)', 63, 'ret')}, 4) AS kurt FROM p")
 def skew_kurt(spark, sf):
+    w = X.series()
     r = F.col("ret")
     return priced(spark, sf).select("symbol", "d", F.round(X.skew_unbiased(r, w, 63), 4).alias("skew"), F.round(X.kurt_unbiased(r, w, 63), 4).alias("kurt"))
 
@@ -172,6 +181,7 @@ LAGS = range(2, 20)
 @plan("hurst", f"""WITH {P}, t AS (SELECT symbol, k, sqrt(stddev_pop(x)) AS tau FROM (SELECT symbol, k, close - lag(close, k) OVER (PARTITION BY symbol, k ORDER BY d) AS x FROM bars CROSS JOIN range(2, 20) r(k)) GROUP BY 1, 2)
     SELECT symbol, round(regr_slope(ln(greatest(1e-8, tau)), ln(k)), 6) AS hurst FROM t GROUP BY 1""")
 def hurst(spark, sf):
+    w = X.series()
     b = A.bars_1d(spark, sf)
     x = b.select("symbol", *[(F.col("close") - F.lag("close", k).over(w)).alias(f"x{k}") for k in LAGS])
     t = x.groupBy("symbol").agg(*[F.sqrt(F.stddev_pop(f"x{k}")).alias(f"t{k}") for k in LAGS])
@@ -182,6 +192,7 @@ def hurst(spark, sf):
 @plan("technical_ensemble", None)
 def technical(spark, sf):
     """The five sub-signals and their ensemble for every bar (all bars, not only the last)."""
+    w = X.series()
     c, r = F.col("close"), F.col("ret")
     x = adx_frame(spark, sf).select("symbol", "d", "adx").join(with_emas(spark, sf).drop("close"), ["symbol", "d"]).join(priced(spark, sf), ["symbol", "d"])
     hv = X.roll(F.stddev_samp, r, w, 21) * F.sqrt(F.lit(252.0))
@@ -216,6 +227,7 @@ def technical(spark, sf):
 
 @plan("drawdown", "SELECT symbol, d, round(close / max(close) OVER (PARTITION BY symbol ORDER BY d) - 1, 6) AS drawdown FROM bars")
 def drawdown(spark, sf):
+    w = X.series()
     return A.bars_1d(spark, sf).select("symbol", "d", r6(X.drawdown(F.col("close"), w), "drawdown"))
 
 
@@ -239,6 +251,7 @@ def prob_anomaly(spark, sf):
     (open - low) / open * 100 AS drop_pct FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY d ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))
     SELECT symbol, d, round(vz, 5) AS vol_z, round(drop_pct, 6) AS drop_pct, CASE WHEN vz > 3 OR drop_pct > 1.5 THEN 'severe' WHEN abs(vz) > 3 OR drop_pct > 1 THEN 'anomaly' ELSE 'normal' END AS label FROM z""")
 def kline(spark, sf):
+    w = X.series()
     x = A.bars_1d(spark, sf).select("symbol", "d", X.z_score(F.col("volume"), w, 60, 10).alias("vz"), ((F.col("open") - F.col("low")) / F.col("open") * 100).alias("p"))
     label = F.when((F.col("vz") > 3) | (F.col("p") > 1.5), "severe").when((F.abs("vz") > 3) | (F.col("p") > 1), "anomaly").otherwise("normal")
     return x.select("symbol", "d", F.round("vz", 5).alias("vol_z"), r6(F.col("p"), "drop_pct"), label.alias("label"))
