@@ -17,13 +17,14 @@ def fund_fold(rows: DataFrame, capital: float) -> DataFrame:
     """Rebalance each fund on its dates: (fund, d, cash, equity, n_orders).
 
     ``rows`` has (fund, d, ticker, weight, mark): target weights and marks of all
-    tickers. Shares are cut toward zero; fills are at the mark; cash may go below 0.
+    tickers; a held ticker without a row keeps its shares and its last mark. Shares are
+    cut toward zero; fills are at the mark; cash may go below 0.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cash, held, out = capital, {}, []
+        cash, held, mark, out = capital, {}, {}, []
         for d, day in pdf.sort_values(["d", "ticker"]).groupby("d", sort=True):
-            mark = dict(zip(day.ticker, day.mark, strict=True))
+            mark |= dict(zip(day.ticker, day.mark, strict=True))
             equity = cash + sum(q * mark[t] for t, q in held.items() if q)
             n = 0
             for t, w in zip(day.ticker, day.weight, strict=True):

@@ -178,10 +178,10 @@ def large_orders(spark, sf):
     return flow(spark, sf).select("symbol", "day", r6(F.col("big"), "bias"), three_way("big", 0.3).alias("signal"), bounded_confidence("big", 0.3, 100, 70, 15).alias("confidence"))
 
 
-@plan("eav_pivot", "SELECT asset, ts_ms, round(max(value) FILTER (metric = 'price'), 6) AS price, round(max(value) FILTER (metric = 'volume'), 6) AS volume, round(max(value) FILTER (metric = 'mcap'), 1) AS mcap FROM eav GROUP BY 1, 2", "eav")
+@plan("eav_pivot", "SELECT asset, ts_ms, round(max(value) FILTER (metric = 'price'), 6) AS price, round(max(value) FILTER (metric = 'volume'), 6) AS volume, round(max(value) FILTER (metric = 'mcap'), 0) AS mcap FROM eav GROUP BY 1, 2", "eav")
 def eav_pivot(spark, sf):
     p = A.metrics_eav(spark, sf).groupBy("asset", "ts_ms").pivot("metric", ["price", "volume", "mcap"]).agg(F.first("value"))
-    return p.select("asset", "ts_ms", r6(F.col("price"), "price"), r6(F.col("volume"), "volume"), F.round("mcap", 1).alias("mcap"))
+    return p.select("asset", "ts_ms", r6(F.col("price"), "price"), r6(F.col("volume"), "volume"), F.round("mcap", 0).alias("mcap"))
 
 
 NVT = """w AS (SELECT symbol AS asset, d, mcap / avg(volume * close) OVER (PARTITION BY symbol ORDER BY d RANGE BETWEEN INTERVAL 90 DAYS PRECEDING AND CURRENT ROW) AS nvt FROM capped)"""
