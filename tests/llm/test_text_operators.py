@@ -150,6 +150,20 @@ def test_masked_keys_find_all_pairs_within_the_radius():
         assert min(len(wrong & set(c)) for c in chunks) <= 1
 
 
+@pytest.mark.parametrize("symbols", [48, 7])
+def test_hamming_counts_differing_symbols(spark, symbols):
+    from pyspark.sql import functions as F
+
+    signer = near_dedup.Signer(3, symbols, 5)
+    sets = [np.arange(a, a + 40, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) for a in range(0, 60, 3)]
+    minima = [near_dedup.mix64(signer.minima(s)) >> np.uint64(48) for s in sets]
+    packed = [signer.signature(s).tolist() for s in sets]
+    rows = [(i, j, packed[i], packed[j]) for i in range(len(sets)) for j in range(len(sets))]
+    frame = spark.createDataFrame(rows, "i int, j int, x array<long>, y array<long>")
+    for r in frame.select("i", "j", near_dedup.hamming(F.col("x"), F.col("y"), symbols).alias("d")).collect():
+        assert r.d == int((minima[r.i] != minima[r.j]).sum())
+
+
 # exact duplicates
 
 

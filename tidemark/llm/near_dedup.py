@@ -16,8 +16,9 @@
    comparison goes to the nearest centre of another component.
 5. Members of one family that are still apart can only link if they share shingles
    that the centre lacks, or lie nearer to the centre than the threshold asks for (see
-   :func:`within_families`); an equi join on those rare shingles finds such pairs.
-   Classes of different families that share a key are compared in full. So no link
+   :func:`within_families`); an equi join on prefixes of those rare shingles finds such
+   pairs. Classes of different families that share a key are pairs to look at, too; both
+   joins keep the pairs whose signatures lie within the radius, and those are compared. So no link
    between components is lost, and copies never meet in all their pairs.
 
 Texts with fewer words than a shingle has are one shingle as a whole; texts without
@@ -32,11 +33,16 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm._common import WordIds, ascii_words, map_batches, materialise, mix64
 
+#: Signature symbols of 16 bits in one long (the fourth stays 0, so that sums do not overflow),
+#: the lower 15 bits of each, and the highest bit of each.
+PER_LONG, LOW_BITS, HIGH_BITS = 3, 0x7FFF7FFF7FFF, 0x800080008000
+
+
 def radius_for(threshold: float, symbols: int, miss: float) -> int:
     """Smallest r with P(Binomial(symbols, 1 - threshold) > r) <= miss."""
     p, tail = 1 - threshold, 1.0
@@ -87,8 +93,25 @@ class Signer:
         return least
 
     def signature(self, s: np.ndarray) -> np.ndarray:
-        """The top 16 bits of each minimum, mixed."""
-        return (mix64(self.minima(s)) >> np.uint64(48)).astype(np.uint16)
+        """The top 16 bits of each minimum, mixed, three of them in a long."""
+        symbols = np.zeros(-(-len(self.a) // PER_LONG) * PER_LONG, np.uint16)
+        symbols[: len(self.a)] = mix64(self.minima(s)) >> np.uint64(48)
+        out = np.zeros((len(symbols) // PER_LONG, 4), np.uint16)
+        out[:, :PER_LONG] = symbols.reshape(-1, PER_LONG)
+        return out.view(np.int64).reshape(-1)
+
+
+def hamming(x: Column, y: Column, symbols: int) -> Column:
+    """Number of differing 16-bit symbols of two signatures.
+
+    A symbol of the exclusive or is not 0 if its highest bit is set, or becomes so when
+    the greatest 15-bit number is added to the rest of it.
+    """
+    total = F.lit(0)
+    for i in range(-(-symbols // PER_LONG)):
+        z = x[i].bitwiseXOR(y[i])
+        total = total + F.bit_count((z.bitwiseAND(F.lit(LOW_BITS)) + F.lit(LOW_BITS)).bitwiseOR(z).bitwiseAND(F.lit(HIGH_BITS)))
+    return total
 
 
 def sketch(docs: DataFrame, size: int, symbols: int, seed: int, id_col: str, text_col: str) -> DataFrame:
@@ -103,12 +126,12 @@ def sketch(docs: DataFrame, size: int, symbols: int, seed: int, id_col: str, tex
                 s = signer.set_of(text)
                 count.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                signature.append(signer.signature(s).tobytes() if len(s) else None)
-            return {"doc_id": batch.column(0), "n_shingles": pa.array(count, pa.int64()), "digest": pa.array(digest, pa.binary()), "signature": pa.array(signature, pa.binary())}
+                signature.append(signer.signature(s) if len(s) else None)
+            return {"doc_id": batch.column(0), "n_shingles": pa.array(count, pa.int64()), "digest": pa.array(digest, pa.binary()), "signature": pa.array(signature, pa.list_(pa.int64()))}
 
         return work
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)), make, "doc_id long, n_shingles long, digest binary, signature binary")
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)), make, "doc_id long, n_shingles long, digest binary, signature array<long>")
 
 
 def masked_keys(classes: DataFrame, symbols: int, radius: int) -> DataFrame:
@@ -118,7 +141,8 @@ def masked_keys(classes: DataFrame, symbols: int, radius: int) -> DataFrame:
     def make():
         def work(batch: pa.RecordBatch) -> dict[str, object]:
             node, n = batch.column(0), batch.num_rows
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(n, symbols).astype(np.uint64)
+            sig = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint16)
+            sig = sig.reshape(n, -1, 4)[:, :, :PER_LONG].reshape(n, -1).astype(np.uint64)
             keys = []
             for number, chunk in enumerate(chunks):
                 for gap in chunk if len(chunk) > 1 else [None]:
@@ -136,31 +160,9 @@ def masked_keys(classes: DataFrame, symbols: int, radius: int) -> DataFrame:
     return map_batches(classes.select("node", "signature"), make, "key long, node long")
 
 
-def distance(symbols: int):
-    """Number of differing 16-bit symbols of two signatures, on Arrow batches."""
-
-    def count(a: list[bytes], b: list[bytes]) -> np.ndarray:
-        x, y = (np.frombuffer(b"".join(v), np.uint16).reshape(-1, symbols) for v in (a, b))
-        return (x != y).sum(axis=1)
-
-    return count
-
-
-def close_pairs(pairs: DataFrame, symbols: int, radius: int, threshold: float) -> DataFrame:
-    """Of (a, b, sig_a, sig_b, n_a, n_b) those within the radius and of fitting sizes, with their distance."""
-    low, count = threshold - 1e-9, distance(symbols)
-
-    def make():
-        def work(batch: pa.RecordBatch) -> dict[str, object]:
-            d = count(batch.column("sig_a").to_pylist(), batch.column("sig_b").to_pylist())
-            near = pa.array(np.flatnonzero(d <= radius))
-            return {"a": batch.column("a").take(near), "b": batch.column("b").take(near), "distance": pa.array(d[d <= radius], pa.int64())}
-
-        return work
-
-    sized = pairs.where((F.col("n_a") >= low * F.col("n_b")) & (F.col("n_b") >= low * F.col("n_a")))
-    sized = sized.select("a", "b", "sig_a", "sig_b")
-    return map_batches(sized, make, "a long, b long, distance long")
+def may_link(n_a: Column, n_b: Column, sig_a: Column, sig_b: Column, symbols: int, radius: int, percent: int) -> Column:
+    """Whether two sets are of fitting sizes and their signatures within the radius."""
+    return (n_a * 100 >= n_b * percent) & (n_b * 100 >= n_a * percent) & (hamming(sig_a, sig_b, symbols) <= radius)
 
 
 def compared(edges: DataFrame, texts: DataFrame, size: int, percent: int, rest: bool = False) -> DataFrame:
@@ -203,31 +205,46 @@ def compared(edges: DataFrame, texts: DataFrame, size: int, percent: int, rest:
     return map_batches(both, make, "a long, b long, inner long, n_a long, n_b long, same boolean" + (", others array<long>" if rest else ""))
 
 
-def within_families(compared_to: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+def within_families(compared_to: DataFrame, label: DataFrame, node: DataFrame, percent: int, symbols: int, radius: int) -> DataFrame:
     """Pairs (a, b) of members of one family that can link although the centre c does not join them.
 
     With i = |a and c|, every b has |a and b| <= min(i_a, i_b) + o, where o counts the
-    shingles that a and b share outside c. So a pair must share such a shingle (found
-    by an equi join on them), or have both i at least as large as the intersection
-    that the threshold asks for.
+    shingles that a and b share outside c. A link asks for an intersection that grows
+    with n_b, and n_b is at least that of the family's smallest member and percent of
+    n_a: so a must share at least ``short`` such shingles with any partner. Where
+    ``short`` is 0 for both, signatures are compared (``direct``). Else one has a rare
+    shingle among its rarest |others| - short + 1 that is in the prefix of the other one too,
+    as in prefix filtering, and an equi join on these finds the pair (``shared``).
     """
-    need = (F.col("a.n_a") + F.col("b.n_a")) * F.lit(percent / (100 + percent)) - 1e-6
+    part = percent / (100 + percent)
     m = compared_to.join(label, compared_to["a"] == label["node"]).drop("node")
-    m = m.select(F.col("b").alias("centre"), F.col("a").alias("node"), "component", "inner", "n_a", "n_b", "others")
-    bare = m.drop("others")
-    # Members that the bound does not rule out: at least as near to the centre as the smallest partner asks for.
+    m = m.select(F.col("b").alias("centre"), F.col("a").alias("node"), "component", "inner", "n_a", "others")
     small = m.groupBy("centre").agg(F.min("n_a").alias("least"))
-    border = bare.join(small, "centre").where(F.col("inner") >= (F.col("n_a") + F.col("least")) * F.lit(percent / (100 + percent)) - 1e-6)
-    loose = border.alias("s").join(label.alias("l"), F.col("s.centre") == F.col("l.node")).where("s.component <> l.component").select("s.*")
-    low = F.least(F.col("a.inner"), F.col("b.inner"))
-    direct = loose.alias("a").join(border.alias("b"), (F.col("a.centre") == F.col("b.centre")) & (F.col("a.component") != F.col("b.component")) & (low >= need))
-    direct = direct.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
-    x = m.select("centre", "node", "component", "inner", "n_a", F.explode("others").alias("shingle"))
-    several = x.groupBy("centre", "shingle").agg((F.min("component") < F.max("component")).alias("split")).where("split").drop("split")
+    least = F.greatest(F.col("least"), F.col("n_a") * (percent / 100))
+    m = m.join(small, "centre").withColumn("short", F.ceil((F.col("n_a") + least) * part - F.col("inner") - 1e-6))
+    signed = node.select("node", "signature")
+    bare = m.drop("others").join(signed, "node")
+    apart = (F.col("a.centre") == F.col("b.centre")) & (F.col("a.component") < F.col("b.component"))
+    near = may_link(F.col("a.n_a"), F.col("b.n_a"), F.col("a.signature"), F.col("b.signature"), symbols, radius, percent)
+    pair = (F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
+
+    # Only if neither asks for a shared shingle outside the centre.
+    border = bare.where("short <= 0")
+    split = border.groupBy("centre").agg((F.min("component") < F.max("component")).alias("split")).where("split").select("centre")
+    border = border.join(split, "centre")
+    direct = border.alias("a").join(border.alias("b"), apart & near).select(*pair)
+
+    x = m.select("centre", "node", "component", "n_a", "short", F.explode("others").alias("shingle"))
+    several = x.groupBy("centre", "shingle").agg((F.min("component") < F.max("component")).alias("split"), F.count(F.lit(1)).alias("often"))
     x = x.join(several, ["centre", "shingle"])
-    shared = x.alias("a").join(x.alias("b"), (F.col("a.centre") == F.col("b.centre")) & (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.component") < F.col("b.component")))
-    shared = shared.groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b")).agg(F.count(F.lit(1)).alias("o"), F.first(low).alias("low"), F.first(need).alias("need")).where("low + o >= need")
-    return direct.union(shared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    # Shingles of one component come last in the order, as no pair to be found has them.
+    place = F.row_number().over(Window.partitionBy("centre", "node").orderBy(F.col("split").desc(), "often", "shingle"))
+    shareable = F.count(F.when(F.col("split"), 1)).over(Window.partitionBy("centre", "node"))
+    x = x.withColumn("place", place).withColumn("shareable", shareable)
+    x = x.where(F.col("split") & (F.col("place") <= F.col("shareable") - F.greatest("short", F.lit(1)) + 1))
+    x = x.select("centre", "node", "component", "n_a", "shingle").join(signed, "node")
+    shared = x.alias("a").join(x.alias("b"), apart & (F.col("a.shingle") == F.col("b.shingle")) & near).select(*pair)
+    return direct.union(shared).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -295,7 +312,9 @@ def near_duplicates(
     def signed(pairs: DataFrame) -> DataFrame:
         left = node.select(F.col("node").alias("a"), F.col("signature").alias("sig_a"), F.col("n").alias("n_a"))
         right = node.select(F.col("node").alias("b"), F.col("signature").alias("sig_b"), F.col("n").alias("n_b"))
-        return close_pairs(pairs.join(left, "a").join(right, "b"), symbols, radius, threshold)
+        both = pairs.join(left, "a").join(right, "b")
+        both = both.where(may_link(F.col("n_a"), F.col("n_b"), F.col("sig_a"), F.col("sig_b"), symbols, radius, percent))
+        return both.select("a", "b", hamming(F.col("sig_a"), F.col("sig_b"), symbols).alias("distance"))
 
     def merge(label: DataFrame, found: DataFrame) -> DataFrame:
         """The new links join components, which are again named after their smallest node."""
@@ -323,18 +342,18 @@ def near_duplicates(
     label = merge(label, materialise(compared(closest, texts, size, percent).where("same").select("a", "b")))
 
     # Members of one family that are still apart: only what the centre's bound leaves.
-    inside = within_families(to_centre, label, percent)
+    inside = within_families(to_centre, label, node, percent, symbols, radius)
     # Members of different families (or of none) that share a key are compared in full.
     member_of = to_centre.select(F.col("a").alias("node"), F.col("b").alias("family")).unionByName(to_centre.select(F.col("b").alias("node"), F.col("b").alias("family")).distinct())
     member_of = member_of.groupBy("node").agg(F.min("family").alias("family"))
-    tagged = members.join(label, "node").join(member_of, "node", "left").join(node.select("node", "n"), "node")
+    tagged = members.join(label, "node").join(member_of, "node", "left").join(node, "node")
     split = tagged.groupBy("key").agg((F.min("component") < F.max("component")).alias("split")).where("split").select("key")
     rest = materialise(tagged.join(split, "key"))
     x, y = rest.alias("x"), rest.alias("y")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & ~F.coalesce(F.col("x.family") == F.col("y.family"), F.lit(False))
-    fits = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
-    across = x.join(y, apart & fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    pairs = inside.union(signed(across).select("a", "b")).distinct()
+    close = may_link(F.col("x.n"), F.col("y.n"), F.col("x.signature"), F.col("y.signature"), symbols, radius, percent)
+    across = x.join(y, apart & close).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    pairs = inside.union(across).distinct()
     label = merge(label, materialise(compared(pairs, texts, size, percent).where("same").select("a", "b")))
 
     named = classes.select("digest", "node").join(label, "node").select("digest", "component")
