@@ -19,7 +19,9 @@
    :func:`within_families`); an equi join on prefixes of those rare shingles finds such
    pairs. Classes of different families that share a key are pairs to look at, too; both
    joins keep the pairs whose signatures lie within the radius, and those are compared. So no link
-   between components is lost, and copies never meet in all their pairs.
+   within the radius is lost between components, and copies never meet in all their
+   pairs. Members of a key that lie in many components and families do have their
+   signatures compared in pairs inside the join.
 
 Texts with fewer words than a shingle has are one shingle as a whole; texts without
 words, and nulls, have an empty set and link with nothing. Rows with equal ids count
