@@ -401,6 +401,22 @@ def test_leaks_equal_a_full_search(spark):
     assert {r.doc_id for r in clean.collect()} == {r[0] for r in rows} - {i for i, _ in got}
 
 
+def test_leaks_at_the_edges_of_texts():
+    """Items whose first or last words are cut off, at the edge of every text of a group."""
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefgh"), 4)) for _ in range(900)]
+    items = [(i, " ".join(rng.choice(words, 40, replace=False))) for i in range(12)]
+    finder = decontaminate.Finder(decontaminate.Index(items, 3, 11, 2), 0.2)
+    for missing in range(5):
+        front = [" ".join(x.split()[missing:] + rng.choice(words, 50).tolist()) for _, x in items]
+        back = [" ".join(rng.choice(words, 50).tolist() + x.split()[: 40 - missing]) for _, x in items]
+        found = {(r[0], r[1]): r[2] for r in finder.find([*front, *back])}
+        for text, (item, x) in enumerate(items + items):
+            assert (text, item) in found, (missing, text)
+            lost = x.split()[:missing] if text < 12 else x.split()[40 - missing :]
+            assert found[text, item] <= sum(len(w) + 1 for w in lost)
+
+
 def test_leaks_of_edge_tables(spark, edge, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.leaks(edge, none).count() == 0

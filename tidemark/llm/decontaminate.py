@@ -123,9 +123,9 @@ class Finder:
         self.bitmaps = [np.unpackbits(t[3]).astype(bool) for t in index.tables]
         self.letters = [np.frombuffer(b" ".join(w).decode("utf-8", "replace").encode("utf-32-le"), np.uint32) for _, w in index.items]
 
-    def candidates(self, ids: np.ndarray) -> set[tuple[int, int]]:
-        """(item, start of its window) for all equal samples."""
-        out: set[tuple[int, int]] = set()
+    def candidates(self, ids: np.ndarray) -> set[tuple[int, int, int]]:
+        """(item, place of the equal sample, its offset in the item) for all equal samples."""
+        out: set[tuple[int, int, int]] = set()
         for begin in range(0, len(ids), CHUNK):
             part = ids[begin : begin + CHUNK + 64]
             starts = np.arange(min(CHUNK, len(ids) - begin))
@@ -136,7 +136,7 @@ class Finder:
                 hit = np.flatnonzero(self.bitmaps[plan][(k >> np.uint64(44)).astype(np.int64)])
                 low, high = np.searchsorted(keys, k[hit], "left"), np.searchsorted(keys, k[hit], "right")
                 for h, a, b in zip(hit[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
-                    out.update((int(item[x]), begin + h - int(offset[x])) for x in range(a, b))
+                    out.update((int(item[x]), begin + h, int(offset[x])) for x in range(a, b))
         return out
 
     def find(self, texts: list[str | None]):
@@ -154,13 +154,14 @@ class Finder:
         first_of = np.array(first)
         best: dict[tuple[int, int], tuple] = {}
         checked: set[tuple[int, int, int]] = set()
-        for number, start in sorted(self.candidates(ids)):
-            doc = int(np.searchsorted(first_of, max(start, 0), "right")) - 1
-            if start < first[doc] and start + len(self.index.items[number][1]) < first[doc]:
-                continue
+        spots = set()
+        for number, place, offset in self.candidates(ids):
+            # The text is the one with the sample: an item cut off at the front starts before its text does.
+            doc = int(np.searchsorted(first_of, place, "right")) - 1
+            spots.add((number, doc, place - offset - first[doc]))
+        for number, doc, begin in sorted(spots):
             size = len(self.index.items[number][1])
             slack = max(2, int(np.ceil(self.max_edit * size)))
-            begin = start - first[doc]
             near = (doc, number, begin // slack)
             if near in checked:
                 continue
