@@ -450,6 +450,55 @@ def test_repeats_find_shared_passages_and_only_those(spark):
     assert sum(passage in (r.text or "") for r in cut.collect()) == 1
 
 
+def test_repeats_meet_a_holder_of_the_whole(spark):
+    """Earlier excerpts of under 50 words, or an earlier place in the same document, do not hide a longer passage."""
+    rng = np.random.default_rng(10)
+    rows, want, number = [], set(), 0
+    for _ in range(12):
+        word = lambda n: ["".join(rng.choice(list("abcdefghij"), int(rng.integers(2, 9)))) for _ in range(n)]
+        n = int(rng.integers(50, 62))
+        whole = word(n)
+        excerpts = [whole[: n - 15], whole[15:], whole[:40] + word(30) + whole, whole, whole]
+        if number % 2:
+            excerpts[2] = whole[5:49]
+        for k, piece in enumerate(excerpts):
+            rows.append((number + k, " ".join(word(40) + piece + word(40))))
+        holder = number + 3 if number % 2 else number + 2
+        want |= {(i, holder) for i in range(holder + 1, number + 5)}
+        number += 5
+    got = substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.origin_id) for r in got} == want
+    text = dict(rows)
+    for r in got:
+        assert r.n_words >= 50 and text[r.doc_id].encode()[r.begin : r.end] == text[r.origin_id].encode()[r.origin_begin :][: r.end - r.begin]
+
+
+@pytest.mark.parametrize("min_words", [5, 12])
+def test_repeats_cover_what_a_full_search_finds(spark, min_words):
+    rng = np.random.default_rng(min_words)
+    pool = [rng.choice(list("abcdefgh"), 30).tolist() for _ in range(6)]
+    rows = []
+    for i in range(40):
+        parts = []
+        for _ in range(4):
+            a, n = int(rng.integers(0, 20)), int(rng.integers(2, 25))
+            parts += pool[int(rng.integers(6))][a : a + n] + [f"w{i}{len(parts)}"]
+        rows.append((i, "".join(w + str(rng.choice([" ", " ", "  ", "\n"])) for w in parts)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    covered = defaultdict(set)
+    for r in substring_dedup.repeats(d, min_words=min_words).collect():
+        assert r.origin_id < r.doc_id and r.n_words >= min_words
+        covered[r.doc_id] |= set(range(r.begin, r.end))
+    seen = set()
+    for i, text in rows:
+        ends = [m for m in range(len(text)) if text[m] not in " \n" and (m + 1 == len(text) or text[m + 1] in " \n")]
+        starts = [m for m in range(len(text)) if text[m] not in " \n" and (m == 0 or text[m - 1] in " \n")]
+        windows = [(a, b + 1) for a, b in zip(starts, ends[min_words - 1 :], strict=False)]
+        for a, b in windows:
+            assert text[a:b] not in seen or set(range(a, b)) <= covered[i]
+        seen |= {text[a:b] for a, b in windows}
+
+
 def test_repeats_of_edge_rows(edge, empty):
     assert substring_dedup.repeats(empty).count() == 0
     assert {(r.doc_id, r.origin_id) for r in substring_dedup.repeats(edge, min_words=5).collect()} <= {(5, 4)}

@@ -1,17 +1,23 @@
-"""Substring de-duplication by content-defined chunks.
+"""Substring de-duplication by winnowed word windows.
 
-A gear hash rolls over the bytes of a text; where its masked bits are zero a chunk
-ends. Whether a place is a boundary depends on the few bytes before it only, so an
-insertion moves boundaries near itself and nowhere else. From every boundary a unit
-runs to the first boundary at least ``least`` bytes on; equal passages therefore hold
-equal units, whatever stands around them. Units are compared by digest; the first
-place of a digest (smallest document, then offset) is its origin.
+A gram is some 25 words with the space between them, byte for byte. Of every stretch
+of ``min_words`` - 2 words the gram with the smallest hash is kept, so that equal
+passages of that length always keep an equal gram, whatever stands around them (two
+words less than ``min_words``, as the outer words may be part of longer ones in the
+other text). Grams are compared by digest; the first place of a digest (smallest
+document, then offset) is its origin.
 
-Units of one document that repeat the same origin document at the same distance are
+Grams of one document that repeat the same origin document at the same distance are
 joined to runs; a run is compared byte by byte with the origin's text and grown to
 both sides as far as the texts agree. Runs of ``min_words`` whole words or more are
 returned. Repeats within one document are not counted.
 
+The origin of a gram need not hold the whole passage. Windows of ``min_words`` words
+that no returned range covers, though all their kept grams stand in earlier documents,
+are therefore looked up as wholes among all documents that hold such a gram, and linked
+to the first one that holds the window. So every word of a window of ``min_words`` whole
+words that an earlier document holds as whole words lies in a returned range.
+
 Digests are added up before they are shuffled, and joined back as (digest, place)
 rows, so that a passage found everywhere is no group in one task. Only documents with
 repeats move their texts.
@@ -29,50 +35,84 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import map_batches, materialise
-
-LEVELS = 5  # the rolling window has 2 ** LEVELS bytes
-GEAR = np.random.default_rng(97).integers(0, 2**32, 256, dtype=np.uint64).astype(np.uint32)
-
-
-def boundaries(data: np.ndarray, bits: int) -> np.ndarray:
-    """Offsets after which a chunk ends: the gear hash of the last 32 bytes has ``bits`` zero bits on top."""
-    h = GEAR[data]
-    for level in range(LEVELS):  # doubling: the window of 2n bytes from two windows of n bytes
-        w = 1 << level
-        if len(h) > w:
-            longer = h.copy()
-            longer[w:] += h[:-w] << np.uint32(w)
-            h = longer
-    return np.flatnonzero((h >> np.uint32(32 - bits)) == 0) + 1
-
-
-def units(raw: bytes, bits: int, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, ends) of the units of a text."""
-    cut = boundaries(np.frombuffer(raw, np.uint8), bits)
-    cut = np.unique(np.concatenate([[0], cut, [len(raw)]]))
-    end = np.searchsorted(cut, cut + least, "left")
-    ok = end < len(cut)
-    starts, ends = cut[ok], cut[end[ok]]
-    # without boundaries for long (one letter repeated) a unit stops at ``most``
-    return starts, np.minimum(ends, starts + most)
-
-
-def unit_rows(docs: DataFrame, bits: int, least: int, most: int) -> DataFrame:
-    """(digest, doc_id, begin, end) of all units."""
+from tidemark.llm._common import WordIds, map_batches, materialise, mix64
+
+SPACES = b" \t\n\r\x0b\x0c"
+IS_SPACE = np.isin(np.arange(256), np.frombuffer(SPACES, np.uint8))
+ONE_BYTE = np.array([xxhash.xxh3_64_intdigest(bytes([b])) for b in range(256)], np.uint64)
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+
+
+class Words:
+    """Places of a text's words, and digests of all windows of so many words."""
+
+    def __init__(self, raw: bytes, ids: WordIds) -> None:
+        data = np.frombuffer(raw, np.uint8)
+        inside = np.concatenate([[False], ~IS_SPACE[data], [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        self.starts, self.ends = edges[::2], edges[1::2]
+        symbols = np.zeros(2 * len(self.starts), np.uint64)  # word, space, word, ...
+        symbols[::2] = ids.of(raw.split())
+        left, right = self.ends[:-1], self.starts[1:]
+        symbols[1:-1:2] = ONE_BYTE[data[left]]
+        for i in np.flatnonzero(right - left > 1).tolist():
+            symbols[2 * i + 1] = ids[raw[left[i] : right[i]]]
+        powers = np.cumprod(np.full(len(symbols), BASE, np.uint64))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(symbols * powers)])
+
+    def digests(self, n: int) -> np.ndarray:
+        """Digest of the ``n`` words from every word on."""
+        count = max(0, len(self.starts) - n + 1)
+        first = 2 * np.arange(count)
+        shift = np.cumprod(np.full(count, pow(INVERSE, 2, 1 << 64), np.uint64))
+        return mix64((self.sums[first + 2 * n - 1] - self.sums[first]) * shift)
+
+
+def sliding(x: np.ndarray, width: int, op) -> np.ndarray:
+    """``op`` over every ``width`` values in a row, by doubling."""
+    have = 1
+    while 2 * have <= width:
+        x, have = op(x[:-have], x[have:]), 2 * have
+    rest = width - have
+    return op(x[: len(x) - rest], x[rest:]) if rest else x
+
+
+def sizes(min_words: int) -> tuple[int, int]:
+    """(words of a gram, grams of which the smallest is kept): together ``min_words`` - 2 words."""
+    inner = max(1, min_words - 2)
+    keep_of = max(1, inner // 2)
+    return inner - keep_of + 1, keep_of
+
+
+def winnow(grams: np.ndarray, keep_of: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the smallest of every ``keep_of`` grams in a row, places of all grams that are one)."""
+    if len(grams) < keep_of:
+        return grams[:0], np.zeros(0, np.int64)
+    lowest = sliding(grams, keep_of, np.minimum)
+    edge = np.zeros(keep_of - 1, np.uint64)
+    return lowest, np.flatnonzero(sliding(np.concatenate([edge, lowest, edge]), keep_of, np.maximum) == grams)
+
+
+def gram_rows(docs: DataFrame, min_words: int) -> DataFrame:
+    """(digest, doc_id, begin, end) of all kept grams."""
+    size, keep_of = sizes(min_words)
 
     def make():
+        known = WordIds()
+
         def work(batch: pa.RecordBatch) -> dict[str, object]:
             ids, digest, begin, end, n = batch.column(0), [], [], [], []
             for text in batch.column(1).to_pylist():
-                raw = text.encode("utf-8", "surrogatepass") if text else b""
-                a, b = units(raw, bits, least, most) if len(raw) >= least else (np.zeros(0, np.int64),) * 2
-                digest += [xxhash.xxh3_64_intdigest(raw[x:y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-                begin.append(a)
-                end.append(b)
-                n.append(len(a))
+                words = Words(text.encode("utf-8", "surrogatepass") if text else b"", known)
+                grams = words.digests(size)
+                _, at = winnow(grams, keep_of)
+                digest.append(grams[at])
+                begin.append(words.starts[at])
+                end.append(words.ends[at + size - 1])
+                n.append(len(at))
             return {
-                "digest": pa.array(np.array(digest, np.uint64).view(np.int64)),
+                "digest": pa.array(np.concatenate(digest).view(np.int64)),
                 "doc_id": ids.take(pa.array(np.repeat(np.arange(len(n)), n))),
                 "begin": pa.array(np.concatenate(begin).astype(np.int32)),
                 "end": pa.array(np.concatenate(end).astype(np.int32)),
@@ -83,6 +123,42 @@ def unit_rows(docs: DataFrame, bits: int, least: int, most: int) -> DataFrame:
     return map_batches(docs, make, "digest long, doc_id long, begin int, end int")
 
 
+def window_rows(texts: DataFrame, min_words: int) -> DataFrame:
+    """(gram, digest, doc_id, begin, end) of the windows of (doc_id, text, grams, ranges) whose kept grams
+    are all among ``grams`` and that no range covers; without ranges (null), of all whose first one is."""
+    size, keep_of = sizes(min_words)
+    inner = max(1, min_words - (size + keep_of - 1) + 1)
+
+    def make():
+        known = WordIds()
+
+        def work(batch: pa.RecordBatch) -> dict[str, object]:
+            out = {"gram": [], "digest": [], "doc_id": [], "begin": [], "end": []}
+            for doc, text, grams, ranges in zip(*(batch.column(i) for i in range(4)), strict=True):
+                words = Words(text.as_py().encode("utf-8", "surrogatepass"), known)
+                digests = words.digests(min_words)
+                if not len(digests):
+                    continue
+                lowest, _ = winnow(words.digests(size), keep_of)
+                wanted = np.isin(lowest, np.array(grams.as_py(), np.int64).view(np.uint64))
+                ranges = ranges.as_py()
+                ok = wanted[: len(digests)] if ranges is None else sliding(wanted, inner, np.logical_and)[: len(digests)].copy()
+                for r in ranges or []:
+                    low = np.searchsorted(words.starts, r["begin"], "left")
+                    ok[low : max(low, np.searchsorted(words.ends, r["end"], "right") - min_words + 1)] = False
+                at = np.flatnonzero(ok)
+                out["gram"].append(lowest[at].view(np.int64))
+                out["digest"].append(digests[at].view(np.int64))
+                out["doc_id"].append(np.full(len(at), doc.as_py(), np.int64))
+                out["begin"].append(words.starts[at])
+                out["end"].append(words.ends[at + min_words - 1])
+            return {n: pa.array(np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int32 if n in ("begin", "end") else np.int64)) for n, x in out.items()}
+
+        return work
+
+    return map_batches(texts, make, "gram long, digest long, doc_id long, begin int, end int")
+
+
 def grow(text: bytes, origin: bytes, begin: int, end: int, at: int) -> tuple[int, int] | None:
     """The longest equal stretch around text[begin:end] == origin[at:...]; None if that is not equal."""
     if text[begin:end] != origin[at : at + end - begin]:
@@ -101,7 +177,7 @@ def common(a: bytes, b: bytes) -> int:
 
 def whole_words(text: bytes, begin: int, end: int) -> tuple[int, int, int]:
     """The stretch cut to whole words, and their number."""
-    space = b" \t\n\r\x0b\x0c"
+    space = SPACES
     while begin < end and begin > 0 and text[begin - 1 : begin] not in space and text[begin : begin + 1] not in space or begin < end and text[begin : begin + 1] in space:
         begin += 1
     if end < len(text) and text[end : end + 1] not in space:
@@ -112,16 +188,9 @@ def whole_words(text: bytes, begin: int, end: int) -> tuple[int, int, int]:
     return begin, end, len(text[begin:end].split())
 
 
-def repeats(docs: DataFrame, min_words: int = 50, bits: int = 5, least: int = 48, most: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, origin_id, begin, end, origin_begin, n_words): byte ranges that an earlier document holds too."""
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null and doc_id is not null")
-    all_units = unit_rows(d, bits, least, most)
-    # The origin of every digest that at least two documents have.
-    first = all_units.groupBy("digest").agg(F.min(F.struct("doc_id", "begin")).alias("o"), F.max("doc_id").alias("last"))
-    first = first.where("last > o.doc_id").select("digest", F.col("o.doc_id").alias("origin_id"), F.col("o.begin").alias("origin_begin"))
-    hits = all_units.join(first, "digest").where("doc_id > origin_id")
-    hits = hits.select("doc_id", "origin_id", "begin", "end", (F.col("begin") - F.col("origin_begin")).alias("shift")).distinct()
-    # Runs: units of one pair at one distance that overlap or touch.
+def grown_runs(d: DataFrame, hits: DataFrame, min_words: int) -> DataFrame:
+    """What the hits (doc_id, origin_id, begin, end, shift) grow to, compared byte by byte."""
+    # Runs: hits of one pair at one distance that overlap or touch.
     line = W.partitionBy("doc_id", "origin_id", "shift").orderBy("begin", "end")
     upto = F.max("end").over(line.rowsBetween(W.unboundedPreceding, -1))
     runs = hits.withColumn("new", (upto.isNull() | (F.col("begin") > upto)).cast("int"))
@@ -155,6 +224,34 @@ def repeats(docs: DataFrame, min_words: int = 50, bits: int = 5, least: int = 48
     return map_batches(both, make, "doc_id long, origin_id long, begin long, end long, origin_begin long, n_words long").distinct()
 
 
+def with_origins(rows: DataFrame, holders: DataFrame) -> DataFrame:
+    """``rows`` with the first place of their digest in ``holders``, where that is in an earlier document."""
+    first = holders.groupBy("digest").agg(F.min(F.struct("doc_id", "begin")).alias("o"), F.max("doc_id").alias("last"))
+    first = first.where("last > o.doc_id").select("digest", F.col("o.doc_id").alias("origin_id"), F.col("o.begin").alias("origin_begin"))
+    hits = rows.join(first, "digest").where("doc_id > origin_id")
+    return hits.select("digest", "doc_id", "origin_id", "begin", "end", (F.col("begin") - F.col("origin_begin")).alias("shift")).distinct()
+
+
+def repeats(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, origin_id, begin, end, origin_begin, n_words): byte ranges that an earlier document holds too."""
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null and doc_id is not null")
+    grams = gram_rows(d, min_words)
+    hits = materialise(with_origins(grams, grams))
+    found = materialise(grown_runs(d, hits.drop("digest"), min_words))
+    # Windows that the origins of their grams do not hold as a whole, though each gram has one.
+    ranges = found.groupBy("doc_id").agg(F.collect_set(F.struct("begin", "end")).alias("ranges"))
+    later = hits.groupBy("doc_id").agg(F.collect_set("digest").alias("grams")).join(ranges, "doc_id", "left")
+    asked = d.join(later, "doc_id").select("doc_id", "text", "grams", F.coalesce("ranges", F.array().cast("array<struct<begin:bigint,end:bigint>>")).alias("ranges"))
+    asked = materialise(window_rows(asked, min_words))
+    # Everyone with such a gram, the gram's origin included, is asked for the windows.
+    held = hits.join(asked.select(F.col("gram").alias("digest")).distinct(), "digest")
+    held = held.select("doc_id", "digest").union(held.select("origin_id", "digest")).groupBy("doc_id").agg(F.collect_set("digest").alias("grams"))
+    held = d.join(held, "doc_id").select("doc_id", "text", "grams", F.lit(None).cast("array<struct<begin:bigint,end:bigint>>").alias("ranges"))
+    held = window_rows(held, min_words).join(asked.select("digest").distinct(), "digest", "left_semi")
+    more = with_origins(asked.drop("gram"), held)
+    return found.union(grown_runs(d, more.drop("digest"), min_words)).distinct()
+
+
 def remove_repeats(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without the byte ranges of ``found`` (from :func:`repeats`); all columns stay."""
     ranges = found.groupBy("doc_id").agg(F.collect_set(F.struct("begin", "end")).alias("__ranges")).withColumnRenamed("doc_id", "__id")
