@@ -417,6 +417,23 @@ def test_leaks_at_the_edges_of_texts():
             assert found[text, item] <= sum(len(w) + 1 for w in lost)
 
 
+@pytest.mark.parametrize(("size", "every"), [(16, 9), (18, 9), (20, 5), (40, 6), (40, 5)])
+def test_leaks_with_every_few_words_replaced(size, every):
+    rng = np.random.default_rng(size + every)
+    words = lambda n: ["".join(rng.choice(list("abcdefghijklmnop"), int(rng.integers(2, 8)))) for _ in range(n)]
+    items, texts, near = [], [], set()
+    for i in range(60):
+        piece = words(size)
+        items.append((i, " ".join(piece)))
+        piece[every // 2 :: every] = words(len(piece[every // 2 :: every]))
+        texts.append(" ".join(words(20) + piece + words(20)))
+        letters = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in (items[i][1], texts[i])]
+        if decontaminate.edit_distance(*letters)[0] <= 0.2 * len(letters[0]):
+            near.add((i, i))
+    found = {(r[0], r[1]) for r in decontaminate.Finder(decontaminate.Index(items, 3, 11, 2), 0.2).find(texts)}
+    assert len(near) > 10 and len(near - found) <= 0.01 * len(near)
+
+
 def test_leaks_of_edge_tables(spark, edge, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.leaks(edge, none).count() == 0

@@ -10,8 +10,8 @@ Items are walked from several of their words; equal samples line an item up with
 window of its own size, and a semi-global edit distance over characters (white space
 and case normalised) decides exactly: at most ``max_edit`` of the item's length.
 
-``repeats`` independent walks raise recall. Items too short for a sample of the long
-walk have shorter ones, down to a single word.
+``repeats`` independent walks raise recall. Every item has walks of the two longest
+tiers; items too short for a sample of those have shorter ones, down to a single word.
 
 Documents never move: the walk, the look-up and the check happen where the document
 is read. The index goes out in blocks of at most ``block_items`` items (a few MB
@@ -103,7 +103,8 @@ class Index:
                     item[plan] += [number] * int(fits.sum())
                     offset[plan] += starts[fits].tolist()
                     found += int(fits.sum())
-                if found >= 2 * repeats or tier == len(TIERS) - 1 and found:
+                # Every item has the second tier too: its walks fit between edits that the long ones do not get past.
+                if tier > 0 and (found >= 2 * repeats or tier == len(TIERS) - 1 and found):
                     break
         self.tables = []
         for k, i, o in zip(key, item, offset, strict=True):
