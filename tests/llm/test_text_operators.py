@@ -111,7 +111,8 @@ def test_near_duplicates_equal_brute_force(spark, size, percent):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
-def test_families_with_links_that_pass_the_centre_by(spark):
+@pytest.mark.parametrize("pairs_up_to", [2, 100])
+def test_families_with_links_that_pass_the_centre_by(spark, pairs_up_to):
     """Copies of one text edited lightly and heavily; some heavy ones share edits, so that they link with each other only."""
     rng = np.random.default_rng(11)
     base = [f"w{i}" for i in range(150)]
@@ -129,7 +130,7 @@ def test_families_with_links_that_pass_the_centre_by(spark):
             v = list(w)
             v[int(rng.integers(150))] = f"own{g}y{k}"
             rows.append((len(rows), " ".join(v)))
-    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=3, percent=85).collect()
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=3, percent=85, pairs_up_to=pairs_up_to).collect()
     assert {r.doc_id: r.component_id for r in got} == {i: c for i, (_, c) in brute_components(rows, 3, 85).items()}
 
 
@@ -140,6 +141,14 @@ def test_near_duplicates_of_edge_rows(edge, empty):
     assert sorted(r.doc_id for r in near_dedup.keep_one(edge).collect()) == [1, 2, 3, 4, 6, 7, 8, 9]
 
 
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    a, b, c = "one two three four", "five six seven eight", "nine ten eleven"
+    rows = spark.createDataFrame([(1, a), (1, b), (2, b), (7, c), (7, c), (None, a), (None, "x y z"), (3, "x y z q")], "doc_id long, text string")
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(rows).collect())
+    assert got == Counter({(1, 1, True): 2, (2, 1, False): 1, (7, 7, True): 2, (None, 1, False): 1, (None, None, True): 1, (3, 3, True): 1})
+    assert Counter((r.doc_id, r.text) for r in near_dedup.keep_one(rows).collect()) == Counter({(1, a): 1, (1, b): 1, (7, c): 2, (None, "x y z"): 1, (3, "x y z q"): 1})
+
+
 def test_masked_keys_find_all_pairs_within_the_radius():
     rng = np.random.default_rng(1)
     radius = near_dedup.radius_for(0.85, 48, 5e-4)

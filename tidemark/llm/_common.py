@@ -20,13 +20,16 @@ SPACE = r"[\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one that ``spark.checkpoint.dir`` names.
 
-    Only where that setting is missing (local tests) a temporary folder of this
-    machine is taken, once per session.
+    Where that is unset, a session within this process (tests, a notebook) gets a
+    temporary folder of its own; on a cluster that is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tidemark.local.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("tidemark.local.dir", base)
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 
@@ -35,9 +38,29 @@ def materialise(df: DataFrame) -> DataFrame:
 
     This cuts the lineage; the copy outlives any executor.
     """
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).write(df)
+
+
+class Scratch:
+    """Working tables of one job in the shared folder, dropped when they are no longer read."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame) -> DataFrame:
+        """The table written as Parquet and read again; see :func:`materialise`."""
+        path = shared_dir(self.spark)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete these tables; without any, all that are left."""
+        for table in tables or [t for _, t in self.paths.values()]:
+            path, _ = self.paths.pop(id(table))
+            target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
 def map_batches(

@@ -10,22 +10,28 @@
    within the radius has a chunk with one error at most. Enumerating that error,
    every chunk gives one key for each of its symbols, with that symbol masked: all
    pairs within the radius share a key.
-4. Keys are not expanded into pairs. Every key links its members to the member that
-   shares most keys with most others, and each class is compared on the full sets
-   with its best such centre: its family. Links merge components, and a second
-   comparison goes to the nearest centre of another component.
-5. Members of one family that are still apart can only link if they share shingles
-   that the centre lacks, or lie nearer to the centre than the threshold asks for (see
-   :func:`within_families`); an equi join on prefixes of those rare shingles finds such
-   pairs. Classes of different families that share a key are pairs to look at, too; both
-   joins keep the pairs whose signatures lie within the radius, and those are compared. So no link
-   within the radius is lost between components, and copies never meet in all their
-   pairs. Members of a key that lie in many components and families do have their
-   signatures compared in pairs inside the join.
+4. Keys are not expanded into pairs. Every key names its most popular member (the one
+   that shares most keys with most others) as its centre; a class is compared on the
+   full sets with the most popular of the centres with which it shares many keys: its
+   family. Links merge components; classes that did not link try a second centre.
+5. What is still apart may link past the centre. Relative to a centre c, a member a is
+   the difference set D_a of a and c, and |a xor b| = |D_a| + |D_b| - 2 |D_a and D_b|.
+   So members that can link must have a certain number of differences in common, and an
+   equi join on prefixes of the rarest differences (prefix filter with sizes and positions)
+   finds every such pair; see :func:`within_groups`. The many texts around one centre thus
+   never meet in pairs, at whatever similarity they lie.
+6. Classes that share a key but not a family: a key with at most ``pairs_up_to`` such
+   members is joined in pairs whose signatures lie within the radius; the members of a larger
+   one are all compared with that key's centre and go through step 5 as a group.
+
+All pairs found are decided on the full sets, so that no link within the radius is lost
+between components.
 
 Texts with fewer words than a shingle has are one shingle as a whole; texts without
-words, and nulls, have an empty set and link with nothing. Rows with equal ids count
-as one document. Empty tables give empty results. Only id and text are read.
+words, and nulls, have an empty set and link with nothing. Every row gives one row, rows
+with equal ids too, each for its own text; links join texts, never equal ids as such. A
+null id is no smallest id: a group of null ids only has component null. Empty tables give
+empty results. Only id and text are read, so that other columns can have any name.
 """
 
 from __future__ import annotations
@@ -38,11 +44,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import WordIds, ascii_words, map_batches, materialise, mix64
+from tidemark.llm._common import Scratch, WordIds, ascii_words, map_batches, mix64
 
 #: Signature symbols of 16 bits in one long (the fourth stays 0, so that sums do not overflow),
 #: the lower 15 bits of each, and the highest bit of each.
 PER_LONG, LOW_BITS, HIGH_BITS = 3, 0x7FFF7FFF7FFF, 0x800080008000
+#: Tells the shingles that a set lacks from those that it has more than its centre.
+LACKED = np.uint64(0x5851F42D4C957F2D)
 
 
 def radius_for(threshold: float, symbols: int, miss: float) -> int:
@@ -117,23 +125,28 @@ def hamming(x: Column, y: Column, symbols: int) -> Column:
 
 
 def sketch(docs: DataFrame, size: int, symbols: int, seed: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_shingles, digest, signature) of every document; an empty set has null digest."""
+    """(doc_id, text_hash, n_shingles, digest, signature) of every document; an empty set has null digest."""
 
     def make():
         signer = Signer(size, symbols, seed)
 
         def work(batch: pa.RecordBatch) -> dict[str, object]:
             count, digest, signature = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 s = signer.set_of(text)
                 count.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 signature.append(signer.signature(s) if len(s) else None)
-            return {"doc_id": batch.column(0), "n_shingles": pa.array(count, pa.int64()), "digest": pa.array(digest, pa.binary()), "signature": pa.array(signature, pa.list_(pa.int64()))}
+            return {"doc_id": batch.column(0), "text_hash": batch.column(1), "n_shingles": pa.array(count, pa.int64()), "digest": pa.array(digest, pa.binary()), "signature": pa.array(signature, pa.list_(pa.int64()))}
 
         return work
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)), make, "doc_id long, n_shingles long, digest binary, signature array<long>")
+    return map_batches(keyed(docs, id_col, text_col), make, "doc_id long, text_hash long, n_shingles long, digest binary, signature array<long>")
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_hash, text): what tells rows with equal ids apart."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
 
 
 def masked_keys(classes: DataFrame, symbols: int, radius: int) -> DataFrame:
@@ -167,11 +180,11 @@ def may_link(n_a: Column, n_b: Column, sig_a: Column, sig_b: Column, symbols: in
     return (n_a * 100 >= n_b * percent) & (n_b * 100 >= n_a * percent) & (hamming(sig_a, sig_b, symbols) <= radius)
 
 
-def compared(edges: DataFrame, texts: DataFrame, size: int, percent: int, rest: bool = False) -> DataFrame:
-    """(a, b, inner, n_a, n_b, same) of the pairs (a, b), from their full sets.
+def compared(edges: DataFrame, texts: DataFrame, size: int, percent: int, differences: bool = False) -> DataFrame:
+    """(a, b, n_a, n_b, same) of the pairs (a, b), from their full sets.
 
-    ``same``: 100 * |intersection| >= percent * |union|. With ``rest`` also the
-    shingles of a that b does not have.
+    ``same``: 100 * |intersection| >= percent * |union|. With ``differences`` also the
+    hashes of what one of the sets has and the other one has not.
     """
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
@@ -189,74 +202,65 @@ def compared(edges: DataFrame, texts: DataFrame, size: int, percent: int, rest:
 
         def work(batch: pa.RecordBatch) -> dict[str, object]:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            inner, n_a, n_b, same, others = [], [], [], [], []
+            n_a, n_b, same, differ = [], [], [], []
             for x, y, tx, ty in zip(a, b, batch.column(2), batch.column(3), strict=True):
                 p, q = set_of(x, tx), set_of(y, ty)
                 k = len(np.intersect1d(p, q, assume_unique=True))
-                inner.append(k)
                 n_a.append(len(p))
                 n_b.append(len(q))
                 same.append(100 * k >= percent * (len(p) + len(q) - k))
-                if rest:
-                    others.append(np.setdiff1d(p, q, assume_unique=True).view(np.int64))
-            out = {"a": batch.column(0), "b": batch.column(1), "inner": pa.array(inner, pa.int64()), "n_a": pa.array(n_a, pa.int64()), "n_b": pa.array(n_b, pa.int64()), "same": pa.array(same, pa.bool_())}
-            return out | ({"others": pa.array(others, pa.list_(pa.int64()))} if rest else {})
+                if differences:
+                    own, lacked = np.setdiff1d(p, q, assume_unique=True), np.setdiff1d(q, p, assume_unique=True)
+                    differ.append(np.concatenate([own, mix64(lacked ^ LACKED)]).view(np.int64))
+            out = {"a": batch.column(0), "b": batch.column(1), "n_a": pa.array(n_a, pa.int64()), "n_b": pa.array(n_b, pa.int64()), "same": pa.array(same, pa.bool_())}
+            return out | ({"differ": pa.array(differ, pa.list_(pa.int64()))} if differences else {})
 
         return work
 
-    return map_batches(both, make, "a long, b long, inner long, n_a long, n_b long, same boolean" + (", others array<long>" if rest else ""))
+    return map_batches(both, make, "a long, b long, n_a long, n_b long, same boolean" + (", differ array<long>" if differences else ""))
 
 
-def within_families(compared_to: DataFrame, label: DataFrame, node: DataFrame, percent: int, symbols: int, radius: int) -> DataFrame:
-    """Pairs (a, b) of members of one family that can link although the centre c does not join them.
+def within_groups(compared_to: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that can link, of members of one group (rows with equal ``b``, the centre).
 
-    With i = |a and c|, every b has |a and b| <= min(i_a, i_b) + o, where o counts the
-    shingles that a and b share outside c. A link asks for an intersection that grows
-    with n_b, and n_b is at least that of the family's smallest member and percent of
-    n_a: so a must share at least ``short`` such shingles with any partner. Where
-    ``short`` is 0 for both, signatures are compared (``direct``). Else one has a rare
-    shingle among its rarest |others| - short + 1 that is in the prefix of the other one too,
-    as in prefix filtering, and an equi join on these finds the pair (``shared``).
+    With d = |D|, n = |set| and p = ``percent``, a and b link only if they have ``need`` =
+    ((100 + p)(d_a + d_b) - (100 - p)(n_a + n_b)) / (2 (100 + p)) differences in common,
+    which is above 0 for every pair that its centre does not join. Differences of one
+    component only are of no use; the others are ordered by how many members have them,
+    rarest first. Of two sets with ``need`` elements in common, the first common one has
+    at least need - 1 more behind it in either: so a set is entered with a prefix only,
+    a shorter one where its partner has as many differences or more.
     """
-    part = percent / (100 + percent)
-    m = compared_to.join(label, compared_to["a"] == label["node"]).drop("node")
-    m = m.select(F.col("b").alias("centre"), F.col("a").alias("node"), "component", "inner", "n_a", "others")
-    small = m.groupBy("centre").agg(F.min("n_a").alias("least"))
-    least = F.greatest(F.col("least"), F.col("n_a") * (percent / 100))
-    m = m.join(small, "centre").withColumn("short", F.ceil((F.col("n_a") + least) * part - F.col("inner") - 1e-6))
-    signed = node.select("node", "signature")
-    bare = m.drop("others").join(signed, "node")
-    apart = (F.col("a.centre") == F.col("b.centre")) & (F.col("a.component") < F.col("b.component"))
-    near = may_link(F.col("a.n_a"), F.col("b.n_a"), F.col("a.signature"), F.col("b.signature"), symbols, radius, percent)
-    pair = (F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
-
-    # Only if neither asks for a shared shingle outside the centre.
-    border = bare.where("short <= 0")
-    split = border.groupBy("centre").agg((F.min("component") < F.max("component")).alias("split")).where("split").select("centre")
-    border = border.join(split, "centre")
-    direct = border.alias("a").join(border.alias("b"), apart & near).select(*pair)
-
-    x = m.select("centre", "node", "component", "n_a", "short", F.explode("others").alias("shingle"))
-    several = x.groupBy("centre", "shingle").agg((F.min("component") < F.max("component")).alias("split"), F.count(F.lit(1)).alias("often"))
-    x = x.join(several, ["centre", "shingle"])
-    # Shingles of one component come last in the order, as no pair to be found has them.
-    place = F.row_number().over(Window.partitionBy("centre", "node").orderBy(F.col("split").desc(), "often", "shingle"))
-    shareable = F.count(F.when(F.col("split"), 1)).over(Window.partitionBy("centre", "node"))
-    x = x.withColumn("place", place).withColumn("shareable", shareable)
-    x = x.where(F.col("split") & (F.col("place") <= F.col("shareable") - F.greatest("short", F.lit(1)) + 1))
-    x = x.select("centre", "node", "component", "n_a", "shingle").join(signed, "node")
-    shared = x.alias("a").join(x.alias("b"), apart & (F.col("a.shingle") == F.col("b.shingle")) & near).select(*pair)
-    return direct.union(shared).distinct()
-
-
-def components(edges: DataFrame) -> DataFrame:
+    m = compared_to.select(F.col("b").alias("centre"), F.col("a").alias("node"), F.col("n_a").alias("n"), "differ").join(label, "node")
+    several = m.groupBy("centre").agg((F.min("component") < F.max("component")).alias("split")).where("split").select("centre")
+    m = m.join(several, "centre").withColumn("d", F.size("differ").cast("long"))
+    x = m.select("centre", "node", "component", "n", "d", F.explode("differ").alias("difference"))
+    shared = x.groupBy("centre", "difference").agg((F.min("component") < F.max("component")).alias("split"), F.count(F.lit(1)).alias("often"))
+    x = x.join(shared.where("split").drop("split"), ["centre", "difference"])
+    mine = Window.partitionBy("centre", "node")
+    x = x.withColumn("place", F.row_number().over(mine.orderBy("often", "difference"))).withColumn("last", F.count(F.lit(1)).over(mine))
+    p = F.lit(percent)
+    as_larger = F.greatest(F.lit(1), F.ceil(F.col("d") - F.col("n") * (100 - p) / p))
+    as_smaller = F.greatest(F.lit(1), F.ceil(F.col("d") - F.col("n") * (100 - p) / (2 * p)))
+    x = x.where(F.col("place") <= F.col("last") - as_larger + 1).withColumn("probes", F.col("place") <= F.col("last") - as_smaller + 1)
+    a, b = x.where("probes").alias("x"), x.alias("y")
+    need = F.ceil(((100 + p) * (F.col("x.d") + F.col("y.d")) - (100 - p) * (F.col("x.n") + F.col("y.n"))) / (2 * (100 + p)))
+    in_order = (F.col("x.d") < F.col("y.d")) | ((F.col("x.d") == F.col("y.d")) & (F.col("x.node") < F.col("y.node")))
+    sizes = (F.col("x.n") * 100 >= F.col("y.n") * p) & (F.col("y.n") * 100 >= F.col("x.n") * p)
+    left = F.least(F.col("x.last") - F.col("x.place"), F.col("y.last") - F.col("y.place")) + 1
+    same = (F.col("x.centre") == F.col("y.centre")) & (F.col("x.difference") == F.col("y.difference"))
+    pairs = a.join(b, same & (F.col("x.component") != F.col("y.component")) & in_order & sizes & (left >= need))
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component): the smallest node reachable, for all nodes of the edges.
 
     Large-star and small-star steps alternate until nothing changes. Both work with
     one aggregate and one join on the node, so that a hub is no single group of rows
     in memory.
     """
-    pairs = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    pairs = scratch.write(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     mark = fingerprint(pairs)
     while mark[0]:
         both = pairs.union(pairs.select("v", "u")).toDF("u", "v")
@@ -264,23 +268,102 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m"))
-        pairs = materialise(small.where("u <> v").distinct())
+        old, pairs = pairs, scratch.write(small.where("u <> v").distinct())
+        scratch.drop(old)
         before, mark = mark, fingerprint(pairs)
         if mark == before:
             break
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def keys_of(members: DataFrame) -> DataFrame:
-    """(key, members): the number of classes with each key."""
-    return members.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
-
-
 def fingerprint(pairs: DataFrame) -> tuple:
     """Number of pairs and a sum over their hashes, to see whether a step changed them."""
     return tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+class Labels:
+    """Component of every class, merged as links are found."""
+
+    def __init__(self, node: DataFrame, scratch: Scratch) -> None:
+        self.scratch, self.table = scratch, scratch.write(node.select("node", F.col("node").alias("component")))
+
+    def merge(self, found: DataFrame) -> None:
+        """The new links (a, b) join components, which are again named after their smallest node."""
+        a, b = self.table.toDF("a", "ca"), self.table.toDF("b", "cb")
+        between = found.select("a", "b").join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        named = components(between, self.scratch).toDF("component", "root")
+        old = self.table
+        self.table = self.scratch.write(old.join(named, "component", "left").select("node", F.coalesce("root", "component").alias("component")))
+        self.scratch.drop(old)
+
+
+def classes_of(docs: DataFrame, size: int, percent: int, symbols: int, miss: float, seed: int, pairs_up_to: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component_id) of every row."""
+    scratch = Scratch(docs.sparkSession)
+    radius = radius_for(percent / 100, symbols, miss)
+    rows = scratch.write(sketch(docs, size, symbols, seed, id_col, text_col))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    classes = rows.where("digest is not null").groupBy("digest").agg(first, F.first("signature").alias("signature"), F.first("n_shingles").alias("n"))
+    classes = classes.select(F.monotonically_increasing_id().alias("node"), "digest", "first.doc_id", "first.text_hash", "signature", "n")
+    classes = scratch.write(classes)
+    node = classes.select("node", "signature", "n")
+    keys = masked_keys(classes, symbols, radius)
+    # Keys of one class only are of no use: the rest is small.
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    members = scratch.write(keys.join(shared, "key"))
+    wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+    texts = keyed(docs, id_col, text_col).join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
+    texts = scratch.write(texts.select("node", "text").dropDuplicates(["node"]))
+    labels = Labels(node, scratch)
+
+    # A member that shares many keys with many others lies in the middle of a family.
+    popular = scratch.write(members.groupBy("node").agg(F.sum("members").alias("popularity")))
+    draw = F.struct(F.col("popularity"), F.xxhash64("node").alias("draw"), F.col("node").alias("centre"))
+    centre = scratch.write(members.join(popular, "node").groupBy("key").agg(F.max(draw).alias("c")).select("key", "c.centre", F.col("c.popularity").alias("p")))
+    star = members.join(centre, "key").where("node <> centre").groupBy("node", "centre").agg(F.count(F.lit(1)).alias("keys"), F.first("p").alias("p"))
+    # At most as many centres as a class has keys.
+    star = star.groupBy("node").agg(F.collect_list(F.struct("p", "centre", "keys")).alias("centres"), F.max("keys").alias("most"))
+    many = F.filter("centres", lambda c: c["keys"] * 2 >= F.col("most"))
+    star = scratch.write(star.select(F.col("node").alias("a"), F.array_max(many)["centre"].alias("b"), "centres"))
+    to_centre = scratch.write(compared(star, texts, size, percent, differences=True))
+    labels.merge(to_centre.where("same"))
+    # Who did not link tries the centre of another component with which it shares most keys.
+    other = to_centre.where("not same").select("a").join(star, "a").select("a", F.col("b").alias("family"), F.explode("centres").alias("c")).where("c.centre <> family")
+    other = other.select("a", F.col("c.keys").alias("keys"), F.col("c.centre").alias("b")).join(labels.table.toDF("a", "ca"), "a").join(labels.table.toDF("b", "cb"), "b")
+    other = other.where("ca <> cb").groupBy("a").agg(F.max(F.struct("keys", "b")).alias("m")).select("a", "m.b")
+    labels.merge(scratch.write(compared(other, texts, size, percent)).where("same"))
+
+    # Keys whose members are neither all of one component nor all of one family.
+    family = star.select(F.col("a").alias("node"), F.col("b").alias("family"))
+    family = family.union(family.select("family", "family")).groupBy("node").agg(F.min("family").alias("family"))
+    tagged = members.join(labels.table, "node").join(family, "node", "left")
+    mixed = tagged.groupBy("key").agg((F.min("component") < F.max("component")).alias("split"), (F.min("family") < F.max("family")).alias("families"), (F.count("family") < F.count(F.lit(1))).alias("alone"))
+    mixed = mixed.where("split and (families or alone)").select("key")
+    rest = scratch.write(tagged.join(mixed, "key"))
+    large = rest.where(F.col("members") > pairs_up_to).select("key", F.col("node").alias("a")).join(centre, "key")
+    large = large.select("a", F.col("centre").alias("b")).where("a <> b").distinct().join(star, ["a", "b"], "left_anti")
+    to_key = scratch.write(compared(large, texts, size, percent, differences=True))
+    labels.merge(to_key.where("same"))
+
+    inside = within_groups(to_centre.union(to_key), labels.table, percent)
+    small = rest.where(F.col("members") <= pairs_up_to).drop("component").join(labels.table, "node").join(node, "node")
+    x, y = small.alias("x"), small.alias("y")
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & ~F.coalesce(F.col("x.family") == F.col("y.family"), F.lit(False))
+    close = may_link(F.col("x.n"), F.col("y.n"), F.col("x.signature"), F.col("y.signature"), symbols, radius, percent)
+    across = x.join(y, apart & close).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    pairs = inside.union(across).distinct()
+    labels.merge(scratch.write(compared(pairs, texts, size, percent)).where("same"))
+
+    named = classes.join(labels.table, "node")
+    smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = named.join(smallest, "component").select("digest", "component_id")
+    out = rows.drop("signature").join(named, "digest", "left").drop("digest")
+    own = F.col("n_shingles") == 0
+    out = Scratch(docs.sparkSession).write(out.withColumn("component_id", F.when(own, F.col("doc_id")).otherwise(F.col("component_id"))))
+    scratch.drop()
+    return out
+
+
 def near_duplicates(
     docs: DataFrame,
     size: int = 5,
@@ -288,6 +371,7 @@ def near_duplicates(
     symbols: int = 48,
     miss: float = 5e-4,
     seed: int = 5,
+    pairs_up_to: int = 100,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -295,76 +379,16 @@ def near_duplicates(
 
     Returns doc_id, n_shingles, component_id (smallest id reachable) and kept.
     """
-    threshold = percent / 100
-    radius = radius_for(threshold, symbols, miss)
-    rows = materialise(sketch(docs, size, symbols, seed, id_col, text_col))
-    classes = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n"))
-    classes = materialise(classes)
-    keys = masked_keys(classes, symbols, radius)
-    # Keys of one class only are of no use: the rest is small.
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
-    members = materialise(keys.join(shared, "key"))
-    node = classes.select("node", "signature", "n")
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    texts = texts.join(members.select("node").distinct(), "node", "left_semi")
-    texts = materialise(texts.dropDuplicates(["node"]))
-
-    label = node.select("node", F.col("node").alias("component"))
-
-    def signed(pairs: DataFrame) -> DataFrame:
-        left = node.select(F.col("node").alias("a"), F.col("signature").alias("sig_a"), F.col("n").alias("n_a"))
-        right = node.select(F.col("node").alias("b"), F.col("signature").alias("sig_b"), F.col("n").alias("n_b"))
-        both = pairs.join(left, "a").join(right, "b")
-        both = both.where(may_link(F.col("n_a"), F.col("n_b"), F.col("sig_a"), F.col("sig_b"), symbols, radius, percent))
-        return both.select("a", "b", hamming(F.col("sig_a"), F.col("sig_b"), symbols).alias("distance"))
-
-    def merge(label: DataFrame, found: DataFrame) -> DataFrame:
-        """The new links join components, which are again named after their smallest node."""
-        a = label.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-        b = label.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        between = found.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        named = components(between).toDF("component", "root")
-        return materialise(label.join(named, "component", "left").select("node", F.coalesce("root", "component").alias("component")))
+    rows = classes_of(docs, size, percent, symbols, miss, seed, pairs_up_to, id_col, text_col)
+    return rows.select("doc_id", "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
 
-    # A member that shares many keys with many others lies in the middle of a family.
-    popular = members.join(keys_of(members), "key").groupBy("node").agg(F.sum("members").alias("popularity"))
-    popular = materialise(popular)
-    tagged = members.join(popular, "node")
-    draw = F.struct(F.col("popularity"), F.xxhash64("node").alias("draw"), F.col("node").alias("centre"))
-    centre = tagged.groupBy("key").agg(F.max(draw).alias("c")).select("key", "c.centre", F.col("c.popularity").alias("p"))
-    star = members.join(centre, "key").where("node <> centre").groupBy(F.col("node").alias("a"), F.col("centre").alias("b")).agg(F.max("p").alias("p"))
-    near = signed(star.select("a", "b")).join(star, ["a", "b"])
-    # Each class is compared with the most popular centre within the radius: its family.
-    family = near.groupBy("a").agg(F.max(F.struct("p", "b")).alias("m")).select("a", "m.b")
-    to_centre = materialise(compared(family, texts, size, percent, rest=True))
-    label = merge(label, to_centre.where("same").select("a", "b"))
-    # and with the nearest centre of another component
-    closest = near.join(label.toDF("a", "ca"), "a").join(label.toDF("b", "cb"), "b").where("ca <> cb").groupBy("a").agg(F.min(F.struct("distance", "b")).alias("m")).select("a", "m.b")
-    closest = closest.join(family, ["a", "b"], "left_anti")
-    label = merge(label, materialise(compared(closest, texts, size, percent).where("same").select("a", "b")))
-
-    # Members of one family that are still apart: only what the centre's bound leaves.
-    inside = within_families(to_centre, label, node, percent, symbols, radius)
-    # Members of different families (or of none) that share a key are compared in full.
-    member_of = to_centre.select(F.col("a").alias("node"), F.col("b").alias("family")).unionByName(to_centre.select(F.col("b").alias("node"), F.col("b").alias("family")).distinct())
-    member_of = member_of.groupBy("node").agg(F.min("family").alias("family"))
-    tagged = members.join(label, "node").join(member_of, "node", "left").join(node, "node")
-    split = tagged.groupBy("key").agg((F.min("component") < F.max("component")).alias("split")).where("split").select("key")
-    rest = materialise(tagged.join(split, "key"))
-    x, y = rest.alias("x"), rest.alias("y")
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & ~F.coalesce(F.col("x.family") == F.col("y.family"), F.lit(False))
-    close = may_link(F.col("x.n"), F.col("y.n"), F.col("x.signature"), F.col("y.signature"), symbols, radius, percent)
-    across = x.join(y, apart & close).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    pairs = inside.union(across).distinct()
-    label = merge(label, materialise(compared(pairs, texts, size, percent).where("same").select("a", "b")))
-
-    named = classes.select("digest", "node").join(label, "node").select("digest", "component")
-    out = rows.join(named, "digest", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, symbols: int = 48, miss: float = 5e-4, seed: int = 5, pairs_up_to: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents whose id stands for their component, with all columns.
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that stand for their component, with all columns; rows with a null id stay."""
-    gone = near_duplicates(docs, id_col=id_col, **options).where("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    Rows that repeat this id with a text of the component all stay, as they are one document.
+    """
+    rows = classes_of(docs, size, percent, symbols, miss, seed, pairs_up_to, id_col, text_col)
+    gone = rows.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    here = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__hash"))
+    return docs.join(gone, here, "left_anti")
