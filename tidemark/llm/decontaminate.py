@@ -3,220 +3,412 @@
 The CGK embedding walks along a sequence: at step j it writes the current symbol and
 goes on to the next one, or stays, as a random function of (j, symbol) says. Sequences
 at a small edit distance get walks that meet again soon, so that their embeddings are
-at a small Hamming distance; sampling positions of the embedding is then an LSH. Here
-symbols are words. A walk depends only on where it starts, so that one walk from every
-word of a document stands for the item-sized windows of all benchmark items at once.
-Items are walked from several of their words; equal samples line an item up with a
-window of its own size, and a semi-global edit distance over characters (white space
-and case normalised) decides exactly: at most ``max_edit`` of the item's length.
-
-``repeats`` independent walks raise recall. Every item has walks of the two longest
-tiers; items too short for a sample of those have shorter ones, down to a single word.
-
-Documents never move: the walk, the look-up and the check happen where the document
-is read. The index goes out in blocks of at most ``block_items`` items (a few MB
-each), however large the benchmark is.
+at a small Hamming distance; sampling positions of the embedding is then an LSH.
+
+Symbols are pieces of about three letters, cut where a pair of letters says so (and at
+spaces and punctuation, which belong to none): an edit changes the pieces around it only,
+so that typos in most words leave pieces between them. A walk depends only on where it
+starts, so that one walk from every piece of a document stands for the item-sized windows
+of all benchmark items at once, and an item is walked from all of its pieces. Equal
+samples line a window of the document up with the item. Windows are compared in two steps,
+both by bit-parallel dynamic programming over characters: 64 characters of the item around
+the sample must lie within ``FIRST`` times ``max_edit`` of their length (all windows of a
+batch at once); then the whole item decides exactly, by its edit distance to the best part
+of the window: at most ``max_edit`` of its length. White space and case are normalised.
+
+``TIERS`` is set for a recall of at least 0.95 of what a full search finds at any edit
+rate up to ``max_edit`` = 0.2, whether letters or words are edited; the tests measure it
+by rate and kind of edit. Items too short for the first tier have walks of shorter ones.
+
+Documents never move: walk, look-up and check happen where the document is read. The
+benchmark goes out in blocks of at most ``block_items`` items and ``block_chars``
+characters; with more than one block, each is searched and written before the next is
+built, so that one at a time is in memory, however large the benchmark is.
 
 Null or empty texts match nothing; empty or null items are skipped; empty tables give
-empty results; each (document row, item) with a match gives one row, its best.
+empty results. Each (document row, item) with a match gives one row, its best (the first
+of equal ones); rows that repeat an id are rows of their own. Only id and text are read
+here, so that other columns can have any name. Texts of any length are read whole.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import WordIds, map_batches, mix64
-
-#: (steps of the walk, sampled positions) from long to short.
-TIERS = ((24, 8), (8, 4), (2, 2), (1, 1))
-PUNCTUATION = b".,;:!?\"'()[]"
-CHUNK = 1 << 16
-
-
-def words_of(text: str | None) -> list[bytes]:
-    return text.lower().encode("utf-8", "surrogatepass").split() if text else []
+from tidemark.llm._common import Scratch, map_batches, mix64
+
+#: ((steps, sampled steps) of each stretch of the walk, walks, items of fewer pieces have them).
+TIERS = ((((8, 6), (8, 4), (12, 6)), 3, 1 << 30), (((3, 2),), 2, 12), (((1, 1),), 1, 4))
+#: A sample that more places of the items share goes on to the next stretch of its walk.
+COMMON = 2
+#: Of all pairs of letters, this part starts a new piece.
+CUT = 0.35
+#: Characters of the first comparison, how far they can be shifted, and how much more than ``max_edit`` may differ there.
+FEW, SHIFT, FIRST = 64, 20, 1.5
+GRID = 32
+BATCH_CHARS = 1 << 20
+PAD = 1024
+SEPARATORS = np.zeros(256, bool)
+SEPARATORS[[*b" .,;:!?\"'()[]\0"]] = True
+#: What the first 0 to 8 bytes of a 64-bit word keep.
+BYTES = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+
+
+def normalised(text: str | None) -> str:
+    return " ".join(text.lower().split()) if text else ""
+
+
+def folded(text: str) -> np.ndarray:
+    """One byte for each character: ASCII as it is, others folded into the upper half."""
+    if text.isascii():
+        return np.frombuffer(text.encode(), np.uint8)
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(code < 128, code, 128 + (code & 127)).astype(np.uint8)
+
+
+class Pieces:
+    """Cuts texts into pieces."""
+
+    def __init__(self, seed: int) -> None:
+        begins = np.random.default_rng(seed).random((256, 256)) < CUT
+        before, here = SEPARATORS[:, None], SEPARATORS[None, :]
+        # boundaries: the first letter of a piece, and the first separator after one
+        bound = np.where(here, ~before, before | begins)
+        self.bound = bound.T.reshape(-1)  # the pair of bytes as a little-endian number: the later one is the higher byte
+
+    def of(self, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(symbol, place) of every piece."""
+        n = len(letters)
+        raw = np.zeros(n + 9, np.uint8)
+        raw[0], raw[1 : n + 1] = 32, letters
+        pairs = np.ndarray((n,), "<u2", raw.data, strides=(1,))
+        edge = np.flatnonzero(self.bound[pairs])
+        begins = ~SEPARATORS[letters[edge]]
+        size = np.diff(np.append(edge, n))[begins]
+        place = edge[begins]
+        words = np.ndarray((n + 1,), "<u8", raw.data, strides=(1,))
+        return mix64(words[place + 1] & BYTES[np.minimum(size, 8)]), place
 
 
 class Walks:
-    """The random walks: for each tier and repeat the sampled steps and a salt."""
+    """The random walks: for each a salt and the sampled steps of its stretches."""
 
-    def __init__(self, repeats: int, seed: int) -> None:
+    def __init__(self, seed: int) -> None:
         rng = np.random.default_rng(seed)
         self.plans = []
-        for tier, (steps, samples) in enumerate(TIERS):
-            for _ in range(repeats if steps > 2 else 1):
-                at = sorted(rng.choice(steps, samples, replace=False).tolist())
-                self.plans.append((tier, steps, set(at), np.uint64(rng.integers(1, 2**63))))
-
-    def keys(self, plan: int, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(key, last position read) of the walks from ``starts``."""
-        tier, steps, at, salt = self.plans[plan]
-        bits = mix64(ids ^ salt)
-        pos, last = starts.copy(), len(ids) - 1
-        key = np.full(len(starts), salt, np.uint64)
-        read = pos
-        for j in range(max(at) + 1):
-            here = np.minimum(pos, last)
-            if j in at:
-                key = (key ^ ids[here]) * np.uint64(0x9E3779B97F4A7C15)
-                key ^= key >> np.uint64(29)
-                read = pos
-            pos = pos + ((bits[here] >> np.uint64(j)) & np.uint64(1)).astype(np.int64)
-        return key, read
-
-
-def edit_distance(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
-    """Fewest edits between the item and any part of the window, and where that part ends."""
-    steps = np.arange(len(window) + 1)
-    row = np.zeros(len(window) + 1, np.int64)
-    for i, c in enumerate(item, 1):
-        new = np.empty_like(row)
-        new[0] = i
-        new[1:] = np.minimum(row[:-1] + (window != c), row[1:] + 1)
-        row = np.minimum.accumulate(new - steps) + steps
-    end = int(np.argmin(row))
-    return int(row[end]), end
+        for stretches, repeats, below in TIERS:
+            for _ in range(repeats):
+                at, begin = [], 0
+                for steps, samples in stretches:
+                    mine = np.sort(rng.choice(steps, samples, replace=False)) + begin
+                    at.append(mine.tolist())
+                    begin += steps
+                self.plans.append((np.uint64(rng.integers(1, 2**63)), at, below))
+
+    def go(self, plan: int, stretch: int, symbols: np.ndarray, pos: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(piece, key) after a stretch of the walks that are at ``pos`` with ``key``.
+
+        The step counts from the walk's first sample, so that every walk reads where it starts.
+        """
+        salt, at, _ = self.plans[plan]
+        first = at[0][0]
+        begin, samples = (at[stretch - 1][-1] - first if stretch else 0), {x - first for x in at[stretch]}
+        bits, n = (mix64(symbols ^ salt) & np.uint64(0xFFFFFFFF)).astype(np.uint32), len(symbols)
+        pos_out, key_out = np.empty(len(pos), np.int32), np.empty(len(pos), np.uint64)
+        for i in range(0, len(pos), 1 << 15):  # a part that stays in the cache
+            p, k = pos[i : i + (1 << 15)].astype(np.int32), key[i : i + (1 << 15)].copy()
+            for j in range(begin, at[stretch][-1] - first + 1):
+                if j > begin:
+                    p += ((bits[p] >> np.uint32(j % 32)) & np.uint32(1)).astype(np.int32)
+                    np.minimum(p, n - 1, out=p)
+                if j in samples:
+                    k ^= symbols[p]
+                    k *= np.uint64(0x9E3779B97F4A7C15)
+                    k ^= k >> np.uint64(29)
+            pos_out[i : i + len(p)], key_out[i : i + len(p)] = p, k
+        return pos_out, key_out
+
+    def start(self, plan: int, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pieces, with the keys of walks that have not begun."""
+        return np.arange(len(symbols), dtype=np.int32), np.full(len(symbols), self.plans[plan][0])
+
+
+def scan(pattern: np.ndarray | str, text, anchored: bool = False, stop: int | None = None) -> tuple[int, int]:
+    """Fewest edits between the pattern and any part of the text, and where that part ends.
+
+    Bit-parallel over the pattern, with one integer for its column. ``anchored``: the part begins
+    where the text does. ``stop``: end at the first place with so few edits.
+    """
+    m, places = len(pattern), {}
+    for i, c in enumerate(pattern):
+        places[c] = places.get(c, 0) | 1 << i
+    mask, top = (1 << m) - 1, 1 << (m - 1)
+    plus, minus, edits = mask, 0, m
+    best, end = m, 0
+    for j, c in enumerate(text, 1):
+        equal = places.get(c, 0)
+        across = equal | minus
+        down = (((equal & plus) + plus) ^ plus) | equal
+        rise, fall = minus | ~(down | plus) & mask, plus & down
+        if rise & top:
+            edits += 1
+        elif fall & top:
+            edits -= 1
+        rise, fall = rise << 1 | anchored, fall << 1
+        plus, minus = (fall | ~(across | rise)) & mask, rise & across & mask
+        if edits < best:
+            best, end = edits, j
+            if stop is not None and best <= stop:
+                break
+    return best, end
+
+
+def best_part(item: str, window: str, most: int) -> tuple[int, int, int] | None:
+    """(edits, begin, end) of the first of the best parts of the window; None with more than ``most`` edits."""
+    edits, end = scan(item, window)
+    if edits > most:
+        return None
+    if edits == len(item):
+        return edits, 0, 0
+    _, back = scan(item[::-1], window[:end][::-1], anchored=True, stop=edits)
+    return edits, end - back, end
 
 
 class Index:
     """Items of one block, with the keys of their walks in order."""
 
-    def __init__(self, items: list[tuple[int, str]], repeats: int, seed: int, step: int) -> None:
-        self.walks, ids = Walks(repeats, seed), WordIds(strip=PUNCTUATION)
-        self.items = [(i, words_of(t)) for i, t in items]
-        self.items = [(i, w) for i, w in self.items if w]
-        key, item, offset = [[] for _ in self.walks.plans], [[] for _ in self.walks.plans], [[] for _ in self.walks.plans]
-        for number, (_, words) in enumerate(self.items):
-            w = ids.of(words)
-            for tier in range(len(TIERS)):
-                found = 0
-                for plan, (t, steps, *_) in enumerate(self.walks.plans):
-                    if t != tier:
-                        continue
-                    starts = np.arange(0, len(w), step if tier == 0 else 1)
-                    k, read = self.walks.keys(plan, w, starts)
-                    fits = read < len(w)
-                    key[plan] += k[fits].tolist()
-                    item[plan] += [number] * int(fits.sum())
-                    offset[plan] += starts[fits].tolist()
-                    found += int(fits.sum())
-                # Every item has the second tier too: its walks fit between edits that the long ones do not get past.
-                if tier > 0 and (found >= 2 * repeats or tier == len(TIERS) - 1 and found):
-                    break
+    def __init__(self, items: list[tuple[int, str]], max_edit: float = 0.2, seed: int = 11) -> None:
+        self.max_edit, self.pieces, self.walks = max_edit, Pieces(seed), Walks(seed)
+        self.items = [(i, x) for i, x in ((i, normalised(t)) for i, t in items) if x]
+        symbols = [self.pieces.of(folded(x)) for _, x in self.items]
+        #: by plan and stretch: (key, item, offset) in order of the key, a bit map of the keys, the common keys
         self.tables = []
-        for k, i, o in zip(key, item, offset, strict=True):
-            k = np.array(k, np.uint64)
-            order = np.argsort(k, kind="stable")
-            k = k[order]
-            bitmap = np.zeros(1 << 20, bool)
-            bitmap[(k >> np.uint64(44)).astype(np.int64)] = True
-            self.tables.append((k, np.array(i, np.int64)[order], np.array(o, np.int64)[order], np.packbits(bitmap)))
+        for plan, (_, at, below) in enumerate(self.walks.plans):
+            walks = []
+            for number, (s, place) in enumerate(symbols):
+                if 0 < len(s) < below:
+                    pos, key = self.walks.start(plan, s)
+                    walks.append((number, s, place, np.arange(len(s)), pos, key))
+            levels = []
+            for stretch in range(len(at)):
+                moved = []
+                for number, s, place, begin, pos, key in walks:
+                    pos, key = self.walks.go(plan, stretch, s, pos, key)
+                    # A walk that reaches the end reads its last piece again, which a document does not.
+                    fits = (pos < len(s) - 1) | (len(at[0]) == 1)
+                    moved.append((number, s, place, begin[fits], pos[fits], key[fits]))
+                if not moved:
+                    break
+                keys = np.concatenate([m[5] for m in moved])
+                item = np.concatenate([np.full(len(m[5]), m[0], np.int32) for m in moved])
+                offset = np.concatenate([m[2][m[3]] for m in moved]).astype(np.int32)
+                value, times = np.unique(keys, return_counts=True)
+                common = value[times > COMMON] if stretch + 1 < len(at) else value[:0]
+                rare = ~np.isin(keys, common)
+                bitmap = np.zeros(1 << 20, bool)
+                bitmap[(value >> np.uint64(44)).astype(np.int64)] = True
+                keys, item, offset = keys[rare], item[rare], offset[rare]
+                order = np.argsort(keys, kind="stable")
+                levels.append((keys[order], item[order], offset[order], np.packbits(bitmap), common))
+                walks = [(number, s, place, begin[go], pos[go], key[go]) for number, s, place, begin, pos, key in moved for go in [np.isin(key, common)]]
+            self.tables.append(levels)
 
 
 class Finder:
     """Items in documents."""
 
-    def __init__(self, index: Index, max_edit: float) -> None:
-        self.index, self.max_edit, self.ids = index, max_edit, WordIds(strip=PUNCTUATION)
-        self.bitmaps = [np.unpackbits(t[3]).astype(bool) for t in index.tables]
-        self.letters = [np.frombuffer(b" ".join(w).decode("utf-8", "replace").encode("utf-32-le"), np.uint32) for _, w in index.items]
-
-    def candidates(self, ids: np.ndarray) -> set[tuple[int, int, int]]:
-        """(item, place of the equal sample, its offset in the item) for all equal samples."""
-        out: set[tuple[int, int, int]] = set()
-        for begin in range(0, len(ids), CHUNK):
-            part = ids[begin : begin + CHUNK + 64]
-            starts = np.arange(min(CHUNK, len(ids) - begin))
-            for plan, (keys, item, offset, _) in enumerate(self.index.tables):
-                if not len(keys):
-                    continue
-                k, _ = self.index.walks.keys(plan, part, starts)
-                hit = np.flatnonzero(self.bitmaps[plan][(k >> np.uint64(44)).astype(np.int64)])
-                low, high = np.searchsorted(keys, k[hit], "left"), np.searchsorted(keys, k[hit], "right")
-                for h, a, b in zip(hit[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
-                    out.update((int(item[x]), begin + h, int(offset[x])) for x in range(a, b))
-        return out
-
-    def find(self, texts: list[str | None]):
-        """(number of the text, item id, distance, similarity, first word, words of the window)."""
-        words = [words_of(t) for t in texts]
-        gap = [b""] * 64
-        flat, first = [], []
-        for w in words:
-            first.append(len(flat))
-            flat += w
-            flat += gap
-        if not flat:
+    def __init__(self, index: Index) -> None:
+        self.index = index
+        self.bitmaps = [[np.unpackbits(t[3]).astype(bool) for t in levels] for levels in index.tables]
+        texts = [x for _, x in index.items]
+        self.size = np.array([len(x) for x in texts], np.int64)
+        self.most = np.floor(index.max_edit * self.size + 1e-9).astype(np.int64)
+        # stretches of the items for the first comparison: bit masks of where each byte stands
+        count = np.maximum(0, -(-(self.size - FEW) // GRID)) + 1
+        self.first = np.cumsum(count) - count
+        self.few = np.repeat(np.minimum(self.size, FEW), count)
+        self.begin = np.concatenate([np.minimum(np.arange(c) * GRID, max(0, s - FEW)) for c, s in zip(count, self.size, strict=True)]) if texts else np.zeros(0, np.int64)
+        self.masks = np.zeros((int(count.sum()), 256), np.uint64)
+        for number, x in enumerate(texts):
+            letters = folded(x)
+            for p in range(self.first[number], self.first[number] + count[number]):
+                part = letters[self.begin[p] : self.begin[p] + FEW]
+                np.bitwise_or.at(self.masks[p], part, np.uint64(1) << np.arange(len(part), dtype=np.uint64))
+        self.masks = self.masks.reshape(-1)
+
+    def spots(self, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, place of the equal sample, its offset in the item), one for each alignment and stretch of the item."""
+        symbols, place = self.index.pieces.of(letters)
+        found = []
+        for plan, levels in enumerate(self.index.tables if len(symbols) else []):
+            pos, key = self.index.walks.start(plan, symbols)
+            begin = pos
+            for stretch, (keys, item, offset, _, common) in enumerate(levels):
+                pos, key = self.index.walks.go(plan, stretch, symbols, pos, key)
+                hit = np.flatnonzero(self.bitmaps[plan][stretch][(key >> np.uint64(44)).astype(np.int64)])
+                begin, pos, key = begin[hit], pos[hit], key[hit]
+                low = np.searchsorted(keys, key, "left")
+                n = np.searchsorted(keys, key, "right") - low
+                at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+                found.append((item[at].astype(np.int64), np.repeat(place[begin], n), offset[at].astype(np.int64)))
+                go = np.isin(key, common)
+                begin, pos, key = begin[go], pos[go], key[go]
+        if not found:
+            return (np.zeros(0, np.int64),) * 3
+        item, at, offset = (np.concatenate(x) for x in zip(*found, strict=True))
+        line = ((item << 34) + at - offset + PAD) * 4096 + np.minimum(offset // GRID, 4095)
+        _, once = np.unique(line, return_index=True)
+        return item[once], at[once], offset[once]
+
+    def near(self, letters: np.ndarray, item: np.ndarray, at: np.ndarray, offset: np.ndarray) -> np.ndarray:
+        """Whether the stretch of the item around each sample is near the text there: all at once, one column of bits each."""
+        stretch = self.first[item] + np.clip((offset - FEW // 4) // GRID, 0, np.maximum(0, -(-(self.size[item] - FEW) // GRID)))
+        m = self.few[stretch]
+        width = FEW + 2 * SHIFT
+        padded = np.zeros(len(letters) + 2 * PAD, np.uint8)
+        padded[PAD : PAD + len(letters)] = letters
+        start = np.clip(at - offset + self.begin[stretch] - SHIFT + PAD, 0, len(padded) - width)
+        text = np.lib.stride_tricks.sliding_window_view(padded, width)[start].T.astype(np.int64)
+        text += stretch * 256
+        top = np.uint64(1) << (m - 1).astype(np.uint64)
+        one = np.uint64(1)
+        plus, minus = np.full(len(item), ~np.uint64(0)), np.zeros(len(item), np.uint64)
+        edits = m.astype(np.int16)
+        best = edits.copy()
+        for j in range(width):
+            equal = self.masks[text[j]]
+            across = equal | minus
+            down = (((equal & plus) + plus) ^ plus) | equal
+            rise, fall = minus | ~(down | plus), plus & down
+            edits += ((rise & top) != 0).astype(np.int16)
+            edits -= (fall & top) != 0
+            rise <<= one
+            fall <<= one
+            plus, minus = fall | ~(across | rise), rise & across
+            np.minimum(best, edits, out=best)
+        return best <= np.ceil(FIRST * self.index.max_edit * m)
+
+    def find(self, texts: list[str | None]) -> list[tuple]:
+        """(number of the text, item id, edits, similarity, first word, words) of the best match of every item."""
+        out, group, chars = [], [], 0
+        for number, text in enumerate(texts):
+            if text:
+                group.append((number, normalised(text)))
+                chars += len(group[-1][1])
+            if chars >= BATCH_CHARS:
+                out += self.find_in(group)
+                group, chars = [], 0
+        return out + self.find_in(group)
+
+    def find_in(self, group: list[tuple[int, str]]) -> list[tuple]:
+        """As :meth:`find`, for numbered texts that fit into memory together."""
+        if not group or not self.index.items:
             return []
-        ids = self.ids.of(flat)
-        first_of = np.array(first)
+        letters = folded("\0".join(x for _, x in group))
+        first = np.cumsum([0, *(len(x) + 1 for _, x in group[:-1])])
+        item, at, offset = self.spots(letters)
+        keep = []
+        for i in range(0, len(item), 1 << 16):
+            part = slice(i, i + (1 << 16))
+            keep.append(self.near(letters, item[part], at[part], offset[part]))
+        keep = np.concatenate([np.zeros(0, bool), *keep])
+        item, at, offset = item[keep], at[keep], offset[keep]
+        doc = np.searchsorted(first, at, "right") - 1
+        start = at - offset - first[doc]
+        slack = np.maximum(8, self.most[item])
         best: dict[tuple[int, int], tuple] = {}
-        checked: set[tuple[int, int, int]] = set()
-        spots = set()
-        for number, place, offset in self.candidates(ids):
-            # The text is the one with the sample: an item cut off at the front starts before its text does.
-            doc = int(np.searchsorted(first_of, place, "right")) - 1
-            spots.add((number, doc, place - offset - first[doc]))
-        for number, doc, begin in sorted(spots):
-            size = len(self.index.items[number][1])
-            slack = max(2, int(np.ceil(self.max_edit * size)))
-            near = (doc, number, begin // slack)
-            if near in checked:
-                continue
-            checked.add(near)
-            low = max(0, begin - 2 * slack)
-            window = words[doc][low : max(0, begin) + size + 2 * slack]
-            letters = np.frombuffer(b" ".join(window).decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-            distance, _ = edit_distance(self.letters[number], letters)
-            length = len(self.letters[number])
-            if distance <= self.max_edit * length:
-                row = (distance, 1 - distance / length, low, len(window))
-                if (doc, number) not in best or row < best[doc, number]:
-                    best[doc, number] = row
-        return [(doc, self.index.items[n][0], *row) for (doc, n), row in sorted(best.items())]
-
-
-def item_blocks(benchmark: DataFrame, block_items: int, item_col: str, text_col: str):
+        for d, number, line in sorted(set(zip(doc.tolist(), item.tolist(), (start // slack).tolist(), strict=True))):
+            s, most = int(max(8, self.most[number])), int(self.most[number])
+            low = max(0, (line - 1) * s)
+            text, x = group[d][1], self.index.items[number][1]
+            got = best_part(x, text[low : max(0, (line + 2) * s + len(x))], most)
+            if got:
+                edits, a, b = got
+                row = (edits, low + a, low + b)
+                if (d, number) not in best or row < best[d, number]:
+                    best[d, number] = row
+        out = []
+        for (d, number), (edits, a, b) in sorted(best.items()):
+            text, (name, x) = group[d][1], self.index.items[number]
+            out.append((group[d][0], name, edits, 1 - edits / len(x), text.count(" ", 0, a), text.count(" ", a, b) + 1))
+        return out
+
+
+def item_blocks(benchmark: DataFrame, block_items: int, block_chars: int, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
     """Blocks of (item id, text), one after another, never all at once."""
-    block: list[tuple[int, str]] = []
-    for r in benchmark.select(F.col(item_col).cast("long"), text_col).where(F.col(text_col).isNotNull()).toLocalIterator():
+    block, chars = [], 0
+    for r in benchmark.select(F.col(item_col).cast("long"), text_col).where(F.length(F.trim(text_col)) > 0).toLocalIterator():
         block.append((r[0], r[1]))
-        if len(block) == block_items:
+        chars += len(r[1])
+        if len(block) >= block_items or chars >= block_chars:
             yield block
-            block = []
+            block, chars = [], 0
     if block:
         yield block
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, max_edit: float = 0.2, repeats: int = 3, seed: int = 11, step: int = 2, block_items: int = 5_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, distance, similarity, first_word, n_words): every item that a document holds."""
-    spark = docs.sparkSession
+def over_blocks(benchmark: DataFrame, options: dict, apply, start: DataFrame, step) -> DataFrame:
+    """``step(result so far, apply(broadcast index))`` over all blocks; one block's index at a time is in memory."""
+    spark, scratch, result, before = benchmark.sparkSession, Scratch(benchmark.sparkSession), start, None
+    names = {k: options[k] for k in ("block_items", "block_chars", "item_col", "item_text_col")}
+    for block in item_blocks(benchmark, *names.values()):
+        if before is not None:  # a further block: what the last one found is written, and its index goes
+            result = scratch.write(result)
+            before.unpersist()
+        before = spark.sparkContext.broadcast(Index(block, options["max_edit"], options["seed"]))
+        result = step(result, apply(result, before))
+    return result
+
+
+DEFAULTS = {"max_edit": 0.2, "seed": 11, "block_items": 2_000, "block_chars": 1_000_000, "id_col": "doc_id", "text_col": "text", "item_col": "item_id", "item_text_col": "text"}
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """(doc_id, item_id, distance, similarity, first_word, n_words): every item that a document holds.
+
+    Options and their defaults: max_edit 0.2, seed, block_items, block_chars, and the columns
+    id_col, text_col, item_col, item_text_col.
+    """
+    o = DEFAULTS | options
     schema = "doc_id long, item_id long, distance long, similarity double, first_word long, n_words long"
-    out = spark.createDataFrame([], schema)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    for block in item_blocks(benchmark, block_items, item_col, item_text_col):
-        shared = spark.sparkContext.broadcast(Index(block, repeats, seed, step))
+    source = docs.select(F.col(o["id_col"]).cast("long").alias("doc_id"), F.col(o["text_col"]).alias("text"))
 
-        def make(shared=shared):
-            finder = Finder(shared.value, max_edit)
+    def search(_: DataFrame, shared) -> DataFrame:
+        def make():
+            finder = Finder(shared.value)
 
             def work(batch: pa.RecordBatch) -> dict[str, object]:
-                rows, ids, texts = [], batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for i in range(0, len(texts), 128):
-                    rows += [(ids[i + r[0]], *r[1:]) for r in finder.find(texts[i : i + 128])]
+                ids = batch.column(0).to_pylist()
+                rows = [(ids[r[0]], *r[1:]) for r in finder.find(batch.column(1).to_pylist())]
                 names = ("doc_id", "item_id", "distance", "similarity", "first_word", "n_words")
                 return {n: pa.array([r[k] for r in rows], pa.float64() if n == "similarity" else pa.int64()) for k, n in enumerate(names)}
 
             return work
 
-        out = out.union(map_batches(source, make, schema))
-    return out
+        return map_batches(source, make, schema)
+
+    return over_blocks(benchmark, o, search, docs.sparkSession.createDataFrame([], schema), lambda found, more: found.union(more))
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns."""
-    found = leaks(docs, benchmark, **options).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(found, F.col(options.get("id_col", "doc_id")) == F.col("__leak"), "left_anti")
+    """The documents that hold no benchmark item, with all their columns; every row is judged by its own text."""
+    o = DEFAULTS | options
+
+    def keep(rows: DataFrame, shared) -> DataFrame:
+        at = rows.columns.index(o["text_col"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            finder = Finder(shared.value)
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                clean[[r[0] for r in finder.find(batch.column(at).to_pylist())]] = False
+                yield batch.filter(pa.array(clean))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    return over_blocks(benchmark, o, keep, docs, lambda _, kept: kept)
