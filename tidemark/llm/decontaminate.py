@@ -43,13 +43,13 @@ from pyspark.sql import functions as F
 from tidemark.llm._common import Scratch, map_batches, mix64
 
 #: ((steps, sampled steps) of each stretch of the walk, walks, items of fewer pieces have them).
-TIERS = ((((8, 6), (8, 4), (12, 6)), 3, 1 << 30), (((3, 2),), 2, 12), (((1, 1),), 1, 4))
+TIERS = ((((6, 5), (6, 4), (8, 4), (12, 6)), 3, 1 << 30), (((3, 2),), 2, 12), (((1, 1),), 1, 4))
 #: A sample that more places of the items share goes on to the next stretch of its walk.
 COMMON = 2
 #: Of all pairs of letters, this part starts a new piece.
 CUT = 0.35
 #: Characters of the first comparison, how far they can be shifted, and how much more than ``max_edit`` may differ there.
-FEW, SHIFT, FIRST = 64, 20, 1.5
+FEW, SHIFT, FIRST = 64, 12, 1.5
 GRID = 32
 BATCH_CHARS = 1 << 20
 PAD = 1024
@@ -265,13 +265,14 @@ class Finder:
         _, once = np.unique(line, return_index=True)
         return item[once], at[once], offset[once]
 
-    def near(self, letters: np.ndarray, item: np.ndarray, at: np.ndarray, offset: np.ndarray) -> np.ndarray:
-        """Whether the stretch of the item around each sample is near the text there: all at once, one column of bits each."""
+    def near(self, padded: np.ndarray, item: np.ndarray, at: np.ndarray, offset: np.ndarray) -> np.ndarray:
+        """Whether the stretch of the item around each sample is near the text there: all at once, one column of bits each.
+
+        ``padded`` is the text with ``PAD`` zeros at either end.
+        """
         stretch = self.first[item] + np.clip((offset - FEW // 4) // GRID, 0, np.maximum(0, -(-(self.size[item] - FEW) // GRID)))
         m = self.few[stretch]
         width = FEW + 2 * SHIFT
-        padded = np.zeros(len(letters) + 2 * PAD, np.uint8)
-        padded[PAD : PAD + len(letters)] = letters
         start = np.clip(at - offset + self.begin[stretch] - SHIFT + PAD, 0, len(padded) - width)
         text = np.lib.stride_tricks.sliding_window_view(padded, width)[start].T.astype(np.int64)
         text += stretch * 256
@@ -312,10 +313,10 @@ class Finder:
         letters = folded("\0".join(x for _, x in group))
         first = np.cumsum([0, *(len(x) + 1 for _, x in group[:-1])])
         item, at, offset = self.spots(letters)
-        keep = []
-        for i in range(0, len(item), 1 << 16):
-            part = slice(i, i + (1 << 16))
-            keep.append(self.near(letters, item[part], at[part], offset[part]))
+        keep, padded = [], np.pad(letters, PAD)
+        for i in range(0, len(item), 1 << 13):  # parts that stay in the cache
+            part = slice(i, i + (1 << 13))
+            keep.append(self.near(padded, item[part], at[part], offset[part]))
         keep = np.concatenate([np.zeros(0, bool), *keep])
         item, at, offset = item[keep], at[keep], offset[keep]
         doc = np.searchsorted(first, at, "right") - 1
