@@ -1,7 +1,9 @@
 """Labelled pages to learn extraction weights from: page layouts made by rule, with their main blocks.
 
-Every page is put together from parts that are main text or not, so that the label is
-known. Names of containers vary from page to page.
+Every page is put together from parts that are main text or not, so that the label of
+each block is known. A part is told by its element, by the name in its class or id, or
+by its form only: a share of all parts has names that mean nothing, and some main
+parts have names that usually stand for something else, so that no name decides alone.
 """
 
 from __future__ import annotations
@@ -24,42 +26,93 @@ BOILERPLATE = {
     "menu": ("menu",),
 }
 MAIN = {"article": ("article", "post", "entry", "story"), "main": ("main", "content"), "div": ("content", "article", "body", "post", "text", "entry", "story", "main")}
+NAMES = sorted({n for names in BOILERPLATE.values() for n in names})
 
 
-def labelled_pages(count: int = 400, seed: int = 7) -> list[tuple[str, set[str]]]:
+def labelled_pages(count: int = 1000, seed: int = 7) -> list[tuple[str, set[str]]]:
     """(page, set of main blocks) for ``count`` layouts."""
     rng = random.Random(seed)
+    letters = "abcdefghijklmnoprstuvwz"
 
-    def sentence(n: int) -> str:
-        return " ".join("".join(rng.choice("abcdefghijklmnoprstuvwz") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    def words(n: int) -> list[str]:
+        return ["".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(n)]
 
-    out = []
-    for _ in range(count):
-        main = {sentence(rng.randint(8, 60)) for _ in range(rng.randint(2, 8))}
+    def phrase(n: int) -> str:
+        return " ".join(words(n))
 
-        def dress(m: str) -> str:
-            """A main block in one of the usual forms, sometimes with a link or a list item."""
-            w = m.split()
-            k = rng.randint(1, len(w) - 1)
-            linked = f"{' '.join(w[:k])} <a href='#'>{w[k]}</a> {' '.join(w[k + 1:])}"
-            return rng.choice((f"<p>{m}</p>", f"<p>{linked}</p>", f"<div><p>{m}<br></div>", f"<ul><li>{m}</li></ul>", f"<ol><li>{linked}</li></ol>", f"<blockquote>{m}</blockquote>", f"<section><h2>{m}</h2></section>", f"<table><tr><td>{m}</td></tr></table>", f"<figure><figcaption>{m}</figcaption></figure>"))
+    def prose(n: int) -> str:
+        """Sentences of ``n`` words in all."""
+        out = words(n)
+        for i in range(n):
+            if i == 0 or out[i - 1][-1] in ".?!":
+                out[i] = out[i].capitalize()
+            if rng.random() < 0.12 or i == n - 1 and rng.random() < 0.9:
+                out[i] += rng.choice("....?!")
+        return " ".join(out)
+
+    def name() -> str:
+        """A name that means nothing and comes only once."""
+        return "".join(rng.choice(letters) for _ in range(6)) + str(rng.randint(0, 99))
 
-        parts = [dress(m) for m in sorted(main)]
+    def opening(tag: str, names: tuple[str, ...], odd: float) -> str:
+        """The start tag, with one of the names, a meaningless one or none."""
+        kind = rng.random()
+        own = name() if kind < odd else rng.choice(names)
+        if rng.random() < 0.25:
+            own = rng.choice((f"{own}-{name()}", f"{name()}-{own}", f"{own} {name()}"))
+        named = tag in ("div", "section") or rng.random() < 0.5
+        return f'<{tag} {rng.choice(("class", "class", "id"))}="{own}">' if named else f"<{tag}>"
 
-        def noise() -> str:
-            tag = rng.choice(list(BOILERPLATE))
-            name = rng.choice(BOILERPLATE[tag])
-            body = "".join(f"<li><a href='#'>{sentence(2)}</a></li>" if rng.random() < 0.5 else f"<p>{sentence(rng.randint(2, 12))}</p>" for _ in range(rng.randint(1, 6)))
-            holder = tag if rng.random() < 0.6 else "div"
-            mark = f' {rng.choice(("class", "id"))}="{name}"' if holder == "div" or rng.random() < 0.5 else ""
-            return f"<{holder}{mark}>{body}</{holder}>"
+    def menu() -> str:
+        link = lambda: f"<a href='/{name()}'>{phrase(rng.randint(1, 4))}</a>"
+        n = rng.randint(3, 25)
+        if rng.random() < 0.7:
+            return "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(n)) + "</ul>"
+        return rng.choice((" | ", " ", "<br>")).join(link() for _ in range(n))
 
-        if rng.random() < 0.5:
-            parts.insert(rng.randint(1, len(parts)), noise())
+    def noise(inside: bool = False) -> str:
+        tag = rng.choice([*BOILERPLATE, *["div"] * 8, "aside", "aside", "footer", "header", "header", "form"])
+        names = BOILERPLATE[tag]
+        holder = tag if rng.random() < 0.6 else "div"
+        kind = rng.random()
+        if tag == "section":
+            body = "".join(f"<p>{prose(rng.randint(3, 40))}</p>" for _ in range(rng.randint(1, 5)))
+            return f'<{holder} {rng.choice(("class", "id"))}="{rng.choice(names)}">{body}</{holder}>'
+        if tag in ("form", "button", "fieldset"):
+            body = "".join(f"<label>{phrase(rng.randint(1, 4))}</label><input>" for _ in range(rng.randint(1, 4)))
+            body = body if rng.random() < 0.7 else f"<p>{prose(rng.randint(2, 30))}</p>{body}"
+            return f"{opening(holder, names, 0)}{body}</{holder}>"
+        if kind < 0.4 and not inside:
+            return f"{opening(holder, names, 0.5)}{menu()}</{holder}>"
+        if kind < 0.45:
+            hidden = rng.choice(("hidden", 'aria-hidden="true"', 'style="display:none"', "style='color:red; visibility: hidden'"))
+            return f"<div {hidden}>{prose(rng.randint(3, 30))}</div>"
+        body = rng.choice((phrase, prose))(rng.choice((rng.randint(1, 14), rng.randint(5, 50))))
+        body = body if rng.random() < 0.5 else f"<p>{body}</p>"
+        return f"{opening(holder, names, 0)}{body}</{holder}>"
+
+    out = []
+    for _ in range(count):
+        parts, main = [], set()
+        for _ in range(rng.randint(1, 9)):
+            n = rng.choice((rng.randint(1, 6), rng.randint(8, 30), rng.randint(20, 90)))
+            m = prose(n)
+            main.add(m)
+            w = m.split()
+            k = rng.randint(0, len(w) - 1)
+            linked = " ".join([*w[:k], f"<a href='/{name()}'>{w[k]}</a>", *w[k + 1 :]])
+            bold = f"<b>{m}</b>" if rng.random() < 0.5 else f"<b>{m}"
+            parts.append(rng.choice((f"<p>{m}</p>", f"<p>{m}</p>", f"<p>{m}", f"<p>{bold}<br></p>", f"<p>{linked}</p>", f"<div><p>{m}<br></div>", f"<ul><li>{m}</li></ul>", f"<ol><li>{linked}</li></ol>", f"<blockquote>{m}</blockquote>", f"<section><h2>{m}</h2></section>", f"<table><tr><td>{m}</td></tr></table>", f"<figure><figcaption>{m}</figcaption></figure>", f'<p class="{name()}">{m}</p>')))
+        while rng.random() < 0.7:
+            parts.insert(rng.randint(1, len(parts)), noise(inside=True))
         tag = rng.choice(list(MAIN))
-        mark = f' class="{rng.choice(MAIN[tag])}"' if tag == "div" or rng.random() < 0.3 else ""
-        title = sentence(6)
+        odd = rng.random()
+        start = opening(tag, MAIN[tag], 0.4) if odd > 0.25 else f'<{tag} class="{rng.choice(NAMES)}{rng.choice(("", "-" + name(), "-text"))}">'
+        title = prose(rng.randint(2, 9)).rstrip(".")
+        main.add(title)
         head = rng.choice((f"<h1>{title}</h1>", f"<header><h1>{title}</h1></header>"))
-        body = "".join(noise() for _ in range(rng.randint(1, 4))) + f"<{tag}{mark}>{head}{''.join(parts)}</{tag}>" + "".join(noise() for _ in range(rng.randint(1, 4)))
-        out.append((f"<html><head><title>{title}</title></head><body>{body}</body></html>", main | {title}))
+        body = "".join(noise() for _ in range(rng.randint(1, 4))) + f"{start}{head}{''.join(parts)}</{tag}>" + "".join(noise() for _ in range(rng.randint(1, 4)))
+        if rng.random() < 0.3:
+            body = f'<div class="{name()}"><div>{body}</div></div>'
+        out.append((f"<html><head><title>{title}</title></head><body>{body}</body></html>", main))
     return out
