@@ -195,6 +195,13 @@ def test_exact_duplicates_even_if_digests_collide(spark, edge, tmp_path, bits):
     assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got) == brute_exact(rows)
 
 
+def test_exact_duplicates_with_null_and_repeated_ids(spark, tmp_path):
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame([(None, "q"), (3, "q"), (7, "r"), (7, "r"), (8, "r"), (None, "s"), (None, "s")], "doc_id long, text string").repartition(3).write.parquet(path)
+    got = Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(spark, path).collect())
+    assert got == Counter({(None, 3, 2, False): 1, (3, 3, 2, True): 1, (7, 7, 3, True): 2, (8, 7, 3, False): 1, (None, None, 2, True): 2})
+
+
 def test_exact_duplicates_of_an_empty_table(spark, empty, tmp_path):
     path = str(tmp_path / "documents.parquet")
     empty.write.parquet(path)
@@ -285,6 +292,31 @@ def test_a_group_larger_than_a_shard_is_dealt_out(spark):
     assert len(got) == 8 and max(r.w for r in got) <= 1.1 * min(r.w for r in got)
 
 
+def test_a_heavy_group_at_the_cut_stays_whole(spark):
+    """A tenth of all bytes are copies of one text, which lies at the median of every dimension."""
+    rows = [(i, "t" * 200 + f"{i:05}", "en", "s", 1) for i in range(1800)] + [(5000 + i, "c" * 205, "en", "s", 1) for i in range(200)]
+    got = sharding.kd_shards(spark.createDataFrame(rows, SCHEMA), 4).collect()
+    weight = Counter()
+    for r in got:
+        weight[r.shard] += r.size
+    assert len(got) == 2000 and max(weight.values()) <= 1.02 * min(weight.values())
+    assert len({r.shard for r in got if r.doc_id >= 5000}) == 1
+
+
+def test_cuts_are_weighted_medians(spark):
+    """The tree against one built in memory: same dimension and the same halves at the root."""
+    rng = np.random.default_rng(4)
+    rows = [(i, "x" * int(rng.integers(1, 3000)) + str(i), "en", "s", 1) for i in range(1000)]
+    got = {r.doc_id: r.shard for r in sharding.kd_shards(spark.createDataFrame(rows, SCHEMA), 2).collect()}
+    order = sorted(rows, key=lambda r: len(r[1]))
+    total, left = sum(len(r[1]) + 1 for r in rows), 0
+    for r in order:
+        middle = left + (len(r[1]) + 1) / 2
+        if abs(middle - total / 2) > 0.01 * total:
+            assert got[r[0]] == (middle > total / 2)
+        left += len(r[1]) + 1
+
+
 def test_shards_of_edge_rows(edge, empty):
     assert sharding.kd_shards(edge, 2).count() == len(EDGE)
     assert sharding.kd_shards(empty, 8).count() == 0
@@ -352,6 +384,15 @@ def test_toxicity_separates_quotation(spark):
     assert got[4].predicted == got[5].predicted == got[6].predicted == 0 and got[5].score == got[6].score
 
 
+def test_toxicity_of_held_out_documents(spark):
+    folder = "/root/testdata/sf0.1"
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    held = [(truth[r.doc_id], r.predicted, r.score) for r in queries.op3_toxicity(spark, folder).collect() if r.held_out and r.doc_id in truth]
+    hit = sum(t and p for t, p, _ in held)
+    assert len(held) > 500 and all(0 <= s <= 1 and p == (s >= 0.7) for _, p, s in held)
+    assert hit >= 0.95 * sum(p for _, p, _ in held) and hit >= 0.8 * sum(t for t, _, _ in held), (len(held), hit, sum(p for _, p, _ in held), sum(t for t, _, _ in held))
+
+
 def test_toxicity_without_labels(spark, edge, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.learn(edge, none, 100)

@@ -118,3 +118,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def remainder(column: str, modulus: int):
     """crc32 of the id as text, modulo ``modulus``: the hold-out rule."""
     return F.crc32(F.col(column).cast("string")) % F.lit(modulus)
+
+
+def sample(rows: DataFrame, most: int, id_col: str) -> DataFrame:
+    """About ``most`` of the rows, drawn by hash of the id; all of them if there are fewer."""
+    n = rows.count()
+    if n <= most:
+        return rows
+    return rows.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1_000_000)) < F.lit(int(1_000_000 * most / n)))

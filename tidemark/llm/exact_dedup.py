@@ -10,8 +10,11 @@ Digests that were hit more than once are checked on the full bytes: within a dig
 the smallest and the largest text must be the same string. Should they differ, the
 rows of that digest are grouped by the text itself.
 
-Null counts as the empty text. Rows that repeat an id count as rows of their own. An
-empty table gives an empty result. Only id and text are read.
+Null counts as the empty text. Rows that repeat an id count as rows of their own: if the
+smallest id of a group is repeated, all its rows with a text of the group are ``kept``. A
+null id is larger than any other, so that such a row stays only where its group has no
+id. An empty table gives an empty result. Only id and text are read, so that other
+columns can have any name; texts of any length are compared whole.
 """
 
 from __future__ import annotations
@@ -61,7 +64,7 @@ def run_state(stream: DataFrame, checkpoint: str, digest: Column) -> DataFrame:
     ``checkpoint`` reads only what is new and adds to the state.
     """
     spark = stream.sparkSession
-    keyed = stream.select(digest.alias("digest"), F.struct("doc_id", "locator").alias("row"))
+    keyed = stream.select(digest.alias("digest"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "locator").alias("row"))
     state = keyed.groupBy("digest").agg(F.min("row").alias("kept"), F.count(F.lit(1)).alias("group_size"))
     out = f"{checkpoint}/changes"
 
@@ -71,7 +74,7 @@ def run_state(stream: DataFrame, checkpoint: str, digest: Column) -> DataFrame:
     with settings(spark, STATE):
         query = state.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{checkpoint}/state").trigger(availableNow=True).start()
         query.awaitTermination()
-    schema = "digest string, kept struct<doc_id: bigint, locator: string>, group_size long, batch long"
+    schema = "digest string, kept struct<none: boolean, doc_id: bigint, locator: string>, group_size long, batch long"
     if query.lastProgress is None and not spark.read.format("binaryFile").load(f"{checkpoint}/state/offsets").take(1):
         changes = spark.createDataFrame([], schema)
     else:

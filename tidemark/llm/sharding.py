@@ -1,10 +1,11 @@
 """Sharding by a k-d tree over document metadata.
 
 Equal texts form an atom, placed by the metadata of its first row and weighing the
-bytes of all its rows. A node of the tree is split along its widest dimension at the
-weighted median, until there are as many leaves as shards. Medians are found by
-distributed histograms: every pass adds up weights in ``BINS`` bins for all nodes at
-once and the driver sees those sums only; the bin with the median is refined until it
+bytes of all its rows. A node of the tree is split along its widest dimension (by the
+weighted standard deviation, in parts of that of the whole table, so that dimensions of
+different units compare) at the weighted median, until there are as many leaves as shards. Medians are found by
+distributed histograms: every pass adds up weights in ``BINS`` bins, shared by all nodes of
+a level, and the driver sees those sums only; the bin with the median is refined until it
 is light or a single point, then ties are cut along a hash of the text. No node is
 ever collected or sorted as a whole.
 
@@ -15,8 +16,10 @@ room for is dealt out by row. So equal texts stay together as far as equal sizes
 allow.
 
 Null texts are texts of their own kind with size 1; null metadata counts as the
-lowest value; repeated rows are rows of their own; an empty table gives an empty
-result.
+lowest value; repeated rows are rows of their own; ties lie on one side of a cut or are
+cut along the hash; an empty table gives an empty result. Only id, text, source and
+language are read, so that other columns can have any name; texts of any length count
+in full.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm._common import materialise
 
-BINS = 1024
+BINS = 1 << 15
 #: A cut is good when it is off by no more than this part of its node.
 EXACT = 2e-4
 DIMENSIONS = ("length", "source", "lang", "hash")
@@ -62,6 +65,16 @@ def atoms_of(docs: DataFrame, source_col: str, lang_col: str) -> DataFrame:
     return per.select("atom", "weight", length.alias("length"), unit(F.col("first.source")).alias("source"), unit(F.col("first.lang")).alias("lang"), spread.alias("hash"))
 
 
+def spreads(atoms: DataFrame) -> dict[int, dict[str, float]]:
+    """For each node its weight, and the weighted standard deviation of its atoms in each dimension."""
+    w = F.col("weight").cast("double")
+    sums = [F.sum(w).alias("weight")]
+    for d in DIMENSIONS[:3]:
+        sums += [(F.sum(w * F.col(d)) / F.sum(w)).alias(f"m_{d}"), (F.sum(w * F.col(d) * F.col(d)) / F.sum(w)).alias(f"q_{d}")]
+    rows = atoms.groupBy("node").agg(*sums).collect()
+    return {r["node"]: {"weight": r["weight"]} | {d: math.sqrt(max(0.0, v)) if (v := r[f"q_{d}"] - r[f"m_{d}"] ** 2) > 1e-12 else 0.0 for d in DIMENSIONS[:3]} for r in rows}
+
+
 def place(cuts: list[Cut], node: Column) -> Column:
     """The child of each atom's node after these cuts: 2 n or 2 n + 1."""
     side = F.lit(0)
@@ -81,6 +94,7 @@ def medians(light: DataFrame, targets: dict[int, tuple[str, float, float]]) -> l
     cuts: dict[int, Cut] = {}
     # node -> column searched, low, high, weight left of low, value of a tied coordinate
     open_: dict[int, list] = {n: [d, 0.0, 1.0 + 1e-9, 0.0, None] for n, (d, _, _) in targets.items()}
+    bins_each = max(256, BINS // max(1, len(targets)))
     while open_:
         value, low, high, chosen = F.lit(None).cast("double"), F.lit(0.0), F.lit(1.0), F.lit(False)
         for n, (d, lo, hi, _, tied) in open_.items():
@@ -90,7 +104,7 @@ def medians(light: DataFrame, targets: dict[int, tuple[str, float, float]]) -> l
             low, high = F.when(here, F.lit(lo)).otherwise(low), F.when(here, F.lit(hi)).otherwise(high)
             chosen = F.when(here, inside).otherwise(chosen)
         x = light.where(chosen).withColumn("v", value).withColumn("lo", low).withColumn("hi", high)
-        bins = x.withColumn("bin", F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1)))
+        bins = x.withColumn("bin", F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins_each), F.lit(bins_each - 1)))
         sums = bins.groupBy("node", "bin").agg(F.sum("weight").alias("w"), F.min("v").alias("a"), F.max("v").alias("b")).collect()
         by: dict[int, list] = {}
         for r in sums:
@@ -145,24 +159,25 @@ def kd_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col
             heavy[bytes(r["atom"])] = r.asDict() | {"node": 1}
         light = atoms.where(F.col("weight") <= limit).drop("atom").withColumn("node", F.lit(1))
         light_atoms = atoms.where(F.col("weight") <= limit).withColumn("node", F.lit(1))
+    whole = spreads(atoms.withColumn("node", F.lit(1))).get(1, {}) if total else {}
     pieces: dict[bytes, dict[int, float]] = {a: {1: float(h["weight"])} for a, h in heavy.items()}
     level = 1
     while total and level < shards:
-        ranges = light.groupBy("node").agg(F.sum("weight").alias("w"), *[F.min(d).alias(f"a_{d}") for d in DIMENSIONS[:3]], *[F.max(d).alias(f"b_{d}") for d in DIMENSIONS[:3]]).collect()
-        known = {r["node"]: r for r in ranges}
+        known = spreads(light)
         targets, sides = {}, {}
         for n in range(level, 2 * level):
             r = known.get(n)
-            light_w = float(r["w"]) if r else 0.0
+            light_w = r["weight"] if r else 0.0
             mine = sorted(((p[n], a) for a, p in pieces.items() if p.get(n)), reverse=True)
             half = (light_w + sum(w for w, _ in mine)) / 2
             # the widest dimension; on a tie the first one
-            d = max(DIMENSIONS[:3], key=lambda d: r[f"b_{d}"] - r[f"a_{d}"]) if r else "hash"
-            if r and r[f"b_{d}"] == r[f"a_{d}"]:
-                d = "hash"
+            width = {d: r[d] / whole[d] if r and whole[d] > 0 else 0.0 for d in DIMENSIONS[:3]}
+            d = max(DIMENSIONS[:3], key=width.get)
+            d = d if width[d] > 1e-9 else "hash"
             targets[n] = [d, half, light_w, mine]
-        first = medians(light, {n: (t[0], min(t[1], t[2]), max(t[2], 1.0) * 0.02) for n, t in targets.items()})
-        wanted = {}
+        # where a node has heavy atoms, a first cut tells on which side each of them lies
+        first = medians(light, {n: (t[0], min(t[1], t[2]), max(t[2], 1.0) * 0.02) for n, t in targets.items() if t[3]})
+        wanted = {n: (t[0], t[1], max(EXACT * t[1], 1.0)) for n, t in targets.items() if not t[3]}
         for c in first:
             d, half, light_w, mine = targets[c.node]
             used = [0.0, 0.0]
@@ -188,9 +203,11 @@ def kd_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col
         level *= 2
     if not total:
         return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
-    placed = rows.join(light_atoms.select("atom", (F.col("node") - shards).cast("int").alias("shard")), "atom", "left")
+    spark = docs.sparkSession
+    # Heavy atoms, a hundred for each shard at most, go their own way: no atom of the join below is a large group.
+    few = F.broadcast(spark.createDataFrame([(a,) for a in pieces], "atom binary"))
+    placed = rows.join(few, "atom", "left_anti").join(light_atoms.select("atom", (F.col("node") - shards).cast("int").alias("shard")), "atom")
     if pieces:
-        spark = docs.sparkSession
         dealt = []
         for a, p in pieces.items():
             whole, below = sum(p.values()), 0.0
@@ -205,7 +222,7 @@ def kd_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col
         last = h.groupBy("atom").agg(F.max("number").alias("last"))
         h = h.join(last, "atom").withColumn("u", (F.col("number") + 0.5) / (F.col("last") + 1))
         h = h.join(table, "atom").where("u >= low and u < high").select(*rows.columns, F.col("to").alias("shard"))
-        placed = placed.where("shard is not null").select(*rows.columns, "shard").unionByName(h.select(*rows.columns, "shard"))
+        placed = placed.select(*rows.columns, "shard").unionByName(h.select(*rows.columns, "shard"))
     placed = materialise(placed.select("doc_id", "size", "text_crc32", "shard"))
     return with_slots(placed)
 

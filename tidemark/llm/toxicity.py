@@ -19,7 +19,10 @@ text, and only the text.
 
 Null and empty texts have the score of texts without matches. Conflicting labels of
 one id count as toxic. Without labelled rows there is no lexicon and all scores are 0.5 x
-the smoothed rate. Repeated rows are scored alike.
+the smoothed rate. Repeated rows are scored alike; empty tables give empty results. Of
+entries of equal worth the first in the alphabet is taken. Texts of any length are read
+whole, word by word. Only the id, the text and the columns of ``keep`` are read, and
+:func:`reject_toxic` passes rows through as they are, so that other columns can have any name.
 """
 
 from __future__ import annotations
@@ -33,8 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import map_batches, remainder
-from tidemark.llm.language_id import sample
+from tidemark.llm._common import map_batches, remainder, sample
 from tidemark.llm.near_dedup import Signer
 
 EDGES = ".,;:!?()[]{}<>\"'`*%$&#/\\|~^_+=-“”„‟«»‹›‘’‚…–—"
