@@ -186,7 +186,7 @@ class Index:
         self.max_edit, self.pieces, self.walks = max_edit, Pieces(seed), Walks(seed)
         self.items = [(i, x) for i, x in ((i, normalised(t)) for i, t in items) if x]
         symbols = [self.pieces.of(folded(x)) for _, x in self.items]
-        #: by plan and stretch: (key, item, offset) in order of the key, a bit map of the keys, the common keys
+        #: by plan and stretch: keys, where each begins and how often it comes, (item, offset) in order of the key, a bit map, the common keys
         self.tables = []
         for plan, (_, at, below) in enumerate(self.walks.plans):
             walks = []
@@ -214,7 +214,8 @@ class Index:
                 bitmap[(value >> np.uint64(44)).astype(np.int64)] = True
                 keys, item, offset = keys[rare], item[rare], offset[rare]
                 order = np.argsort(keys, kind="stable")
-                levels.append((keys[order], item[order], offset[order], np.packbits(bitmap), common))
+                value, low, times = np.unique(keys[order], return_index=True, return_counts=True)
+                levels.append((value, low, times, item[order], offset[order], np.packbits(bitmap), common))
                 walks = [(number, s, place, begin[go], pos[go], key[go]) for number, s, place, begin, pos, key in moved for go in [np.isin(key, common)]]
             self.tables.append(levels)
 
@@ -224,7 +225,7 @@ class Finder:
 
     def __init__(self, index: Index) -> None:
         self.index = index
-        self.bitmaps = [[np.unpackbits(t[3]).astype(bool) for t in levels] for levels in index.tables]
+        self.bitmaps = [[np.unpackbits(t[5]).astype(bool) for t in levels] for levels in index.tables]
         texts = [x for _, x in index.items]
         self.size = np.array([len(x) for x in texts], np.int64)
         self.most = np.floor(index.max_edit * self.size + 1e-9).astype(np.int64)
@@ -238,7 +239,7 @@ class Finder:
             letters = folded(x)
             for p in range(self.first[number], self.first[number] + count[number]):
                 part = letters[self.begin[p] : self.begin[p] + FEW]
-                np.bitwise_or.at(self.masks[p], part, np.uint64(1) << np.arange(len(part), dtype=np.uint64))
+                np.bitwise_or.at(self.masks[p], part, np.uint64(1) << np.arange(64 - len(part), 64, dtype=np.uint64))
         self.masks = self.masks.reshape(-1)
 
     def spots(self, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -248,14 +249,17 @@ class Finder:
         for plan, levels in enumerate(self.index.tables if len(symbols) else []):
             pos, key = self.index.walks.start(plan, symbols)
             begin = pos
-            for stretch, (keys, item, offset, _, common) in enumerate(levels):
+            for stretch, (keys, first, times, item, offset, _, common) in enumerate(levels):
                 pos, key = self.index.walks.go(plan, stretch, symbols, pos, key)
                 hit = np.flatnonzero(self.bitmaps[plan][stretch][(key >> np.uint64(44)).astype(np.int64)])
                 begin, pos, key = begin[hit], pos[hit], key[hit]
-                low = np.searchsorted(keys, key, "left")
-                n = np.searchsorted(keys, key, "right") - low
-                at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-                found.append((item[at].astype(np.int64), np.repeat(place[begin], n), offset[at].astype(np.int64)))
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                    rare = np.flatnonzero(keys[at] == key)
+                    at = at[rare]
+                    n = times[at]
+                    at = np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    found.append((item[at].astype(np.int64), np.repeat(place[begin[rare]], n), offset[at].astype(np.int64)))
                 go = np.isin(key, common)
                 begin, pos, key = begin[go], pos[go], key[go]
         if not found:
@@ -276,21 +280,36 @@ class Finder:
         start = np.clip(at - offset + self.begin[stretch] - SHIFT + PAD, 0, len(padded) - width)
         text = np.lib.stride_tricks.sliding_window_view(padded, width)[start].T.astype(np.int64)
         text += stretch * 256
-        top = np.uint64(1) << (m - 1).astype(np.uint64)
-        one = np.uint64(1)
-        plus, minus = np.full(len(item), ~np.uint64(0)), np.zeros(len(item), np.uint64)
-        edits = m.astype(np.int16)
+        up = np.uint64(64) - m.astype(np.uint64)  # patterns stand in the upper bits, so that the sign is their last one
+        full = bool((m == FEW).all())
+        area = ~np.uint64(0) << up
+        plus, minus = area.copy(), np.zeros(len(item), np.uint64)
+        edits = m.astype(np.int8)
         best = edits.copy()
         for j in range(width):
             equal = self.masks[text[j]]
             across = equal | minus
-            down = (((equal & plus) + plus) ^ plus) | equal
-            rise, fall = minus | ~(down | plus), plus & down
-            edits += ((rise & top) != 0).astype(np.int16)
-            edits -= (fall & top) != 0
-            rise <<= one
-            fall <<= one
-            plus, minus = fall | ~(across | rise), rise & across
+            down = equal & plus
+            down += plus
+            down ^= plus
+            down |= equal
+            fall = plus & down
+            down |= plus
+            np.invert(down, out=down)
+            down |= minus  # where the column rises
+            edits += (down.view(np.int64) < 0).view(np.int8)
+            edits -= (fall.view(np.int64) < 0).view(np.int8)
+            if not full:
+                down &= area
+                fall &= area
+            down <<= np.uint64(1)
+            fall <<= np.uint64(1)
+            np.bitwise_and(down, across, out=minus)
+            across |= down
+            np.invert(across, out=across)
+            np.bitwise_or(fall, across, out=plus)
+            if not full:
+                plus &= area
             np.minimum(best, edits, out=best)
         return best <= np.ceil(FIRST * self.index.max_edit * m)
 
