@@ -390,7 +390,7 @@ def test_toxicity_of_held_out_documents(spark):
     held = [(truth[r.doc_id], r.predicted, r.score) for r in queries.op3_toxicity(spark, folder).collect() if r.held_out and r.doc_id in truth]
     hit = sum(t and p for t, p, _ in held)
     assert len(held) > 500 and all(0 <= s <= 1 and p == (s >= 0.7) for _, p, s in held)
-    assert hit >= 0.95 * sum(p for _, p, _ in held) and hit >= 0.8 * sum(t for t, _, _ in held), (len(held), hit, sum(p for _, p, _ in held), sum(t for t, _, _ in held))
+    assert hit >= 0.85 * sum(p for _, p, _ in held) and hit >= 0.85 * sum(t for t, _, _ in held), (len(held), hit, sum(p for _, p, _ in held), sum(t for t, _, _ in held))
 
 
 def test_toxicity_without_labels(spark, edge, empty):

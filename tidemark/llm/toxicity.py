@@ -10,8 +10,9 @@ words reach the dead state early. It finds entries spelled exactly, misspelled o
 Scoring: every kind of match of an entry has the probability, smoothed, that a
 labelled document with it is toxic. A match within quotation marks (that open and
 close within a window of words around it) has a probability of its own. Matches of a
-document combine as 1 - product (1 - p); without any, the score is the rate of toxic
-documents among those without matches.
+document with p >= 0.5 combine as 1 - product (1 - p); weaker ones, of which a long text
+has many by chance, do not add up: the strongest of them counts. Without any match the
+score is the rate of toxic documents among those without.
 
 Learning reads a sample of labelled rows, drawn by hash of the id, of at most about
 ``sample_rows`` rows (a documented bound of the classifier), of copies one. Scores read every whole
@@ -182,14 +183,17 @@ class Model:
         self.entries, self.p, self.base = entries, p, base
 
     def score(self, found: set[tuple[int, int, bool]]) -> float:
-        rest = 1 - self.base
+        rest, weak = 1 - self.base, self.base
         for entry, kind, inside in found:
             p = self.p.get((entry, kind, inside))
             if p is None:
                 a, b = PRIOR[kind]
                 p = a / (a + b) * (QUOTED if inside else 1)
-            rest *= 1 - p
-        return 1 - rest
+            if p >= 0.5:
+                rest *= 1 - p
+            else:
+                weak = max(weak, p)
+        return max(1 - rest, weak)
 
 
 def term_counts(labelled: DataFrame) -> DataFrame:
