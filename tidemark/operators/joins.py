@@ -7,33 +7,41 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def asof_join(probe: DataFrame, quote: DataFrame, by: str, on: str, values: list[str], direction: str = "backward", strict: bool = False) -> DataFrame:
+def asof_join(probe: DataFrame, quote: DataFrame, by: str, on: str, values: list[str], direction: str = "backward", strict: bool = False, span: int | None = None) -> DataFrame:
     """Each probe row with the nearest quote row of the same key before (after) it.
 
-    Probes and quotes are one union, so that one exchange and one sort on (key, time)
-    serve the whole join. At equal times a quote counts unless ``strict``. Adds the
-    quote's ``values`` and its time as ``quote_<on>``; without a quote they are null.
+    A key's time is cut into spans (``span`` days for dates, default 64; seconds for
+    timestamps, default one day), so that a hot key is many groups of rows. Probes and quotes
+    are one union, with one exchange and one sort on (key, span, time); the last (first)
+    quote of each span is carried on over a table of one row for each key and span. At
+    equal times a quote counts unless ``strict``; of quotes at one time the one with the
+    greatest (smallest) values is taken. Adds the quote's ``values`` and its time as
+    ``quote_<on>``; without a quote they are null.
     """
     back = direction == "backward"
-    quote_first = back != strict
-    q = quote.select(F.col(by), F.col(on), F.lit(0 if quote_first else 1).alias("__side"), F.struct(F.col(on).alias("__t"), *values).alias("__q"), F.lit(None).cast(F_struct(probe)).alias("__p"))
-    p = probe.select(F.col(by), F.col(on), F.lit(1 if quote_first else 0).alias("__side"), F.lit(None).cast(q.schema["__q"].dataType).alias("__q"), F.struct(*probe.columns).alias("__p"))
-    if not back:
-        q = q.withColumn("__side", F.lit(0 if strict else 1))
-        p = p.withColumn("__side", F.lit(1 if strict else 0))
+    day = probe.schema[on].dataType.typeName() == "date"
+    number = F.unix_date(F.col(on)) if day else F.unix_seconds(F.col(on).cast("timestamp"))
+    bucket = F.floor(number / (span or (64 if day else 86_400))).alias("__span")
+    # Which side comes first at equal times: a backward join looks at the rows up to the probe, a forward one at those from it on.
+    quote_side = 0 if strict != back else 1
+    q = quote.select(F.col(by), F.col(on), bucket, F.lit(quote_side).alias("__side"), F.struct(F.col(on).alias("__t"), *values).alias("__q"), F.lit(None).cast(probe.schema).alias("__p"))
+    p = probe.select(F.col(by), F.col(on), bucket, F.lit(1 - quote_side).alias("__side"), F.lit(None).cast(q.schema["__q"].dataType).alias("__q"), F.struct(*probe.columns).alias("__p"))
     both = q.unionByName(p)
-    w = W.partitionBy(by).orderBy(F.col(on), F.col("__side"))
+    w = W.partitionBy(by, "__span").orderBy(F.col(on), F.col("__side"), F.col("__q"))
+    spans = both.groupBy(by, "__span").agg((F.max if back else F.min)("__q").alias("__own"))
+    ahead = W.partitionBy(by).orderBy("__span")
     if back:
         near = F.last("__q", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
+        carried = F.last("__own", ignorenulls=True).over(ahead.rowsBetween(W.unboundedPreceding, -1))
     else:
         near = F.first("__q", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
+        carried = F.first("__own", ignorenulls=True).over(ahead.rowsBetween(1, W.unboundedFollowing))
+    spans = spans.select(F.col(by).alias("__by"), F.col("__span").alias("__at"), carried.alias("__carried"))
     out = both.withColumn("__near", near).where("__p is not null")
-    return out.select("__p.*", F.col("__near.__t").alias(f"quote_{on}"), *[F.col(f"__near.{v}").alias(v) for v in values])
-
-
-def F_struct(df: DataFrame):
-    """The type of a whole row."""
-    return df.schema
+    out = out.join(spans, (F.col(by) == F.col("__by")) & (F.col("__span") == F.col("__at")), "left")
+    found = F.coalesce("__near", "__carried")
+    out = out.select("__p", found.alias("__found"))
+    return out.select("__p.*", F.col("__found.__t").alias(f"quote_{on}"), *[F.col(f"__found.{v}").alias(v) for v in values])
 
 
 def range_join(left: DataFrame, right: DataFrame, key: str, at: str, low: str, high: str, bucket: int) -> DataFrame:

@@ -39,11 +39,18 @@ def limit(weights: DataFrame, position: float, gross: float) -> DataFrame:
     return w.withColumn("final", F.col("capped") * F.col("scale"))
 
 
-def orders(target: DataFrame, held: DataFrame, marks: DataFrame, equity: float) -> DataFrame:
-    """Signed share differences between target weights and held shares; zero differences drop out.
+def target_shares(target: DataFrame, equity: float) -> DataFrame:
+    """(d, ticker, shares): weights (``final``) of an equity in whole shares at the mark, cut toward zero."""
+    return target.select("d", "ticker", (F.col("final") * equity / F.col("mark")).cast("long").alias("shares"))
 
-    Shares are cut toward zero. Sells come before buys, then by ticker.
+
+def orders(wanted: DataFrame, held: DataFrame) -> DataFrame:
+    """Signed share differences between wanted and held shares (d, ticker, shares); zero differences drop out.
+
+    A held ticker that is no longer wanted is sold, a wanted one that is not held is bought.
+    ``ordinal`` puts sells before buys, each by ticker.
     """
-    t = target.join(marks, ["d", "ticker"]).select("d", "ticker", (F.col("final") * equity / F.col("mark")).cast("long").alias("want"))
-    x = t.join(held, ["d", "ticker"], "full_outer").select("d", "ticker", (F.coalesce("want", F.lit(0)) - F.coalesce("shares", F.lit(0))).alias("qty")).where("qty <> 0")
-    return x.withColumn("side", F.when(F.col("qty") > 0, "buy").otherwise("sell"))
+    w, h = wanted.withColumnRenamed("shares", "want"), held.withColumnRenamed("shares", "have")
+    x = w.join(h, ["d", "ticker"], "full_outer").select("d", "ticker", (F.coalesce("want", F.lit(0)) - F.coalesce("have", F.lit(0))).alias("qty")).where("qty <> 0")
+    x = x.withColumn("side", F.when(F.col("qty") > 0, "buy").otherwise("sell"))
+    return x.withColumn("ordinal", F.row_number().over(W.partitionBy("d").orderBy(F.col("qty") > 0, "ticker")))

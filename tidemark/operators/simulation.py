@@ -3,7 +3,8 @@
 What a day trades depends on the cash that the days before left, so a book is a fold
 over its own rows. Books are independent: one Arrow group is one book (a fund, a
 ticker, a parameter set), whose size is its number of days, and a cluster runs as many
-as it has cores. Everything before the fold (signals, weights, marks) is set-based.
+as it has cores. Folds over ticks (:func:`in_order`) hold their state and one batch of
+sorted rows only. Everything before the fold (signals, weights, marks) is set-based.
 """
 
 from __future__ import annotations
@@ -14,18 +15,25 @@ from pyspark.sql import DataFrame
 
 
 def fund_fold(rows: DataFrame, capital: float) -> DataFrame:
-    """Rebalance each fund on its dates: (fund, d, cash, equity, n_orders).
+    """Rebalance each fund on its dates: (fund, d, cash, equity, n_orders, long, short).
 
-    ``rows`` has (fund, d, ticker, weight, mark): target weights and marks of all
-    tickers; a held ticker without a row keeps its shares and its last mark. Shares are
-    cut toward zero; fills are at the mark; cash may go below 0.
+    ``rows`` has (fund, d, ticker, weight, mark): target weights and marks of the tickers
+    that can be valued on a date. A held ticker without a mark is an error, as the book
+    cannot be valued, and so is an equity of 0 or less. Shares are cut toward zero; fills are
+    at the mark; cash may go below 0. ``long`` and ``short`` are exposures after the trades.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cash, held, mark, out = capital, {}, {}, []
+        cash, held, out = capital, {}, []
+        fund = pdf.fund.iloc[0]
         for d, day in pdf.sort_values(["d", "ticker"]).groupby("d", sort=True):
-            mark |= dict(zip(day.ticker, day.mark, strict=True))
+            mark = dict(zip(day.ticker, day.mark, strict=True))
+            lost = sorted(t for t, q in held.items() if q and t not in mark)
+            if lost:
+                raise ValueError(f"{fund}: no mark of {', '.join(lost)} on {d}")
             equity = cash + sum(q * mark[t] for t, q in held.items() if q)
+            if equity <= 0:
+                raise ValueError(f"{fund}: equity is {equity:.2f} on {d}")
             n = 0
             for t, w in zip(day.ticker, day.weight, strict=True):
                 want = int(w * equity / mark[t])
@@ -34,10 +42,11 @@ def fund_fold(rows: DataFrame, capital: float) -> DataFrame:
                     cash -= delta * mark[t]
                     held[t] = want
                     n += 1
-            out.append((pdf.fund.iloc[0], d, cash, equity, n))
-        return pd.DataFrame(out, columns=["fund", "d", "cash", "equity", "n_orders"])
+            values = [q * mark[t] for t, q in held.items() if q]
+            out.append((fund, d, cash, equity, n, sum(v for v in values if v > 0), -sum(v for v in values if v < 0)))
+        return pd.DataFrame(out, columns=["fund", "d", "cash", "equity", "n_orders", "long", "short"])
 
-    return rows.groupBy("fund").applyInPandas(run, "fund string, d date, cash double, equity double, n_orders long")
+    return rows.groupBy("fund").applyInPandas(run, "fund string, d date, cash double, equity double, n_orders long, long double, short double")
 
 
 def edge_trades(rows: DataFrame, hold: int, per_trade: float) -> DataFrame:
@@ -57,7 +66,7 @@ def edge_trades(rows: DataFrame, hold: int, per_trade: float) -> DataFrame:
                 shares = int(per_trade / close[i])
                 if shares:
                     j = i + hold
-                    out.append((pdf.ticker.iloc[0], pdf.d[i], pdf.d[j], int(sig[i]), shares, round((close[j] - close[i]) * shares * sig[i], 2)))
+                    out.append((pdf.ticker.iloc[0], pdf.d[i], pdf.d[j], int(sig[i]), shares, round((close[j] - close[i]) * shares * sig[i], 4)))
                     i, armed = j, False
                     continue
             i += 1
@@ -136,8 +145,9 @@ def margin_book(rows: DataFrame, capital: float, margin_ratio: float = 0.5) -> D
 def perp_ledger(rows: DataFrame, capital: float, leverage: float, rate_of, fee: float = 0.0005) -> DataFrame:
     """Isolated-margin perpetual positions: (symbol, ts, price, rate, side) in time order.
 
-    A side other than the open one closes and opens; funding is paid on the notional by
-    longs at positive rates; a mark beyond the liquidation price loses the margin.
+    A mark beyond the liquidation price loses the margin, before any funding is due; then
+    funding is paid on the notional, by longs at positive rates; then a side other than
+    the open one closes and opens.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -146,10 +156,11 @@ def perp_ledger(rows: DataFrame, capital: float, leverage: float, rate_of, fee:
             event = "hold"
             if pos is not None:
                 side, size, entry, margin, liq = pos
-                cash -= side * size * r.price * r.rate
                 if (r.price <= liq) if side > 0 else (r.price >= liq):
                     pos, event = None, "liquidated"
-                elif r.side != side:
+                else:
+                    cash -= side * size * r.price * r.rate
+                if pos is not None and r.side != side:
                     cash += margin + side * size * (r.price - entry) - size * r.price * fee
                     pos, event = None, "closed"
             if pos is None and r.side != 0 and event != "liquidated" and cash > 0:
@@ -178,9 +189,8 @@ def grid_search(bars: DataFrame, params: DataFrame, capital: float) -> DataFrame
     """Every (symbol, fast, slow) as its own group: a dual-EMA long-only book in whole shares.
 
     A set of parameters that fails keeps its row with the error. The rows of a symbol
-    are repeated once for each parameter set, which a checked small table holds.
+    are repeated once for each parameter set.
     """
-    from pyspark.sql import functions as F
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("d")
@@ -206,61 +216,108 @@ def grid_search(bars: DataFrame, params: DataFrame, capital: float) -> DataFrame
         return pd.DataFrame([(symbol, fast, slow, float(e[-1] / capital - 1), sharpe, n, None)], columns=cols)
 
     cols = ["symbol", "fast", "slow", "total_return", "sharpe", "n_trades", "error"]
-    return bars.crossJoin(F.broadcast(params)).groupBy("symbol", "fast", "slow").applyInPandas(run, "symbol string, fast int, slow int, total_return double, sharpe double, n_trades long, error string")
+    return bars.crossJoin(params).groupBy("symbol", "fast", "slow").applyInPandas(run, "symbol string, fast int, slow int, total_return double, sharpe double, n_trades long, error string")
 
 
-def cooldown(rows: DataFrame, by: str, ts: str, seconds: int) -> DataFrame:
-    """Of each key's alerts those at least ``seconds`` after the last one that was let through."""
-    schema = rows.schema
+def in_order(rows: DataFrame, by: str, order: list[str], schema, make) -> DataFrame:
+    """Fold the rows of each key in order, with only the state and one Arrow batch in memory.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts, kind="stable")
-        last, keep = None, []
-        for t in pdf[ts]:
-            fire = last is None or (t - last).total_seconds() >= seconds
-            last = t if fire else last
-            keep.append(fire)
-        return pdf[keep]
+    ``make`` gives a fold: ``step(key, frame)`` returns the rows for a stretch of one key,
+    and ``end(key)`` those that are left when the key is over.
+    """
 
-    return rows.groupBy(by).applyInPandas(run, schema)
+    def run(frames):
+        fold, key = None, None
+        for pdf in frames:
+            edges = np.flatnonzero(pdf[by].to_numpy()[1:] != pdf[by].to_numpy()[:-1]) + 1
+            for first, last in zip([0, *edges], [*edges, len(pdf)], strict=True):
+                part = pdf.iloc[first:last]
+                if len(part) and (fold is None or part[by].iloc[0] != key):
+                    if fold is not None:
+                        yield fold.end(key)
+                    fold, key = make(), part[by].iloc[0]
+                if len(part):
+                    yield fold.step(key, part)
+        if fold is not None:
+            yield fold.end(key)
 
+    return rows.repartition(by).sortWithinPartitions(by, *order).mapInPandas(run, schema)
 
-def paper_match(orders: DataFrame, cash: float) -> DataFrame:
-    """Paper matching of (symbol, ts, seq, kind in market, limit, bar; side, price, qty).
 
-    Market orders fill at the last bar's price; limits wait and fill at their own price
-    when a bar crosses them. A buy without the cash is rejected; a sell is cut to what is held.
-    """
+class Cooldown:
+    """Lets an alert through if the last one that was let through is far enough back."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        money, held, last, queue, out = cash, 0.0, None, [], []
+    def __init__(self, ts: str, seconds: float) -> None:
+        self.ts, self.wait, self.last = ts, np.timedelta64(int(seconds * 1e6), "us"), None
+
+    def step(self, _: str, part: pd.DataFrame) -> pd.DataFrame:
+        keep = np.zeros(len(part), bool)
+        for i, t in enumerate(part[self.ts].to_numpy()):
+            if self.last is None or t - self.last >= self.wait:
+                self.last, keep[i] = t, True
+        self.none = part.iloc[:0]
+        return part[keep]
+
+    def end(self, _: str) -> pd.DataFrame:
+        return self.none
 
-        def fill(o, price):
-            nonlocal money, held
+
+def cooldown(rows: DataFrame, by: str, ts: str, seconds: int) -> DataFrame:
+    """Of each key's alerts those at least ``seconds`` after the last one that was let through."""
+    rest = [c for c in rows.columns if c not in (by, ts)]
+    return in_order(rows, by, [ts, *rest], rows.schema, lambda: Cooldown(ts, seconds))
+
+
+class Matching:
+    """Paper account of one symbol: cash, shares, the last price and the limits that wait."""
+
+    columns = ["symbol", "seq", "ts", "status", "price", "filled", "cash", "held"]
+
+    def __init__(self, cash: float) -> None:
+        self.cash, self.held, self.last, self.queue = cash, 0.0, None, []
+
+    def row(self, o, ts, price: float, status: str | None = None) -> tuple:
+        """Fill the order at the price (or give it the status without a fill)."""
+        n = 0.0
+        if status is None:
             if o.side == "buy":
-                if price * o.qty > money:
-                    return "rejected", 0.0
-                money, held = money - price * o.qty, held + o.qty
-                return "filled", o.qty
-            q = min(o.qty, held)
-            money, held = money + price * q, held - q
-            return ("filled" if q else "rejected"), q
-
-        for o in pdf.sort_values(["ts", "seq"]).itertuples():
+                n = o.qty if price * o.qty <= self.cash else 0.0
+                self.cash, self.held = self.cash - price * n, self.held + n
+            else:
+                n = min(o.qty, self.held)
+                self.cash, self.held = self.cash + price * n, self.held - n
+            status = "filled" if n else "rejected"
+        return o.symbol, o.seq, ts, status, price, n, self.cash, self.held
+
+    def crossed(self, o) -> bool:
+        return self.last is not None and (self.last <= o.price if o.side == "buy" else self.last >= o.price)
+
+    def step(self, _: str, part: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for o in part.itertuples(index=False):
             if o.kind == "bar":
-                last, waiting = o.price, []
-                for q in queue:
-                    if (q.side == "buy" and last <= q.price) or (q.side == "sell" and last >= q.price):
-                        status, n = fill(q, q.price)
-                        out.append((q.symbol, q.seq, o.ts, status, q.price, n, money, held))
-                    else:
-                        waiting.append(q)
-                queue = waiting
-            elif o.kind == "limit":
-                queue.append(o)
-            elif last is not None:
-                status, n = fill(o, last)
-                out.append((o.symbol, o.seq, o.ts, status, last, n, money, held))
-        return pd.DataFrame(out, columns=["symbol", "seq", "ts", "status", "price", "filled", "cash", "held"])
-
-    return orders.groupBy("symbol").applyInPandas(run, "symbol string, seq long, ts timestamp, status string, price double, filled double, cash double, held double")
+                self.last = o.price
+                now = [q for q in self.queue if self.crossed(q)]
+                self.queue = [q for q in self.queue if not self.crossed(q)]
+                out += [self.row(q, o.ts, q.price) for q in now]
+            elif o.kind == "limit" and not self.crossed(o):
+                self.queue.append(o)
+            else:  # at once: a limit that the last price satisfies, or a market order
+                price = o.price if o.kind == "limit" or not self.last or self.last <= 0 else self.last
+                out.append(self.row(o, o.ts, price))
+        return pd.DataFrame(out, columns=self.columns)
+
+    def end(self, _: str) -> pd.DataFrame:
+        return pd.DataFrame([self.row(q, q.ts, q.price, "waiting") for q in self.queue], columns=self.columns)
+
+
+def paper_match(orders: DataFrame, cash: float) -> DataFrame:
+    """Paper matching of (symbol, ts, seq, kind in market, limit, bar; side, price, qty), an account for each symbol.
+
+    Market orders fill at the last bar's price, before any bar at the price they name. Limits
+    fill at their own price: at once if the last price satisfies them, else when a bar
+    crosses them; those that never do stay as ``waiting``. A buy without the cash is
+    rejected; a sell is cut to what is held.
+    """
+    schema = "symbol string, seq long, ts timestamp, status string, price double, filled double, cash double, held double"
+    return in_order(orders, "symbol", ["ts", "seq"], schema, lambda: Matching(cash))

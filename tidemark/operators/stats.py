@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Bins of values for ranks.
+BINS = 1024
+
+
 def beta_fraction(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta function by its continued fraction (modified Lentz)."""
     if x <= 0 or x >= 1:
@@ -49,26 +53,53 @@ def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([t_p_value(a, int(b)) for a, b in zip(t, df, strict=True)], dtype="float64")
 
 
-def bootstrap_ci(df: DataFrame, by: list[str], value: str, resamples: int = 10_000, seed: int = 42, level: float = 0.95) -> DataFrame:
-    """Percentile bootstrap interval of each group's mean, with a seeded generator per group.
+#: Cumulative probabilities of Poisson(1) as parts of 2 ** 64; beyond twelve it is as good as never.
+POISSON = np.array([min(2**64 - 1, int(2**64 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)))) for k in range(12)], np.uint64)
 
-    Resamples are drawn in blocks, so that memory is bounded by the block and not by
-    the number of resamples.
-    """
-    kinds = dict(df.dtypes)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(pdf[value].dropna().to_numpy())
-        rng, means = np.random.default_rng(seed), []
-        block = max(1, 2_000_000 // max(1, len(x)))
-        for i in range(0, resamples, block):
-            k = min(block, resamples - i)
-            means.append(x[rng.integers(0, len(x), (k, len(x)))].mean(axis=1) if len(x) else np.full(k, np.nan))
-        low, high = np.quantile(np.concatenate(means), [(1 - level) / 2, (1 + level) / 2])
-        return pd.DataFrame({**{b: [pdf[b].iloc[0]] for b in by}, "n": [len(x)], "mean": [x.mean() if len(x) else np.nan], "ci_low": [low], "ci_high": [high]})
+def draws(keys: np.ndarray, first: int, last: int, seed: int) -> np.ndarray:
+    """Poisson(1) weights (rows x resamples): functions of the row's key, the resample and the seed only."""
+    with np.errstate(over="ignore"):
+        x = keys[:, None] ^ (np.arange(first, last, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+        for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53), (33, 1)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return np.searchsorted(POISSON, x, side="right").astype(np.float64)
 
-    schema = ", ".join(f"{b} {kinds[b]}" for b in by) + ", n long, mean double, ci_low double, ci_high double"
-    return df.select(*by, value).groupBy(*by).applyInPandas(run, schema)
+
+def bootstrap_ci(df: DataFrame, by: list[str], value: str, key: str, resamples: int = 10_000, seed: int = 42, level: float = 0.95) -> DataFrame:
+    """Percentile bootstrap interval of each group's mean, by Poisson weights.
+
+    Every row draws its weight in each resample from a hash of its ``key`` (unique in its
+    group), so that results do not depend on partitions. Tasks add up weights and weighted
+    values of their rows; only these sums are shuffled, and a group of any size is spread
+    over all tasks. The quantiles of a group are taken from its ``resamples`` means.
+    """
+    kinds = dict(df.dtypes)
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"), F.xxhash64(key).alias("__k"))
+    block = 500
+
+    def run(frames):
+        for pdf in frames:
+            for group, part in pdf.groupby(by, dropna=False, sort=True):
+                x, keys = part["__v"].to_numpy(), part["__k"].to_numpy().view(np.uint64)
+                for first in range(0, resamples, block):
+                    w, s = np.zeros(block), np.zeros(block)
+                    for i in range(0, len(x), 2_000):
+                        weights = draws(keys[i : i + 2_000], first, first + block, seed)
+                        w += weights.sum(axis=0)
+                        s += x[i : i + 2_000] @ weights
+                    n = min(block, resamples - first)
+                    yield pd.DataFrame({**{b: [g] * n for b, g in zip(by, group, strict=True)}, "r": np.arange(first, first + n), "w": w[:n], "s": s[:n]})
+
+    schema = ", ".join(f"{b} {kinds[b]}" for b in by) + ", r long, w double, s double"
+    means = rows.mapInPandas(run, schema).groupBy(*by, "r").agg(F.sum("w").alias("w"), F.sum("s").alias("s"))
+    ends = means.groupBy(*by).agg(F.percentile(F.try_divide("s", "w"), F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2))).alias("q"))
+    plain = rows.groupBy(*by).agg(F.count("__v").alias("n"), F.avg("__v").alias("mean"))
+    same = [plain[b].eqNullSafe(ends[b]) for b in by]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    return plain.join(ends, on).select(*[plain[b] for b in by], "n", "mean", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))
 
 
 def mann_whitney(df: DataFrame, by: list[str], group: str, value: str) -> DataFrame:
@@ -78,8 +109,15 @@ def mann_whitney(df: DataFrame, by: list[str], group: str, value: str) -> DataFr
     equal values are added up before ranks are formed.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.sum((F.col(group) == 1).cast("long")).alias("k1"), F.count(F.lit(1)).alias("k"))
-    before = W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    r = counts.withColumn("rank", F.coalesce(F.sum("k").over(before), F.lit(0)) + (F.col("k") + 1) / 2)
+    # Values fall into bins by size; the bins' counts are added up first, so that no group is one window.
+    ends = counts.groupBy(*by).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    place = F.coalesce(F.floor(F.try_divide(F.col(value) - F.col("__lo"), F.col("__hi") - F.col("__lo")) * BINS), F.lit(0))
+    counts = counts.join(ends, by).withColumn("bin", place)
+    sizes = counts.groupBy(*by, "bin").agg(F.sum("k").alias("size"))
+    lower = F.sum("size").over(W.partitionBy(*by).orderBy("bin").rowsBetween(W.unboundedPreceding, -1))
+    sizes = sizes.select(*by, "bin", F.coalesce(lower, F.lit(0)).alias("lower"))
+    before = W.partitionBy(*by, "bin").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    r = counts.join(sizes, [*by, "bin"]).withColumn("rank", F.col("lower") + F.coalesce(F.sum("k").over(before), F.lit(0)) + (F.col("k") + 1) / 2)
     g = r.groupBy(*by).agg(F.sum("k1").alias("n1"), F.sum(F.col("k") - F.col("k1")).alias("n0"), F.sum(F.col("rank") * F.col("k1")).alias("r1"), F.sum(F.col("k") * F.col("k") * F.col("k") - F.col("k")).alias("ties"))
     n = F.col("n1") + F.col("n0")
     u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2

@@ -76,46 +76,112 @@ def clamp_audit(spark, sf):
     return each.union(book.select("d", F.lit("BOOK"), F.lit("gross"), r6(F.col("b"), "before"), r6(F.col("a"), "after")))
 
 
-MARKS = "mk AS (SELECT symbol AS ticker, CAST(date_trunc('month', d) AS DATE) AS d, round(arg_max(close, bars.d), 2) AS mark FROM bars GROUP BY 1, 2)"
+#: The part of its equity that the example fund puts at risk: its prices rise and fall tenfold within weeks.
+INVESTED = 0.02
+GRID = f"""grid AS (SELECT max(d) AS g FROM bench GROUP BY date_trunc('month', d)),
+    book AS (SELECT g AS d, ticker, weight, mark FROM (SELECT g, l.ticker, round(capped * scale * {INVESTED}, 9) AS weight, CASE WHEN g - b.d <= 7 THEN round(b.close, 2) END AS mark
+      FROM (SELECT g, ticker, capped, scale FROM lim JOIN grid ON lim.d = date_trunc('month', g)::DATE) l ASOF LEFT JOIN bars b ON b.symbol = l.ticker AND l.g >= b.d) WHERE mark IS NOT NULL)"""
+MARK_DAYS = 7
 
 
-def marked(spark, sf):
-    """The last price of the month, to the cent, as the mark of the month's date."""
-    return A.bars_1d(spark, sf).groupBy(F.col("symbol").alias("ticker"), F.trunc("d", "month").alias("m")).agg(F.round(F.max_by("close", "d"), 2).alias("mark")).withColumnRenamed("m", "d")
+def rebalance_days(spark, sf, unit: str):
+    """The last trading day of each period."""
+    return A.bench_1d(spark, sf).groupBy(F.date_trunc(unit, "d").alias("period")).agg(F.max("d").alias("g"))
 
 
-@plan("target_shares", f"WITH {BLEND}, {MARKS} SELECT d, ticker, trunc(round(capped * scale, 9) * 1000000 / mark)::BIGINT AS qty, CASE WHEN weight > 0 THEN 'buy' ELSE 'sell' END AS side FROM lim JOIN mk USING (d, ticker) WHERE trunc(round(capped * scale, 9) * 1000000 / mark) <> 0", "views")
+def book_rows(spark, sf):
+    """Target weight and mark of each ticker on the last trading day of each month.
+
+    The mark is the last close on or before that day, at most ``MARK_DAYS`` days old, to the
+    cent; tickers without one are left out.
+    """
+    grid = rebalance_days(spark, sf, "month").select(F.to_date("period").alias("d"), "g")
+    t = limited(spark, sf).join(grid, "d").select("ticker", F.col("g").alias("d"), F.round(F.col("final") * INVESTED, 9).alias("final"))
+    m = joins.asof_join(t.withColumnRenamed("ticker", "symbol"), A.bars_1d(spark, sf), "symbol", "d", ["close"])
+    return m.where(F.date_diff("d", "quote_d") <= MARK_DAYS).select("d", F.col("symbol").alias("ticker"), "final", F.round("close", 2).alias("mark"))
+
+
+@plan("target_shares", f"""WITH {BLEND}, {GRID}, want AS (SELECT d, ticker, trunc(weight * 1000000 / mark)::BIGINT AS want FROM book), nx AS (SELECT g, lead(g) OVER (ORDER BY g) AS after FROM grid),
+    held AS (SELECT after AS d, ticker, want AS shares FROM want JOIN nx ON d = g WHERE after IS NOT NULL), o AS (SELECT d, ticker, coalesce(want, 0) - coalesce(shares, 0) AS qty FROM want FULL JOIN held USING (d, ticker))
+    SELECT d, ticker, qty, CASE WHEN qty > 0 THEN 'buy' ELSE 'sell' END AS side, row_number() OVER (PARTITION BY d ORDER BY qty > 0, ticker) AS ordinal FROM o WHERE qty <> 0""", "views bench")
 def target_shares(spark, sf):
-    flat = spark.createDataFrame([], "d date, ticker string, shares long")
-    target = limited(spark, sf).withColumn("final", F.round("final", 9))
-    return portfolio.orders(target, flat, marked(spark, sf), CAPITAL).select("d", "ticker", "qty", "side")
+    """Orders from the shares of one rebalance date to those of the next, for a book of constant equity."""
+    want = portfolio.target_shares(book_rows(spark, sf), CAPITAL)
+    g = rebalance_days(spark, sf, "month")
+    after = g.select(F.col("g").alias("d"), F.lead("g").over(W.orderBy("g")).alias("after")).where("after is not null")
+    held = want.join(after, "d").select(F.col("after").alias("d"), "ticker", "shares")
+    return portfolio.orders(want, held).select("d", "ticker", "qty", "side", "ordinal")
 
 
 @plan("rebalance_grid", "SELECT max(d) AS d, 'weekly' AS cadence FROM bench GROUP BY date_trunc('week', d) UNION ALL SELECT max(d), 'monthly' FROM bench GROUP BY date_trunc('month', d)", "bench")
 def rebalance_grid(spark, sf):
-    d = A.bench_1d(spark, sf)
-    parts = [d.groupBy(F.date_trunc(u, "d")).agg(F.max("d").alias("d")).select("d", F.lit(c).alias("cadence")) for u, c in (("week", "weekly"), ("month", "monthly"))]
+    parts = [rebalance_days(spark, sf, u).select(F.col("g").alias("d"), F.lit(c).alias("cadence")) for u, c in (("week", "weekly"), ("month", "monthly"))]
     return parts[0].union(parts[1])
 
 
 def backtest(spark, sf):
     """Equity of the example fund at every rebalance date."""
-    rows = limited(spark, sf).join(marked(spark, sf), ["d", "ticker"]).select(F.lit("fund").alias("fund"), "d", "ticker", F.col("final").alias("weight"), "mark")
+    rows = book_rows(spark, sf).select(F.lit("fund").alias("fund"), "d", "ticker", F.col("final").alias("weight"), "mark")
     return simulation.fund_fold(rows, CAPITAL)
 
 
-@plan("fund_backtest", None)
+FUND = f"""WITH RECURSIVE {BLEND}, {GRID}, pos AS (SELECT ticker, row_number() OVER (ORDER BY ticker) AS k FROM (SELECT DISTINCT ticker FROM book)),
+    days AS (SELECT d, row_number() OVER (ORDER BY d) AS i FROM (SELECT DISTINCT d FROM book)),
+    arr AS MATERIALIZED (SELECT i, days.d, list(coalesce(weight, 0) ORDER BY k) AS w, list(coalesce(mark, 0) ORDER BY k) AS m FROM days CROSS JOIN pos LEFT JOIN book ON book.d = days.d AND book.ticker = pos.ticker GROUP BY 1, 2),
+    f AS (SELECT 0::BIGINT AS i, NULL::DATE AS d, {CAPITAL!r}::DOUBLE AS cash, {CAPITAL!r}::DOUBLE AS equity, [0.0::DOUBLE for x in range((SELECT count(*) FROM pos))] AS held, 0::BIGINT AS n, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down
+      UNION ALL SELECT i, d, cash - list_sum([(want[j] - held[j]) * m[j] for j in range(1, len(m) + 1)]), equity, want, list_sum([CASE WHEN want[j] <> held[j] THEN 1 ELSE 0 END for j in range(1, len(m) + 1)])::BIGINT,
+        list_sum([greatest(want[j] * m[j], 0) for j in range(1, len(m) + 1)]), -list_sum([least(want[j] * m[j], 0) for j in range(1, len(m) + 1)])
+      FROM (SELECT *, [CASE WHEN m[j] > 0 THEN trunc(w[j] * equity / m[j]) ELSE held[j] END for j in range(1, len(m) + 1)] AS want
+        FROM (SELECT a.i, a.d, a.w, a.m, f.cash, f.held, f.cash + list_sum([f.held[j] * a.m[j] for j in range(1, len(a.m) + 1)]) AS equity FROM f JOIN arr a ON a.i = f.i + 1)))"""
+
+
+@plan("fund_backtest", f"{FUND} SELECT 'fund' AS fund, d, round(cash, 2) AS cash, round(equity, 2) AS equity, n AS n_orders FROM f WHERE i > 0", "views bench")
 def fund_backtest(spark, sf):
     return backtest(spark, sf).select("fund", "d", F.round("cash", 2).alias("cash"), F.round("equity", 2).alias("equity"), "n_orders")
 
 
-@plan("fund_metrics", None)
+@plan("fund_exposure", f"{FUND} SELECT 'fund' AS fund, d, round(up, 2) AS long, round(down, 2) AS short, round(up + down, 2) AS gross, round(up - down, 2) AS net, round((up + down) / equity, 6) AS gross_share FROM f WHERE i > 0", "views bench")
+def fund_exposure(spark, sf):
+    """Long, short, gross and net exposure after each rebalance."""
+    u, v = F.col("long"), F.col("short")
+    return backtest(spark, sf).select("fund", "d", F.round(u, 2).alias("long"), F.round(v, 2).alias("short"), F.round(u + v, 2).alias("gross"), F.round(u - v, 2).alias("net"), r6((u + v) / F.col("equity"), "gross_share"))
+
+
+FUND_CURVE = f"{FUND}, v AS (SELECT *, equity / lag(equity) OVER (ORDER BY i) - 1 AS r, equity / max(equity) OVER (ORDER BY i) - 1 AS dd FROM f)"
+
+
+def fund_curve(spark, sf):
+    """The fund's curve with its starting capital as cycle 0, returns and drawdowns."""
+    c = backtest(spark, sf).select("fund", "d", "equity", "n_orders", F.row_number().over(W.partitionBy("fund").orderBy("d")).alias("i"))
+    start = c.where("i = 1").select("fund", F.lit(None).cast("date"), F.lit(CAPITAL), F.lit(0).cast("long"), F.lit(0))
+    return metrics.curve(c.union(start), "fund", "i", "equity")
+
+
+@plan("fund_running", f"""{FUND_CURVE} SELECT 'fund' AS fund, d, round(equity / {CAPITAL!r} - 1, 6) AS total_return, round(-min(dd) OVER w, 6) AS max_drawdown,
+    round(CASE WHEN count(r) OVER w > 1 AND stddev_samp(r) OVER w > 1e-12 THEN avg(r) OVER w / stddev_samp(r) OVER w * sqrt(12) ELSE 0 END, 6) AS sharpe, (sum(n) OVER w)::BIGINT AS n_orders FROM v WINDOW w AS (ORDER BY i) QUALIFY i > 0""", "views bench")
+def fund_running(spark, sf):
+    """The fund's metrics as they stood after every cycle."""
+    w = W.partitionBy("fund").orderBy("i")
+    sd = F.stddev_samp("ret").over(w)
+    x = fund_curve(spark, sf).select("fund", "i", "d", r6(F.col("equity") / CAPITAL - 1, "total_return"), r6(-F.min("dd").over(w), "max_drawdown"), F.round(F.when((F.count("ret").over(w) > 1) & (sd > 1e-12), F.avg("ret").over(w) / sd * F.sqrt(F.lit(12.0))).otherwise(0.0), 6).alias("sharpe"), F.sum("n_orders").over(w).alias("n_orders"))
+    return x.where("i > 0").drop("i")
+
+
+@plan("fund_metrics", f"""{FUND_CURVE}, g AS (SELECT arg_max(equity, i) / {CAPITAL!r} - 1 AS total, greatest(date_diff('day', min(d), max(d)) / 365.25, 0.01) AS years, CASE WHEN count(r) > 1 AND stddev_samp(r) > 1e-12 THEN avg(r) / stddev_samp(r) * sqrt(12) ELSE 0 END AS sharpe, -min(dd) AS dd, max(i) AS n, sum(n) AS orders, min(d) AS a, max(d) AS b FROM v),
+    m AS (SELECT (SELECT close FROM bench JOIN g ON bench.d = g.b) / (SELECT close FROM bench JOIN g ON bench.d = g.a) - 1 AS bench)
+    SELECT 'fund' AS fund, round(total, 6) AS total_return, round(pow(1 + total, 1 / years) - 1, 6) AS annualised, round(sharpe, 6) AS sharpe, round(dd, 6) AS max_drawdown, round(bench, 6) AS benchmark_return, round(total - bench, 6) AS excess_return, n AS n_cycles, orders::BIGINT AS n_orders FROM g CROSS JOIN m""", "views bench")
 def fund_metrics(spark, sf):
-    """Total and annualised return, Sharpe without risk-free rate and the largest drawdown of the fund."""
-    c = metrics.curve(backtest(spark, sf), "fund", "d", "equity")
-    g = c.groupBy("fund").agg(F.min_by("equity", "d").alias("a"), F.max_by("equity", "d").alias("b"), F.date_diff(F.max("d"), F.min("d")).alias("days"), metrics.sharpe(F.col("ret"), 12).alias("sharpe"), (-F.min("dd")).alias("max_drawdown"), F.count(F.lit(1)).alias("n_cycles"), F.sum("n_orders").alias("n_orders"))
-    total = F.col("b") / F.col("a") - 1
-    return g.select("fund", r6(total, "total_return"), r6(F.pow(1 + total, 365.25 / F.col("days")) - 1, "annualised"), r6(F.col("sharpe"), "sharpe"), r6(F.col("max_drawdown"), "max_drawdown"), "n_cycles", "n_orders")
+    """Total, annualised and excess return, Sharpe over the curve from the starting capital on, and the largest drawdown."""
+    c = fund_curve(spark, sf)
+    sd = F.stddev_samp("ret")
+    sharpe = F.when((F.count("ret") > 1) & (sd > 1e-12), F.avg("ret") / sd * F.sqrt(F.lit(12.0))).otherwise(0.0)
+    years = F.greatest(F.date_diff(F.max("d"), F.min("d")) / 365.25, F.lit(0.01))
+    g = c.groupBy("fund").agg((F.max_by("equity", "i") / CAPITAL - 1).alias("total"), years.alias("years"), sharpe.alias("sharpe"), (-F.min("dd")).alias("dd"), F.max("i").cast("long").alias("n_cycles"), F.sum("n_orders").alias("n_orders"), F.min("d").alias("a"), F.max("d").alias("b"))
+    b = A.bench_1d(spark, sf)
+    first, last = b.select(F.col("d").alias("a"), F.col("close").alias("c0")), b.select(F.col("d").alias("b"), F.col("close").alias("c1"))
+    g = g.join(first, "a", "left").join(last, "b", "left").withColumn("bench", F.col("c1") / F.col("c0") - 1)
+    total = F.col("total")
+    return g.select("fund", r6(total, "total_return"), r6(F.pow(1 + total, 1 / F.col("years")) - 1, "annualised"), r6(F.col("sharpe"), "sharpe"), r6(F.col("dd"), "max_drawdown"), r6(F.col("bench"), "benchmark_return"), r6(total - F.col("bench"), "excess_return"), "n_cycles", "n_orders")
 
 
 def crossed(spark, sf):
@@ -126,12 +192,22 @@ def crossed(spark, sf):
     return x.withColumn("signal", F.when(F.col("gap") > 0.05, 1).when(F.col("gap") < -0.05, -1).otherwise(0))
 
 
-@plan("edge_trigger_trades", None)
+CROSSED = """x AS (SELECT symbol AS ticker, d, close, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n,
+      coalesce(CASE WHEN count(close) OVER r >= 20 THEN close / avg(close) OVER r - 1 END, 0) AS gap FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY d), r AS (PARTITION BY symbol ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+    s AS MATERIALIZED (SELECT *, CASE WHEN gap > 0.05 THEN 1 WHEN gap < -0.05 THEN -1 ELSE 0 END AS signal FROM x)"""
+EDGE = f"""WITH RECURSIVE {CROSSED}, e AS (SELECT DISTINCT ticker, -1::BIGINT AS i, true AS armed, 0::BIGINT AS busy, false AS opened FROM s
+      UNION ALL SELECT ticker, i, CASE WHEN skip THEN armed WHEN signal = 0 THEN true WHEN opens THEN false ELSE armed END, CASE WHEN opens THEN i + 20 ELSE busy END, opens
+      FROM (SELECT s.ticker, s.i, s.signal, e.armed, e.busy, s.i < e.busy AS skip, s.i >= e.busy AND s.signal <> 0 AND e.armed AND s.i + 20 < s.n AND trunc(10000 / s.close) > 0 AS opens FROM e JOIN s ON s.ticker = e.ticker AND s.i = e.i + 1)),
+    t AS (SELECT a.ticker, a.d AS entry, b.d AS exit, a.signal AS side, trunc(10000 / a.close)::BIGINT AS shares, round((b.close - a.close) * trunc(10000 / a.close) * a.signal, 4) AS pnl
+      FROM e JOIN s a ON a.ticker = e.ticker AND a.i = e.i JOIN s b ON b.ticker = a.ticker AND b.i = a.i + 20 WHERE e.opened)"""
+
+
+@plan("edge_trigger_trades", f"{EDGE} SELECT * FROM t", "bars")
 def edge(spark, sf):
     return simulation.edge_trades(crossed(spark, sf).select("ticker", "d", "close", "signal"), 20, 10_000.0)
 
 
-@plan("trade_metrics", None)
+@plan("trade_metrics", f"""{EDGE} SELECT ticker, count(*) AS n, round(avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END), 6) AS win_rate, CASE WHEN sum(least(pnl, 0)) < -1e-9 THEN round(sum(greatest(pnl, 0)) / -sum(least(pnl, 0)), 6) END AS profit_factor, round(avg(pnl), 4) AS avg_pnl FROM t GROUP BY 1""", "bars")
 def trade_metrics(spark, sf):
     """Win rate, profit factor and averages of the edge-triggered trades."""
     t = edge(spark, sf)
@@ -150,7 +226,7 @@ def margin_book(spark, sf):
 @plan("perp_ledger", None)
 def perp(spark, sf):
     f = A.funding(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    h = A.trades(spark, sf).groupBy("symbol", F.window("ts", "8 hours").start.alias("ts")).agg(F.round(F.avg("price"), 4).alias("price"))
+    h = A.trades(spark, sf).groupBy("symbol", F.window("ts", "8 hours").start.alias("ts")).agg(F.min_by("price", F.struct("ts", "trade_id")).alias("price"))
     x = h.join(f, ["symbol", "ts"]).where("price > 0")
     side = F.signum(F.col("price") - F.avg("price").over(W.partitionBy("symbol").orderBy("ts").rowsBetween(-5, 0))).cast("int")
     return simulation.perp_ledger(x.select("symbol", "ts", "price", "rate", side.alias("side")), 10_000.0, 5.0, simulation.margin_rate)
@@ -160,11 +236,11 @@ FEE = "CASE market WHEN 'perp' THEN 0.0004 ELSE 0.001 END"
 
 
 @plan("fees_slippage", f"""WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice AS n, CASE WHEN l_linenumber % 2 = 0 THEN 'perp' ELSE 'spot' END AS market FROM lineitem)
-    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(n * {FEE} * 0.75, 4) AS fee, round(n * (2 + n / 15e9 * 1e4) / 1e4, 4) AS slippage FROM x""")
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(n * {FEE} * 0.75, 8) AS fee, round(n * (2 + n / 15e9 * 1e4) / 1e4, 6) AS slippage FROM x""")
 def fees(spark, sf):
     market = F.when(F.col("l_linenumber") % 2 == 0, "perp").otherwise("spot")
     n = F.col("l_extendedprice")
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(costs.fee(n, market, 1, False, 0.25), 4).alias("fee"), F.round(costs.slippage(n), 4).alias("slippage"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(costs.fee(n, market, 1, False, 0.25), 8).alias("fee"), r6(costs.slippage(n), "slippage"))
 
 
 @plan("liquidation_tiers", """WITH x AS (SELECT o_orderkey, o_totalprice AS p, CASE WHEN o_orderkey % 2 = 0 THEN true ELSE false END AS long, CASE WHEN o_totalprice < 50000 THEN 0.005 WHEN o_totalprice < 250000 THEN 0.01 WHEN o_totalprice < 1000000 THEN 0.015 ELSE 0.025 END AS r FROM orders)
@@ -206,23 +282,38 @@ def trade_stats(spark, sf):
     return c.groupBy("symbol").agg(r6(F.avg(F.when(r > 0, 1.0).otherwise(0.0)), "win_rate"), r6(F.sum(F.when(r > 0, r)) / -F.sum(F.when(r < 0, r)), "profit_factor"))
 
 
-@plan("equity_curve_pivot", """SELECT date_trunc('month', d)::DATE AS m, round(max(close) FILTER (symbol = 'AF'), 6) AS af, round(max(close) FILTER (symbol = 'NO'), 6) AS no FROM bars GROUP BY 1""", "bars")
+SYMBOLS = ("AF", "AO", "NF", "NO", "RF", "RO")
+
+
+@plan("equity_curve_pivot", "SELECT date_trunc('month', d)::DATE AS m, " + ", ".join(f"round(max(close) FILTER (symbol = '{x}'), 6) AS {x.lower()}" for x in SYMBOLS) + " FROM bars GROUP BY 1", "bars")
 def equity_pivot(spark, sf):
-    p = A.bars_1d(spark, sf).groupBy(F.trunc("d", "month").alias("m")).pivot("symbol", ["AF", "NO"]).agg(F.max("close"))
-    return p.select("m", r6(F.col("AF"), "af"), r6(F.col("NO"), "no"))
+    p = A.bars_1d(spark, sf).groupBy(F.trunc("d", "month").alias("m")).pivot("symbol", list(SYMBOLS)).agg(F.max("close"))
+    return p.select("m", *[r6(F.col(x), x.lower()) for x in SYMBOLS])
 
 
 def parameters(spark):
     return spark.createDataFrame([(f, s) for f in (8, 21, 34) for s in (21, 55, 89)], "fast int, slow int")
 
 
-@plan("grid_search", None)
+GRID_RUN = """WITH RECURSIVE n AS MATERIALIZED (SELECT symbol, d, close, row_number() OVER (PARTITION BY symbol ORDER BY d) AS i FROM bars),
+    p AS (SELECT fast::BIGINT AS fast, slow::BIGINT AS slow FROM (VALUES (8), (21), (34)) a(fast) CROSS JOIN (VALUES (21), (55), (89)) b(slow)),
+    g AS (SELECT symbol, fast, slow, i, close AS f, close AS s, 100000.0::DOUBLE AS cash, 0.0::DOUBLE AS shares, 0::BIGINT AS k, 100000.0::DOUBLE AS equity FROM n CROSS JOIN p WHERE i = 1 AND fast < slow
+      UNION ALL SELECT symbol, fast, slow, i, f2, s2, CASE WHEN buys THEN cash - trunc(cash / c) * c WHEN sells THEN cash + shares * c ELSE cash END, CASE WHEN buys THEN trunc(cash / c) WHEN sells THEN 0 ELSE shares END,
+        k + CASE WHEN buys OR sells THEN 1 ELSE 0 END, cash + shares * c
+      FROM (SELECT *, f <= s AND f2 > s2 AND shares = 0 AS buys, f >= s AND f2 < s2 AND shares <> 0 AS sells
+        FROM (SELECT g.*  EXCLUDE (i), n.i, n.close AS c, 2.0 / (fast + 1) * n.close + (1 - 2.0 / (fast + 1)) * f AS f2, 2.0 / (slow + 1) * n.close + (1 - 2.0 / (slow + 1)) * s AS s2 FROM g JOIN n ON n.symbol = g.symbol AND n.i = g.i + 1))),
+    r AS (SELECT *, equity / lag(equity) OVER (PARTITION BY symbol, fast, slow ORDER BY i) - 1 AS ret FROM g),
+    o AS (SELECT symbol, fast::INT AS fast, slow::INT AS slow, round(arg_max(equity, i) / 100000 - 1, 6) AS total_return, round(CASE WHEN stddev_samp(ret) > 0 THEN avg(ret) / stddev_samp(ret) * sqrt(252) END, 6) AS sharpe, max(k) AS n_trades, NULL::VARCHAR AS error FROM r GROUP BY 1, 2, 3
+      UNION ALL SELECT symbol, fast::INT, slow::INT, NULL, NULL, NULL, 'fast must be below slow' FROM (SELECT DISTINCT symbol FROM n) CROSS JOIN p WHERE fast >= slow)"""
+
+
+@plan("grid_search", f"{GRID_RUN} SELECT * FROM o", "bars")
 def grid(spark, sf):
     g = simulation.grid_search(A.bars_1d(spark, sf).select("symbol", "d", "close"), parameters(spark), 100_000.0)
     return g.select("symbol", "fast", "slow", r6(F.col("total_return"), "total_return"), r6(F.col("sharpe"), "sharpe"), "n_trades", "error")
 
 
-@plan("param_heatmap", None)
+@plan("param_heatmap", GRID_RUN + " SELECT fast, " + ", ".join(f'round(avg(sharpe) FILTER (slow = {n}), 6) AS "{n}"' for n in (21, 55, 89)) + " FROM o GROUP BY 1", "bars")
 def heatmap(spark, sf):
     return grid(spark, sf).groupBy("fast").pivot("slow", [21, 55, 89]).agg(r6(F.avg("sharpe"), "s"))
 
@@ -247,10 +338,13 @@ def paper(spark, sf):
     return simulation.paper_match(t.select("symbol", "ts", F.col("trade_id").alias("seq"), kind.alias("kind"), "side", price.alias("price"), F.lit(1.0).alias("qty")), 5_000.0)
 
 
-@plan("alert_cooldown", None)
+@plan("alert_cooldown", """WITH RECURSIVE a AS MATERIALIZED (SELECT symbol, ts, price, row_number() OVER (PARTITION BY symbol ORDER BY ts, price) AS i FROM trades WHERE price > 100),
+    c AS (SELECT symbol, ts, price, i, ts AS last, true AS fires FROM a WHERE i = 1 UNION ALL
+      SELECT a.symbol, a.ts, a.price, a.i, CASE WHEN a.ts - c.last >= INTERVAL 1 DAY THEN a.ts ELSE c.last END, a.ts - c.last >= INTERVAL 1 DAY FROM c JOIN a ON a.symbol = c.symbol AND a.i = c.i + 1)
+    SELECT symbol, ts, price FROM c WHERE fires""", "trades")
 def alerts(spark, sf):
     t = A.trades(spark, sf).where("price > 100").select("symbol", "ts", "price")
-    return simulation.cooldown(t, "symbol", "ts", 86_400)
+    return simulation.cooldown(t, "symbol", "ts", 86_400).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @plan("top_events", "SELECT trade_id, symbol, price FROM trades ORDER BY price DESC, trade_id LIMIT 20", "trades")

@@ -61,7 +61,7 @@ def events_on(spark, sf):
     """Filings spread over the traded symbols."""
     names = A.bars_1d(spark, sf).select("symbol").distinct().withColumn("k", F.dense_rank().over(W.orderBy("symbol")) - 1)
     f = A.filings(spark, sf).withColumn("k", (F.col("ticker") % 6).cast("int"))
-    return f.join(F.broadcast(names), "k").drop("k")
+    return f.join(names, "k").drop("k")
 
 
 @plan("pit_fundamentals", """SELECT ticker, report_period, filing_date, round(gross_margin, 6) AS gross_margin FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY report_period DESC) AS n FROM fundamentals WHERE filing_date <= DATE '1998-06-30') WHERE n <= 4""", "fundamentals")
@@ -104,11 +104,13 @@ def pead(spark, sf):
     return j.select("ticker", "d", F.when(fresh, F.when(F.col("surprise") == "BEAT", 1.0).otherwise(-1.0)).otherwise(0.0).alias("conviction"))
 
 
+def returns_of(spark, sf):
+    return event_study.aligned_returns(A.bars_1d(spark, sf).withColumnRenamed("symbol", "ticker"), A.bench_1d(spark, sf))
+
+
 def study_frame(spark, sf):
-    stock = A.bars_1d(spark, sf).withColumnRenamed("symbol", "ticker")
-    returns = event_study.aligned_returns(stock, A.bench_1d(spark, sf))
     e = events_on(spark, sf).where("surprise <> 'MEET' and datediff(filing_date, report_period) between 0 and 44")
-    return event_study.study(e.select(F.col("symbol").alias("ticker"), F.col("filing_id").alias("event_id"), "source_type", F.col("filing_date").alias("event_date")), returns)
+    return event_study.study(e.select(F.col("symbol").alias("ticker"), F.col("filing_id").alias("event_id"), "source_type", F.col("filing_date").alias("event_date")), returns_of(spark, sf))
 
 
 EVENTS = """s AS (SELECT symbol, dense_rank() OVER (ORDER BY symbol) - 1 AS k FROM (SELECT DISTINCT symbol FROM bars)),
@@ -134,7 +136,7 @@ def car_aggregate(spark, sf):
 
 
 def unpivoted(spark, sf):
-    return study_frame(spark, sf).select("source_type", F.expr("stack(3, 'car_0_1', car_0_1, 'car_0_5', car_0_5, 'car_0_20', car_0_20) as (win, car)"))
+    return study_frame(spark, sf).select("source_type", "ticker", "event_id", F.expr("stack(3, 'car_0_1', car_0_1, 'car_0_5', car_0_5, 'car_0_20', car_0_20) as (win, car)"))
 
 
 @plan("car_t_test", None)
@@ -146,32 +148,35 @@ def t_test(spark, sf):
 
 @plan("bootstrap_ci", None)
 def bootstrap(spark, sf):
-    return stats.bootstrap_ci(unpivoted(spark, sf), ["source_type", "win"], "car")
+    u = unpivoted(spark, sf).withColumn("event", F.concat_ws("|", "ticker", "event_id"))
+    return stats.bootstrap_ci(u, ["source_type", "win"], "car", "event")
 
 
 @plan("avg_cum_ar", f"""WITH {EVENTS}, c AS (SELECT source_type, k, sum(ar) OVER (PARTITION BY symbol, filing_id ORDER BY k) AS v FROM ar)
-    SELECT source_type, k AS day, count(*) AS n, round(avg(v), 3) AS mean FROM c GROUP BY 1, 2""", "bars bench filings")
+    SELECT source_type, k AS day, count(*) AS n, round(avg(v), 3) AS mean, round(coalesce(stddev_samp(v) / sqrt(count(v)), 0), 4) AS se FROM c GROUP BY 1, 2""", "bars bench filings")
 def avg_path(spark, sf):
-    s = study_frame(spark, sf).select("source_type", "ticker", "event_id", F.explode("daily_ar").alias("a"))
-    run = F.sum(F.coalesce("a.ar", F.lit(0.0))).over(W.partitionBy("ticker", "event_id").orderBy("a.day"))
-    return s.select("source_type", F.col("a.day").alias("day"), run.alias("v")).groupBy("source_type", "day").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 3).alias("mean"))
+    s = event_study.paths(study_frame(spark, sf), returns_of(spark, sf))
+    run = F.sum(F.coalesce("ar", F.lit(0.0))).over(W.partitionBy("ticker", "event_id").orderBy("day"))
+    s = s.select("source_type", F.col("day").cast("long").alias("day"), run.alias("v")).groupBy("source_type", "day")
+    return s.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 3).alias("mean"), F.round(F.coalesce(F.stddev_samp("v") / F.sqrt(F.count("v")), F.lit(0.0)), 4).alias("se"))
 
 
-@plan("car_hist", None)
+@plan("car_hist", f"""WITH {EVENTS}, u AS (SELECT source_type, c20 AS car FROM car WHERE c20 IS NOT NULL), w AS (SELECT *, min(car) OVER (PARTITION BY source_type) AS lo, max(car) OVER (PARTITION BY source_type) AS hi FROM u)
+    SELECT source_type, least(floor(CASE WHEN hi > lo THEN (car - lo) / (hi - lo) * 20 ELSE 0 END), 19)::BIGINT AS bin, count(*) AS n FROM w GROUP BY 1, 2""", "bars bench filings")
 def car_hist(spark, sf):
     """20 equal bins of the longest window's sums for each source."""
     u = unpivoted(spark, sf).where("win = 'car_0_20' and car is not null")
     w = W.partitionBy("source_type")
     x = u.withColumns({"lo": F.min("car").over(w), "hi": F.max("car").over(w)})
-    b = F.least(F.floor(F.coalesce(F.try_divide(F.col("car") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * 20), F.lit(19))
+    b = F.least(F.floor(F.coalesce(F.try_divide(F.col("car") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * 20), F.lit(19)).cast("long")
     return x.groupBy("source_type", b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@plan("cum_ret_horizons", """WITH h(k) AS (VALUES (1), (2), (4), (8)), p AS (SELECT trade_id, symbol, ts, price, k, ts + to_hours(k) AS at FROM trades CROSS JOIN h WHERE trade_id % 5 = 0)
+@plan("cum_ret_horizons", """WITH h(k) AS (VALUES (1), (2), (4), (8)), p AS (SELECT trade_id, symbol, ts, price, k, ts + to_hours(k) AS at FROM trades CROSS JOIN h)
     SELECT p.trade_id, p.k AS horizon, round(t.price / nullif(p.price, 0) - 1, 6) AS ret FROM p ASOF LEFT JOIN trades t ON p.symbol = t.symbol AND p.at >= t.ts""", "trades")
 def horizons(spark, sf):
     t = A.trades(spark, sf)
-    p = t.where("trade_id % 5 = 0").select("trade_id", "symbol", F.col("price").alias("base"), "ts", F.explode(F.array(*[F.lit(k) for k in (1, 2, 4, 8)])).alias("horizon"))
+    p = t.select("trade_id", "symbol", F.col("price").alias("base"), "ts", F.explode(F.array(*[F.lit(k) for k in (1, 2, 4, 8)])).alias("horizon"))
     p = p.select("trade_id", "symbol", "base", "horizon", (F.col("ts") + F.make_dt_interval(F.lit(0), F.col("horizon"))).alias("ts"))
     j = joins.asof_join(p, t.select("symbol", "ts", "price"), "symbol", "ts", ["price"])
     return j.select("trade_id", "horizon", r6(F.try_divide("price", "base") - 1, "ret"))
@@ -189,11 +194,13 @@ def event_windows(spark, sf):
 
 
 @plan("mann_whitney", """WITH x AS (SELECT symbol, CASE WHEN side = 'buy' THEN 1 ELSE 0 END AS g, price FROM trades),
-    r AS (SELECT symbol, g, rank() OVER (PARTITION BY symbol ORDER BY price) + (count(*) OVER (PARTITION BY symbol, price) - 1) / 2.0 AS rk FROM x)
-    SELECT symbol, count(*) FILTER (g = 1) AS n1, count(*) FILTER (g = 0) AS n0, round(sum(rk) FILTER (g = 1) - count(*) FILTER (g = 1) * (count(*) FILTER (g = 1) + 1) / 2, 3)::DOUBLE AS u FROM r GROUP BY 1""", "trades")
+    r AS (SELECT symbol, g, rank() OVER (PARTITION BY symbol ORDER BY price) + (count(*) OVER (PARTITION BY symbol, price) - 1) / 2.0 AS rk FROM x),
+    s AS (SELECT symbol, count(*) FILTER (g = 1) AS n1, count(*) FILTER (g = 0) AS n0, sum(rk) FILTER (g = 1) - count(*) FILTER (g = 1) * (count(*) FILTER (g = 1) + 1) / 2 AS u FROM r GROUP BY 1),
+    t AS (SELECT symbol, sum(k * k * k - k) AS ties FROM (SELECT symbol, count(*)::DOUBLE AS k FROM x GROUP BY symbol, price) GROUP BY 1)
+    SELECT symbol, n1, n0, round(u, 3)::DOUBLE AS u, round((u - n1 * n0 / 2.0 - 0.5) / sqrt(n1 * n0 / 12.0 * (n1 + n0 + 1 - ties / ((n1 + n0) * (n1 + n0 - 1.0)))), 6)::DOUBLE AS z FROM s JOIN t USING (symbol)""", "trades")
 def rank_sum(spark, sf):
     x = A.trades(spark, sf).select("symbol", (F.col("side") == "buy").cast("int").alias("g"), "price")
-    return stats.mann_whitney(x, ["symbol"], "g", "price").select("symbol", "n1", "n0", F.round("u", 3).alias("u"))
+    return stats.mann_whitney(x, ["symbol"], "g", "price").select("symbol", "n1", "n0", F.round("u", 3).alias("u"), r6(F.col("z"), "z"))
 
 
 @plan("prob_velocity", """WITH m AS (SELECT token_id, max(ts) AS t FROM prob GROUP BY 1), v AS (SELECT token_id, avg(p) FILTER (ts > t - INTERVAL 1 HOUR) AS now, avg(p) FILTER (ts > t - INTERVAL 24 HOUR AND ts <= t - INTERVAL 1 HOUR) AS old FROM prob JOIN m USING (token_id) GROUP BY 1)
