@@ -40,6 +40,16 @@ def ensemble(parts: dict[str, tuple[Column, Column]], weights: dict[str, float],
     return F.when(score > limit, "bullish").when(score < -limit, "bearish").otherwise("neutral"), score
 
 
+def weighted_votes(parts: dict[str, tuple[Column, Column]], weights: dict[str, float], limit: float) -> tuple[Column, Column, Column]:
+    """(signal, confidence, score) of votes (sign, confidence): those without confidence have no weight; null score without any."""
+    w = {k: F.when(F.coalesce(c, F.lit(0)) > 0, F.lit(float(weights[k]))).otherwise(0.0) for k, (_, c) in parts.items()}
+    total = sum(w.values(), F.lit(0.0))
+    score = F.round(F.try_divide(sum((s * w[k] for k, (s, _) in parts.items()), F.lit(0.0)), total), 9)
+    confidence = whole(F.try_divide(sum((F.coalesce(c, F.lit(0)) * w[k] for k, (_, c) in parts.items()), F.lit(0.0)), total))
+    signal = F.when(score > limit, "bullish").when(score < -limit, "bearish").otherwise("neutral")
+    return signal, F.coalesce(confidence, F.lit(0)), score
+
+
 def lexicon_sentiment(posts: DataFrame, text: str, bullish: list[str], bearish: list[str]) -> DataFrame:
     """Label and confidence from the distinct words of a text that are in either list."""
     words = F.array_distinct(F.split(F.lower(F.col(text)), r"\s+"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import windows as X
 from tidemark.functions.ewm import ewm
-from tidemark.operators.signals import TECHNICAL_WEIGHTS, ensemble
+from tidemark.operators.signals import CRYPTO_WEIGHTS, TECHNICAL_WEIGHTS, ensemble
 from tidemark.sources import adapters as A
 from tidemark.sources.adapters import with_views
 
@@ -189,21 +189,43 @@ def hurst(spark, sf):
     return long.groupBy("symbol").agg(r6(F.regr_slope(F.ln(F.greatest(F.lit(1e-8), F.col("p.tau"))), F.ln("p.k")), "hurst"))
 
 
-@plan("technical_ensemble", None)
-def technical(spark, sf):
-    """The five sub-signals and their ensemble for every bar (all bars, not only the last)."""
+def slope_weights():
+    """Weights that give the least-squares slope of values at ln(2), ..., ln(19)."""
+    import math
+
+    k = [math.log(lag) for lag in LAGS]
+    mean = sum(k) / len(k)
+    spread = sum((x - mean) ** 2 for x in k)
+    return {lag: (x - mean) / spread for lag, x in zip(LAGS, k, strict=True)}
+
+
+def technical_frame(spark, sf):
+    """Everything the sub-signals need, for every bar, from what was known then: one frame, two passes of exponential means."""
     w = X.series()
     c, r = F.col("close"), F.col("ret")
-    x = adx_frame(spark, sf).select("symbol", "d", "adx").join(with_emas(spark, sf).drop("close"), ["symbol", "d"]).join(priced(spark, sf), ["symbol", "d"])
+    b = priced(spark, sf)
+    up, down = F.col("high") - F.lag("high").over(w), F.lag("low").over(w) - F.col("low")
     hv = X.roll(F.stddev_samp, r, w, 21) * F.sqrt(F.lit(252.0))
-    x = x.withColumns({
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    b = b.withColumns({f"x{k}": c - F.lag("close", k).over(w) for k in LAGS})
+    tau = {k: F.ln(F.greatest(F.lit(1e-8), F.sqrt(F.stddev_pop(f"x{k}").over(upto)))) for k in LAGS}
+    b = b.withColumns({
+        "up": F.when((up > down) & (up > 0), up).otherwise(0.0), "down": F.when((down > up) & (down > 0), down).otherwise(0.0),
         "i": F.row_number().over(w), "z": F.try_divide(c - X.roll(F.avg, c, w, 50), X.roll(F.stddev_samp, c, w, 50)),
         "pb": F.try_divide(c - (X.roll(F.avg, c, w, 20) - 2 * X.roll(F.stddev_samp, c, w, 20)), 4 * X.roll(F.stddev_samp, c, w, 20)),
         "mom": 0.4 * X.roll(F.sum, r, w, 21) + 0.3 * X.roll(F.sum, r, w, 63) + 0.3 * X.roll(F.sum, r, w, 126),
         "vr": F.col("volume") / X.roll(F.avg, F.col("volume"), w, 21), "hv": hv, "skew": X.skew_unbiased(r, w, 63),
-    })
+        "hurst": sum((tau[k] * v for k, v in slope_weights().items()), F.lit(0.0)),
+    }).drop(*[f"x{k}" for k in LAGS])
     m, s = X.roll(F.avg, F.col("hv"), w, 63), X.roll(F.stddev_samp, F.col("hv"), w, 63)
-    x = x.withColumns({"regime": F.try_divide(F.col("hv"), m), "vz": F.try_divide(F.col("hv") - m, s)}).join(hurst(spark, sf), "symbol")
+    b = b.withColumns({"regime": F.try_divide(F.col("hv"), m), "vz": F.try_divide(F.col("hv") - m, s)})
+    e = ewm(b, {"etr": ("tr", 14, True), "eup": ("up", 14, True), "edown": ("down", 14, True), **{f"ema{n}": ("close", n, False) for n in (8, 21, 55)}})
+    p, q = 100 * F.try_divide("eup", "etr"), 100 * F.try_divide("edown", "etr")
+    return ewm(e.withColumn("dx", 100 * F.try_divide(F.abs(p - q), p + q)), {"adx": ("dx", 14, True)})
+
+
+def technical_signal(x, weights, ready: int):
+    """The five sub-signals and their ensemble; a trend needs ``ready`` bars."""
 
     def part(up, down, conf, ready=None):
         """(sign, confidence): +1, -1 or a neutral 0 with 0.5; 0 and 0 before the series is long enough."""
@@ -214,15 +236,57 @@ def technical(spark, sf):
     fast, slow = F.col("ema8") > F.col("ema21"), F.col("ema21") > F.col("ema55")
     none = F.lit(False)
     parts = {
-        "trend": part(fast & slow, ~fast & ~slow, F.col("adx") / 100, F.col("i") >= 55),
+        "trend": part(fast & slow, ~fast & ~slow, F.col("adx") / 100, F.col("i") >= ready),
         "mean_reversion": part((F.col("z") < -2) & (F.col("pb") < 0.2), (F.col("z") > 2) & (F.col("pb") > 0.8), F.least(F.abs("z") / 4, F.lit(1.0))),
         "momentum": part((F.col("mom") > 0.05) & (F.col("vr") > 1), (F.col("mom") < -0.05) & (F.col("vr") > 1), F.least(5 * F.abs("mom"), F.lit(1.0))),
         "volatility": part((F.col("regime") < 0.8) & (F.col("vz") < -1), (F.col("regime") > 1.2) & (F.col("vz") > 1), F.least(F.abs("vz") / 3, F.lit(1.0))),
         "stat_arb": part(F.coalesce((F.col("hurst") < 0.4) & (F.col("skew") > 1), none), F.coalesce((F.col("hurst") < 0.4) & (F.col("skew") < -1), none), 2 * (0.5 - F.col("hurst"))),
     }
     parts = {k: (s, F.coalesce(c, F.lit(0.5))) for k, (s, c) in parts.items()}
-    signal, score = ensemble(parts, TECHNICAL_WEIGHTS)
-    return x.select("symbol", "d", *[s.alias(f"{k}_sign") for k, (s, _) in parts.items()], signal.alias("signal"), r6(score, "score"))
+    signal, score = ensemble(parts, weights)
+    return x.select("symbol", "d", *[s.alias(f"{k}_sign") for k, (s, _) in parts.items()], signal.alias("signal"), F.round(score, 4).alias("score"))
+
+
+def technical_sql(weights: dict[str, float], ready: int) -> str:
+    """The same in SQL: windows, and recursive exponential means."""
+    tau = ", ".join(f"ln(greatest(1e-8, sqrt(stddev_pop(x{k}) OVER u))) AS t{k}" for k in LAGS)
+    lags = ", ".join(f"close - lag(close, {k}) OVER w AS x{k}" for k in LAGS)
+    slope = " + ".join(f"t{k} * ({v!r})" for k, v in slope_weights().items())
+    rolled = {"m50": ("avg(close)", 50, "close"), "s50": ("stddev_samp(close)", 50, "close"), "m20": ("avg(close)", 20, "close"), "s20": ("stddev_samp(close)", 20, "close"), "r21": ("sum(ret)", 21, "ret"), "r63": ("sum(ret)", 63, "ret"), "r126": ("sum(ret)", 126, "ret"), "v21": ("avg(volume)", 21, "volume"), "sd21": ("stddev_samp(ret)", 21, "ret"), "skew": ("skewness(ret)", 63, "ret")}
+    rolled = ", ".join(f"{full(e, n, c)} AS {k}" for k, (e, n, c) in rolled.items())
+    ema = lambda n: f"{2 / (n + 1)!r} * q.close + (1 - {2 / (n + 1)!r}) * e.e{n}"
+    names = list(weights)
+    parts = {
+        "trend": (f"CASE WHEN i < {ready} THEN 0 WHEN e8 > e21 AND e21 > e55 THEN 1 WHEN e8 <= e21 AND e21 <= e55 THEN -1 ELSE 0 END", f"CASE WHEN i < {ready} THEN 0 WHEN e8 > e21 AND e21 > e55 OR e8 <= e21 AND e21 <= e55 THEN coalesce(adx / 100, 0.5) ELSE 0.5 END"),
+        "mean_reversion": ("CASE WHEN z < -2 AND pb < 0.2 THEN 1 WHEN z > 2 AND pb > 0.8 THEN -1 ELSE 0 END", "CASE WHEN z < -2 AND pb < 0.2 OR z > 2 AND pb > 0.8 THEN least(abs(z) / 4, 1) ELSE 0.5 END"),
+        "momentum": ("CASE WHEN mom > 0.05 AND vr > 1 THEN 1 WHEN mom < -0.05 AND vr > 1 THEN -1 ELSE 0 END", "CASE WHEN (mom > 0.05 OR mom < -0.05) AND vr > 1 THEN least(5 * abs(mom), 1) ELSE 0.5 END"),
+        "volatility": ("CASE WHEN regime < 0.8 AND vz < -1 THEN 1 WHEN regime > 1.2 AND vz > 1 THEN -1 ELSE 0 END", "CASE WHEN regime < 0.8 AND vz < -1 OR regime > 1.2 AND vz > 1 THEN least(abs(vz) / 3, 1) ELSE 0.5 END"),
+        "stat_arb": ("CASE WHEN hurst < 0.4 AND skew > 1 THEN 1 WHEN hurst < 0.4 AND skew < -1 THEN -1 ELSE 0 END", "CASE WHEN hurst < 0.4 AND (skew > 1 OR skew < -1) THEN 2 * (0.5 - hurst) ELSE 0.5 END"),
+    }
+    signs = ", ".join(f"{parts[k][0]} AS {k}_sign, ({parts[k][1]})::DOUBLE AS c_{k}" for k in names)
+    top, base = " + ".join(f"{k}_sign * {weights[k]} * c_{k}" for k in names), " + ".join(f"{weights[k]} * c_{k}" for k in names)
+    return f"""WITH RECURSIVE {P}, l AS (SELECT *, {lags}, high - lag(high) OVER w AS hu, lag(low) OVER w - low AS ld, {rolled} FROM p WINDOW w AS (PARTITION BY symbol ORDER BY d)),
+    h AS (SELECT *, {tau}, sd21 * sqrt(252) AS hv FROM l WINDOW u AS (PARTITION BY symbol ORDER BY d ROWS UNBOUNDED PRECEDING)),
+    q AS MATERIALIZED (SELECT symbol, d, i, close, tr, CASE WHEN hu > ld AND hu > 0 THEN hu ELSE 0.0 END AS up, CASE WHEN ld > hu AND ld > 0 THEN ld ELSE 0.0 END AS dn, (close - m50) / nullif(s50, 0) AS z, (close - (m20 - 2 * s20)) / nullif(4 * s20, 0) AS pb,
+      0.4 * r21 + 0.3 * r63 + 0.3 * r126 AS mom, volume / v21 AS vr, skew, {slope} AS hurst, hv / nullif({full('avg(hv)', 63, 'hv')}, 0) AS regime, (hv - {full('avg(hv)', 63, 'hv')}) / nullif({full('stddev_samp(hv)', 63, 'hv')}, 0) AS vz FROM h),
+    e AS (SELECT symbol, i, tr AS t, up AS a, dn AS b, close AS e8, close AS e21, close AS e55, 0.0::DOUBLE AS num, 0.0::DOUBLE AS den FROM q WHERE i = 1
+      UNION ALL SELECT symbol, i, t, a, b, e8, e21, e55, coalesce(dx, 0) + {K!r} * num, CASE WHEN dx IS NULL THEN 0.0 ELSE 1.0 END + {K!r} * den
+      FROM (SELECT *, CASE WHEN a + b > 0 THEN 100 * abs(a / t - b / t) / (a / t + b / t) END AS dx FROM (SELECT q.symbol, q.i, q.tr + {K!r} * e.t AS t, q.up + {K!r} * e.a AS a, q.dn + {K!r} * e.b AS b, {ema(8)} AS e8, {ema(21)} AS e21, {ema(55)} AS e55, e.num, e.den FROM e JOIN q ON q.symbol = e.symbol AND q.i = e.i + 1))),
+    y AS (SELECT q.symbol, q.d, {signs} FROM (SELECT q.*, e8, e21, e55, CASE WHEN den > 0 THEN num / den END AS adx FROM q JOIN e ON e.symbol = q.symbol AND e.i = q.i) q),
+    o AS (SELECT *, CASE WHEN {base} > 0 THEN ({top}) / ({base}) ELSE 0 END AS score FROM y)
+    SELECT symbol, d, {", ".join(f"{k}_sign" for k in names)}, CASE WHEN score > 0.2 THEN 'bullish' WHEN score < -0.2 THEN 'bearish' ELSE 'neutral' END AS signal, round(score, 4) AS score FROM o"""
+
+
+@plan("technical_ensemble", technical_sql(TECHNICAL_WEIGHTS, 55))
+def technical(spark, sf):
+    """The five sub-signals and their ensemble for every bar."""
+    return technical_signal(technical_frame(spark, sf), TECHNICAL_WEIGHTS, 55)
+
+
+@plan("crypto_ensemble", technical_sql(CRYPTO_WEIGHTS, 63))
+def crypto(spark, sf):
+    """The ensemble with the weights for crypto assets."""
+    return technical_signal(technical_frame(spark, sf), CRYPTO_WEIGHTS, 63)
 
 
 @plan("drawdown", "SELECT symbol, d, round(close / max(close) OVER (PARTITION BY symbol ORDER BY d) - 1, 6) AS drawdown FROM bars")

@@ -73,10 +73,11 @@ def upsert_last(spark, sf):
     return upsert.upsert_last(b, new, ["symbol", "d"]).select("symbol", "d", r6(F.col("close"), "close"))
 
 
-@plan("insert_ignore_first_wins", """SELECT trade_id, symbol, price FROM trades WHERE trade_id % 2 = 0 UNION ALL SELECT trade_id, symbol, price + 1 FROM trades WHERE trade_id % 2 = 1 AND trade_id % 3 = 0""", "trades")
+@plan("insert_ignore_first_wins", """SELECT trade_id, symbol, CASE WHEN ts < TIMESTAMP '2024-01-16' THEN price ELSE price + 1 END AS price FROM trades""", "trades")
 def insert_ignore(spark, sf):
-    t = A.trades(spark, sf).select("trade_id", "symbol", "price")
-    old, new = t.where("trade_id % 2 = 0"), t.where("trade_id % 3 = 0").withColumn("price", F.col("price") + 1)
+    """A second delivery of all trades, with other prices, onto a store that ends in the middle of the month."""
+    t = A.trades(spark, sf).select("trade_id", "symbol", "price", "ts")
+    old, new = t.where("ts < timestamp'2024-01-16'").drop("ts"), t.drop("ts").withColumn("price", F.col("price") + 1)
     return upsert.insert_ignore(old, new, ["trade_id"], [F.col("price")])
 
 
@@ -134,14 +135,15 @@ IMB = "CASE WHEN b + a > 0 THEN (b - a) / (b + a) ELSE 0 END"
     SELECT symbol, h, round({IMB}, 6) AS imbalance, CASE WHEN {IMB} > 0.2 THEN 'bullish' WHEN {IMB} < -0.2 THEN 'bearish' ELSE 'neutral' END AS signal,
     CASE WHEN abs({IMB}) > 0.2 THEN least(CAST(floor(round(150 * abs({IMB}), 6)) AS BIGINT), 80) ELSE 20 END AS confidence FROM s""", "trades")
 def imbalance(spark, sf):
-    n = nested_book(spark, sf)
+    return imbalances(spark, sf).select("symbol", "h", r6(F.col("i"), "imbalance"), three_way("i", 0.2).alias("signal"), bounded_confidence("i", 0.2, 150, 80, 20).alias("confidence"))
 
-    def notional(c):
-        return F.aggregate(c, F.lit(0.0), lambda s, x: s + x["price"] * x["size"])
 
-    b, a = notional("bids"), notional("asks")
-    x = n.select("symbol", F.col("h").cast("timestamp_ntz").alias("h"), F.when(b + a > 0, (b - a) / (b + a)).otherwise(0.0).alias("i"))
-    return x.select("symbol", "h", r6(F.col("i"), "imbalance"), three_way("i", 0.2).alias("signal"), bounded_confidence("i", 0.2, 150, 80, 20).alias("confidence"))
+def imbalances(spark, sf):
+    """Imbalance of the notional of bids and asks of each symbol and hour."""
+    v = F.col("price") * F.col("amount")
+    g = A.trades(spark, sf).groupBy("symbol", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("h"))
+    g = g.agg(F.sum(F.when(F.col("side") == "buy", v).otherwise(0.0)).alias("b"), F.sum(F.when(F.col("side") == "buy", 0.0).otherwise(v)).alias("a"))
+    return g.select("symbol", "h", F.when(F.col("b") + F.col("a") > 0, (F.col("b") - F.col("a")) / (F.col("b") + F.col("a"))).otherwise(0.0).alias("i"))
 
 
 def three_way(c: str, limit: float):
@@ -178,6 +180,32 @@ def large_orders(spark, sf):
     return flow(spark, sf).select("symbol", "day", r6(F.col("big"), "bias"), three_way("big", 0.3).alias("signal"), bounded_confidence("big", 0.3, 100, 70, 15).alias("confidence"))
 
 
+MICRO = """i AS (SELECT symbol, date_trunc('day', h) AS day, arg_max(CASE WHEN b + a > 0 THEN (b - a) / (b + a) ELSE 0 END, h) AS x FROM (SELECT symbol, date_trunc('hour', ts) AS h,
+      sum(CASE WHEN side = 'buy' THEN price * amount ELSE 0 END) AS b, sum(CASE WHEN side = 'buy' THEN 0 ELSE price * amount END) AS a FROM trades GROUP BY 1, 2) GROUP BY 1, 2),
+    u AS (SELECT f.symbol, f.day, n, CASE WHEN i.x > 0.2 THEN 1 WHEN i.x < -0.2 THEN -1 ELSE 0 END AS s1, CASE WHEN abs(i.x) > 0.2 THEN least(floor(round(150 * abs(i.x), 6)), 80) ELSE 20 END AS c1,
+      CASE WHEN f.x > 0.1 THEN 1 WHEN f.x < -0.1 THEN -1 ELSE 0 END AS s2, CASE WHEN n < 20 THEN 0 WHEN abs(f.x) > 0.1 THEN least(floor(round(300 * abs(f.x), 6)), 80) ELSE 20 END AS c2,
+      CASE WHEN big > 0.3 THEN 1 WHEN big < -0.3 THEN -1 ELSE 0 END AS s3, CASE WHEN big IS NULL THEN 0 WHEN abs(big) > 0.3 THEN least(floor(round(100 * abs(big), 6)), 70) ELSE 15 END AS c3 FROM f JOIN i ON i.symbol = f.symbol AND i.day = f.day),
+    w AS (SELECT *, CASE WHEN c1 > 0 THEN 0.4 ELSE 0 END::DOUBLE AS w1, CASE WHEN c2 > 0 THEN 0.4 ELSE 0 END::DOUBLE AS w2, CASE WHEN c3 > 0 THEN 0.2 ELSE 0 END::DOUBLE AS w3 FROM u),
+    v AS (SELECT symbol, day, n, round((s1 * w1 + s2 * w2 + s3 * w3) / nullif(w1 + w2 + w3, 0), 9) AS score, (c1 * w1 + c2 * w2 + c3 * w3) / nullif(w1 + w2 + w3, 0) AS conf FROM w)"""
+
+
+@plan("ob_combined", f"""WITH {FLOW}, {MICRO} SELECT symbol, day, round(score, 6) AS score, CASE WHEN score > 0.25 THEN 'bullish' WHEN score < -0.25 THEN 'bearish' ELSE 'neutral' END AS signal, coalesce(floor(round(conf, 6)), 0)::BIGINT AS confidence FROM v""", "trades")
+def ob_combined(spark, sf):
+    """Each day's last book, its trade flow and its large orders as one signal; too few trades leave the flow out."""
+    from tidemark.operators import signals
+
+    i = imbalances(spark, sf).groupBy("symbol", F.date_trunc("day", "h").alias("day")).agg(F.max_by("i", "h").alias("i"))
+    x = flow(spark, sf).join(i, ["symbol", "day"])
+    sign = lambda c, limit: F.when(F.col(c) > limit, 1).when(F.col(c) < -limit, -1).otherwise(0)
+    parts = {
+        "imbalance": (sign("i", 0.2), bounded_confidence("i", 0.2, 150, 80, 20)),
+        "flow": (sign("x", 0.1), F.when(F.col("n") < 20, 0).otherwise(bounded_confidence("x", 0.1, 300, 80, 20))),
+        "large": (sign("big", 0.3), F.when(F.col("big").isNull(), 0).otherwise(bounded_confidence("big", 0.3, 100, 70, 15))),
+    }
+    signal, confidence, score = signals.weighted_votes(parts, {"imbalance": 0.4, "flow": 0.4, "large": 0.2}, 0.25)
+    return x.select("symbol", "day", r6(score, "score"), signal.alias("signal"), confidence.alias("confidence"))
+
+
 @plan("eav_pivot", "SELECT asset, ts_ms, round(max(value) FILTER (metric = 'price'), 6) AS price, round(max(value) FILTER (metric = 'volume'), 6) AS volume, round(max(value) FILTER (metric = 'mcap'), 0) AS mcap FROM eav GROUP BY 1, 2", "eav")
 def eav_pivot(spark, sf):
     p = A.metrics_eav(spark, sf).groupBy("asset", "ts_ms").pivot("metric", ["price", "volume", "mcap"]).agg(F.first("value"))
@@ -200,10 +228,39 @@ def nvt_range(spark, sf):
     return nvt(spark, sf).select("asset", "d", r6(F.col("nvt"), "nvt"))
 
 
-@plan("mvrv_nvt_ladder", f"""WITH {NVT} SELECT asset, d, CASE WHEN nvt > 150 THEN 'bearish' WHEN nvt < 40 THEN 'bullish' ELSE 'neutral' END AS signal,
-    CASE WHEN nvt > 150 THEN least(CAST(floor(round((nvt - 150) / 150 * 50, 6)) AS BIGINT), 40) WHEN nvt < 40 THEN least(CAST(floor(round((40 - nvt) / 40 * 50, 6)) AS BIGINT), 40) ELSE 15 END AS confidence,
-    'neutral' AS mvrv_signal, 0 AS mvrv_confidence FROM w""", "eav")
+CHAIN = f"""{NVT}, r AS (SELECT symbol AS asset, d, close / (sum(close * volume) OVER w / sum(volume) OVER w) AS mvrv FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY d)),
+    l AS (SELECT w.asset, w.d, CASE WHEN nvt > 150 THEN 'bearish' WHEN nvt < 40 THEN 'bullish' ELSE 'neutral' END AS signal,
+      CASE WHEN nvt > 150 THEN least(CAST(floor(round((nvt - 150) / 150 * 50, 6)) AS BIGINT), 40) WHEN nvt < 40 THEN least(CAST(floor(round((40 - nvt) / 40 * 50, 6)) AS BIGINT), 40) ELSE 15 END AS confidence,
+      CASE WHEN mvrv > 3.5 THEN 'bearish' WHEN mvrv < 1 THEN 'bullish' ELSE 'neutral' END AS mvrv_signal,
+      CASE WHEN mvrv > 3.5 THEN least(CAST(floor(round((mvrv - 3.5) / 3.5 * 100, 6)) AS BIGINT), 90) WHEN mvrv < 1 THEN least(CAST(floor(round((1 - mvrv) * 100, 6)) AS BIGINT), 90) ELSE 30 END AS mvrv_confidence
+      FROM w JOIN r USING (asset, d))"""
+
+
+def chain(spark, sf):
+    """NVT proxy and MVRV of each asset and day; the realised price is the volume-weighted mean close so far."""
+    w = W.partitionBy("symbol").orderBy("d")
+    b = A.bars_1d(spark, sf)
+    mvrv = F.col("close") / (F.sum(F.col("close") * F.col("volume")).over(w) / F.sum("volume").over(w))
+    return nvt(spark, sf).join(b.select(F.col("symbol").alias("asset"), "d", mvrv.alias("mvrv")), ["asset", "d"])
+
+
+@plan("mvrv_nvt_ladder", f"WITH {CHAIN} SELECT * FROM l", "eav")
 def ladder(spark, sf):
-    from tidemark.operators.signals import nvt_proxy
+    from tidemark.operators.signals import mvrv, nvt_proxy
+
+    s, c = mvrv(F.col("mvrv"))
+    return chain(spark, sf).select("asset", "d", *nvt_proxy(F.col("nvt")), s.alias("mvrv_signal"), c.alias("mvrv_confidence"))
+
+
+@plan("onchain_combined", f"""WITH {CHAIN}, v AS (SELECT asset, d, (CASE signal WHEN 'bullish' THEN 1 WHEN 'bearish' THEN -1 ELSE 0 END * (confidence > 0)::INT + CASE mvrv_signal WHEN 'bullish' THEN 1 WHEN 'bearish' THEN -1 ELSE 0 END * (mvrv_confidence > 0)::INT) / nullif((confidence > 0)::INT + (mvrv_confidence > 0)::INT, 0) AS score,
+    (confidence + mvrv_confidence) / nullif((confidence > 0)::INT + (mvrv_confidence > 0)::INT, 0) AS conf FROM l)
+    SELECT asset, d, CASE WHEN score > 0.3 THEN 'bullish' WHEN score < -0.3 THEN 'bearish' ELSE 'neutral' END AS signal, coalesce(floor(conf), 0)::BIGINT AS confidence, conf IS NOT NULL AS data_available FROM v""", "eav")
+def onchain(spark, sf):
+    """Majority of the chain signals that have a confidence; without any the record is unavailable."""
+    from tidemark.operators import signals
 
-    return nvt(spark, sf).select("asset", "d", *nvt_proxy(F.col("nvt")), F.lit("neutral").alias("mvrv_signal"), F.lit(0).alias("mvrv_confidence"))
+    x = ladder(spark, sf)
+    sign = lambda c: F.when(F.col(c) == "bullish", 1).when(F.col(c) == "bearish", -1).otherwise(0)
+    parts = {"nvt": (sign("signal"), F.col("confidence")), "mvrv": (sign("mvrv_signal"), F.col("mvrv_confidence"))}
+    signal, confidence, score = signals.weighted_votes(parts, {"nvt": 1.0, "mvrv": 1.0}, 0.3)
+    return x.select("asset", "d", signal.alias("signal"), confidence.alias("confidence"), score.isNotNull().alias("data_available"))
