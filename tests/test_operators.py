@@ -79,9 +79,14 @@ def test_margin_book_short_and_cover(spark):
     assert last.realised == pytest.approx(100.0) and last.cash == pytest.approx(10_100.0) and last.margin == 0
 
 
-def test_two_fills_average(spark):
-    f = spark.createDataFrame([(10.0, 100.0), (10.0, 200.0)], "v double, p double")
-    assert f.agg(F.sum(F.col("v") * F.col("p")) / F.sum("v")).first()[0] == 150
+def test_two_fills_average(spark, tmp_path):
+    from tidemark.plans import books
+
+    t = dt.datetime(2024, 1, 1)
+    rows_ = [(1, t, 2, "X", 100.0, '{"k": 10}'), (2, t, 4, "X", 200.0, '{"k": 10}'), (3, t, 1, "X", 50.0, '{"k": 1}')]
+    spark.createDataFrame(rows_, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.direction: (r.volume, r.avg_price, r.n) for r in books.oms(spark, str(tmp_path)).collect()}
+    assert got == {"long": (20.0, 150.0, 2), "short": (1.0, 50.0, 1)}
 
 
 def test_limit_order_fills_at_its_price(spark):
@@ -98,7 +103,108 @@ def test_t_distribution_and_tiers(spark):
     assert [r[0] for r in x.select(costs.maintenance_rate(F.col("n"))).collect()] == [0.005, 0.010, 0.025]
 
 
-def test_bootstrap_is_deterministic(spark):
-    d = spark.createDataFrame([("a", float(i)) for i in range(20)], "g string, v double")
-    one, two = (stats.bootstrap_ci(d, ["g"], "v", 500).first() for _ in range(2))
-    assert one == two and one.ci_low < one["mean"] < one.ci_high
+def match(spark, orders, cash=1000.0):
+    t = dt.datetime(2024, 1, 1)
+    r = spark.createDataFrame([("S", t + dt.timedelta(i), i, *o) for i, o in enumerate(orders)], "symbol string, ts timestamp, seq long, kind string, side string, price double, qty double")
+    return [(x.seq, x.status, x.price, x.filled) for x in simulation.paper_match(r, cash).collect()]
+
+
+def test_paper_orders_fill_at_once_wait_or_are_rejected(spark):
+    assert match(spark, [("bar", "buy", 135.0, 0.0), ("limit", "buy", 140.0, 1.0)]) == [(1, "filled", 140.0, 1.0)]
+    assert match(spark, [("market", "buy", 50.0, 2.0)]) == [(0, "filled", 50.0, 2.0)]
+    assert match(spark, [("limit", "buy", 90.0, 1.0), ("bar", "buy", 100.0, 0.0)]) == [(0, "waiting", 90.0, 0.0)]
+    assert match(spark, [("bar", "buy", 600.0, 0.0), ("market", "buy", 1.0, 2.0), ("market", "sell", 1.0, 2.0)]) == [(1, "rejected", 600.0, 0.0), (2, "rejected", 600.0, 0.0)]
+
+
+def test_folds_carry_their_state_over_batches(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    t = dt.datetime(2024, 1, 1)
+    rows_ = [(k, t + dt.timedelta(minutes=7 * i), float(i)) for k in ("a", "b", "c") for i in range(200)]
+    d = spark.createDataFrame(rows_, "k string, ts timestamp, v double")
+    want = []
+    for k in ("a", "b", "c"):
+        last = None
+        for kk, at, v in rows_:
+            if kk == k and (last is None or (at - last).total_seconds() >= 3600):
+                last = at
+                want.append((k, v))
+    try:
+        for size in ("7", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            assert rows(simulation.cooldown(d, "k", "ts", 3600).select("k", "v"), "k", "v") == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_a_liquidated_position_pays_no_funding(spark):
+    t = dt.datetime(2024, 1, 1)
+    r = spark.createDataFrame([("S", t, 100.0, 0.0, 1), ("S", t + dt.timedelta(hours=8), 50.0, 0.01, 1)], "symbol string, ts timestamp, price double, rate double, side int")
+    first, second = simulation.perp_ledger(r, 10_000.0, 5.0, simulation.margin_rate, fee=0.0).orderBy("ts").collect()
+    assert (first.event, second.event) == ("opened", "liquidated") and second.cash == first.cash == second.equity == 9_000.0
+
+
+def test_a_fund_cannot_value_a_held_ticker_without_a_mark(spark):
+    r = spark.createDataFrame([("f", D(2024, 6, 7), "A", 1.0, 10.0), ("f", D(2024, 6, 14), "B", 1.0, 10.0)], "fund string, d date, ticker string, weight double, mark double")
+    with pytest.raises(Exception, match="no mark of A"):
+        simulation.fund_fold(r, 1000.0).collect()
+
+
+def test_orders_sell_first_and_close_what_is_no_longer_wanted(spark):
+    d = D(2024, 6, 7)
+    want = spark.createDataFrame([(d, "B", 5), (d, "A", 7)], "d date, ticker string, shares long")
+    held = spark.createDataFrame([(d, "B", 9), (d, "Z", 3)], "d date, ticker string, shares long")
+    assert rows(portfolio.orders(want, held).select("ordinal", "ticker", "qty"), "ordinal") == [(1, "B", -4), (2, "Z", -3), (3, "A", 7)]
+
+
+def test_asof_join_over_spans_equals_a_search(spark):
+    import random
+
+    rng = random.Random(3)
+    q = [(rng.choice("ab"), rng.randrange(0, 2000), float(i)) for i in range(60)]
+    p = [(rng.choice("abc"), rng.randrange(0, 2000), i) for i in range(200)]
+    quotes, probes = spark.createDataFrame(q, "k string, t long, v double"), spark.createDataFrame(p, "k string, t long, id long")
+    for back in (True, False):
+        for strict in (True, False):
+            got = {r.id: r.quote_t for r in joins.asof_join(probes, quotes, "k", "t", ["v"], "backward" if back else "forward", strict, span=50).collect()}
+            for k, t, i in p:
+                fit = [x for kk, x, _ in q if kk == k and ((x < t or x == t and not strict) if back else (x > t or x == t and not strict))]
+                assert got[i] == ((max if back else min)(fit) if fit else None)
+
+
+def test_bootstrap_does_not_depend_on_partitions(spark):
+    import numpy as np
+
+    values = [float(i) for i in range(200)]
+    d = spark.createDataFrame([("a", v, f"id{i}") for i, v in enumerate(values)] + [("b", None, "x"), ("b", 1.0, "y")], "g string, v double, id string")
+    one, two = ({r.g: r for r in stats.bootstrap_ci(d.repartition(n), ["g"], "v", "id", 2000).collect()} for n in (1, 5))
+    assert one["a"].n == 200 and one["b"].n == 1 and one["b"].ci_low == one["b"].ci_high == 1.0
+    assert one["a"].ci_low == pytest.approx(two["a"].ci_low) and one["a"].ci_high == pytest.approx(two["a"].ci_high)
+    means = np.random.default_rng(1).choice(values, (2000, 200)).mean(axis=1)
+    low, high = np.quantile(means, [0.025, 0.975])
+    assert abs(one["a"].ci_low - low) < 2 and abs(one["a"].ci_high - high) < 2
+
+
+def test_rank_sums_over_bins_equal_plain_ranks(spark):
+    rows_ = [("s", i % 2, float((i * 37) % 23)) for i in range(100)]
+    got = stats.mann_whitney(spark.createDataFrame(rows_, "s string, g int, v double"), ["s"], "g", "v").first()
+    ones, zeros = [v for _, g, v in rows_ if g], [v for _, g, v in rows_ if not g]
+    assert got.u == sum((a > b) + 0.5 * (a == b) for a in ones for b in zeros) and 0 < got.p < 1
+
+
+def test_zipped_candles_skip_headers_and_odd_times(spark, tmp_path):
+    import zipfile
+
+    from tidemark.sources import files
+
+    line = "{},1,2,0.5,1.5,10,0,0,3,4,0,0"
+    with zipfile.ZipFile(tmp_path / "m.zip", "w") as z:
+        z.writestr("m.csv", "\n".join(["open_time,open,high", line.format(1_704_067_200_000), line.format(1_704_067_260_000_000), line.format(5), "junk"]))
+    got = files.klines_zip(spark, str(tmp_path)).orderBy("ts").collect()
+    assert [r.ts for r in got] == [dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 1, 0, 1)] and got[0].taker_ratio == 0.4
+
+
+def test_json_arrays_keep_what_was_collected_last(spark, tmp_path):
+    from tidemark.sources import files
+
+    (tmp_path / "a.json").write_text('[{"date": "2024-01-01", "symbol": "X", "close": 1, "collected_at": "2024-01-01"}, {"date": "2024-01-01", "symbol": "X", "close": 2, "collected_at": "2024-01-02"}, {"date": null}]')
+    assert [(r.symbol, r.d, r.close, r.open) for r in files.ohlcv_json(spark, str(tmp_path)).collect()] == [("X", D(2024, 1, 1), 2.0, None)]

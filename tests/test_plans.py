@@ -1,4 +1,4 @@
-"""Every registered plan against its DuckDB SQL on the smallest tables."""
+"""Every registered plan against its DuckDB SQL."""
 
 import os
 
@@ -7,7 +7,7 @@ import pytest
 
 from tidemark.plans import registry
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUERIES, SQL = registry.plans()
 
@@ -35,10 +35,31 @@ def normal(frame):
 def test_matches_oracle(spark, con, name):
     got, want = normal(QUERIES[name](spark, SF).toPandas()), normal(con.sql(SQL[name]).df())
     assert list(got.columns) == list(want.columns)
-    assert len(got) == len(want)
-    assert (got != want).any(axis=1).sum() <= len(want) * 0.001
+    assert len(got) == len(want) > 0
+    differ = (got != want).any(axis=1)
+    assert not differ.any(), (got[differ].head(), want[differ].head())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+#: No SQL: random draws, Student's p-values, and books whose recursion has several branches (cases by hand in test_operators.py).
+WITHOUT_SQL = {"bootstrap_ci", "car_t_test", "paper_match", "perp_ledger", "v1_book"}
+
+
+def test_plans_without_sql():
+    assert set(QUERIES) - set(SQL) == WITHOUT_SQL
+
+
+def test_books_add_up(spark):
+    """What holds for every row of the books without SQL."""
+    v1 = QUERIES["v1_book"](spark, SF).toPandas()
+    assert (v1.long >= 0).all() and (v1.short >= 0).all() and (v1.margin >= -1e-6).all() and v1.filled.gt(0).any()
+    perp = QUERIES["perp_ledger"](spark, SF).toPandas()
+    assert {"opened", "hold"} <= set(perp.event) <= {"opened", "hold", "closed", "reversed", "liquidated"}
+    flat = perp[perp.event.isin(["closed", "liquidated"])]
+    assert (flat.cash == flat.equity).all()
+    paper = QUERIES["paper_match"](spark, SF).toPandas()
+    asked = spark.read.parquet(f"{SF}/events.parquet").where("value > 0 and event_id % 10 in (3, 7)").count()
+    assert len(paper) == asked and (paper.cash >= 0).all() and (paper.held >= 0).all()
+    t = QUERIES["car_t_test"](spark, SF).toPandas()
+    assert t.p.between(0, 1).all() and (t.t.abs().argsort().values[::-1][:1] == t.p.argsort().values[:1]).all()
+    b = QUERIES["bootstrap_ci"](spark, SF).toPandas()
+    assert (b.ci_low < b["mean"]).all() and (b["mean"] < b.ci_high).all()

@@ -11,7 +11,7 @@ def asof_join(probe: DataFrame, quote: DataFrame, by: str, on: str, values: list
     """Each probe row with the nearest quote row of the same key before (after) it.
 
     A key's time is cut into spans (``span`` days for dates, default 64; seconds for
-    timestamps, default one day), so that a hot key is many groups of rows. Probes and quotes
+    timestamps, default one day; units of a whole number, default 86,400), so that a hot key is many groups of rows. Probes and quotes
     are one union, with one exchange and one sort on (key, span, time); the last (first)
     quote of each span is carried on over a table of one row for each key and span. At
     equal times a quote counts unless ``strict``; of quotes at one time the one with the
@@ -19,8 +19,9 @@ def asof_join(probe: DataFrame, quote: DataFrame, by: str, on: str, values: list
     ``quote_<on>``; without a quote they are null.
     """
     back = direction == "backward"
-    day = probe.schema[on].dataType.typeName() == "date"
-    number = F.unix_date(F.col(on)) if day else F.unix_seconds(F.col(on).cast("timestamp"))
+    kind = probe.schema[on].dataType.typeName()
+    day = kind == "date"
+    number = F.unix_date(F.col(on)) if day else F.col(on) if kind in ("integer", "long") else F.unix_seconds(F.col(on).cast("timestamp"))
     bucket = F.floor(number / (span or (64 if day else 86_400))).alias("__span")
     # Which side comes first at equal times: a backward join looks at the rows up to the probe, a forward one at those from it on.
     quote_side = 0 if strict != back else 1

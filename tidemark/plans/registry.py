@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.plans import books, indicators, market, research, stream
+from tidemark.plans import books, files, indicators, market, reports, research, stream
 
 
 def plans() -> tuple[dict, dict]:
     """Query functions and oracle SQL by name."""
     queries, sql = {}, {}
-    for part in (market, indicators, research, books, stream):
+    for part in (market, indicators, research, books, reports, files, stream):
         queries |= part.QUERIES
         sql |= part.SQL
     return queries, sql

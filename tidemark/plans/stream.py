@@ -7,32 +7,45 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tidemark.sources.adapters import with_views
 from tidemark.streaming import flows
 
 QUERIES, SQL = {}, {}
 
 
 def folder(spark) -> str:
-    """A new folder in the shared checkpoint folder; on this machine only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    """A new folder in the shared checkpoint folder; a session within this process gets one of its own where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 
-def plan(name):
+def plan(name, sql=None):
     def add(fn):
         QUERIES[name] = fn
+        if sql:
+            SQL[name] = with_views("trades", sql)
         return fn
 
     return add
 
 
-@plan("stream_ohlc")
+@plan("stream_ohlc", """SELECT symbol, date_trunc('hour', ts) AS h, arg_min(price, (ts, trade_id)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts, trade_id)) AS close, count(*) AS n FROM trades
+    WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM trades) GROUP BY 1, 2""")
 def stream_ohlc(spark, sf):
     """Hourly bars that the watermark has closed."""
     return flows.drain(flows.ohlc(flows.event_stream(spark, sf)), folder(spark)).withColumn("h", F.col("h").cast("timestamp_ntz"))
 
 
-@plan("stream_throttle")
+@plan("stream_throttle", """WITH RECURSIVE a AS MATERIALIZED (SELECT symbol, ts, price, row_number() OVER (PARTITION BY symbol ORDER BY ts, price) AS i FROM trades),
+    c AS (SELECT symbol, ts, price, i, ts AS last, true AS fires FROM a WHERE i = 1 UNION ALL
+      SELECT a.symbol, a.ts, a.price, a.i, CASE WHEN a.ts - c.last >= INTERVAL 1 HOUR THEN a.ts ELSE c.last END, a.ts - c.last >= INTERVAL 1 HOUR FROM c JOIN a ON a.symbol = c.symbol AND a.i = c.i + 1)
+    SELECT symbol, ts, price FROM c WHERE fires""")
 def stream_throttle(spark, sf):
     """Snapshots at least an hour apart for each symbol."""
     return flows.drain(flows.throttle(flows.event_stream(spark, sf), 3600), folder(spark)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))

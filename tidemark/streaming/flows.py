@@ -43,7 +43,7 @@ def throttle(ticks: DataFrame, seconds: int = 5) -> DataFrame:
 
     def keep(key, frames, state: GroupState):
         last = state.get[0] if state.exists else None
-        pdf = pd.concat(list(frames)).sort_values("ts", kind="stable")
+        pdf = pd.concat([f[["ts", "price"]] for f in frames]).sort_values(["ts", "price"], kind="stable")
         out = []
         for t, p in zip(pdf.ts, pdf.price, strict=True):
             at = t.timestamp()
