@@ -191,6 +191,23 @@ def test_rank_sums_over_bins_equal_plain_ranks(spark):
     assert got.u == sum((a > b) + 0.5 * (a == b) for a in ones for b in zeros) and 0 < got.p < 1
 
 
+def test_nested_books_are_levels_in_order(spark):
+    from tidemark.plans import market
+
+    level = "array<struct<price: double, size: double>>"
+    b = spark.createDataFrame([("X", 1, [(10.0, 1.0), (9.0, 2.0)], [(11.0, 3.0)]), ("Y", 1, [], None)], f"symbol string, h int, bids {level}, asks {level}")
+    got = rows(market.nested_levels(b), "symbol", "book_side", "level")
+    assert got == [("X", 1, "ask", 0, 11.0, 3.0), ("X", 1, "bid", 0, 10.0, 1.0), ("X", 1, "bid", 1, 9.0, 2.0)]
+
+
+def test_optional_bounds(spark):
+    from tidemark.plans import stores
+
+    d = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "v int, k string")
+    assert rows(stores.optional(d, k="a", v_from=2, v_to=None), "v") == [(3, "a")]
+    assert stores.optional(d, k=None).count() == 3
+
+
 def test_zipped_candles_skip_headers_and_odd_times(spark, tmp_path):
     import zipfile
 

@@ -97,21 +97,17 @@ BOOK = """book AS (SELECT symbol, date_trunc('hour', ts) AS h, CASE WHEN side =
     row_number() OVER (PARTITION BY symbol, date_trunc('hour', ts), side ORDER BY CASE WHEN side = 'buy' THEN -price ELSE price END, trade_id) - 1 AS level FROM trades)"""
 
 
-def nested_book(spark, sf):
-    """Hourly order books with nested, ordered levels: bids from the highest, asks from the lowest price."""
+def exploded_book(spark, sf):
+    """One row for each level of each side of the hourly books: bids from the highest, asks from the lowest price."""
     t = A.trades(spark, sf).withColumn("h", F.date_trunc("hour", "ts"))
-    level = F.struct(F.when(F.col("side") == "buy", -F.col("price")).otherwise(F.col("price")).alias("rank"), "trade_id", "price", F.col("amount").alias("size"))
-
-    def side(name):
-        return F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == name, level))), lambda x: F.struct(x["price"].alias("price"), x["size"].alias("size")))
+    bid = F.col("side") == "buy"
+    w = W.partitionBy("symbol", "h", "side").orderBy(F.when(bid, -F.col("price")).otherwise(F.col("price")), "trade_id")
+    return t.select("symbol", "h", F.when(bid, "bid").otherwise("ask").alias("book_side"), (F.row_number().over(w) - 1).cast("long").alias("level"), "price", F.col("amount").alias("size"))
 
-    return t.groupBy("symbol", "h").agg(side("buy").alias("bids"), side("sell").alias("asks"))
 
-
-def exploded_book(spark, sf):
-    """One row for each level of each side."""
-    n = nested_book(spark, sf)
-    parts = [n.select("symbol", "h", F.lit(s).alias("book_side"), F.posexplode(c).alias("level", "l")) for s, c in (("bid", "bids"), ("ask", "asks"))]
+def nested_levels(books):
+    """Books with nested levels (symbol, h, bids, asks: arrays of price and size) as one row for each level."""
+    parts = [books.select("symbol", "h", F.lit(s).alias("book_side"), F.posexplode(c).alias("level", "l")) for s, c in (("bid", "bids"), ("ask", "asks"))]
     return parts[0].union(parts[1]).select("symbol", "h", "book_side", F.col("level").cast("long").alias("level"), "l.price", "l.size")
 
 

@@ -49,3 +49,19 @@ def stream_ohlc(spark, sf):
 def stream_throttle(spark, sf):
     """Snapshots at least an hour apart for each symbol."""
     return flows.drain(flows.throttle(flows.event_stream(spark, sf), 3600), folder(spark)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@plan("stream_sessions", """WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM trades WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a)
+    SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM b GROUP BY user_id, s HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM trades)""")
+def stream_sessions(spark, sf):
+    """Sessions of users that the watermark has closed."""
+    s = flows.drain(flows.sessions(flows.event_stream(spark, sf)), folder(spark))
+    return s.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@plan("stream_first_trades", "SELECT trade_id, symbol, price FROM trades")
+def stream_first_trades(spark, sf):
+    """Each trade once, from a stream that delivers every one twice."""
+    t = flows.event_stream(spark, sf)
+    return flows.drain(flows.first_trades(t.union(t)).select("trade_id", "symbol", "price"), folder(spark))
