@@ -49,7 +49,7 @@ COMMON = 2
 #: Of all pairs of letters, this part starts a new piece.
 CUT = 0.35
 #: Characters of the first comparison, how far they can be shifted, and how much more than ``max_edit`` may differ there.
-FEW, SHIFT, FIRST = 64, 12, 1.5
+FEW, SHIFT, FIRST = 64, 8, 1.5
 GRID = 32
 BATCH_CHARS = 1 << 20
 PAD = 1024
@@ -110,15 +110,19 @@ class Walks:
                     begin += steps
                 self.plans.append((np.uint64(rng.integers(1, 2**63)), at, below))
 
-    def go(self, plan: int, stretch: int, symbols: np.ndarray, pos: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def bits(self, plan: int, symbols: np.ndarray) -> np.ndarray:
+        """For each piece, whether a walk that is there at step j goes on: bit j."""
+        return (mix64(symbols ^ self.plans[plan][0]) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+    def go(self, plan: int, stretch: int, symbols: np.ndarray, bits: np.ndarray, pos: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(piece, key) after a stretch of the walks that are at ``pos`` with ``key``.
 
         The step counts from the walk's first sample, so that every walk reads where it starts.
         """
-        salt, at, _ = self.plans[plan]
+        _, at, _ = self.plans[plan]
         first = at[0][0]
         begin, samples = (at[stretch - 1][-1] - first if stretch else 0), {x - first for x in at[stretch]}
-        bits, n = (mix64(symbols ^ salt) & np.uint64(0xFFFFFFFF)).astype(np.uint32), len(symbols)
+        n = len(symbols)
         pos_out, key_out = np.empty(len(pos), np.int32), np.empty(len(pos), np.uint64)
         for i in range(0, len(pos), 1 << 15):  # a part that stays in the cache
             p, k = pos[i : i + (1 << 15)].astype(np.int32), key[i : i + (1 << 15)].copy()
@@ -198,7 +202,7 @@ class Index:
             for stretch in range(len(at)):
                 moved = []
                 for number, s, place, begin, pos, key in walks:
-                    pos, key = self.walks.go(plan, stretch, s, pos, key)
+                    pos, key = self.walks.go(plan, stretch, s, self.walks.bits(plan, s), pos, key)
                     # A walk that reaches the end reads its last piece again, which a document does not.
                     fits = (pos < len(s) - 1) | (len(at[0]) == 1)
                     moved.append((number, s, place, begin[fits], pos[fits], key[fits]))
@@ -248,9 +252,9 @@ class Finder:
         found = []
         for plan, levels in enumerate(self.index.tables if len(symbols) else []):
             pos, key = self.index.walks.start(plan, symbols)
-            begin = pos
+            begin, bits = pos, self.index.walks.bits(plan, symbols)
             for stretch, (keys, first, times, item, offset, _, common) in enumerate(levels):
-                pos, key = self.index.walks.go(plan, stretch, symbols, pos, key)
+                pos, key = self.index.walks.go(plan, stretch, symbols, bits, pos, key)
                 hit = np.flatnonzero(self.bitmaps[plan][stretch][(key >> np.uint64(44)).astype(np.int64)])
                 begin, pos, key = begin[hit], pos[hit], key[hit]
                 if len(keys):
@@ -265,9 +269,15 @@ class Finder:
         if not found:
             return (np.zeros(0, np.int64),) * 3
         item, at, offset = (np.concatenate(x) for x in zip(*found, strict=True))
-        line = ((item << 34) + at - offset + PAD) * 4096 + np.minimum(offset // GRID, 4095)
-        _, once = np.unique(line, return_index=True)
-        return item[once], at[once], offset[once]
+        # item, alignment and offset in one number, so that plain sorting brings equal ones together
+        longest = int(self.size.max())
+        low, middle = longest.bit_length(), (len(letters) + longest).bit_length()
+        line = np.sort(((item << middle) + at - offset + longest << low) + offset)
+        same = line - (line & ((1 << low) - 1)) + (line & ((1 << low) - 1)) // GRID
+        line = line[np.append(True, same[1:] != same[:-1])] if len(line) else line
+        offset = line & ((1 << low) - 1)
+        item, start = line >> (low + middle), (line >> low & ((1 << middle) - 1)) - longest
+        return item, start + offset, offset
 
     def near(self, padded: np.ndarray, item: np.ndarray, at: np.ndarray, offset: np.ndarray) -> np.ndarray:
         """Whether the stretch of the item around each sample is near the text there: all at once, one column of bits each.
@@ -278,8 +288,8 @@ class Finder:
         m = self.few[stretch]
         width = FEW + 2 * SHIFT
         start = np.clip(at - offset + self.begin[stretch] - SHIFT + PAD, 0, len(padded) - width)
-        text = np.lib.stride_tricks.sliding_window_view(padded, width)[start].T.astype(np.int64)
-        text += stretch * 256
+        text = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, width)[start].T)
+        base = stretch * 256
         up = np.uint64(64) - m.astype(np.uint64)  # patterns stand in the upper bits, so that the sign is their last one
         full = bool((m == FEW).all())
         area = ~np.uint64(0) << up
@@ -287,7 +297,7 @@ class Finder:
         edits = m.astype(np.int8)
         best = edits.copy()
         for j in range(width):
-            equal = self.masks[text[j]]
+            equal = self.masks[base + text[j]]
             across = equal | minus
             down = equal & plus
             down += plus
