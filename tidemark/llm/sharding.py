@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import materialise
+from tidemark.llm._common import Scratch, materialise
 
 BINS = 1 << 15
 #: A cut is good when it is off by no more than this part of its node.
@@ -148,8 +148,9 @@ def kd_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col
     atom = F.when(F.col(text_col).isNull(), F.lit("null").cast("binary")).otherwise(F.unhex(F.sha2(F.col(text_col), 256)))
     crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), size.cast("long").alias("size"), crc.alias("text_crc32"), atom.alias("atom"), F.col(source_col), F.col(lang_col))
-    rows = materialise(rows)
-    atoms = materialise(atoms_of(rows, source_col, lang_col))
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.write(rows)
+    atoms = scratch.write(atoms_of(rows, source_col, lang_col))
     total = atoms.agg(F.sum("weight")).first()[0] or 0
     heavy = {}
     sizes = {1: 0.0}
@@ -224,6 +225,7 @@ def kd_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col
         h = h.join(table, "atom").where("u >= low and u < high").select(*rows.columns, F.col("to").alias("shard"))
         placed = placed.select(*rows.columns, "shard").unionByName(h.select(*rows.columns, "shard"))
     placed = materialise(placed.select("doc_id", "size", "text_crc32", "shard"))
+    scratch.drop()
     return with_slots(placed)
 
 
