@@ -136,9 +136,24 @@ def test_folds_carry_their_state_over_batches(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
+PERP = "symbol string, ts timestamp, price double, rate double, side int, adds boolean"
+
+
+def test_additions_average_the_entry_and_the_other_side_closes(spark):
+    t = dt.datetime(2024, 1, 1)
+    steps = [(100.0, 0.0, 1, False), (110.0, 0.0, 1, True), (110.0, 0.001, 1, False), (120.0, 0.0, -1, False)]
+    r = spark.createDataFrame([("S", t + dt.timedelta(hours=i), *x) for i, x in enumerate(steps)], PERP)
+    one, two, three, four = simulation.perp_ledger(r, 10_000.0, 5.0, simulation.margin_rate, fee=0.0).orderBy("ts").collect()
+    size = 5_000 / 100 + 4_500 / 110
+    assert (one.cash, two.event, two.cash) == (9_000.0, "added", 8_100.0)
+    assert three.cash == pytest.approx(8_100 - size * 110 * 0.001)
+    closed = three.cash + 1_900 + size * 120 - 9_500
+    assert four.event == "reversed" and four.cash == pytest.approx(closed * 0.9) and four.equity == pytest.approx(closed)
+
+
 def test_a_liquidated_position_pays_no_funding(spark):
     t = dt.datetime(2024, 1, 1)
-    r = spark.createDataFrame([("S", t, 100.0, 0.0, 1), ("S", t + dt.timedelta(hours=8), 50.0, 0.01, 1)], "symbol string, ts timestamp, price double, rate double, side int")
+    r = spark.createDataFrame([("S", t, 100.0, 0.0, 1, False), ("S", t + dt.timedelta(hours=8), 50.0, 0.01, 1, True)], PERP)
     first, second = simulation.perp_ledger(r, 10_000.0, 5.0, simulation.margin_rate, fee=0.0).orderBy("ts").collect()
     assert (first.event, second.event) == ("opened", "liquidated") and second.cash == first.cash == second.equity == 9_000.0
 

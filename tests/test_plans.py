@@ -40,8 +40,8 @@ def test_matches_oracle(spark, con, name):
     assert not differ.any(), (got[differ].head(), want[differ].head())
 
 
-#: No SQL: random draws, Student's p-values, and books whose recursion has several branches (cases by hand in test_operators.py).
-WITHOUT_SQL = {"bootstrap_ci", "car_t_test", "paper_match", "perp_ledger", "v1_book"}
+#: No SQL: random draws, Student's p-values, and a queue of orders (cases by hand in test_operators.py).
+WITHOUT_SQL = {"bootstrap_ci", "car_t_test", "paper_match"}
 
 
 def test_plans_without_sql():
@@ -53,7 +53,7 @@ def test_books_add_up(spark):
     v1 = QUERIES["v1_book"](spark, SF).toPandas()
     assert (v1.long >= 0).all() and (v1.short >= 0).all() and (v1.margin >= -1e-6).all() and v1.filled.gt(0).any()
     perp = QUERIES["perp_ledger"](spark, SF).toPandas()
-    assert {"opened", "hold"} <= set(perp.event) <= {"opened", "hold", "closed", "reversed", "liquidated"}
+    assert {"opened", "hold"} <= set(perp.event) <= {"opened", "hold", "added", "rejected", "closed", "reversed", "liquidated"}
     flat = perp[perp.event.isin(["closed", "liquidated"])]
     assert (flat.cash == flat.equity).all()
     paper = QUERIES["paper_match"](spark, SF).toPandas()

@@ -142,34 +142,49 @@ def margin_book(rows: DataFrame, capital: float, margin_ratio: float = 0.5) -> D
     return rows.groupBy("ticker").applyInPandas(run, "ticker string, d date, filled double, cash double, margin double, long double, short double, realised double, equity double")
 
 
+#: Of the free cash, the part that goes into the margin of a position, and again into each addition to it.
+MARGIN_PART = 0.1
+
+
 def perp_ledger(rows: DataFrame, capital: float, leverage: float, rate_of, fee: float = 0.0005) -> DataFrame:
-    """Isolated-margin perpetual positions: (symbol, ts, price, rate, side) in time order.
+    """Isolated-margin perpetual positions: (symbol, ts, price, rate, side, adds) in time order.
 
     A mark beyond the liquidation price loses the margin, before any funding is due; then
     funding is paid on the notional, by longs at positive rates; then a side other than
-    the open one closes and opens.
+    the open one closes and opens, and ``adds`` adds to an open position of the same side at
+    the mean entry, or is rejected where the cash does not suffice for margin and fee.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         cash, pos, out = capital, None, []
+
+        def opened(side: int, size: float, entry: float, margin: float) -> tuple:
+            return side, size, entry, margin, entry * (1 - side * (1 / leverage - rate_of(size * entry)))
+
         for r in pdf.sort_values("ts").itertuples():
-            event = "hold"
+            event, margin = "hold", 0.0
             if pos is not None:
-                side, size, entry, margin, liq = pos
+                side, size, entry, held, liq = pos
                 if (r.price <= liq) if side > 0 else (r.price >= liq):
                     pos, event = None, "liquidated"
                 else:
                     cash -= side * size * r.price * r.rate
-                if pos is not None and r.side != side:
-                    cash += margin + side * size * (r.price - entry) - size * r.price * fee
-                    pos, event = None, "closed"
+                    if r.side != side:
+                        cash += held + side * size * (r.price - entry) - size * r.price * fee
+                        pos, event = None, "closed"
+                    elif r.adds:
+                        margin = max(cash, 0.0) * MARGIN_PART
+                        more = margin * leverage / r.price
+                        if margin and margin + more * r.price * fee <= cash:
+                            cash -= margin + more * r.price * fee
+                            pos = opened(side, size + more, (entry * size + r.price * more) / (size + more), held + margin)
+                            event = "added"
+                        else:
+                            event = "rejected"
             if pos is None and r.side != 0 and event != "liquidated" and cash > 0:
-                margin = cash * 0.1
-                notional = margin * leverage
-                mmr = rate_of(notional)
-                liq = r.price * (1 - r.side * (1 / leverage - mmr))
-                cash -= margin + notional * fee
-                pos = (r.side, notional / r.price, r.price, margin, liq)
+                margin = cash * MARGIN_PART
+                cash -= margin + margin * leverage * fee
+                pos = opened(r.side, margin * leverage / r.price, r.price, margin)
                 event = "opened" if event == "hold" else "reversed"
             open_value = 0.0 if pos is None else pos[3] + pos[0] * pos[1] * (r.price - pos[2])
             out.append((r.symbol, r.ts, event, cash, cash + open_value))

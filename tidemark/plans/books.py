@@ -207,29 +207,77 @@ def edge(spark, sf):
     return simulation.edge_trades(crossed(spark, sf).select("ticker", "d", "close", "signal"), 20, 10_000.0)
 
 
-@plan("trade_metrics", f"""{EDGE} SELECT ticker, count(*) AS n, round(avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END), 6) AS win_rate, CASE WHEN sum(least(pnl, 0)) < -1e-9 THEN round(sum(greatest(pnl, 0)) / -sum(least(pnl, 0)), 6) END AS profit_factor, round(avg(pnl), 4) AS avg_pnl FROM t GROUP BY 1""", "bars")
+@plan("trade_metrics", f"""{EDGE}, c AS (SELECT *, pnl / 10000 AS r, 10000 + sum(pnl) OVER (PARTITION BY ticker ORDER BY entry) AS equity FROM t), m AS (SELECT *, greatest(10000, max(equity) OVER (PARTITION BY ticker ORDER BY entry)) AS peak FROM c),
+    g AS (SELECT ticker, count(*) AS n, greatest(date_diff('day', min(entry), max(exit)) / 365.25, 0.01) AS years, avg(r) AS mean, CASE WHEN count(*) > 1 THEN stddev_samp(r) ELSE 1 END AS sd, sum(pnl) / 10000 AS total, max((peak - equity) / peak) AS dd,
+      avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END) AS win, sum(greatest(pnl, 0)) AS up, -sum(least(pnl, 0)) AS down, avg(pnl) AS avg_pnl, count(*) FILTER (side = 1) AS n_long, avg(exit - entry) AS held FROM m GROUP BY 1)
+    SELECT ticker, n, n_long, n - n_long AS n_short, round(total, 6) AS total_return, CASE WHEN total > -1 THEN round(pow(1 + total, 1 / years) - 1, 6) END AS annualised, round(CASE WHEN sd > 0 THEN mean / sd * sqrt(n / years) ELSE 0 END, 4) AS sharpe, round(dd, 6) AS max_drawdown,
+      round(win, 6) AS win_rate, CASE WHEN down > 1e-9 THEN round(up / down, 6) END AS profit_factor, round(avg_pnl, 4) AS avg_pnl, round(held, 1) AS avg_days FROM g""", "bars")
 def trade_metrics(spark, sf):
-    """Win rate, profit factor and averages of the edge-triggered trades."""
+    """Returns, Sharpe by trades per year, drawdown of the curve of closed trades, win rate, profit factor and averages of the edge-triggered trades."""
     t = edge(spark, sf)
-    win, loss = F.sum(F.when(F.col("pnl") > 0, F.col("pnl")).otherwise(0.0)), -F.sum(F.when(F.col("pnl") < 0, F.col("pnl")).otherwise(0.0))
-    return t.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), r6(F.avg((F.col("pnl") > 0).cast("double")), "win_rate"), F.when(loss > 1e-9, F.round(win / loss, 6)).alias("profit_factor"), F.round(F.avg("pnl"), 4).alias("avg_pnl"))
-
-
-@plan("v1_book", None)
+    w = W.partitionBy("ticker").orderBy("entry")
+    t = t.withColumn("equity", 10_000 + F.sum("pnl").over(w)).withColumn("peak", F.greatest(F.lit(10_000.0), F.max("equity").over(w)))
+    r = F.col("pnl") / 10_000
+    win, loss = F.sum(F.greatest("pnl", F.lit(0.0))), -F.sum(F.least("pnl", F.lit(0.0)))
+    g = t.groupBy("ticker").agg(
+        F.count(F.lit(1)).alias("n"), F.sum((F.col("side") == 1).cast("long")).alias("n_long"), F.greatest(F.date_diff(F.max("exit"), F.min("entry")) / 365.25, F.lit(0.01)).alias("years"),
+        F.avg(r).alias("mean"), F.when(F.count(F.lit(1)) > 1, F.stddev_samp(r)).otherwise(1.0).alias("sd"), F.sum(r).alias("total"), F.max((F.col("peak") - F.col("equity")) / F.col("peak")).alias("dd"),
+        F.avg((F.col("pnl") > 0).cast("double")).alias("win"), F.when(loss > 1e-9, F.round(win / loss, 6)).alias("profit_factor"), F.round(F.avg("pnl"), 4).alias("avg_pnl"), F.round(F.avg(F.date_diff("exit", "entry")), 1).alias("avg_days"),
+    )
+    annual = F.when(F.col("total") > -1, F.round(F.pow(1 + F.col("total"), 1 / F.col("years")) - 1, 6))
+    sharpe = F.when(F.col("sd") > 0, F.col("mean") / F.col("sd") * F.sqrt(F.col("n") / F.col("years"))).otherwise(0.0)
+    return g.select("ticker", "n", "n_long", (F.col("n") - F.col("n_long")).alias("n_short"), r6(F.col("total"), "total_return"), annual.alias("annualised"), F.round(sharpe, 4).alias("sharpe"), r6(F.col("dd"), "max_drawdown"), r6(F.col("win"), "win_rate"), "profit_factor", "avg_pnl", "avg_days")
+
+
+V1 = f"""WITH RECURSIVE {CROSSED}, a AS MATERIALIZED (SELECT ticker, d, i, close AS p, CASE WHEN signal = 1 AND turn > 0 THEN 'buy' WHEN signal = -1 AND turn < 0 THEN 'short' WHEN signal = 0 AND turn < 0 THEN 'sell' WHEN signal = 0 AND turn > 0 THEN 'cover' ELSE 'hold' END AS action
+      FROM (SELECT *, signal - coalesce(lag(signal) OVER (PARTITION BY ticker ORDER BY d), 0) AS turn FROM s)),
+    b AS (SELECT DISTINCT ticker, NULL::DATE AS d, -1::BIGINT AS i, 0.0::DOUBLE AS p, 0.0::DOUBLE AS filled, 100000.0::DOUBLE AS cash, 0.0::DOUBLE AS margin, 0.0::DOUBLE AS lq, 0.0::DOUBLE AS sq, 0.0::DOUBLE AS lc, 0.0::DOUBLE AS sc, 0.0::DOUBLE AS gain FROM a
+      UNION ALL SELECT ticker, d, i, p, q, CASE action WHEN 'buy' THEN cash - q * p WHEN 'sell' THEN cash + q * p WHEN 'short' THEN cash + q * p - q * p * 0.5 WHEN 'cover' THEN cash + CASE WHEN q > 0 THEN margin * q / sq ELSE 0 END - q * p ELSE cash END,
+        CASE action WHEN 'short' THEN margin + q * p * 0.5 WHEN 'cover' THEN CASE WHEN q > 0 AND q = sq THEN 0 WHEN q > 0 THEN margin - margin * q / sq ELSE margin END ELSE margin END,
+        CASE action WHEN 'buy' THEN lq + q WHEN 'sell' THEN lq - q ELSE lq END, CASE action WHEN 'short' THEN sq + q WHEN 'cover' THEN sq - q ELSE sq END,
+        CASE WHEN action = 'buy' AND q > 0 THEN (lc * lq + q * p) / (lq + q) WHEN action = 'sell' AND q > 0 AND q = lq THEN 0 ELSE lc END, CASE WHEN action = 'short' AND q > 0 THEN (sc * sq + q * p) / (sq + q) WHEN action = 'cover' AND q > 0 AND q = sq THEN 0 ELSE sc END,
+        CASE WHEN action = 'sell' AND q > 0 THEN gain + (p - lc) * q WHEN action = 'cover' AND q > 0 THEN gain + (sc - p) * q ELSE gain END
+      FROM (SELECT b.*  EXCLUDE (d, i, p, filled), a.d, a.i, a.p, a.action, CASE a.action WHEN 'buy' THEN CASE WHEN cash > 0 THEN least(10, cash / a.p) ELSE 0 END WHEN 'sell' THEN least(10, lq) WHEN 'cover' THEN least(10, sq)
+          WHEN 'short' THEN CASE WHEN 10 * a.p * 0.5 > greatest(0, cash - margin) THEN greatest(0, cash / (a.p * 0.5)) ELSE 10 END ELSE 0 END AS q FROM b JOIN a ON a.ticker = b.ticker AND a.i = b.i + 1))"""
+
+
+@plan("v1_book", f"""{V1} SELECT ticker, d, round(filled, 4) AS filled, round(cash, 4) AS cash, round(margin, 4) AS margin, round(lq, 4) AS long, round(sq, 4) AS short, round(gain, 4) AS realised, round(cash + margin + lq * p - sq * p, 4) AS equity FROM b WHERE i >= 0""", "bars")
 def margin_book(spark, sf):
     x = crossed(spark, sf)
     turn = F.col("signal") - F.coalesce(F.lag("signal").over(W.partitionBy("ticker").orderBy("d")), F.lit(0))
     action = F.when((F.col("signal") == 1) & (turn > 0), "buy").when((F.col("signal") == -1) & (turn < 0), "short").when((F.col("signal") == 0) & (turn < 0), "sell").when((F.col("signal") == 0) & (turn > 0), "cover").otherwise("hold")
-    return simulation.margin_book(x.select("ticker", "d", F.col("close").alias("price"), action.alias("action"), F.lit(10.0).alias("qty")), 100_000.0)
+    b = simulation.margin_book(x.select("ticker", "d", F.col("close").alias("price"), action.alias("action"), F.lit(10.0).alias("qty")), 100_000.0)
+    return b.select("ticker", "d", *[F.round(c, 4).alias(c) for c in ("filled", "cash", "margin", "long", "short", "realised", "equity")])
+
+
+def mmr_sql(notional: str) -> str:
+    return f"CASE WHEN {notional} < 50000 THEN 0.005 WHEN {notional} < 250000 THEN 0.01 WHEN {notional} < 1000000 THEN 0.015 ELSE 0.025 END::DOUBLE"
+
+
+PERP = f"""WITH RECURSIVE h AS (SELECT symbol, time_bucket(INTERVAL 8 HOUR, ts, TIMESTAMP '1970-01-01') AS ts, arg_min(price, (ts, trade_id)) AS p FROM trades GROUP BY 1, 2),
+    x AS (SELECT symbol, ts, p, rate, sign(p - avg(p) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 5 PRECEDING AND CURRENT ROW))::INT AS side FROM h JOIN funding USING (symbol, ts) WHERE p > 0),
+    n AS MATERIALIZED (SELECT *, hour(ts) = 0 AS adds, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i FROM x),
+    l AS (SELECT DISTINCT symbol, NULL::TIMESTAMP AS ts, 0::BIGINT AS i, 0.0::DOUBLE AS p, 'start' AS event, 10000.0::DOUBLE AS cash, 0 AS pos, 0.0::DOUBLE AS size, 0.0::DOUBLE AS entry, 0.0::DOUBLE AS held, 0.0::DOUBLE AS liq FROM n
+      UNION ALL SELECT symbol, ts, i, p, CASE WHEN opens AND pos <> 0 THEN 'reversed' WHEN opens THEN 'opened' WHEN hit THEN 'liquidated' WHEN closes THEN 'closed' WHEN grows THEN 'added' WHEN asks THEN 'rejected' ELSE 'hold' END,
+        CASE WHEN opens THEN c2 - m2 - m2 * 5 * 0.0005 WHEN grows THEN c2 - m1 - m1 * 5 / p * p * 0.0005 ELSE c2 END, CASE WHEN opens THEN side WHEN hit OR closes THEN 0 ELSE pos END, s2, e2, CASE WHEN opens THEN m2 WHEN grows THEN held + m1 WHEN hit OR closes THEN 0 ELSE held END,
+        CASE WHEN opens OR grows THEN e2 * (1 - (CASE WHEN opens THEN side ELSE pos END) * (1 / 5.0::DOUBLE - {mmr_sql('s2 * e2')})) ELSE liq END
+      FROM (SELECT *, CASE WHEN opens THEN m2 * 5 / p WHEN grows THEN size + m1 * 5 / p WHEN hit OR closes THEN 0 ELSE size END AS s2, CASE WHEN opens THEN p WHEN grows THEN (entry * size + p * (m1 * 5 / p)) / (size + m1 * 5 / p) WHEN hit OR closes THEN 0 ELSE entry END AS e2
+      FROM (SELECT *, asks AND m1 > 0 AND m1 + m1 * 5 / p * p * 0.0005 <= c2 AS grows, (pos = 0 OR closes) AND NOT hit AND side <> 0 AND c2 > 0 AS opens, c2 * 0.1 AS m2
+      FROM (SELECT *, pos <> 0 AND NOT hit AND NOT closes AND adds AS asks, greatest(c2, 0) * 0.1 AS m1
+      FROM (SELECT *, CASE WHEN closes THEN c1 + held + pos * size * (p - entry) - size * p * 0.0005 ELSE c1 END AS c2
+      FROM (SELECT *, pos <> 0 AND NOT hit AND side <> pos AS closes, cash - CASE WHEN pos <> 0 AND NOT hit THEN pos * size * p * rate ELSE 0 END AS c1
+      FROM (SELECT l.symbol, n.ts, n.i, n.p, n.rate, n.side, n.adds, l.cash, l.pos, l.size, l.entry, l.held, l.liq, l.pos > 0 AND n.p <= l.liq OR l.pos < 0 AND n.p >= l.liq AS hit FROM l JOIN n ON n.symbol = l.symbol AND n.i = l.i + 1)))))))"""
 
 
-@plan("perp_ledger", None)
+@plan("perp_ledger", f"{PERP} SELECT symbol, ts, event, round(cash, 4) AS cash, round(cash + CASE WHEN pos <> 0 THEN held + pos * size * (p - entry) ELSE 0 END, 4) AS equity FROM l WHERE i > 0", "trades funding")
 def perp(spark, sf):
     f = A.funding(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
     h = A.trades(spark, sf).groupBy("symbol", F.window("ts", "8 hours").start.alias("ts")).agg(F.min_by("price", F.struct("ts", "trade_id")).alias("price"))
     x = h.join(f, ["symbol", "ts"]).where("price > 0")
     side = F.signum(F.col("price") - F.avg("price").over(W.partitionBy("symbol").orderBy("ts").rowsBetween(-5, 0))).cast("int")
-    return simulation.perp_ledger(x.select("symbol", "ts", "price", "rate", side.alias("side")), 10_000.0, 5.0, simulation.margin_rate)
+    x = x.select("symbol", "ts", "price", "rate", side.alias("side"), (F.hour("ts") == 0).alias("adds"))
+    b = simulation.perp_ledger(x, 10_000.0, 5.0, simulation.margin_rate)
+    return b.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "event", F.round("cash", 4).alias("cash"), F.round("equity", 4).alias("equity"))
 
 
 FEE = "CASE market WHEN 'perp' THEN 0.0004 ELSE 0.001 END"
