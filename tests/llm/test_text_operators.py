@@ -658,18 +658,6 @@ def test_repeats_cover_what_a_full_search_finds(spark, min_words):
         seen |= {text[a:b] for a, b in windows}
 
 
-def test_copies_are_one_text(spark):
-    """Copies get one row each, for the whole text; the first of them is compared with the others."""
-    rng = np.random.default_rng(30)
-    word = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), int(rng.integers(2, 9)))) for _ in range(n))
-    passage, text, brief = word(60), word(80), word(20)
-    whole = f"  {text} {passage}\n"
-    rows = [(1, passage + " " + word(30)), *[(i, whole) for i in range(10, 30)], *[(i, brief) for i in range(40, 45)], (50, word(10) + " " + text), (10, word(70))]
-    got = {(r.doc_id, r.origin_id, r.begin, r.end, r.n_words) for r in substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    full = {(i, 10, 2, len(whole) - 1, 140) for i in range(11, 30)}
-    assert full <= got and {r[:2] for r in got} == {(i, 10) for i in range(11, 30)} | {(10, 1), (50, 10)}
-
-
 def test_repeats_of_edge_rows(edge, empty):
     assert substring_dedup.repeats(empty).count() == 0
     assert {(r.doc_id, r.origin_id) for r in substring_dedup.repeats(edge, min_words=5).collect()} <= {(5, 4)}

@@ -18,10 +18,9 @@ are therefore looked up as wholes among all documents that hold such a gram, and
 to the first one that holds the window. So every word of a window of ``min_words`` whole
 words that an earlier document holds as whole words lies in a returned range.
 
-Equal texts are one text: the others of a group get one row, for the whole text, whose
-origin is the first of them, and only that one is compared with other texts. Digests are
-added up before they are shuffled, and joined back as (digest, place) rows, so that a
-passage found everywhere is no group in one task.
+Digests are added up before they are shuffled, and joined back as (digest, place)
+rows, so that a passage found everywhere is no group in one task. Only documents with
+repeats move their texts.
 
 Null and empty texts have no repeats; rows that share an id count as one document;
 of several origins at the same distance the first one is taken; empty tables give empty
@@ -38,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import WORD, Scratch, WordIds, map_batches, mix64
+from tidemark.llm._common import Scratch, WordIds, map_batches, mix64
 
 SPACES = b" \t\n\r\x0b\x0c"
 IS_SPACE = np.isin(np.arange(256), np.frombuffer(SPACES, np.uint8))
@@ -239,16 +238,13 @@ def repeats(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_c
     """(doc_id, origin_id, begin, end, origin_begin, n_words): byte ranges that an earlier document holds too."""
     scratch = Scratch(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null and doc_id is not null")
-    d = d.withColumn("hash", F.unhex(F.sha2("text", 256)))
-    later = scratch.write(copies(d, min_words))
-    d = scratch.write(d.join(later, ["doc_id", "hash"], "left_anti").drop("hash"))
     grams = gram_rows(d, min_words)
     hits = scratch.write(with_origins(grams, grams))
     found = scratch.write(grown_runs(d, hits.drop("digest"), min_words, scratch))
     # Windows that the origins of their grams do not hold as a whole, though each gram has one.
     ranges = found.groupBy("doc_id").agg(F.collect_set(F.struct("begin", "end")).alias("ranges"))
-    asking = hits.groupBy("doc_id").agg(F.collect_set("digest").alias("grams")).join(ranges, "doc_id", "left")
-    asked = d.join(asking, "doc_id").select("doc_id", "text", "grams", F.coalesce("ranges", F.array().cast("array<struct<begin:bigint,end:bigint>>")).alias("ranges"))
+    later = hits.groupBy("doc_id").agg(F.collect_set("digest").alias("grams")).join(ranges, "doc_id", "left")
+    asked = d.join(later, "doc_id").select("doc_id", "text", "grams", F.coalesce("ranges", F.array().cast("array<struct<begin:bigint,end:bigint>>")).alias("ranges"))
     asked = scratch.write(window_rows(asked, min_words))
     # Everyone with such a gram, the gram's origin included, is asked for the windows.
     held = hits.join(asked.select(F.col("gram").alias("digest")).distinct(), "digest")
@@ -256,25 +252,11 @@ def repeats(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_c
     held = d.join(held, "doc_id").select("doc_id", "text", "grams", F.lit(None).cast("array<struct<begin:bigint,end:bigint>>").alias("ranges"))
     held = window_rows(held, min_words).join(asked.select("digest").distinct(), "digest", "left_semi")
     more = with_origins(asked.drop("gram"), held)
-    whole = later.where("n_words >= " + str(int(min_words))).select("doc_id", F.col("first").alias("origin_id"), "begin", "end", F.col("begin").alias("origin_begin"), "n_words").distinct()
-    out = Scratch(docs.sparkSession).write(found.union(grown_runs(d, more.drop("digest"), min_words, scratch)).distinct().union(whole))
+    out = Scratch(docs.sparkSession).write(found.union(grown_runs(d, more.drop("digest"), min_words, scratch)).distinct())
     scratch.drop()
     return out
 
 
-def copies(d: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, hash, first, begin, end, n_words) of the documents (doc_id, text, hash) whose text an earlier one has as a whole.
-
-    The text is described where it is read, and only that is shuffled.
-    """
-    spaces = F.lit(SPACES.decode())
-    left = F.octet_length("text") - F.octet_length(F.ltrim("text", spaces))
-    right = F.octet_length(F.rtrim("text", spaces))
-    rows = d.select("doc_id", "hash", left.cast("long").alias("begin"), right.cast("long").alias("end"), F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"))
-    first = rows.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    return rows.join(first, "hash").where("doc_id > first").select("doc_id", "hash", "first", "begin", "end", "n_words")
-
-
 def remove_repeats(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without the byte ranges of ``found`` (from :func:`repeats`); all columns stay."""
     ranges = found.groupBy("doc_id").agg(F.collect_set(F.struct("begin", "end")).alias("__ranges")).withColumnRenamed("doc_id", "__id")
