@@ -245,7 +245,7 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, steps: i
     return beta
 
 
-def learn(labelled: list[tuple[str, set[str]]], least: int = 5, ridge: float = 0.2) -> Weights:
+def learn(labelled: list[tuple[str, set[str]]], least: int = 5, ridge: float = 0.05) -> Weights:
     """Weights from (page, main blocks). Names that fewer than ``least`` pages have are left out.
 
     The score of a tag is the log of words per tag of all text against that of main text,

@@ -29,7 +29,7 @@ MAIN = {"article": ("article", "post", "entry", "story"), "main": ("main", "cont
 NAMES = sorted({n for names in BOILERPLATE.values() for n in names})
 
 
-def labelled_pages(count: int = 1000, seed: int = 7) -> list[tuple[str, set[str]]]:
+def labelled_pages(count: int = 1600, seed: int = 7) -> list[tuple[str, set[str]]]:
     """(page, set of main blocks) for ``count`` layouts."""
     rng = random.Random(seed)
     letters = "abcdefghijklmnoprstuvwz"
@@ -65,7 +65,7 @@ def labelled_pages(count: int = 1000, seed: int = 7) -> list[tuple[str, set[str]
 
     def menu() -> str:
         link = lambda: f"<a href='/{name()}'>{phrase(rng.randint(1, 4))}</a>"
-        n = rng.randint(3, 25)
+        n = rng.choice((rng.randint(3, 7), rng.randint(3, 7), rng.randint(3, 7), rng.randint(8, 25)))
         if rng.random() < 0.7:
             return "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(n)) + "</ul>"
         return rng.choice((" | ", " ", "<br>")).join(link() for _ in range(n))
@@ -87,7 +87,7 @@ def labelled_pages(count: int = 1000, seed: int = 7) -> list[tuple[str, set[str]
         if kind < 0.45:
             hidden = rng.choice(("hidden", 'aria-hidden="true"', 'style="display:none"', "style='color:red; visibility: hidden'"))
             return f"<div {hidden}>{prose(rng.randint(3, 30))}</div>"
-        body = rng.choice((phrase, prose))(rng.choice((rng.randint(1, 14), rng.randint(5, 50))))
+        body = rng.choice((phrase, prose))(rng.choice((rng.randint(1, 3), rng.randint(1, 14), rng.randint(5, 50))))
         body = body if rng.random() < 0.5 else f"<p>{body}</p>"
         return f"{opening(holder, names, 0)}{body}</{holder}>"
 

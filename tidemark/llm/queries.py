@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,10 +54,15 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@cache
+def page_weights() -> html_extract.Weights:
+    """The weights of the made pages, learned once in a process."""
+    return html_extract.learn(labelled_pages.labelled_pages())
+
+
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
-    weights = html_extract.learn(labelled_pages.labelled_pages())
-    return html_extract.extract_pages(_table(spark, sf_dir, "pages"), weights)
+    return html_extract.extract_pages(_table(spark, sf_dir, "pages"), page_weights())
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
