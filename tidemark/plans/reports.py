@@ -209,7 +209,7 @@ def calendar_union(spark, sf):
     return parts[0].union(parts[1]).union(parts[2]).distinct()
 
 
-@plan("three_way_outer", """WITH t AS (SELECT symbol, CAST(ts AS DATE) AS day, count(*) AS n_trades FROM trades WHERE price > 50 GROUP BY 1, 2), f AS (SELECT symbol, CAST(ts AS DATE) AS day, round(avg(rate), 8) AS rate FROM funding WHERE rate > 0 GROUP BY 1, 2),
+@plan("three_way_outer", """WITH t AS (SELECT symbol, CAST(ts AS DATE) AS day, count(*) AS n_trades FROM trades WHERE price > 50 GROUP BY 1, 2), f AS (SELECT symbol, CAST(ts AS DATE) AS day, max(rate) AS rate FROM funding WHERE rate > 0 GROUP BY 1, 2),
     a AS (SELECT symbol, CAST(ts AS DATE) AS day, count(*) AS n_alerts FROM trades WHERE price > 200 GROUP BY 1, 2)
     SELECT symbol, day, coalesce(n_trades, 0) AS n_trades, rate, coalesce(n_alerts, 0) AS n_alerts FROM t FULL JOIN f USING (symbol, day) FULL JOIN a USING (symbol, day)""", "trades funding")
 def three_way_outer(spark, sf):
@@ -217,7 +217,7 @@ def three_way_outer(spark, sf):
     t, day = A.trades(spark, sf), F.to_date("ts").alias("day")
     n = t.where("price > 50").groupBy("symbol", day).agg(F.count(F.lit(1)).alias("n_trades"))
     a = t.where("price > 200").groupBy("symbol", day).agg(F.count(F.lit(1)).alias("n_alerts"))
-    f = A.funding(spark, sf).where("rate > 0").groupBy("symbol", day).agg(F.round(F.avg("rate"), 8).alias("rate"))
+    f = A.funding(spark, sf).where("rate > 0").groupBy("symbol", day).agg(F.max("rate").alias("rate"))
     x = n.join(f, ["symbol", "day"], "full_outer").join(a, ["symbol", "day"], "full_outer")
     return x.select("symbol", "day", F.coalesce("n_trades", F.lit(0)).alias("n_trades"), "rate", F.coalesce("n_alerts", F.lit(0)).alias("n_alerts"))
 
