@@ -58,9 +58,13 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         """Delete these tables; without any, all that are left."""
         for table in tables or [t for _, t in self.paths.values()]:
-            path, _ = self.paths.pop(id(table))
-            target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+            delete(self.spark, self.paths.pop(id(table))[0])
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever file system it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
 def map_batches(

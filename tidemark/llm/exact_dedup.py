@@ -24,7 +24,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import SPACE, shared_dir
+from tidemark.llm._common import SPACE, delete, materialise, shared_dir
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -88,15 +88,19 @@ def exact_duplicates(spark: SparkSession, path: str, id_col: str = "doc_id", tex
     """One row per document of the Parquet table at ``path``: what it equals and whether it stays.
 
     Returns doc_id, keep_id, group_size, kept, text_sha256 and the locator of the kept
-    row. ``digest_bits`` shortens the state's key (tests use it to force collisions).
+    row. ``digest_bits`` shortens the state's key (tests use it to force collisions). With
+    a ``checkpoint`` the state stays there and a later run goes on from it; without one it
+    is deleted.
     """
     table = spark.read.parquet(path)
-    checkpoint = checkpoint or shared_dir(spark)
+    folder = checkpoint or shared_dir(spark)
     key = F.substring(F.sha2(normalised(F.col("text")), 256), 1, digest_bits // 4)
     columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")]
     # As a pattern, because a stream's plain path must be a folder and a table may be a single file.
     stream = spark.readStream.schema(table.schema).parquet(f"{path[:-1]}[{path[-1]}]").select(*columns, F.col("_metadata.file_path").alias("locator"))
-    state = run_state(stream, checkpoint, key)
+    state = materialise(run_state(stream, folder, key))
+    if checkpoint is None:  # nobody will go on from this state
+        delete(spark, folder)
 
     docs = table.select(*columns)
     rows = docs.select("doc_id", F.sha2(normalised(F.col("text")), 256).alias("text_sha256"))
