@@ -39,6 +39,8 @@ from pyspark.sql import functions as F
 from tidemark.llm._common import map_batches, mix64
 
 SIZES = (2, 3, 4)
+#: Languages whose sampling rates are broadcast (some 100 KB).
+MANY = 10_000
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -187,8 +189,10 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
 
 def sample(labelled: DataFrame, rows: int, id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
     """About ``rows`` of the labelled rows, the same number of each language where it has so many, drawn by hash of the id."""
-    sizes = labelled.groupBy(F.col(lang_col).alias("__lang")).agg(F.count(F.lit(1)).alias("__n"))
-    each = rows / max(1, sizes.count())
-    rated = labelled.join(sizes, F.col(lang_col) == F.col("__lang"))
+    sizes = labelled.groupBy(F.col(lang_col).alias("__lang")).agg(F.count(F.lit(1)).alias("__n")).where("__lang is not null").collect()
+    each = rows / max(1, len(sizes))
+    rates = labelled.sparkSession.createDataFrame([(r["__lang"], 1_000_000 * each / r["__n"]) for r in sizes], "__lang string, __rate double")
+    # One row for each language: broadcast while these are few, so that no language's texts meet in one task.
+    rated = labelled.join(F.broadcast(rates) if len(sizes) <= MANY else rates, F.col(lang_col) == F.col("__lang"))
     draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1_000_000))
-    return rated.where(draw < F.lit(1_000_000 * each) / F.col("__n")).select(*labelled.columns)
+    return rated.where(draw < F.col("__rate")).select(*labelled.columns)
