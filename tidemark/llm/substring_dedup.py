@@ -238,8 +238,9 @@ def repeats(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_c
     """(doc_id, origin_id, begin, end, origin_begin, n_words): byte ranges that an earlier document holds too."""
     scratch = Scratch(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null and doc_id is not null")
-    grams = gram_rows(d, min_words)
+    grams = scratch.write(gram_rows(d, min_words))  # read twice, made once
     hits = scratch.write(with_origins(grams, grams))
+    scratch.drop(grams)
     found = scratch.write(grown_runs(d, hits.drop("digest"), min_words, scratch))
     # Windows that the origins of their grams do not hold as a whole, though each gram has one.
     ranges = found.groupBy("doc_id").agg(F.collect_set(F.struct("begin", "end")).alias("ranges"))
