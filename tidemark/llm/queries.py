@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm._common import remainder
-from tidemark.llm import decontaminate, exact_dedup, html_extract, labelled_pages, language_id, mixing, near_dedup, sharding, substring_dedup, token_count, toxicity
+from tidemark.llm import decontaminate, exact_dedup, filter_audit, html_extract, labelled_pages, language_id, mixing, near_dedup, piece_encoding, sharding, substring_dedup, token_count, toxicity, whitening
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -84,6 +84,23 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(held_out, filters, keep=["held_out"])
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes from every source, in all 120 orders."""
+    return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings in whitened components."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document under the piece vocabulary, and the text that they give back."""
+    import public_tokenizers
+
+    return piece_encoding.encode_texts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_benchmark_leaks": op1_benchmark_leaks,
     "op2_kd_shards": op2_kd_shards,
@@ -95,6 +112,9 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_language": op10_language,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_whitening": op12_whitening,
+    "op13_piece_ids": op13_piece_ids,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -132,4 +152,19 @@ ORACLE_SQL: dict[str, str] = {
                (rounds * size + greatest(0, least(fin, least(lo + extra, blocks) * block) - greatest(beg, lo * block)) + greatest(0, least(fin, greatest(lo + extra - blocks, 0) * block) - beg))::BIGINT AS taken,
                shard, block, quota::BIGINT AS quota
         FROM y""",
+    "op11_filter_audit": r"""
+        WITH l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+        d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+        m AS (SELECT part, (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT + 4 * (100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 2 * length(t))::INT
+              + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(w.doc_id > first, false)::INT AS mask, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+        c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY 1, 2),
+        f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit),
+        o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM f a, f b, f c, f d, f e WHERE (a.bit | b.bit | c.bit | d.bit | e.bit) = 31),
+        s AS (SELECT filter_order, k AS step, bits[k] AS bit, coalesce(list_sum(bits[1:k - 1]), 0)::INT AS before FROM o, range(1, 6) r(k)),
+        x AS (SELECT part, filter_order, step::INT AS step, bit, coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS removed,
+              coalesce(sum(n) FILTER (mask & before > 0 AND mask & bit > 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+              coalesce(sum(good) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS toxic_lost
+              FROM c CROSS JOIN s GROUP BY 1, 2, 3, 4)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM x""",
 }
