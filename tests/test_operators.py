@@ -67,6 +67,19 @@ def test_fund_fold_golden(spark):
     assert sum(x.n_orders for x in out) == 1
 
 
+def test_a_fund_that_cannot_be_valued_ends_alone(spark):
+    days = [D(2024, 6, 7), D(2024, 6, 14), D(2024, 6, 21)]
+    hole = [("f", d, t, 0.5, 100.0) for d in days for t in "AB" if (d, t) != (days[1], "B")]
+    broke = [("g", days[0], "A", 1.0, 100.0), ("g", days[0], "B", -3.0, 100.0), ("g", days[1], "A", 1.0, 10.0), ("g", days[1], "B", 1.0, 200.0)]
+    whole = [("h", d, "A", 1.0, 50.0) for d in days]
+    rows_ = simulation.fund_fold(spark.createDataFrame(hole + broke + whole, "fund string, d date, ticker string, weight double, mark double"), 1000.0)
+    got = [(r.fund, r.d, r.equity, r.error) for r in rows_.orderBy("fund", "d").collect()]
+    assert got == [("f", days[0], 1000.0, None), ("f", days[1], None, "no mark of B"), ("g", days[0], 1000.0, None), ("g", days[1], None, "no equity left"), *[("h", d, 1000.0, None) for d in days]]
+    with pytest.raises(ValueError, match="f: no mark of B on 2024-06-14"):
+        simulation.strictly(rows_)
+    assert simulation.strictly(rows_.where("fund = 'h'")).count() == 3
+
+
 def test_edge_trades_do_not_overlap(spark):
     r = spark.createDataFrame([("T", D(2024, 1, 1) + dt.timedelta(i), 50.0, 1) for i in range(30)], "ticker string, d date, close double, signal int")
     out = simulation.edge_trades(r, 5, 10_000.0).collect()
@@ -160,8 +173,8 @@ def test_a_liquidated_position_pays_no_funding(spark):
 
 def test_a_fund_cannot_value_a_held_ticker_without_a_mark(spark):
     r = spark.createDataFrame([("f", D(2024, 6, 7), "A", 1.0, 10.0), ("f", D(2024, 6, 14), "B", 1.0, 10.0)], "fund string, d date, ticker string, weight double, mark double")
-    with pytest.raises(Exception, match="no mark of A"):
-        simulation.fund_fold(r, 1000.0).collect()
+    with pytest.raises(ValueError, match="no mark of A"):
+        simulation.strictly(simulation.fund_fold(r, 1000.0))
 
 
 def test_orders_sell_first_and_close_what_is_no_longer_wanted(spark):

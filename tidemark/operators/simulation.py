@@ -15,13 +15,16 @@ from pyspark.sql import DataFrame
 
 
 def fund_fold(rows: DataFrame, capital: float) -> DataFrame:
-    """Rebalance each fund on its dates: (fund, d, cash, equity, n_orders, long, short).
+    """Rebalance each fund on its dates: (fund, d, cash, equity, n_orders, long, short, error).
 
     ``rows`` has (fund, d, ticker, weight, mark): target weights and marks of the tickers
-    that can be valued on a date. A held ticker without a mark is an error, as the book
-    cannot be valued, and so is an equity of 0 or less. Shares are cut toward zero; fills are
-    at the mark; cash may go below 0. ``long`` and ``short`` are exposures after the trades.
+    that can be valued on a date. A fund that cannot be valued, because a held ticker has no
+    mark or nothing is left of its equity, ends with a row whose ``error`` says so and whose
+    equity is null; the other funds go on (:func:`strictly` raises instead). Shares are cut
+    toward zero; fills are at the mark; cash may go below 0. ``long`` and ``short`` are
+    exposures after the trades.
     """
+    columns = ["fund", "d", "cash", "equity", "n_orders", "long", "short", "error"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         cash, held, out = capital, {}, []
@@ -29,11 +32,11 @@ def fund_fold(rows: DataFrame, capital: float) -> DataFrame:
         for d, day in pdf.sort_values(["d", "ticker"]).groupby("d", sort=True):
             mark = dict(zip(day.ticker, day.mark, strict=True))
             lost = sorted(t for t, q in held.items() if q and t not in mark)
-            if lost:
-                raise ValueError(f"{fund}: no mark of {', '.join(lost)} on {d}")
-            equity = cash + sum(q * mark[t] for t, q in held.items() if q)
-            if equity <= 0:
-                raise ValueError(f"{fund}: equity is {equity:.2f} on {d}")
+            equity = cash + sum(q * mark[t] for t, q in held.items() if q) if not lost else None
+            if lost or equity <= 0:
+                error = f"no mark of {', '.join(lost)}" if lost else "no equity left"
+                out.append((fund, d, cash, None, 0, None, None, error))
+                break
             n = 0
             for t, w in zip(day.ticker, day.weight, strict=True):
                 want = int(w * equity / mark[t])
@@ -43,10 +46,18 @@ def fund_fold(rows: DataFrame, capital: float) -> DataFrame:
                     held[t] = want
                     n += 1
             values = [q * mark[t] for t, q in held.items() if q]
-            out.append((fund, d, cash, equity, n, sum(v for v in values if v > 0), -sum(v for v in values if v < 0)))
-        return pd.DataFrame(out, columns=["fund", "d", "cash", "equity", "n_orders", "long", "short"])
+            out.append((fund, d, cash, equity, n, sum(v for v in values if v > 0), -sum(v for v in values if v < 0), None))
+        return pd.DataFrame(out, columns=columns)
 
-    return rows.groupBy("fund").applyInPandas(run, "fund string, d date, cash double, equity double, n_orders long, long double, short double")
+    return rows.groupBy("fund").applyInPandas(run, "fund string, d date, cash double, equity double, n_orders long, long double, short double, error string")
+
+
+def strictly(cycles: DataFrame) -> DataFrame:
+    """The cycles without their error column; raises in the driver if a fund could not be valued."""
+    first = cycles.where("error is not null").orderBy("d", "fund").first()
+    if first:
+        raise ValueError(f"{first.fund}: {first.error} on {first.d}")
+    return cycles.drop("error")
 
 
 def edge_trades(rows: DataFrame, hold: int, per_trade: float) -> DataFrame:

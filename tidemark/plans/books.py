@@ -125,34 +125,41 @@ def backtest(spark, sf):
     return simulation.fund_fold(rows, CAPITAL)
 
 
+def valued(spark, sf):
+    """The cycles of the example fund that could be valued."""
+    return backtest(spark, sf).where("error is null")
+
+
 FUND = f"""WITH RECURSIVE {BLEND}, {GRID}, pos AS (SELECT ticker, row_number() OVER (ORDER BY ticker) AS k FROM (SELECT DISTINCT ticker FROM book)),
     days AS (SELECT d, row_number() OVER (ORDER BY d) AS i FROM (SELECT DISTINCT d FROM book)),
-    arr AS MATERIALIZED (SELECT i, days.d, list(coalesce(weight, 0) ORDER BY k) AS w, list(coalesce(mark, 0) ORDER BY k) AS m FROM days CROSS JOIN pos LEFT JOIN book ON book.d = days.d AND book.ticker = pos.ticker GROUP BY 1, 2),
-    f AS (SELECT 0::BIGINT AS i, NULL::DATE AS d, {CAPITAL!r}::DOUBLE AS cash, {CAPITAL!r}::DOUBLE AS equity, [0.0::DOUBLE for x in range((SELECT count(*) FROM pos))] AS held, 0::BIGINT AS n, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down
-      UNION ALL SELECT i, d, cash - list_sum([(want[j] - held[j]) * m[j] for j in range(1, len(m) + 1)]), equity, want, list_sum([CASE WHEN want[j] <> held[j] THEN 1 ELSE 0 END for j in range(1, len(m) + 1)])::BIGINT,
-        list_sum([greatest(want[j] * m[j], 0) for j in range(1, len(m) + 1)]), -list_sum([least(want[j] * m[j], 0) for j in range(1, len(m) + 1)])
-      FROM (SELECT *, [CASE WHEN m[j] > 0 THEN trunc(w[j] * equity / m[j]) ELSE held[j] END for j in range(1, len(m) + 1)] AS want
-        FROM (SELECT a.i, a.d, a.w, a.m, f.cash, f.held, f.cash + list_sum([f.held[j] * a.m[j] for j in range(1, len(a.m) + 1)]) AS equity FROM f JOIN arr a ON a.i = f.i + 1)))"""
+    arr AS MATERIALIZED (SELECT i, days.d, list(pos.ticker ORDER BY k) AS names, list(coalesce(weight, 0) ORDER BY k) AS w, list(coalesce(mark, 0) ORDER BY k) AS m FROM days CROSS JOIN pos LEFT JOIN book ON book.d = days.d AND book.ticker = pos.ticker GROUP BY 1, 2),
+    f AS (SELECT 0::BIGINT AS i, NULL::DATE AS d, {CAPITAL!r}::DOUBLE AS cash, {CAPITAL!r}::DOUBLE AS equity, [0.0::DOUBLE for x in range((SELECT count(*) FROM pos))] AS held, 0::BIGINT AS n, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down, NULL::VARCHAR AS error
+      UNION ALL SELECT i, d, CASE WHEN error IS NULL THEN cash - list_sum([(want[j] - held[j]) * m[j] for j in range(1, len(m) + 1)]) ELSE cash END, CASE WHEN error IS NULL THEN equity END, want, CASE WHEN error IS NULL THEN list_sum([CASE WHEN want[j] <> held[j] THEN 1 ELSE 0 END for j in range(1, len(m) + 1)]) ELSE 0 END::BIGINT,
+        CASE WHEN error IS NULL THEN list_sum([greatest(want[j] * m[j], 0) for j in range(1, len(m) + 1)]) END, CASE WHEN error IS NULL THEN -list_sum([least(want[j] * m[j], 0) for j in range(1, len(m) + 1)]) END, error
+      FROM (SELECT *, [CASE WHEN error IS NULL AND m[j] > 0 THEN trunc(w[j] * equity / m[j]) ELSE held[j] END for j in range(1, len(m) + 1)] AS want
+        FROM (SELECT *, CASE WHEN len(lost) > 0 THEN 'no mark of ' || array_to_string(lost, ', ') WHEN equity <= 0 THEN 'no equity left' END AS error
+        FROM (SELECT a.i, a.d, a.w, a.m, f.cash, f.held, [a.names[j] for j in range(1, len(a.m) + 1) if f.held[j] <> 0 AND a.m[j] = 0] AS lost, f.cash + list_sum([f.held[j] * a.m[j] for j in range(1, len(a.m) + 1)]) AS equity FROM f JOIN arr a ON a.i = f.i + 1 WHERE f.error IS NULL))))"""
 
 
-@plan("fund_backtest", f"{FUND} SELECT 'fund' AS fund, d, round(cash, 2) AS cash, round(equity, 2) AS equity, n AS n_orders FROM f WHERE i > 0", "views bench")
+@plan("fund_backtest", f"{FUND} SELECT 'fund' AS fund, d, round(cash, 2) AS cash, round(equity, 2) AS equity, n AS n_orders, error FROM f WHERE i > 0", "views bench")
 def fund_backtest(spark, sf):
-    return backtest(spark, sf).select("fund", "d", F.round("cash", 2).alias("cash"), F.round("equity", 2).alias("equity"), "n_orders")
+    """The fund's cycles; one that cannot be valued is the last and says why."""
+    return backtest(spark, sf).select("fund", "d", F.round("cash", 2).alias("cash"), F.round("equity", 2).alias("equity"), "n_orders", "error")
 
 
-@plan("fund_exposure", f"{FUND} SELECT 'fund' AS fund, d, round(up, 2) AS long, round(down, 2) AS short, round(up + down, 2) AS gross, round(up - down, 2) AS net, round((up + down) / equity, 6) AS gross_share FROM f WHERE i > 0", "views bench")
+@plan("fund_exposure", f"{FUND} SELECT 'fund' AS fund, d, round(up, 2) AS long, round(down, 2) AS short, round(up + down, 2) AS gross, round(up - down, 2) AS net, round((up + down) / equity, 6) AS gross_share FROM f WHERE i > 0 AND error IS NULL", "views bench")
 def fund_exposure(spark, sf):
     """Long, short, gross and net exposure after each rebalance."""
     u, v = F.col("long"), F.col("short")
-    return backtest(spark, sf).select("fund", "d", F.round(u, 2).alias("long"), F.round(v, 2).alias("short"), F.round(u + v, 2).alias("gross"), F.round(u - v, 2).alias("net"), r6((u + v) / F.col("equity"), "gross_share"))
+    return valued(spark, sf).select("fund", "d", F.round(u, 2).alias("long"), F.round(v, 2).alias("short"), F.round(u + v, 2).alias("gross"), F.round(u - v, 2).alias("net"), r6((u + v) / F.col("equity"), "gross_share"))
 
 
-FUND_CURVE = f"{FUND}, v AS (SELECT *, equity / lag(equity) OVER (ORDER BY i) - 1 AS r, equity / max(equity) OVER (ORDER BY i) - 1 AS dd FROM f)"
+FUND_CURVE = f"{FUND}, v AS (SELECT *, equity / lag(equity) OVER (ORDER BY i) - 1 AS r, equity / max(equity) OVER (ORDER BY i) - 1 AS dd FROM f WHERE error IS NULL)"
 
 
 def fund_curve(spark, sf):
     """The fund's curve with its starting capital as cycle 0, returns and drawdowns."""
-    c = backtest(spark, sf).select("fund", "d", "equity", "n_orders", F.row_number().over(W.partitionBy("fund").orderBy("d")).alias("i"))
+    c = valued(spark, sf).select("fund", "d", "equity", "n_orders", F.row_number().over(W.partitionBy("fund").orderBy("d")).alias("i"))
     start = c.where("i = 1").select("fund", F.lit(None).cast("date"), F.lit(CAPITAL), F.lit(0).cast("long"), F.lit(0))
     return metrics.curve(c.union(start), "fund", "i", "equity")
 

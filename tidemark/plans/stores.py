@@ -150,7 +150,7 @@ def cycle_receipts(spark, sf):
     """One JSON receipt for each cycle that traded, written and read back."""
     path = folder(spark)
     body = F.to_json(F.struct("d", F.round("equity", 2).alias("equity"), F.col("n_orders").alias("orders")))
-    books.backtest(spark, sf).where("n_orders > 0").select(body.alias("value")).write.text(path)
+    books.valued(spark, sf).where("n_orders > 0").select(body.alias("value")).write.text(path)
     r = F.from_json("value", "d date, equity double, orders long")
     return spark.read.text(path).select(r.alias("r")).select("r.d", "r.equity", F.col("r.orders").alias("n_orders"))
 

@@ -7,8 +7,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tidemark.sources import adapters as A
 from tidemark.sources.adapters import with_views
-from tidemark.streaming import flows
+from tidemark.streaming import flows, orders
 
 QUERIES, SQL = {}, {}
 
@@ -25,11 +26,11 @@ def folder(spark) -> str:
     return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 
-def plan(name, sql=None):
+def plan(name, sql=None, views="trades"):
     def add(fn):
         QUERIES[name] = fn
         if sql:
-            SQL[name] = with_views("trades", sql)
+            SQL[name] = with_views(views, sql)
         return fn
 
     return add
@@ -65,3 +66,46 @@ def stream_first_trades(spark, sf):
     """Each trade once, from a stream that delivers every one twice."""
     t = flows.event_stream(spark, sf)
     return flows.drain(flows.first_trades(t.union(t)).select("trade_id", "symbol", "price"), folder(spark))
+
+
+# Recorded orders
+
+#: Seconds that an order lives.
+ORDER_LIFE = 2 * 86_400
+
+ORDER_STATES = f"""WITH RECURSIVE n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY ts, seq) AS i FROM order_log),
+    ends AS (SELECT account, greatest(max(ts), (SELECT max(ts) - INTERVAL 10 MINUTE FROM order_log)) AS seen FROM order_log GROUP BY 1),
+    s AS (SELECT DISTINCT order_id, account, 0::BIGINT AS i, NULL::BIGINT AS opened, 'none' AS status, NULL::VARCHAR AS side, 0.0::DOUBLE AS qty, 0.0::DOUBLE AS filled, 0.0::DOUBLE AS notional, NULL::TIMESTAMP AS expires, false AS expired, 'none' AS effect FROM n
+      UNION ALL SELECT order_id, account, i, CASE WHEN opens THEN seq ELSE opened END,
+        CASE WHEN opens THEN 'submitting' WHEN NOT active THEN was WHEN kind = 'accept' AND was = 'submitting' THEN 'not_traded' WHEN kind = 'fill' THEN CASE WHEN filled + part >= qty THEN 'all_traded' ELSE 'part_traded' END WHEN kind = 'cancel' THEN 'cancelled' ELSE was END,
+        CASE WHEN opens THEN new_side ELSE side END, CASE WHEN opens THEN new_qty ELSE qty END, CASE WHEN opens THEN 0 WHEN active AND kind = 'fill' THEN filled + part ELSE filled END, CASE WHEN opens THEN 0 WHEN active AND kind = 'fill' THEN notional + part * price ELSE notional END,
+        CASE WHEN opens THEN ts + INTERVAL {ORDER_LIFE} SECOND ELSE expires END, NOT opens AND late, CASE WHEN opens THEN 'opened' WHEN active AND (kind IN ('fill', 'cancel') OR kind = 'accept' AND was = 'submitting') THEN kind ELSE 'ignored' END
+      FROM (SELECT *, kind = 'submit' AND NOT active AS opens, least(new_qty, qty - filled) AS part
+      FROM (SELECT *, CASE WHEN late AND was_active THEN 'cancelled' ELSE status END AS was, was_active AND NOT late AS active
+      FROM (SELECT s.order_id, s.account, n.i, n.seq, n.ts, n.kind, n.side AS new_side, n.qty AS new_qty, n.price, s.opened, s.status, s.side, s.qty, s.filled, s.notional, s.expires,
+          s.status IN ('submitting', 'not_traded', 'part_traded') AS was_active, s.expired OR s.status IN ('submitting', 'not_traded', 'part_traded') AND s.expires <= n.ts AS late
+        FROM s JOIN n ON n.order_id = s.order_id AND n.i = s.i + 1)))),
+    l AS (SELECT s.account, order_id, opened, arg_max(status, i) AS status, arg_max(side, i) AS side, arg_max(qty, i) AS qty, arg_max(filled, i) AS filled, arg_max(notional, i) AS notional, arg_max(expires, i) AS expires, bool_or(expired) AS expired, count(*) FILTER (effect <> 'ignored') AS n FROM s WHERE opened IS NOT NULL GROUP BY 1, 2, 3),
+    e AS (SELECT l.*, l.status IN ('submitting', 'not_traded', 'part_traded') AND expires <= seen AS ends_late FROM l JOIN ends USING (account)),
+    orders_now AS (SELECT account, order_id, opened, CASE WHEN ends_late OR expired THEN 'cancelled' ELSE status END AS status, side, qty, filled, round(notional / nullif(filled, 0), 6) AS avg_price, expired OR ends_late AS expired, n + CASE WHEN expired OR ends_late THEN 1 ELSE 0 END AS n_changes FROM e)"""
+
+
+def order_states_now(spark, sf):
+    """Every order of the recorded log as the stream leaves it."""
+    with flows.disk_state(spark):
+        changes = flows.drain(orders.order_changes(A.order_log(flows.stored(spark, sf)), ORDER_LIFE), folder(spark))
+    return orders.last_states(changes)
+
+
+@plan("order_states", f"{ORDER_STATES} SELECT * FROM orders_now", "order_log")
+def order_states(spark, sf):
+    return order_states_now(spark, sf).withColumn("avg_price", F.round("avg_price", 6))
+
+
+@plan("account_orders", f"""{ORDER_STATES} SELECT account, count(*) AS n_orders, count(*) FILTER (status IN ('submitting', 'not_traded', 'part_traded')) AS n_active, count(*) FILTER (status = 'all_traded') AS n_traded, count(*) FILTER (expired) AS n_expired, max(opened) AS last_order,
+    coalesce(sum(qty - filled) FILTER (status IN ('submitting', 'not_traded', 'part_traded')), 0) AS open_qty FROM orders_now GROUP BY 1""", "order_log")
+def account_orders(spark, sf):
+    """What the order getters of an account answer: active and finished orders, the newest, and what is still open."""
+    active = F.col("status").isin("submitting", "not_traded", "part_traded")
+    g = order_states_now(spark, sf).groupBy("account")
+    return g.agg(F.count(F.lit(1)).alias("n_orders"), F.count_if(active).alias("n_active"), F.count_if(F.col("status") == "all_traded").alias("n_traded"), F.count_if("expired").alias("n_expired"), F.max("opened").alias("last_order"), F.coalesce(F.sum(F.when(active, F.col("qty") - F.col("filled"))), F.lit(0.0)).alias("open_qty"))

@@ -44,6 +44,25 @@ def trades(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: What a recorded event means for an order.
+ORDER_KINDS = {"signup": "submit", "view": "accept", "click": "fill", "purchase": "fill", "error": "cancel"}
+
+
+def order_log(events: DataFrame) -> DataFrame:
+    """Recorded order events (account, seq, ts, kind, order_id, side, qty, price) of a stored or streamed event table.
+
+    A user is an account with eight order ids, chosen by the recorded number; an order is for
+    that number of shares and one, a fill for a part of it.
+    """
+    k = F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0))
+    kind = F.create_map(*[F.lit(x) for pair in ORDER_KINDS.items() for x in pair])[F.col("event_type")]
+    qty = F.when(F.col("event_type") == "signup", k + 1).otherwise(1 + F.floor(k / 4)).cast("double")
+    return events.select(
+        F.col("user_id").alias("account"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"),
+        F.concat_ws("-", "user_id", k % 8).alias("order_id"), F.when(F.col("event_id") % 2 == 0, "buy").otherwise("sell").alias("side"), qty.alias("qty"), F.col("value").alias("price"),
+    )
+
+
 def prob_ticks(spark: SparkSession, sf: str) -> DataFrame:
     """Probability ticks of prediction markets (token_id, ts, p)."""
     return trades(spark, sf).select(F.col("user_id").alias("token_id"), "ts", F.least(F.col("price") / 500, F.lit(1.0)).alias("p"))
@@ -113,6 +132,9 @@ SQL = {
     "bench": "bench AS (SELECT CAST(o_orderdate AS DATE) AS d, round(avg(o_totalprice), 2) AS close FROM orders GROUP BY 1)",
     "trades": """trades AS (SELECT event_id AS trade_id, ts, event_type AS symbol, value AS price,
         coalesce(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), 1.0) AS amount, CASE WHEN user_id % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, user_id FROM events)""",
+    "order_log": """order_log AS (SELECT user_id AS account, event_id AS seq, ts, CASE event_type WHEN 'signup' THEN 'submit' WHEN 'view' THEN 'accept' WHEN 'error' THEN 'cancel' ELSE 'fill' END AS kind,
+        user_id || '-' || (k % 8) AS order_id, CASE WHEN event_id % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, CASE WHEN event_type = 'signup' THEN k + 1 ELSE 1 + k // 4 END::DOUBLE AS qty, value AS price
+        FROM (SELECT *, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS k FROM events))""",
     "prob": "prob AS (SELECT user_id AS token_id, ts, least(price / 500, 1.0) AS p FROM trades)",
     "filings": """filings AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) AS filing_id, l_suppkey AS ticker,
         CAST(o_orderdate AS DATE) AS report_period, CAST(l_shipdate AS DATE) AS filing_date,

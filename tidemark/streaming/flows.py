@@ -6,17 +6,24 @@ and a batch share the code; :func:`drain` runs a stream to its end for replays.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def event_stream(spark: SparkSession, sf: str, files: int = 1) -> DataFrame:
-    """Trade ticks as a stream of the stored event files."""
+def stored(spark: SparkSession, sf: str, files: int = 1) -> DataFrame:
+    """The stored event files as a stream, so many at a time."""
     path = f"{sf}/events.parquet"
     schema = spark.read.parquet(path).schema
-    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{path[:-1]}[{path[-1]}]")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
+def event_stream(spark: SparkSession, sf: str, files: int = 1) -> DataFrame:
+    """Trade ticks as a stream of the stored event files."""
+    raw = stored(spark, sf, files)
     return raw.select(F.col("event_id").alias("trade_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("symbol"), "user_id", F.col("value").alias("price"), F.when(F.col("user_id") % 2 == 0, "buy").otherwise("sell").alias("side"))
 
 
@@ -57,6 +64,18 @@ def throttle(ticks: DataFrame, seconds: int = 5) -> DataFrame:
     return ticks.groupBy("symbol").applyInPandasWithState(keep, "symbol string, ts timestamp, price double", "last double", "append", GroupStateTimeout.NoTimeout)
 
 
+@contextmanager
+def disk_state(spark: SparkSession):
+    """Keep the state of streams that start here on disk (RocksDB), as keyed state with timers needs."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there into Parquet below ``path`` and read it back."""
     q = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
