@@ -8,9 +8,10 @@ compatible with the last token of the prefix before it. The ids are read off bac
 Work grows with the length of the text and not with the number of merges.
 
 Compatibility follows the merges inside both pieces, best first, and looks for a merge
-across their border that would come earlier; results are kept per task. Where no piece
-holds a space after another character, a text is cut before each run of spaces, and at line
-ends and tabs that no piece holds; these parts are encoded alone and the short ones kept.
+across their border that would come earlier; results are kept by each worker process, over
+its tasks. Where no piece holds a space after another character, a text is cut before each
+run of spaces, and at line ends and tabs that no piece holds; these parts are encoded alone,
+and short ones are kept in two generations of bounded size.
 
 Null texts are empty and have no tokens. Texts of any length are encoded whole; repeated
 rows give repeated rows, null ids stay, an empty table gives an empty one, and other
@@ -24,6 +25,7 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterator
+from functools import cache
 
 import ahocorasick
 import pyarrow as pa
@@ -88,14 +90,14 @@ class Model:
 class Encoder:
     """Encodes texts; compatibility and merges inside pieces are remembered."""
 
-    def __init__(self, model: Model, limit: int = 2_000_000) -> None:
+    def __init__(self, model: Model, limit: int = 1_000_000) -> None:
         self.model, self.limit = model, limit
         self.automaton = ahocorasick.Automaton()
         for piece in model.ids:
-            self.automaton.add_word(piece, piece)
+            self.automaton.add_word(piece, (piece, len(piece)))
         self.automaton.make_automaton()
         self.inner: dict[str, tuple[bool, list]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[tuple[str | None, str], bool] = {}
         inside = "".join(model.ids)
         edges = "".join(c for c in "\n\r\t" if c not in inside)
         crossing = any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in model.ids)
@@ -122,13 +124,9 @@ class Encoder:
 
     def compatible(self, left: str | None, right: str) -> bool:
         """Whether the two, joined and encoded, give the two again; left None: a text begins."""
-        if left is None:
-            return self.merges(right)[0]
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) >= self.limit:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self.merges(right)[0] and not self.crossed(left, right)
+        if len(self.pairs) >= self.limit:
+            self.pairs.clear()
+        known = self.pairs[left, right] = self.merges(right)[0] and (left is None or not self.crossed(left, right))
         return known
 
     def crossed(self, left: str, right: str) -> bool:
@@ -153,13 +151,16 @@ class Encoder:
     def encode_part(self, part: str) -> list[int]:
         """Ids of one part: fill the table of last tokens, then read it backwards."""
         last: list[str | None] = [None] * (len(part) + 1)
-        for end, piece in self.automaton.iter(part):
-            if last[end + 1] is None:
-                at = end + 1 - len(piece)
-                # no token is known there: the text begins, or the character before is no piece
-                before = last[at] if last[at] is not None or at == 0 else part[at - 1]
-                if self.compatible(before, piece):
-                    last[end + 1] = piece
+        known = self.pairs.get
+        for end, (piece, size) in self.automaton.iter(part):
+            end += 1
+            if last[end] is None:
+                before = last[end - size]
+                if before is None and end > size:  # the character before is no piece
+                    before = part[end - size - 1]
+                fits = known((before, piece))
+                if fits or fits is None and self.compatible(before, piece):
+                    last[end] = piece
         ids, at = [], len(part)
         while at:
             piece = last[at]
@@ -185,10 +186,13 @@ class Decoder:
 
     def __init__(self, model: Model) -> None:
         self.model = model
+        self.special = {i for i, k in enumerate(model.kinds) if k != NORMAL}
 
     def surfaces(self, ids: list[int]) -> str:
         """The pieces of the ids with spaces for marks; the space before a text is still there."""
         m, out, raw = self.model, [], bytearray()
+        if self.special.isdisjoint(ids):
+            return "".join([m.pieces[i] for i in ids]).replace(SPACE_MARK, " ")
         for i in ids:
             if i in m.values:
                 raw.append(m.values[i])
@@ -218,23 +222,37 @@ class Decoder:
 
 
 class Parts(dict):
-    """Part of a text to its number of ids, the ids as text and the decoded part."""
+    """Part of a text to its number of ids, the ids as text and the decoded part.
+
+    Short parts are kept; when ``limit`` of them are, they become the older generation and
+    the one before is forgotten.
+    """
 
-    def __init__(self, model: Model, limit: int = 200_000, longest: int = 64) -> None:
+    def __init__(self, model: Model, limit: int = 400_000, longest: int = 64) -> None:
         super().__init__()
         self.encoder, self.decoder = Encoder(model), Decoder(model)
         self.limit, self.longest = limit, longest
+        self.older: dict[str, tuple[int, str, str]] = {}
 
     def __missing__(self, part: str) -> tuple[int, str, str]:
-        ids = self.encoder.encode_part(part)
-        value = len(ids), ",".join(map(str, ids)), self.decoder.surfaces(ids)
+        value = self.older.get(part)
+        if value is None:
+            ids = self.encoder.encode_part(part)
+            value = len(ids), ",".join(map(str, ids)), self.decoder.surfaces(ids)
         if len(part) <= self.longest:
             if len(self) >= self.limit:
+                self.older = dict(self)
                 self.clear()
             self[part] = value
         return value
 
 
+@cache
+def parts_of(path: str) -> Parts:
+    """What this process knows of the model's parts."""
+    return Parts(Model(path))
+
+
 def encode_texts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", full: bool = False) -> DataFrame:
     """Number and digests of the ids and of the decoded text of every row.
 
@@ -244,7 +262,7 @@ def encode_texts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     kind = dict(docs.dtypes)[id_col]
 
     def make():
-        parts = Parts(Model(model))
+        parts = parts_of(model)
         split, prefix = parts.encoder.split, len(parts.encoder.model.prefix)
 
         def work(batch: pa.RecordBatch) -> dict[str, object]:
