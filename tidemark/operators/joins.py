@@ -54,9 +54,9 @@ def range_join(left: DataFrame, right: DataFrame, key: str, at: str, low: str, h
     """
     first, last = F.floor(F.col(low) / bucket), F.floor(F.col(high) / bucket)
     spread = left.withColumn("__b", F.explode(F.sequence(first, last)))
-    r = right.withColumn("__b", F.floor(F.col(at) / bucket)).withColumnRenamed(key, "__key")
-    on = (F.col(key) == F.col("__key")) & (spread["__b"] == r["__b"]) & F.col(at).between(F.col(low), F.col(high))
-    return spread.join(r, on).drop("__b", "__key")
+    r = right.withColumn("__rb", F.floor(F.col(at) / bucket)).withColumnRenamed(key, "__key")
+    on = (F.col(key) == F.col("__key")) & (F.col("__b") == F.col("__rb")) & F.col(at).between(F.col(low), F.col(high))
+    return spread.join(r, on).drop("__b", "__rb", "__key")
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:

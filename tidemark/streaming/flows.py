@@ -24,7 +24,7 @@ def stored(spark: SparkSession, sf: str, files: int = 1) -> DataFrame:
 def event_stream(spark: SparkSession, sf: str, files: int = 1) -> DataFrame:
     """Trade ticks as a stream of the stored event files."""
     raw = stored(spark, sf, files)
-    return raw.select(F.col("event_id").alias("trade_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("symbol"), "user_id", F.col("value").alias("price"), F.when(F.col("user_id") % 2 == 0, "buy").otherwise("sell").alias("side"))
+    return raw.select(F.col("event_id").alias("trade_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("symbol"), "user_id", F.col("value").alias("price"), F.when(F.col("user_id") % 2 == 0, "buy").otherwise("sell").alias("side"), "props")
 
 
 def ohlc(ticks: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
