@@ -246,6 +246,33 @@ def test_mix_targets_and_takes(spark):
     assert sorted((r.doc_id, r.taken) for r in again) == sorted((r.doc_id, r.taken) for r in got)
 
 
+def repeated_documents(spark):
+    """Ids with several texts, rows that repeat, null ids; a source that is taken 3 times and one that is cut."""
+    rng = np.random.default_rng(8)
+    rows = [(int(rng.integers(0, 150)), " ".join(["w"] * int(rng.integers(1, 60))) + f" {rng.integers(0, 3)}", str(rng.choice(["a", "b", "c"], p=[0.7, 0.28, 0.02]))) for _ in range(1500)]
+    rows += [(None, "null id", "a")] * 7 + [(3, "again and again", "b")] * 40 + [(3, "again and again", "a")] * 40
+    return spark.createDataFrame(rows, "doc_id long, text string, source string"), rows
+
+
+def test_reruns_agree_where_ids_repeat(spark):
+    d, _ = repeated_documents(spark)
+    runs = [Counter(tuple(r) for r in mixing.mix(d.repartition(n), shard_docs=200).select("doc_id", "source", "size", "taken").collect()) for n in (1, 7, 13)]
+    assert runs[0] == runs[1] == runs[2]
+    kept = [Counter(tuple(r) for r in mixing.apply_mix(d.repartition(n), shard_docs=200).collect()) for n in (1, 7)]
+    assert kept[0] == kept[1]
+
+
+def test_rows_that_repeat_are_taken_as_often_as_the_mix_says(spark):
+    d, _ = repeated_documents(spark)
+    want = Counter()
+    for r in mixing.placed(d, [1, 2, 3], 3, 17, 200, "doc_id", "text", "source").collect():
+        want[r.id, r.source, r.digest] += round(r.taken / r.size + 1e-12)
+    got = Counter()
+    for r in mixing.apply_mix(d, shard_docs=200).withColumn("digest", F.md5("text")).collect():
+        got[r.doc_id, r.source, r.digest] += 1
+    assert got == Counter({k: v for k, v in want.items() if v})
+
+
 def test_mix_of_edge_rows(edge, empty):
     assert mixing.mix(edge).count() == len(EDGE)
     assert mixing.mix(empty).count() == 0

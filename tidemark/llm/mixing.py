@@ -12,7 +12,7 @@
    proportional part, so only those candidates are ranked: about two for each
    shard, whatever the number of blocks.
 4. Selection: inside a shard, documents lie one after another in seeded hash
-   order. Whole rounds of the quota take every block; the rest takes a run of
+   order (of equal ids by size, then digest of the text). Whole rounds of the quota take every block; the rest takes a run of
    blocks from a seeded start, cyclically. What a document has in the selected
    blocks is what the mix takes from it.
 
@@ -21,9 +21,11 @@ of the rows: it is cut into shards of about ``shard_docs`` documents by hash, an
 windows are over one shard, or over the shards of one source (one row each).
 
 Null text counts 0 words and takes 0; a null source is a source of its own, last
-in the order; rows with the same id are separate documents that share an order
-key; a source without words has target 0; an empty table gives an empty result; columns other than the three named are
-ignored here and kept by :func:`apply_mix`.
+in the order; rows with the same id are separate documents with places of their own,
+and only rows of equal id and equal text can change places; a source without words
+has target 0; an empty table gives an empty result; texts of any length are counted
+whole. Columns other than the three named are ignored by :func:`mix` and kept by
+:func:`apply_mix`, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import WORD
+from tidemark.llm._common import WORD, Scratch
 
 
 def hash32(*parts: Column) -> Column:
@@ -83,23 +85,13 @@ def shard_quotas(shards: DataFrame, max_repeat: int) -> DataFrame:
     return s.join(won, same, "left").select("s.*", (F.col("low") + F.coalesce("won", F.lit(0))).alias("quota"))
 
 
-def mix(
-    docs: DataFrame,
-    weights: list[int] = (1, 2, 3),
-    max_repeat: int = 3,
-    seed: int = 17,
-    shard_docs: int = 20_000,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-) -> DataFrame:
-    """How many words of each document the mix takes, repeats counted.
-
-    Returns the id, ``source``, ``size``, ``source_size``, ``target``, ``taken``
-    and the ``shard``, ``block`` and ``quota`` that led to it.
-    """
+def placed(docs: DataFrame, weights: list[int], max_repeat: int, seed: int, shard_docs: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(id, source, size, digest, ...) of each document with the words that the mix takes of it."""
     size = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.regexp_count(F.col(text_col), F.lit(WORD))).cast("long")
-    d = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"))
+    d = docs.select(
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"),
+        F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("digest"),
+    )
     sizes = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
     targets = source_targets(sizes.select("source", "source_size"), list(weights), max_repeat)
     targets = targets.withColumn("block", F.greatest(F.lit(1), F.floor(F.min(F.when(F.col("target") > 0, F.col("target"))).over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)) / 1000)).cast("long"))
@@ -113,7 +105,7 @@ def mix(
     per = d.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("block").alias("block"))
     quota = shard_quotas(per, max_repeat).select(F.col("source").alias("of"), F.col("shard").alias("at"), "words", "blocks", "quota")
     d = d.join(quota, F.col("source").eqNullSafe(F.col("of")) & (F.col("shard") == F.col("at"))).drop("of", "at")
-    upto = W.partitionBy("source", "shard").orderBy("draw", "id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    upto = W.partitionBy("source", "shard").orderBy("draw", "id", "size", "digest").rowsBetween(W.unboundedPreceding, W.currentRow)
     d = d.withColumn("end", F.sum("size").over(upto)).withColumn("begin", F.col("end") - F.col("size"))
     d = d.withColumn("rounds", F.when(F.col("blocks") > 0, F.floor(F.col("quota") / F.col("blocks"))).otherwise(0))
     d = d.withColumn("extra", F.col("quota") - F.col("rounds") * F.col("blocks"))
@@ -126,23 +118,56 @@ def mix(
 
     stop = F.col("from") + F.col("extra")
     run = overlap(F.col("from"), F.least(stop, F.col("blocks"))) + overlap(F.lit(0), F.greatest(stop - F.col("blocks"), F.lit(0)))
-    taken = (F.col("rounds") * F.col("size") + run).cast("long")
-    return d.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.alias("taken"), "shard", "block", "quota")
+    return d.withColumn("taken", (F.col("rounds") * F.col("size") + run).cast("long"))
 
 
-def apply_mix(docs: DataFrame, **options) -> DataFrame:
+def mix(
+    docs: DataFrame,
+    weights: list[int] = (1, 2, 3),
+    max_repeat: int = 3,
+    seed: int = 17,
+    shard_docs: int = 20_000,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """How many words of each document the mix takes, repeats counted.
+
+    Returns the id, ``source``, ``size``, ``source_size``, ``target``, ``taken``
+    and the ``shard``, ``block`` and ``quota`` that led to it.
+    """
+    d = placed(docs, weights, max_repeat, seed, shard_docs, id_col, text_col, source_col)
+    return d.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "taken", "shard", "block", "quota")
+
+
+def apply_mix(
+    docs: DataFrame,
+    weights: list[int] = (1, 2, 3),
+    max_repeat: int = 3,
+    seed: int = 17,
+    shard_docs: int = 20_000,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
     """The documents as the mix takes them: each row as often as its words were taken.
 
     A document of which only a part lies in the selected blocks is taken whole if
     half or more of it does; at most two documents of a shard are cut that way.
-    Rows keep all columns of ``docs``.
+    Rows keep all columns of ``docs``. Rows that share id, source and text share what is
+    taken of them all: each is taken equally often, and one of them for the remainder.
     """
-    id_col = options.get("id_col", "doc_id")
-    text_col = options.get("text_col", "text")
-    m = mix(docs, **options)
-    copies = F.round(F.col("taken") / F.col("size")).cast("int")
-    m = m.where("size > 0 and taken > 0").select(F.col(id_col).alias("__id"), F.col("size").alias("__size"), copies.alias("__copies")).where("__copies > 0")
-    m = m.groupBy("__id", "__size").agg(F.max("__copies").alias("__copies"))
-    size = F.regexp_count(F.col(text_col), F.lit(WORD))
-    kept = docs.join(m, F.col(id_col).eqNullSafe(F.col("__id")) & (size == F.col("__size")))
-    return kept.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    key = ["__id", "__source", "__digest"]
+    d = placed(docs, weights, max_repeat, seed, shard_docs, id_col, text_col, source_col)
+    copies = F.sum(F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0)).cast("int")
+    d = d.groupBy(*[F.col(k[2:]).alias(k) for k in key]).agg(copies.alias("__copies"), F.count(F.lit(1)).cast("int").alias("__rows")).where("__copies > 0")
+    taken = Scratch(docs.sparkSession).write(d)
+    left = F.col("__copies") % F.col("__rows")
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (F.md5(F.col(text_col)) == F.col("__digest"))
+    times = lambda n: F.explode(F.sequence(F.lit(1), n))
+    each = F.floor(F.col("__copies") / F.col("__rows")).cast("int")
+    out = docs.join(taken.where("__copies >= __rows"), same).withColumn("__copy", times(each)).select(*docs.columns)
+    rest = taken.where(left > 0)
+    if rest.isEmpty():
+        return out
+    return out.unionByName(docs.join(rest, same).dropDuplicates(key).withColumn("__copy", times(left)).select(*docs.columns))

@@ -124,7 +124,7 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM d""",
     "op8_mix_sources": r"""
-        WITH d AS (SELECT doc_id AS id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size FROM documents),
+        WITH d AS (SELECT doc_id AS id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size, md5(coalesce(text, '')) AS digest FROM documents),
         w AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS docs, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth FROM d GROUP BY source),
         v AS (SELECT *, nth % 3 + 1 AS weight, 3 * source_size AS cap FROM w),
         r AS (SELECT *, sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0) AS rest, sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS share
@@ -144,7 +144,7 @@ ORACLE_SQL: dict[str, str] = {
         won AS (SELECT k.source, shard, count(*) AS won FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY words::DOUBLE / (2 * k - 1) DESC, shard, k) AS place FROM k) k
               JOIN o ON k.source IS NOT DISTINCT FROM o.source WHERE place <= free GROUP BY k.source, shard),
         u AS (SELECT b.source, b.shard, words, blocks, low + coalesce(won, 0) AS quota FROM b LEFT JOIN won ON b.source IS NOT DISTINCT FROM won.source AND b.shard = won.shard),
-        x AS (SELECT e.*, blocks, quota, sum(size) OVER (PARTITION BY e.source, e.shard ORDER BY draw, id ROWS UNBOUNDED PRECEDING)::BIGINT AS fin,
+        x AS (SELECT e.*, blocks, quota, sum(size) OVER (PARTITION BY e.source, e.shard ORDER BY draw, id, size, digest ROWS UNBOUNDED PRECEDING)::BIGINT AS fin,
               ('0x' || substr(md5('17:start:' || coalesce(e.source, '') || ':' || e.shard), 1, 8))::BIGINT % greatest(blocks, 1) AS lo
               FROM e JOIN u ON e.source IS NOT DISTINCT FROM u.source AND e.shard = u.shard),
         y AS (SELECT *, fin - size AS beg, CASE WHEN blocks > 0 THEN quota // blocks ELSE 0 END AS rounds, CASE WHEN blocks > 0 THEN quota % blocks ELSE quota END AS extra FROM x)
