@@ -685,6 +685,43 @@ def test_repeats_cover_what_a_full_search_finds(spark, min_words):
         seen |= {text[a:b] for a, b in windows}
 
 
+@pytest.mark.parametrize("min_words", [4, 5, 12, 17, 18, 50, 73])
+def test_every_passage_holds_a_chunk_and_insertions_move_no_others(min_words):
+    """All chunks of a passage that lie inside it are found again wherever the passage stands, and there is one."""
+    rng, known = np.random.default_rng(min_words), substring_dedup.WordIds()
+    inside, memory, width = substring_dedup.reach(min_words)
+    for alphabet in (2, 9, 500):
+        word = lambda n: [f"w{int(k)}" for k in rng.integers(0, alphabet, n)]  # noqa: B023, E731
+        for _ in range(30):
+            passage = word(inside)
+            seen = []
+            for left, right in ((0, 0), (1, 40), (37, 0), (int(rng.integers(60)), int(rng.integers(60)))):
+                text = " ".join(["a" + str(int(k)) for k in rng.integers(0, 99, left)] + passage + ["z" + str(int(k)) for k in rng.integers(0, 99, right)])
+                digest, first, last = substring_dedup.chunks(substring_dedup.Words(text.encode(), known), min_words)
+                held = (first >= left) & (last <= left + inside)
+                seen.append(list(zip(digest[held].tolist(), (first[held] - left).tolist(), (last[held] - left).tolist(), strict=True)))
+            assert seen[0] and all(x == seen[0] for x in seen)
+            assert all(b - a <= memory - 1 + 3 * width - 1 for _, a, b in seen[0])
+
+
+def test_chunks_around_an_insertion_stay():
+    rng, known = np.random.default_rng(3), substring_dedup.WordIds()
+    words = [f"w{int(k)}" for k in rng.integers(0, 5000, 4000)]
+    digests = lambda ws: set(substring_dedup.chunks(substring_dedup.Words(" ".join(ws).encode(), known), 50)[0].tolist())
+    before, after = digests(words), digests(words[:2000] + ["inserted"] + words[2000:])
+    assert len(before) > 500 and len(before - after) <= 12 and len(after - before) <= 12
+
+
+def test_a_common_origin_is_dealt_out(spark, monkeypatch):
+    """An origin with more pairs than a part has: the same rows from any number of parts."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, f"{passage} own{i} " + " ".join(f"x{i}_{j}" for j in range(20))) for i in range(30)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(map(tuple, substring_dedup.repeats(d).collect()))
+    monkeypatch.setattr(substring_dedup, "PAIRS", 4)
+    assert sorted(map(tuple, substring_dedup.repeats(d).collect())) == whole and {(r[0], r[1]) for r in whole} == {(i, 0) for i in range(1, 30)}
+
+
 def test_repeats_of_edge_rows(edge, empty):
     assert substring_dedup.repeats(empty).count() == 0
     assert {(r.doc_id, r.origin_id) for r in substring_dedup.repeats(edge, min_words=5).collect()} <= {(5, 4)}

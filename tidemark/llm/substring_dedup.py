@@ -1,31 +1,36 @@
-"""Substring de-duplication by winnowed word windows.
-
-A gram is some 25 words with the space between them, byte for byte. Of every stretch
-of ``min_words`` - 2 words the gram with the smallest hash is kept, so that equal
-passages of that length always keep an equal gram, whatever stands around them (two
-words less than ``min_words``, as the outer words may be part of longer ones in the
-other text). Grams are compared by digest; the first place of a digest (smallest
-document, then offset) is its origin.
-
-Grams of one document that repeat the same origin document at the same distance are
+"""Substring de-duplication by content-defined chunks with a gear rolling hash.
+
+A gear hash rolls over the words of a text: shifted on by each word, it holds the last few
+(``MEMORY``) only. A chunk ends after a word whose hash is the smallest of some ``width``
+hashes in a row, so that chunks have 1 to ``width`` words and whether a word ends one
+depends on the words near it alone: an insertion moves the ends near itself and no others.
+A chunk is known by the digest of its bytes together with the words around it that decide
+where it begins and ends. Of every passage of ``min_words`` whole words, the outer words
+left aside (they may be part of longer ones in the other text), at least one such stretch
+lies inside, so that equal passages always share a chunk, whatever stands around them.
+Chunks are compared by digest; the first place of a digest (smallest document, then
+offset) is its origin.
+
+Chunks of one document that repeat the same origin document at the same distance are
 joined to runs; a run is compared byte by byte with the origin's text and grown to
 both sides as far as the texts agree. Runs of ``min_words`` whole words or more are
 returned. Repeats within one document are not counted.
 
-The origin of a gram need not hold the whole passage. Windows of ``min_words`` words
-that no returned range covers, though all their kept grams stand in earlier documents,
-are therefore looked up as wholes among all documents that hold such a gram, and linked
+The origin of a chunk need not hold the whole passage. Windows of ``min_words`` words
+that no returned range covers, though all their chunks stand in earlier documents,
+are therefore looked up as wholes among all documents that hold such a chunk, and linked
 to the first one that holds the window. So every word of a window of ``min_words`` whole
 words that an earlier document holds as whole words lies in a returned range.
 
 Digests are added up before they are shuffled, and joined back as (digest, place)
 rows, so that a passage found everywhere is no group in one task. Only documents with
-repeats move their texts.
+repeats move their texts, and the pairs of a common origin are dealt out by salt, with its
+text sent to each part.
 
 Null and empty texts have no repeats; rows that share an id count as one document;
 of several origins at the same distance the first one is taken; empty tables give empty
 results; only id and text are read, so that other columns can have any name; texts of any
-length are read whole.
+length are read whole. ``min_words`` is 4 or more.
 """
 
 from __future__ import annotations
@@ -44,6 +49,10 @@ IS_SPACE = np.isin(np.arange(256), np.frombuffer(SPACES, np.uint8))
 ONE_BYTE = np.array([xxhash.xxh3_64_intdigest(bytes([b])) for b in range(256)], np.uint64)
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
+#: Words that the gear hash holds.
+MEMORY = 4
+#: Pairs of an origin that one part of a salted join has.
+PAIRS = 1_000
 
 
 class Words:
@@ -55,7 +64,7 @@ class Words:
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         self.starts, self.ends = edges[::2], edges[1::2]
         symbols = np.zeros(2 * len(self.starts), np.uint64)  # word, space, word, ...
-        symbols[::2] = ids.of(raw.split())
+        self.ids = symbols[::2] = ids.of(raw.split())
         left, right = self.ends[:-1], self.starts[1:]
         symbols[1:-1:2] = ONE_BYTE[data[left]]
         for i in np.flatnonzero(right - left > 1).tolist():
@@ -63,12 +72,15 @@ class Words:
         powers = np.cumprod(np.full(len(symbols), BASE, np.uint64))
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(symbols * powers)])
 
+    def spans(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Digests of the words first to last (last excluded), with what stands between them."""
+        shift = np.cumprod(np.full(len(self.starts), pow(INVERSE, 2, 1 << 64), np.uint64))
+        return mix64((self.sums[2 * last - 1] - self.sums[2 * first]) * shift[first])
+
     def digests(self, n: int) -> np.ndarray:
         """Digest of the ``n`` words from every word on."""
-        count = max(0, len(self.starts) - n + 1)
-        first = 2 * np.arange(count)
-        shift = np.cumprod(np.full(count, pow(INVERSE, 2, 1 << 64), np.uint64))
-        return mix64((self.sums[first + 2 * n - 1] - self.sums[first]) * shift)
+        first = np.arange(max(0, len(self.starts) - n + 1))
+        return self.spans(first, first + n)
 
 
 def sliding(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -80,11 +92,17 @@ def sliding(x: np.ndarray, width: int, op) -> np.ndarray:
     return op(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def sizes(min_words: int) -> tuple[int, int]:
-    """(words of a gram, grams of which the smallest is kept): together ``min_words`` - 2 words."""
-    inner = max(1, min_words - 2)
-    keep_of = max(1, inner // 2)
-    return inner - keep_of + 1, keep_of
+def reach(min_words: int) -> tuple[int, int, int]:
+    """(words inside a passage, words that the gear hash holds, hashes of which the smallest ends a chunk).
+
+    All hashes of ``width`` in a row around an end must lie inside for it to be certain;
+    what is left then has room for two ends.
+    """
+    if min_words < 4:
+        raise ValueError("passages have 4 words or more")
+    inside = min_words - 2
+    memory = MEMORY if inside >= 4 * MEMORY else 1
+    return inside, memory, max(1, (inside - memory + 3) // 4)
 
 
 def winnow(grams: np.ndarray, keep_of: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,9 +114,29 @@ def winnow(grams: np.ndarray, keep_of: int) -> tuple[np.ndarray, np.ndarray]:
     return lowest, np.flatnonzero(sliding(np.concatenate([edge, lowest, edge]), keep_of, np.maximum) == grams)
 
 
-def gram_rows(docs: DataFrame, min_words: int) -> DataFrame:
-    """(digest, doc_id, begin, end) of all kept grams."""
-    size, keep_of = sizes(min_words)
+def gear(ids: np.ndarray, memory: int) -> np.ndarray:
+    """The rolling hash at every word from the first that has ``memory`` words: older words are shifted out."""
+    g = mix64(ids)
+    step = np.uint64(64 // memory)
+    h = g.copy()
+    for k in range(1, memory):
+        h[k:] += g[:-k] << (step * np.uint64(k)) if len(g) > k else g[:0]
+    return h[memory - 1 :]
+
+
+def chunks(words: Words, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(digest, first word, word after the last) of every chunk with the words that decide where it begins and ends."""
+    _, memory, width = reach(min_words)
+    _, at = winnow(gear(words.ids, memory), width)
+    ends = at + memory - 1
+    first, last = ends[:-1] - (memory - 1) - (width - 1), ends[1:] + width
+    fits = (first >= 0) & (last <= len(words.ids))
+    first, last = first[fits], last[fits]
+    return words.spans(first, last), first, last
+
+
+def chunk_rows(docs: DataFrame, min_words: int) -> DataFrame:
+    """(digest, doc_id, begin, end) of all chunks."""
 
     def make():
         known = WordIds()
@@ -107,12 +145,11 @@ def gram_rows(docs: DataFrame, min_words: int) -> DataFrame:
             ids, digest, begin, end, n = batch.column(0), [], [], [], []
             for text in batch.column(1).to_pylist():
                 words = Words(text.encode("utf-8", "surrogatepass") if text else b"", known)
-                grams = words.digests(size)
-                _, at = winnow(grams, keep_of)
-                digest.append(grams[at])
-                begin.append(words.starts[at])
-                end.append(words.ends[at + size - 1])
-                n.append(len(at))
+                found, first, last = chunks(words, min_words)
+                digest.append(found)
+                begin.append(words.starts[first])
+                end.append(words.ends[last - 1])
+                n.append(len(found))
             return {
                 "digest": pa.array(np.concatenate(digest).view(np.int64)),
                 "doc_id": ids.take(pa.array(np.repeat(np.arange(len(n)), n))),
@@ -126,30 +163,32 @@ def gram_rows(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def window_rows(texts: DataFrame, min_words: int) -> DataFrame:
-    """(gram, digest, doc_id, begin, end) of the windows of (doc_id, text, grams, ranges) whose kept grams
-    are all among ``grams`` and that no range covers; without ranges (null), of all whose first one is."""
-    size, keep_of = sizes(min_words)
-    inner = max(1, min_words - (size + keep_of - 1) + 1)
+    """(chunk, digest, doc_id, begin, end) of the windows of (doc_id, text, chunks, ranges) whose chunks
+    are all among ``chunks`` and that no range covers; without ranges (null), of all whose first one is."""
+    inside, _, _ = reach(min_words)
+    inner = min_words - inside + 1
 
     def make():
         known = WordIds()
 
         def work(batch: pa.RecordBatch) -> dict[str, object]:
-            out = {"gram": [], "digest": [], "doc_id": [], "begin": [], "end": []}
-            for doc, text, grams, ranges in zip(*(batch.column(i) for i in range(4)), strict=True):
+            out = {"chunk": [], "digest": [], "doc_id": [], "begin": [], "end": []}
+            for doc, text, held, ranges in zip(*(batch.column(i) for i in range(4)), strict=True):
                 words = Words(text.as_py().encode("utf-8", "surrogatepass"), known)
                 digests = words.digests(min_words)
                 if not len(digests):
                     continue
-                lowest, _ = winnow(words.digests(size), keep_of)
-                wanted = np.isin(lowest, np.array(grams.as_py(), np.int64).view(np.uint64))
+                found, first, _ = chunks(words, min_words)
+                # The first chunk that begins at a word or later lies within the ``inside`` words from there.
+                leading = found[np.searchsorted(first, np.arange(len(words.ids) - inside + 1))]
+                wanted = np.isin(leading, np.array(held.as_py(), np.int64).view(np.uint64))
                 ranges = ranges.as_py()
                 ok = wanted[: len(digests)] if ranges is None else sliding(wanted, inner, np.logical_and)[: len(digests)].copy()
                 for r in ranges or []:
                     low = np.searchsorted(words.starts, r["begin"], "left")
                     ok[low : max(low, np.searchsorted(words.ends, r["end"], "right") - min_words + 1)] = False
                 at = np.flatnonzero(ok)
-                out["gram"].append(lowest[at].view(np.int64))
+                out["chunk"].append(leading[at].view(np.int64))
                 out["digest"].append(digests[at].view(np.int64))
                 out["doc_id"].append(np.full(len(at), doc.as_py(), np.int64))
                 out["begin"].append(words.starts[at])
@@ -158,7 +197,7 @@ def window_rows(texts: DataFrame, min_words: int) -> DataFrame:
 
         return work
 
-    return map_batches(texts, make, "gram long, digest long, doc_id long, begin int, end int")
+    return map_batches(texts, make, "chunk long, digest long, doc_id long, begin int, end int")
 
 
 def grow(text: bytes, origin: bytes, begin: int, end: int, at: int) -> tuple[int, int] | None:
@@ -203,7 +242,11 @@ def grown_runs(d: DataFrame, hits: DataFrame, min_words: int, scratch: Scratch)
     pairs = scratch.write(pairs)
     mine = d.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
     theirs = d.join(pairs.select(F.col("origin_id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("origin_id"), F.col("text").alias("origin"))
-    both = pairs.join(mine, "doc_id").join(theirs, "origin_id").select("doc_id", "origin_id", "runs", "text", "origin")
+    # A common origin has many pairs: they go to parts by salt, and its text to each part.
+    parts = pairs.groupBy("origin_id").agg(F.ceil(F.count(F.lit(1)) / PAIRS).cast("int").alias("parts")).where("parts > 1")
+    salted = pairs.join(parts, "origin_id", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id"), "parts"), F.lit(0)).cast("int")).drop("parts")
+    theirs = theirs.join(parts, "origin_id", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    both = salted.join(mine, "doc_id").join(theirs, ["origin_id", "salt"]).select("doc_id", "origin_id", "runs", "text", "origin")
 
     def make():
         def work(batch: pa.RecordBatch) -> dict[str, object]:
@@ -238,21 +281,21 @@ def repeats(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_c
     """(doc_id, origin_id, begin, end, origin_begin, n_words): byte ranges that an earlier document holds too."""
     scratch = Scratch(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null and doc_id is not null")
-    grams = scratch.write(gram_rows(d, min_words))  # read twice, made once
-    hits = scratch.write(with_origins(grams, grams))
-    scratch.drop(grams)
+    every = scratch.write(chunk_rows(d, min_words))  # read twice, made once
+    hits = scratch.write(with_origins(every, every))
+    scratch.drop(every)
     found = scratch.write(grown_runs(d, hits.drop("digest"), min_words, scratch))
-    # Windows that the origins of their grams do not hold as a whole, though each gram has one.
+    # Windows that the origins of their chunks do not hold as a whole, though each chunk has one.
     ranges = found.groupBy("doc_id").agg(F.collect_set(F.struct("begin", "end")).alias("ranges"))
-    later = hits.groupBy("doc_id").agg(F.collect_set("digest").alias("grams")).join(ranges, "doc_id", "left")
-    asked = d.join(later, "doc_id").select("doc_id", "text", "grams", F.coalesce("ranges", F.array().cast("array<struct<begin:bigint,end:bigint>>")).alias("ranges"))
+    later = hits.groupBy("doc_id").agg(F.collect_set("digest").alias("chunks")).join(ranges, "doc_id", "left")
+    asked = d.join(later, "doc_id").select("doc_id", "text", "chunks", F.coalesce("ranges", F.array().cast("array<struct<begin:bigint,end:bigint>>")).alias("ranges"))
     asked = scratch.write(window_rows(asked, min_words))
-    # Everyone with such a gram, the gram's origin included, is asked for the windows.
-    held = hits.join(asked.select(F.col("gram").alias("digest")).distinct(), "digest")
-    held = held.select("doc_id", "digest").union(held.select("origin_id", "digest")).groupBy("doc_id").agg(F.collect_set("digest").alias("grams"))
-    held = d.join(held, "doc_id").select("doc_id", "text", "grams", F.lit(None).cast("array<struct<begin:bigint,end:bigint>>").alias("ranges"))
+    # Everyone with such a chunk, the chunk's origin included, is asked for the windows.
+    held = hits.join(asked.select(F.col("chunk").alias("digest")).distinct(), "digest")
+    held = held.select("doc_id", "digest").union(held.select("origin_id", "digest")).groupBy("doc_id").agg(F.collect_set("digest").alias("chunks"))
+    held = d.join(held, "doc_id").select("doc_id", "text", "chunks", F.lit(None).cast("array<struct<begin:bigint,end:bigint>>").alias("ranges"))
     held = window_rows(held, min_words).join(asked.select("digest").distinct(), "digest", "left_semi")
-    more = with_origins(asked.drop("gram"), held)
+    more = with_origins(asked.drop("chunk"), held)
     out = Scratch(docs.sparkSession).write(found.union(grown_runs(d, more.drop("digest"), min_words, scratch)).distinct())
     scratch.drop()
     return out
