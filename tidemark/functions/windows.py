@@ -7,12 +7,23 @@ them share one exchange and one sort.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 
+def time_bucket(df: DataFrame, on: str, span: int | None = None) -> Column:
+    """Number of the stretch of time that a row lies in.
+
+    ``span`` is in days for dates (default 64), in seconds for timestamps (default one day)
+    and in units of a whole number (default 86,400).
+    """
+    kind = df.schema[on].dataType.typeName()
+    number = F.unix_date(F.col(on)) if kind == "date" else F.col(on) if kind in ("integer", "long") else F.unix_seconds(F.col(on).cast("timestamp"))
+    return F.floor(number / (span or (64 if kind == "date" else 86_400)))
+
+
 def series(by: str = "symbol", order: str = "d") -> WindowSpec:
     return W.partitionBy(by).orderBy(order)
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.windows import time_bucket
+
 
 def asof_join(probe: DataFrame, quote: DataFrame, by: str, on: str, values: list[str], direction: str = "backward", strict: bool = False, span: int | None = None) -> DataFrame:
     """Each probe row with the nearest quote row of the same key before (after) it.
@@ -19,10 +21,7 @@ def asof_join(probe: DataFrame, quote: DataFrame, by: str, on: str, values: list
     ``quote_<on>``; without a quote they are null.
     """
     back = direction == "backward"
-    kind = probe.schema[on].dataType.typeName()
-    day = kind == "date"
-    number = F.unix_date(F.col(on)) if day else F.col(on) if kind in ("integer", "long") else F.unix_seconds(F.col(on).cast("timestamp"))
-    bucket = F.floor(number / (span or (64 if day else 86_400))).alias("__span")
+    bucket = time_bucket(probe, on, span).alias("__span")
     # Which side comes first at equal times: a backward join looks at the rows up to the probe, a forward one at those from it on.
     quote_side = 0 if strict != back else 1
     q = quote.select(F.col(by), F.col(on), bucket, F.lit(quote_side).alias("__side"), F.struct(F.col(on).alias("__t"), *values).alias("__q"), F.lit(None).cast(probe.schema).alias("__p"))

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-#: Bins of values for ranks.
-BINS = 1024
+#: Coarse bins of values for ranks, and fine ones within each.
+BINS = 16
 
 
 def beta_fraction(a: float, b: float, x: float) -> float:
@@ -102,6 +102,49 @@ def bootstrap_ci(df: DataFrame, by: list[str], value: str, key: str, resamples:
     return plain.join(ends, on).select(*[plain[b] for b in by], "n", "mean", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))
 
 
+def quantile_bins(values: DataFrame, by: list[str], value: str) -> DataFrame:
+    """``values`` with ``bin``, one of about 256 of near equal numbers of rows in each group, whatever the values are.
+
+    The edges come from the mergeable quantile sketch of ``percentile_approx``; they need not
+    be exact, as a bin only says which rows are compared.
+    """
+    n = BINS * BINS
+    edges = values.groupBy(*by).agg(F.percentile_approx(F.col(value).cast("double"), [i / n for i in range(1, n)], 4 * n).alias("__edges"))
+    x = values.join(edges, by)
+    v = F.col(value)
+    coarse = F.filter(F.col("__edges"), lambda e, i: (i % BINS == BINS - 1) & (e < v))
+    fine = F.filter(F.slice("__edges", F.col("__coarse") * BINS + 1, F.lit(BINS - 1)), lambda e: e < v)
+    x = x.withColumn("__coarse", F.size(coarse))
+    return x.withColumn("bin", F.col("__coarse") * BINS + F.size(fine)).drop("__edges", "__coarse")
+
+
+def value_ranks(counts: DataFrame, by: list[str], value: str, k: str) -> DataFrame:
+    """Distinct values with their counts ``k`` get ``below``: the rows of their group with a smaller value.
+
+    Counts of bins are added up over one row for each bin; only the values of one bin are one
+    window. Null groups have no rank.
+    """
+    binned = quantile_bins(counts, by, value)
+    sizes = binned.groupBy(*by, "bin").agg(F.sum(k).alias("size"))
+    lower = F.sum("size").over(W.partitionBy(*by).orderBy("bin").rowsBetween(W.unboundedPreceding, -1))
+    sizes = sizes.select(*by, "bin", F.coalesce(lower, F.lit(0)).alias("lower"))
+    before = W.partitionBy(*by, "bin").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    x = binned.join(sizes, [*by, "bin"])
+    return x.withColumn("below", F.col("lower") + F.coalesce(F.sum(k).over(before), F.lit(0))).drop("lower", "bin")
+
+
+def percentile_rank(df: DataFrame, by: str, value: str, name: str) -> DataFrame:
+    """Rows with the share of their group's values, in percent, that lie strictly below their own.
+
+    Equal values are one row while ranks are formed. Rows without a value or group have null.
+    """
+    counts = df.where(F.col(value).isNotNull() & F.col(by).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("__k"))
+    total = counts.groupBy(by).agg(F.sum("__k").alias("__total"))
+    ranks = value_ranks(counts, [by], value, "__k").join(total, by)
+    ranks = ranks.select(F.col(by).alias("__by"), F.col(value).alias("__value"), (F.col("below") / F.col("__total") * 100).alias(name))
+    return df.join(ranks, (F.col(by) == F.col("__by")) & (F.col(value) == F.col("__value")), "left").drop("__by", "__value")
+
+
 def mann_whitney(df: DataFrame, by: list[str], group: str, value: str) -> DataFrame:
     """One-sided U test that group 1 lies above group 0: U, z with tie and continuity correction, and p.
 
@@ -109,15 +152,7 @@ def mann_whitney(df: DataFrame, by: list[str], group: str, value: str) -> DataFr
     equal values are added up before ranks are formed.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.sum((F.col(group) == 1).cast("long")).alias("k1"), F.count(F.lit(1)).alias("k"))
-    # Values fall into bins by size; the bins' counts are added up first, so that no group is one window.
-    ends = counts.groupBy(*by).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-    place = F.coalesce(F.floor(F.try_divide(F.col(value) - F.col("__lo"), F.col("__hi") - F.col("__lo")) * BINS), F.lit(0))
-    counts = counts.join(ends, by).withColumn("bin", place)
-    sizes = counts.groupBy(*by, "bin").agg(F.sum("k").alias("size"))
-    lower = F.sum("size").over(W.partitionBy(*by).orderBy("bin").rowsBetween(W.unboundedPreceding, -1))
-    sizes = sizes.select(*by, "bin", F.coalesce(lower, F.lit(0)).alias("lower"))
-    before = W.partitionBy(*by, "bin").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    r = counts.join(sizes, [*by, "bin"]).withColumn("rank", F.col("lower") + F.coalesce(F.sum("k").over(before), F.lit(0)) + (F.col("k") + 1) / 2)
+    r = value_ranks(counts, by, value, "k").withColumn("rank", F.col("below") + (F.col("k") + 1) / 2)
     g = r.groupBy(*by).agg(F.sum("k1").alias("n1"), F.sum(F.col("k") - F.col("k1")).alias("n0"), F.sum(F.col("rank") * F.col("k1")).alias("r1"), F.sum(F.col("k") * F.col("k") * F.col("k") - F.col("k")).alias("ties"))
     n = F.col("n1") + F.col("n0")
     u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import windows as X
 from tidemark.functions.ewm import ewm
+from tidemark.operators import stats
 from tidemark.operators.signals import CRYPTO_WEIGHTS, TECHNICAL_WEIGHTS, ensemble
 from tidemark.sources import adapters as A
 from tidemark.sources.adapters import with_views
@@ -297,8 +298,8 @@ def drawdown(spark, sf):
 
 @plan("percentile_rank", "SELECT symbol, d, round((rank() OVER (PARTITION BY symbol ORDER BY close) - 1) / count(*) OVER (PARTITION BY symbol) * 100, 6) AS pct FROM bars")
 def percentile(spark, sf):
-    rank = F.rank().over(W.partitionBy("symbol").orderBy("close")) - 1
-    return A.bars_1d(spark, sf).select("symbol", "d", r6(rank / F.count(F.lit(1)).over(W.partitionBy("symbol")) * 100, "pct"))
+    """Share of the symbol's closes below each, ranked by bins of a quantile sketch and exactly within them."""
+    return stats.percentile_rank(A.bars_1d(spark, sf), "symbol", "close", "pct").select("symbol", "d", r6(F.col("pct"), "pct"))
 
 
 @plan("prob_anomaly_z", """WITH x AS (SELECT token_id, ts, p, p - lag(p) OVER (PARTITION BY token_id ORDER BY ts) AS dp FROM prob),
