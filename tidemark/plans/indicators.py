@@ -30,9 +30,12 @@ def r6(c, name):
 
 
 def priced(spark, sf):
-    """Bars with the return, the difference to the day before and the true range."""
+    """Daily bars with the return, the difference to the day before and the true range."""
+    return with_changes(A.bars_1d(spark, sf))
+
+
+def with_changes(b):
     w = X.series()
-    b = A.bars_1d(spark, sf)
     c = F.col("close")
     return b.withColumns({"ret": X.change(c, w), "delta": F.coalesce(c - F.lag(c).over(w), F.lit(0.0)), "tr": X.true_range(F.col("high"), F.col("low"), c, w)})
 
@@ -200,11 +203,11 @@ def slope_weights():
     return {lag: (x - mean) / spread for lag, x in zip(LAGS, k, strict=True)}
 
 
-def technical_frame(spark, sf):
+def technical_frame(bars):
     """Everything the sub-signals need, for every bar, from what was known then: one frame, two passes of exponential means."""
     w = X.series()
     c, r = F.col("close"), F.col("ret")
-    b = priced(spark, sf)
+    b = with_changes(bars)
     up, down = F.col("high") - F.lag("high").over(w), F.lag("low").over(w) - F.col("low")
     hv = X.roll(F.stddev_samp, r, w, 21) * F.sqrt(F.lit(252.0))
     upto = w.rowsBetween(W.unboundedPreceding, 0)
@@ -281,13 +284,13 @@ def technical_sql(weights: dict[str, float], ready: int) -> str:
 @plan("technical_ensemble", technical_sql(TECHNICAL_WEIGHTS, 55))
 def technical(spark, sf):
     """The five sub-signals and their ensemble for every bar."""
-    return technical_signal(technical_frame(spark, sf), TECHNICAL_WEIGHTS, 55)
+    return technical_signal(technical_frame(A.bars_1d(spark, sf)), TECHNICAL_WEIGHTS, 55)
 
 
 @plan("crypto_ensemble", technical_sql(CRYPTO_WEIGHTS, 63))
 def crypto(spark, sf):
     """The ensemble with the weights for crypto assets."""
-    return technical_signal(technical_frame(spark, sf), CRYPTO_WEIGHTS, 63)
+    return technical_signal(technical_frame(A.bars_1d(spark, sf)), CRYPTO_WEIGHTS, 63)
 
 
 @plan("drawdown", "SELECT symbol, d, round(close / max(close) OVER (PARTITION BY symbol ORDER BY d) - 1, 6) AS drawdown FROM bars")

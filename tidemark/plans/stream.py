@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.sources import adapters as A
 from tidemark.sources.adapters import with_views
-from tidemark.streaming import flows, orders
+from tidemark.streaming import flows, late, orders
 
 QUERIES, SQL = {}, {}
 
@@ -49,7 +49,9 @@ def stream_ohlc(spark, sf):
     SELECT symbol, ts, price FROM c WHERE fires""")
 def stream_throttle(spark, sf):
     """Snapshots at least an hour apart for each symbol."""
-    return flows.drain(flows.throttle(flows.event_stream(spark, sf), 3600), folder(spark)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    with flows.disk_state(spark):
+        kept = flows.drain(flows.throttle(flows.event_stream(spark, sf), 3600), folder(spark))
+    return kept.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @plan("stream_sessions", """WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM trades WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
@@ -109,3 +111,46 @@ def account_orders(spark, sf):
     active = F.col("status").isin("submitting", "not_traded", "part_traded")
     g = order_states_now(spark, sf).groupBy("account")
     return g.agg(F.count(F.lit(1)).alias("n_orders"), F.count_if(active).alias("n_active"), F.count_if(F.col("status") == "all_traded").alias("n_traded"), F.count_if("expired").alias("n_expired"), F.max("opened").alias("last_order"), F.coalesce(F.sum(F.when(active, F.col("qty") - F.col("filled"))), F.lit(0.0)).alias("open_qty"))
+
+
+# Late rows
+
+#: Seconds of arrival in one file of the replay, and how far rows may come behind the newest one seen.
+PART, LATE = 3 * 86_400, 600
+
+ARRIVED = f"""a AS (SELECT *, ('0x' || substr(md5('arrival|' || trade_id), 1, 8))::BIGINT AS x FROM trades),
+    b AS MATERIALIZED (SELECT * EXCLUDE x, (epoch_us(ts) // 1000000 + CASE WHEN x % 20 = 0 THEN x % 21600 ELSE x % 300 END) // {PART} AS part FROM a),
+    m AS (SELECT part, max(max(ts)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL {LATE} SECOND AS edge FROM b GROUP BY part),
+    s AS MATERIALIZED (SELECT b.*, coalesce(ts < edge, false) AS late FROM b JOIN m USING (part))"""
+
+
+def delayed_replay(spark, sf):
+    """The ticks in several files by time of arrival, most of them within minutes and some hours late, split as they come."""
+    x = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("arrival"), F.col("trade_id").cast("string"))), 1, 8), 16, 10).cast("long")
+    second = F.floor(F.unix_micros("ts") / 1_000_000)
+    ticks = A.trades(spark, sf).withColumn("part", F.floor((second + F.when(x % 20 == 0, x % 21_600).otherwise(x % 300)) / PART))
+    path = folder(spark)
+    for (part,) in ticks.select("part").distinct().orderBy("part").collect():  # files are read in the order of their writing
+        ticks.where(F.col("part") == part).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(ticks.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    split = late.LateSplit(spark, f"{path}/split", ticks.schema, "ts", LATE)
+    late.split_stream(stream, split, f"{path}/state")
+    return split, path
+
+
+@plan("stream_late_rows", f"WITH {ARRIVED} SELECT trade_id, symbol, part, ts FROM s WHERE late")
+def stream_late_rows(spark, sf):
+    """What came behind the watermark, kept in a table of its own."""
+    split, _ = delayed_replay(spark, sf)
+    return split.late().select("trade_id", "symbol", "part", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@plan("stream_sliding_vwap", f"""WITH {ARRIVED}, w AS (SELECT symbol, time_bucket(INTERVAL 15 MINUTE, ts, TIMESTAMP '1970-01-01') - k * INTERVAL 15 MINUTE AS start, price, amount FROM s, range(4) r(k) WHERE NOT late),
+    n AS (SELECT count(*) FILTER (late) AS dropped FROM s)
+    SELECT symbol, start, round(sum(price * amount) / nullif(sum(amount), 0), 6) AS vwap, sum(amount) AS volume, count(*) AS n, any_value(dropped) AS dropped FROM w, n GROUP BY 1, 2 HAVING start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL {LATE} SECOND FROM trades)""")
+def stream_sliding_vwap(spark, sf):
+    """Mean prices of sliding hours over the rows in time, and how many rows were not."""
+    split, path = delayed_replay(spark, sf)
+    rows = spark.readStream.schema(split.stored).parquet(f"{path}/split/on_time")
+    w = flows.drain(flows.vwap(rows, late=f"{LATE} seconds"), f"{path}/vwap")
+    return w.select("symbol", F.col("start").cast("timestamp_ntz").alias("start"), F.round("vwap", 6).alias("vwap"), "volume", "n", F.lit(split.counts()["late"]).alias("dropped"))

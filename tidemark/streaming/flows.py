@@ -6,12 +6,14 @@ and a batch share the code; :func:`drain` runs a stream to its end for replays.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 
 def stored(spark: SparkSession, sf: str, files: int = 1) -> DataFrame:
@@ -45,23 +47,49 @@ def first_trades(ticks: DataFrame, late: str = "10 minutes") -> DataFrame:
     return ticks.withWatermark("ts", late).dropDuplicatesWithinWatermark(["trade_id"])
 
 
+class Throttle(StatefulProcessor):
+    """The time of the last snapshot that was kept, in microseconds."""
+
+    def __init__(self, seconds: int) -> None:
+        self.wait = seconds * 1_000_000
+
+    def init(self, handle) -> None:
+        self.last = handle.getValueState("last", "at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        before = last = self.last.get()[0] if self.last.exists() else None
+        # Times and prices only; the rows that are kept are cut out of these arrays.
+        parts = [(f["at"].to_numpy(), f["price"].to_numpy()) for f in rows]
+        at, price = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order, keep = np.lexsort((price, at)), []
+        at, price = at[order], price[order]
+        i = 0 if last is None else int(np.searchsorted(at, last + self.wait))
+        while i < len(at):
+            keep.append(i)
+            last = int(at[i])
+            i = max(i + 1, int(np.searchsorted(at, last + self.wait)))
+        if last != before:
+            self.last.update((last,))
+        yield pd.DataFrame({"symbol": [key[0]] * len(keep), "ts": pd.to_datetime(at[keep], unit="us"), "price": price[keep]})
+
+    def close(self) -> None:
+        pass
+
+
 def throttle(ticks: DataFrame, seconds: int = 5) -> DataFrame:
-    """Of each symbol's snapshots those at least ``seconds`` after the last one kept (state: its time)."""
-
-    def keep(key, frames, state: GroupState):
-        last = state.get[0] if state.exists else None
-        pdf = pd.concat([f[["ts", "price"]] for f in frames]).sort_values(["ts", "price"], kind="stable")
-        out = []
-        for t, p in zip(pdf.ts, pdf.price, strict=True):
-            at = t.timestamp()
-            if last is None or at - last >= seconds:
-                last = at
-                out.append((key[0], t, p))
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "price"])
-
-    return ticks.groupBy("symbol").applyInPandasWithState(keep, "symbol string, ts timestamp, price double", "last double", "append", GroupStateTimeout.NoTimeout)
+    """Of each symbol's snapshots those at least ``seconds`` after the last one kept.
+
+    The state is a time. A micro-batch is searched from one kept snapshot to the next.
+    """
+    x = ticks.select("symbol", F.unix_micros("ts").alias("at"), "price")
+    return x.groupBy("symbol").transformWithStateInPandas(Throttle(seconds), "symbol string, ts timestamp, price double", "Append", "None")
+
+
+def vwap(ticks: DataFrame, width: str = "1 hour", step: str = "15 minutes", late: str = "10 minutes") -> DataFrame:
+    """Volume-weighted mean price of sliding windows of event time; null where nothing was traded."""
+    g = ticks.withWatermark("ts", late).groupBy("symbol", F.window("ts", width, step))
+    volume = F.sum("amount")
+    return g.agg(F.try_divide(F.sum(F.col("price") * F.col("amount")), volume).alias("vwap"), volume.alias("volume"), F.count(F.lit(1)).alias("n")).select("symbol", F.col("window.start").alias("start"), "vwap", "volume", "n")
 
 
 @contextmanager

@@ -21,11 +21,13 @@ from pyspark.sql import types as T
 from tidemark.operators.joins import latest_per_key
 
 
-class KeyedTable:
-    """The table at ``path`` with one row for each key."""
+class Manifests:
+    """What has been published below ``path``: one JSON file for each batch, the newest of which counts."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str], order: list[str], buckets: int = 16) -> None:
-        self.spark, self.path, self.schema, self.keys, self.order, self.buckets = spark, path.rstrip("/"), schema, keys, order, buckets
+    empty: dict = {"batch": -1}
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
         self.root = spark._jvm.org.apache.hadoop.fs.Path(self.path)
         self.fs = self.root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
@@ -38,10 +40,10 @@ class KeyedTable:
         return sorted(f.getPath().getName() for f in self.fs.listStatus(folder)) if self.fs.exists(folder) else []
 
     def manifest(self, name: str | None = None) -> dict:
-        """The newest manifest (or the one named): last batch and the folder of every bucket."""
+        """The newest manifest, or the one named."""
         name = name or next(reversed(self.versions()), None)
         if name is None:
-            return {"batch": -1, "buckets": {}}
+            return json.loads(json.dumps(self.empty))
         stream = self.fs.open(self._at(f"manifests/{name}"))
         try:
             return json.loads(bytes(stream.readAllBytes()))
@@ -58,6 +60,16 @@ class KeyedTable:
         if not self.fs.rename(temporary, self._at(f"manifests/{manifest['batch']:020d}.json")):
             raise OSError(f"batch {manifest['batch']} of {self.path} was published by another writer")
 
+
+class KeyedTable(Manifests):
+    """The table at ``path`` with one row for each key; its manifests name the folder of every bucket."""
+
+    empty = {"batch": -1, "buckets": {}}
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str], order: list[str], buckets: int = 16) -> None:
+        super().__init__(spark, path)
+        self.schema, self.keys, self.order, self.buckets = schema, keys, order, buckets
+
     def rows(self, manifest: dict, only: list[int] | None = None) -> DataFrame:
         """Rows of all buckets, or of these."""
         places = [f"{self.path}/{folder}/__bucket={b}" for b, folder in manifest["buckets"].items() if only is None or int(b) in only]
