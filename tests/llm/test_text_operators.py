@@ -593,6 +593,64 @@ def test_leaks_reach_the_recall_of_a_full_search(edit, rate):
     assert len(near) > 20 and len(near - found) <= 0.05 * len(near), (len(near), len(near - found))
 
 
+TEMPLATES = [
+    "what is the capital city of the country named {}?",
+    "{} is the name of which river, lake or mountain on the continent?",
+    "if {} apples are shared equally between {} children, how many apples does every child get and how many are left over?",
+]
+
+
+@pytest.mark.parametrize("template", TEMPLATES)
+@pytest.mark.parametrize("rate", [0.0, 0.05, 0.1, 0.15])
+def test_items_of_one_template_are_found(template, rate):
+    """Against a full search, for 30 items made from one template beside 60 others: 0.95 of all pairs, and each document's own item."""
+    rng = np.random.default_rng(int(rate * 100) + len(template))
+    word = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnop"), int(rng.integers(3, 9)))) for _ in range(n))
+    items = [(i, template.format(word(1), word(1))) for i in range(30)] + [(100 + i, word(14)) for i in range(60)]
+    texts = [f"{word(20)} {typos(x, rate, rng) if rate else x} {word(20)}" for _, x in items[:30]]
+    near = {(t, i) for t, text in enumerate(texts) for i, x in items if full_distance(x, text) <= 0.2 * len(x)}
+    found = {(r[0], r[1]) for r in decontaminate.Finder(decontaminate.Index(items)).find(texts)}
+    assert found <= near and len(near - found) <= 0.05 * len(near), (len(near), len(near - found))
+    own = {(t, t) for t in range(30)} & near
+    assert len(own - found) <= (0 if rate <= 0.05 else 1)
+
+
+@pytest.mark.parametrize("copies", [3, 5, 40])
+@pytest.mark.parametrize("size", [4, 7, 15])
+def test_items_that_stand_several_times_are_found_under_every_id(spark, copies, size):
+    rng = np.random.default_rng(copies)
+    word = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnop"), int(rng.integers(3, 9)))) for _ in range(n))
+    plain = [word(size) for _ in range(20)]
+    items = [(k * 100 + i, x.upper() if k % 2 else x) for i, x in enumerate(plain) for k in range(copies)]
+    texts = [f"{word(10)} {x} {word(10)}" for x in plain]
+    found = {(r[0], r[1]) for r in decontaminate.Finder(decontaminate.Index(items)).find(texts)}
+    assert {(i, k * 100 + i) for i in range(20) for k in range(copies)} <= found
+
+
+@pytest.mark.parametrize("copies", [3, 6])
+def test_near_copies_of_items_are_found(copies):
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(copies)
+    given = [" ".join(r["text"].lower().split()) for r in pq.read_table("/root/testdata/sf0.01/benchmark.parquet").to_pylist() if r["text"]][:25]
+    items = [(100 * k + i, typos(x, 0.06, rng) if k else x) for i, x in enumerate(given) for k in range(copies)]
+    texts = [f"{given[i - 1][:80]} {typos(x, 0.08, rng)} {given[i - 2][:80]}" for i, x in enumerate(given)]
+    near = {(t, i) for t, text in enumerate(texts) for i, x in items if full_distance(x, text) <= 0.2 * len(x)}
+    found = {(r[0], r[1]) for r in decontaminate.Finder(decontaminate.Index(items)).find(texts)}
+    assert found <= near and len(near - found) <= 0.01 * len(near), (len(near), len(near - found))
+
+
+def test_blocks_shipments_and_one_index_find_the_same(spark, docs, monkeypatch):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    one = sorted(map(tuple, decontaminate.leaks(docs, bench).collect()))
+    blocks = sorted(map(tuple, decontaminate.leaks(docs, bench, block_items=7).collect()))
+    monkeypatch.setattr(decontaminate, "SHIPPED", 1)
+    shipped = sorted(map(tuple, decontaminate.leaks(docs, bench, block_items=9).collect()))
+    assert one == blocks == shipped and one
+    kept = {r.doc_id for r in decontaminate.remove_leaks(docs, bench, block_items=9).collect()}
+    assert kept == {r.doc_id for r in docs.select("doc_id").collect()} - {r[0] for r in one}
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 5, 8])
 def test_short_items_are_found(size):
     rng = np.random.default_rng(size)

@@ -20,10 +20,17 @@ of the window: at most ``max_edit`` of its length. White space and case are norm
 rate up to ``max_edit`` = 0.2, whether letters or words are edited; the tests measure it
 by rate and kind of edit. Items too short for the first tier have walks of shorter ones.
 
+A sample that many items share goes on to a longer stretch of its walk, and stays as it is
+where its item has no longer one: no sample is left out. Items that share half of their
+samples or more (made from one template, or near copies) are one family and count as one
+there, so that their samples stay short; each sample leads to all members that have it.
+Equal items are one entry with several ids.
+
 Documents never move: walk, look-up and check happen where the document is read. The
-benchmark goes out in blocks of at most ``block_items`` items and ``block_chars``
-characters; with more than one block, each is searched and written before the next is
-built, so that one at a time is in memory, however large the benchmark is.
+index is built by tasks, in blocks of at most ``block_items`` items and ``block_chars``
+characters. Blocks go out together, as many as take ``SHIPPED`` bytes, and one scan of the
+documents looks for all of them; only a larger benchmark takes a further scan, with what
+the last one found written before.
 
 Null or empty texts match nothing; empty or null items are skipped; empty tables give
 empty results. Each (document row, item) with a match gives one row, its best (the first
@@ -33,6 +40,7 @@ here, so that other columns can have any name. Texts of any length are read whol
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,8 +52,10 @@ from tidemark.llm._common import Scratch, map_batches, mix64
 
 #: ((steps, sampled steps) of each stretch of the walk, walks, items of fewer pieces have them).
 TIERS = ((((6, 5), (6, 4), (8, 4), (12, 6)), 3, 1 << 30), (((3, 2),), 2, 12), (((1, 1),), 1, 4))
-#: A sample that more places of the items share goes on to the next stretch of its walk.
+#: A sample that more families of items share goes on to the next stretch of its walk.
 COMMON = 2
+#: Bytes of index that go out with one scan of the documents.
+SHIPPED = 128 << 20
 #: Of all pairs of letters, this part starts a new piece.
 CUT = 0.35
 #: Characters of the first comparison, how far they can be shifted, and how much more than ``max_edit`` may differ there.
@@ -183,46 +193,111 @@ def best_part(item: str, window: str, most: int) -> tuple[int, int, int] | None:
     return edits, end - back, end
 
 
+def families(item: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
+    """The family of each of ``n`` items: those that share half of their different keys with another one of it.
+
+    Items are not compared in pairs: the holders of a key are compared with its first, middle and last one.
+    """
+    order = np.lexsort((item, key))
+    key, item = key[order], item[order]
+    new = np.append(True, (key[1:] != key[:-1]) | (item[1:] != item[:-1])) if len(key) else np.zeros(0, bool)
+    key, item = key[new], item[new]
+    total = np.bincount(item, minlength=n)
+    _, low, times = np.unique(key, return_index=True, return_counts=True)
+    parent = list(range(n))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for at in (low, low + times // 2, low + times - 1):
+        lead = np.repeat(item[at], times)
+        pair, shared = np.unique(item * np.int64(n) + lead, return_counts=True)
+        a, b = pair // n, pair % n
+        near = (a != b) & (2 * shared >= np.minimum(total[a], total[b]))
+        for i, j in zip(a[near].tolist(), b[near].tolist(), strict=True):
+            parent[root(i)] = root(j)
+    return np.array([root(i) for i in range(n)], np.int64)
+
+
+def many_families(key: np.ndarray, item: np.ndarray, family: np.ndarray) -> np.ndarray:
+    """Keys with more than ``COMMON`` places, of the members of a family the one with most of them counted."""
+    if not len(key):
+        return key
+    order = np.lexsort((item, key))
+    key, item = key[order], item[order]
+    edge = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (item[1:] != item[:-1])))
+    places = np.diff(np.append(edge, len(key)))
+    key, of = key[edge], family[item[edge]]
+    order = np.lexsort((places, of, key))
+    key, of, places = key[order], of[order], places[order]
+    last = np.append((key[1:] != key[:-1]) | (of[1:] != of[:-1]), True)  # the member with most places
+    value, at = np.unique(key[last], return_inverse=True)
+    return value[np.bincount(at, weights=places[last]) > COMMON]
+
+
 class Index:
     """Items of one block, with the keys of their walks in order."""
 
     def __init__(self, items: list[tuple[int, str]], max_edit: float = 0.2, seed: int = 11) -> None:
         self.max_edit, self.pieces, self.walks = max_edit, Pieces(seed), Walks(seed)
-        self.items = [(i, x) for i, x in ((i, normalised(t)) for i, t in items) if x]
+        ids: dict[str, list[int]] = {}
+        for i, t in items:
+            if x := normalised(t):
+                ids.setdefault(x, []).append(i)
+        #: different texts, each with the ids of the items that have it
+        self.items = [(of, x) for x, of in ids.items()]
         symbols = [self.pieces.of(folded(x)) for _, x in self.items]
-        #: by plan and stretch: keys, where each begins and how often it comes, (item, offset) in order of the key, a bit map, the common keys
+        plain = [self.moved(0, 0, number, s, place, np.arange(len(s)), *self.walks.start(0, s)) for number, (s, place) in enumerate(symbols) if len(s)]
+        key = np.concatenate([np.zeros(0, np.uint64), *(m[5] for m in plain)])
+        item = np.concatenate([np.zeros(0, np.int64), *(np.full(len(m[5]), m[0], np.int64) for m in plain)])
+        self.family = families(item, key, len(symbols))
+        #: by plan and stretch: keys, where each begins and how often it comes, (item, offset) in order of the key, a bit map, keys that go on
         self.tables = []
         for plan, (_, at, below) in enumerate(self.walks.plans):
-            walks = []
-            for number, (s, place) in enumerate(symbols):
-                if 0 < len(s) < below:
-                    pos, key = self.walks.start(plan, s)
-                    walks.append((number, s, place, np.arange(len(s)), pos, key))
+            walks = [self.moved(plan, 0, number, s, place, np.arange(len(s)), *self.walks.start(plan, s)) for number, (s, place) in enumerate(symbols) if 0 < len(s) < below]
             levels = []
             for stretch in range(len(at)):
-                moved = []
-                for number, s, place, begin, pos, key in walks:
-                    pos, key = self.walks.go(plan, stretch, s, self.walks.bits(plan, s), pos, key)
-                    # A walk that reaches the end reads its last piece again, which a document does not.
-                    fits = (pos < len(s) - 1) | (len(at[0]) == 1)
-                    moved.append((number, s, place, begin[fits], pos[fits], key[fits]))
-                if not moved:
+                if not walks:
                     break
-                keys = np.concatenate([m[5] for m in moved])
-                item = np.concatenate([np.full(len(m[5]), m[0], np.int32) for m in moved])
-                offset = np.concatenate([m[2][m[3]] for m in moved]).astype(np.int32)
-                value, times = np.unique(keys, return_counts=True)
-                common = value[times > COMMON] if stretch + 1 < len(at) else value[:0]
-                rare = ~np.isin(keys, common)
-                bitmap = np.zeros(1 << 20, bool)
-                bitmap[(value >> np.uint64(44)).astype(np.int64)] = True
-                keys, item, offset = keys[rare], item[rare], offset[rare]
-                order = np.argsort(keys, kind="stable")
-                value, low, times = np.unique(keys[order], return_index=True, return_counts=True)
-                levels.append((value, low, times, item[order], offset[order], np.packbits(bitmap), common))
-                walks = [(number, s, place, begin[go], pos[go], key[go]) for number, s, place, begin, pos, key in moved for go in [np.isin(key, common)]]
+                keys = np.concatenate([m[5] for m in walks])
+                item = np.concatenate([np.full(len(m[5]), m[0], np.int64) for m in walks])
+                common = many_families(keys, item, self.family) if stretch + 1 < len(at) else keys[:0]
+                stay, further = [], []
+                for number, s, place, begin, pos, key in walks:
+                    go = np.isin(key, common)
+                    longer = self.moved(plan, stretch + 1, number, s, place, begin[go], pos[go], key[go]) if go.any() else None
+                    fits = np.zeros(len(key), bool)
+                    if longer and len(longer[5]):
+                        fits[np.flatnonzero(go)[np.isin(begin[go], longer[3])]] = True
+                        further.append(longer)
+                    # What has no longer walk stays here, however many share it.
+                    stay.append((number, place[begin[~fits]], key[~fits], key[fits]))
+                levels.append(self.level(stay, keys))
+                walks = further
             self.tables.append(levels)
 
+    def moved(self, plan: int, stretch: int, number: int, s: np.ndarray, place: np.ndarray, begin: np.ndarray, pos: np.ndarray, key: np.ndarray) -> tuple:
+        """(item, symbols, places, first piece, piece, key) of the walks after a stretch, of those that fit into the item."""
+        pos, key = self.walks.go(plan, stretch, s, self.walks.bits(plan, s), pos, key)
+        # A walk that reaches the end reads its last piece again, which a document does not.
+        fits = (pos < len(s) - 1) | (len(self.walks.plans[plan][1]) == 1)
+        return number, s, place, begin[fits], pos[fits], key[fits]
+
+    @staticmethod
+    def level(stay: list[tuple], every: np.ndarray) -> tuple:
+        """Table of the keys that stay on a level, a bit map of all keys on it, and those that go on."""
+        bitmap = np.zeros(1 << 20, bool)
+        bitmap[(every >> np.uint64(44)).astype(np.int64)] = True
+        keys = np.concatenate([x[2] for x in stay])
+        item = np.concatenate([np.full(len(x[2]), x[0], np.int32) for x in stay])
+        offset = np.concatenate([x[1] for x in stay]).astype(np.int32)
+        order = np.argsort(keys, kind="stable")
+        value, low, times = np.unique(keys[order], return_index=True, return_counts=True)
+        return value, low, times, item[order], offset[order], np.packbits(bitmap), np.unique(np.concatenate([x[3] for x in stay]))
+
 
 class Finder:
     """Items in documents."""
@@ -324,19 +399,11 @@ class Finder:
         return best <= np.ceil(FIRST * self.index.max_edit * m)
 
     def find(self, texts: list[str | None]) -> list[tuple]:
-        """(number of the text, item id, edits, similarity, first word, words) of the best match of every item."""
-        out, group, chars = [], [], 0
-        for number, text in enumerate(texts):
-            if text:
-                group.append((number, normalised(text)))
-                chars += len(group[-1][1])
-            if chars >= BATCH_CHARS:
-                out += self.find_in(group)
-                group, chars = [], 0
-        return out + self.find_in(group)
+        """As :func:`find_all` with this block alone."""
+        return find_all([self], texts)
 
     def find_in(self, group: list[tuple[int, str]]) -> list[tuple]:
-        """As :meth:`find`, for numbered texts that fit into memory together."""
+        """As :func:`find_all`, for numbered texts that fit into memory together."""
         if not group or not self.index.items:
             return []
         letters = folded("\0".join(x for _, x in group))
@@ -364,37 +431,84 @@ class Finder:
                     best[d, number] = row
         out = []
         for (d, number), (edits, a, b) in sorted(best.items()):
-            text, (name, x) = group[d][1], self.index.items[number]
-            out.append((group[d][0], name, edits, 1 - edits / len(x), text.count(" ", 0, a), text.count(" ", a, b) + 1))
+            text, (names, x) = group[d][1], self.index.items[number]
+            where = edits, 1 - edits / len(x), text.count(" ", 0, a), text.count(" ", a, b) + 1
+            out += [(group[d][0], name, *where) for name in names]
         return out
 
 
-def item_blocks(benchmark: DataFrame, block_items: int, block_chars: int, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    """Blocks of (item id, text), one after another, never all at once."""
-    block, chars = [], 0
-    for r in benchmark.select(F.col(item_col).cast("long"), text_col).where(F.length(F.trim(text_col)) > 0).toLocalIterator():
-        block.append((r[0], r[1]))
-        chars += len(r[1])
-        if len(block) >= block_items or chars >= block_chars:
-            yield block
-            block, chars = [], 0
-    if block:
-        yield block
+def find_all(finders: list[Finder], texts: list[str | None]) -> list[tuple]:
+    """(number of the text, item id, edits, similarity, first word, words) of the best match of every item of all blocks."""
+    out, group, chars = [], [], 0
+    for number, text in enumerate([*texts, None]):
+        if text:
+            group.append((number, normalised(text)))
+            chars += len(group[-1][1])
+        if group and (chars >= BATCH_CHARS or number == len(texts)):
+            for finder in finders:
+                out += finder.find_in(group)
+            group, chars = [], 0
+    return out
+
+
+def indexes(benchmark: DataFrame, o: dict) -> DataFrame:
+    """(size, index): the indexes of all blocks, built by tasks."""
+    text = F.col(o["item_text_col"])
+    items = benchmark.select(F.col(o["item_col"]).cast("long").alias("item"), text.alias("text")).where(F.length(F.trim(text)) > 0)
+    n = items.agg(F.count(F.lit(1)).alias("items"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    blocks = max(1, -(-n["items"] // o["block_items"]), -(-n["chars"] // o["block_chars"]))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, chars = [], 0
+
+        def made() -> pa.RecordBatch:
+            blob = pickle.dumps(Index(block, o["max_edit"], o["seed"]))
+            return pa.RecordBatch.from_pydict({"size": pa.array([len(blob)], pa.int64()), "index": pa.array([blob], pa.binary())})
+
+        for batch in batches:
+            for item, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                block.append((item, words))
+                chars += len(words)
+                if len(block) >= o["block_items"] or chars >= o["block_chars"]:
+                    yield made()
+                    block, chars = [], 0
+        if block:
+            yield made()
+
+    return items.repartition(blocks).mapInArrow(build, "size long, index binary")
+
+
+def shipments(table: DataFrame) -> Iterator[list[bytes]]:
+    """Indexes of so many blocks at a time as go out together; one block at least."""
+    ready, size = [], 0
+    for row in table.toLocalIterator():
+        if ready and size + row["size"] > SHIPPED:
+            yield ready
+            ready, size = [], 0
+        ready.append(bytes(row["index"]))
+        size += row["size"]
+    if ready:
+        yield ready
 
 
 def over_blocks(benchmark: DataFrame, options: dict, apply, start: DataFrame, step) -> DataFrame:
-    """``step(result so far, apply(broadcast index))`` over all blocks; one block's index at a time is in memory."""
+    """``step(result so far, apply(broadcast indexes))`` over all shipments; one at a time is in memory."""
     spark, scratch, result, before = benchmark.sparkSession, Scratch(benchmark.sparkSession), start, None
-    names = {k: options[k] for k in ("block_items", "block_chars", "item_col", "item_text_col")}
-    for block in item_blocks(benchmark, *names.values()):
-        if before is not None:  # a further block: what the last one found is written, and its index goes
+    built = scratch.write(indexes(benchmark, options))
+    for ready in shipments(built):
+        if before is not None:  # a further shipment: what the last one found is written, and its indexes go
             result = scratch.write(result)
             before.unpersist()
-        before = spark.sparkContext.broadcast(Index(block, options["max_edit"], options["seed"]))
+        before = spark.sparkContext.broadcast(ready)
         result = step(result, apply(result, before))
+    scratch.drop(built)
     return result
 
 
+def finders(shared) -> list[Finder]:
+    return [Finder(pickle.loads(blob)) for blob in shared.value]
+
+
 DEFAULTS = {"max_edit": 0.2, "seed": 11, "block_items": 2_000, "block_chars": 1_000_000, "id_col": "doc_id", "text_col": "text", "item_col": "item_id", "item_text_col": "text"}
 
 
@@ -410,11 +524,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
     def search(_: DataFrame, shared) -> DataFrame:
         def make():
-            finder = Finder(shared.value)
+            blocks = finders(shared)
 
             def work(batch: pa.RecordBatch) -> dict[str, object]:
                 ids = batch.column(0).to_pylist()
-                rows = [(ids[r[0]], *r[1:]) for r in finder.find(batch.column(1).to_pylist())]
+                rows = [(ids[r[0]], *r[1:]) for r in find_all(blocks, batch.column(1).to_pylist())]
                 names = ("doc_id", "item_id", "distance", "similarity", "first_word", "n_words")
                 return {n: pa.array([r[k] for r in rows], pa.float64() if n == "similarity" else pa.int64()) for k, n in enumerate(names)}
 
@@ -433,10 +547,10 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
         at = rows.columns.index(o["text_col"])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            finder = Finder(shared.value)
+            blocks = finders(shared)
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
-                clean[[r[0] for r in finder.find(batch.column(at).to_pylist())]] = False
+                clean[[r[0] for r in find_all(blocks, batch.column(at).to_pylist())]] = False
                 yield batch.filter(pa.array(clean))
 
         return rows.mapInArrow(run, rows.schema)
