@@ -796,7 +796,29 @@ PAGE = """<html><body><header class="site"><h1>Site</h1></header><div id="cookie
 
 @pytest.fixture(scope="module")
 def weights():
-    return html_extract.learn(labelled_pages.labelled_pages())
+    return queries.page_weights()
+
+
+def test_relearning_gives_the_saved_weights(weights):
+    again = html_extract.learn(labelled_pages.labelled_pages())
+    assert again.word.keys() == weights.word.keys() and again.tag == pytest.approx(weights.tag, abs=1e-4)
+    assert max(abs(v - weights.word[k]) for k, v in again.word.items()) < 0.01 and np.abs(again.shape - weights.shape).max() < 0.01
+
+
+@pytest.mark.parametrize("name", ["comment", "comments", "sidebar", "ad", "footer", "related", "form"])
+def test_an_article_under_a_misleading_name_stays(weights, name):
+    article = "".join(f"<p>{PROSE[3:-4]} Paragraph {i} says more.</p>" for i in range(8))
+    page = f'<body><nav><ul>{"".join(f"<li><a href=x>menu {i}</a></li>" for i in range(6))}</ul></nav><div class="{name}"><h1>A title of the page</h1>{article}</div><footer><p>copyright</p></footer></body>'
+    assert html_extract.extract(page, weights).count("says more") == 8
+
+
+def test_linked_references_in_an_article_stay_and_comments_beside_it_go(weights):
+    article = "".join(f"<p>{PROSE[3:-4]} Paragraph {i}.</p>" for i in range(6))
+    references = "".join(f"<li><a href=x>Reference number {i} with some words of title</a></li>" for i in range(8))
+    comments = "".join(f"<p>I think that comment {i} is what a reader would write here, more or less.</p>" for i in range(6))
+    page = f'<body><article><h1>A title</h1>{article}<h2>Sources</h2><ul>{references}</ul></article><div class="qzx7">{comments}</div><footer>x</footer></body>'
+    text = html_extract.extract(page, weights)
+    assert text.count("Reference number") == 8 and "reader would write" not in text
 
 
 def test_main_text_of_a_page(weights):

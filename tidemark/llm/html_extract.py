@@ -3,8 +3,9 @@
 A page is read into a sequence of tokens: stretches of text and tags. A word scores
 the log odds of being main text, a sum of weights over what is around it and how its
 block looks: the elements that enclose it and the words of their class, id and role
-(names of elements that hold half of the page's unlinked words or more count apart, as those of an
-article with an odd name do), the block's length, share of linked words, sentence end, depth and place in the page,
+(names of elements that hold half of the page's unlinked words or more count apart, one by one and as
+one, as articles have any name), whether an article or main element holds that much and it lies beside
+it, the block's length, share of linked words, sentence end, depth and place in the page,
 the same of its neighbours, and the words per tag around. A tag costs a constant. All
 weights come from labelled pages by logistic regression; no single feature decides. One
 linear scan finds the contiguous region of the largest sum. Inside it, stretches of
@@ -22,10 +23,12 @@ Of regions with equal sums the first one is taken.
 from __future__ import annotations
 
 import html as entities
+import json
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +50,7 @@ UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 PIECE = re.compile(r"[a-z]+")
 SENTENCE = re.compile(r"[.!?…。:;][\"'”’»)\]]*$")
 #: The most and the least a word can score in the scan: an advert within an article must not cut it in two.
-MOST, LEAST = 3.0, -1.0
+MOST, LEAST = 3.0, -0.4
 
 
 def features(name: str, attributes: str) -> tuple[str, ...]:
@@ -134,13 +137,13 @@ def marks(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 class Run:
-    """A stretch of text: its words, its elements and their features, its block, whether it is linked."""
+    """A stretch of text: its words, its elements and their features, its block, whether it is linked, the innermost large element."""
 
-    __slots__ = ("text", "words", "elements", "around", "block", "linked")
+    __slots__ = ("text", "words", "elements", "around", "block", "linked", "region")
 
     def __init__(self, text: str, elements: tuple[int, ...], block: int, linked: bool) -> None:
         self.text, self.elements, self.around, self.block, self.linked = text, elements, (), block, linked
-        self.words = len(text.split())
+        self.words, self.region = len(text.split()), -1
 
 
 def tokens(page: str) -> list[Run | str]:
@@ -181,23 +184,26 @@ def tokens(page: str) -> list[Run | str]:
     for t in runs:
         words.update(dict.fromkeys(t.elements, t.words * (not t.linked)))
     large = max(1, sum(t.words for t in runs if not t.linked) / 2)
+    holders = {e for e, n in words.items() if n >= large and not {"<article>", "<main>"}.isdisjoint(known[e])}
     seen: dict[tuple[int, ...], tuple[str, ...]] = {}
     for t in runs:
         if t.elements not in seen:
-            seen[t.elements] = tuple(dict.fromkeys(f + "+" * (f[0] not in "<(" and words[e] >= large) for e in t.elements for f in known[e]))
+            beside = ["(beside)"] if holders and holders.isdisjoint(t.elements) else []
+            seen[t.elements] = tuple(dict.fromkeys([x for e in t.elements for f in known[e] for x in ((f"{f}+", "(large)") if f[0] not in "<(" and words[e] >= large else (f,))] + beside))
         t.around = seen[t.elements]
+        t.region = max((e for e in t.elements if words[e] >= large), default=-1)
     return out
 
 
 def look(seen: list[Run | str]) -> dict[int, np.ndarray]:
-    """What each block looks like, and its neighbours: numbers of the order of 1."""
-    words, linked, last, depth, first = Counter(), Counter(), {}, {}, {}
+    """What each block looks like, and its neighbours in the same large element: numbers of the order of 1."""
+    words, linked, last, depth, first, region = Counter(), Counter(), {}, {}, {}, {}
     total = 0
     for t in seen:
         if isinstance(t, Run) and t.words:
             words[t.block] += t.words
             linked[t.block] += t.words * t.linked
-            last[t.block], depth[t.block] = t.text, len(t.elements)
+            last[t.block], depth[t.block], region[t.block] = t.text, len(t.elements), t.region
             first.setdefault(t.block, total)
             total += t.words
     blocks = sorted(words)
@@ -213,9 +219,18 @@ def look(seen: list[Run | str]) -> dict[int, np.ndarray]:
     tags = np.diff(np.array([0, *blocks]))
     near = lambda x, k: np.convolve(x, np.ones(2 * k + 1), "full")[k:-k]
     dense = np.log1p(near(w, 2) / np.maximum(near(tags.astype(float), 2), 1))
-    before = lambda x: np.concatenate([[0.0], x[:-1]])
-    after = lambda x: np.concatenate([x[1:], [0.0]])
-    mean = near(link * w, 3) / near(w, 3)
+    within = np.array([region[b] for b in blocks])
+
+    def other(x: np.ndarray, k: int) -> np.ndarray:
+        """``x`` of the block ``k`` places on; 0 where that is not in the same large element."""
+        out = np.zeros(n)
+        here, there = slice(max(0, -k), n - max(0, k)), slice(max(0, k), n - max(0, -k))
+        out[here] = np.where(within[here] == within[there], x[there], 0.0)
+        return out
+
+    before, after = (lambda x: other(x, -1)), (lambda x: other(x, 1))
+    around = range(-min(3, n - 1), min(3, n - 1) + 1)
+    mean = sum(other(link * w, k) for k in around) / sum(other(w, k) for k in around)
     rows = np.stack([np.ones(n), size, np.minimum(size, 1.8), link, ends, ends * size, deep, place < 0.05, place > 0.95, before(size), after(size), before(link), after(link), dense, mean, (n == 1) * np.ones(n)], axis=1)
     return dict(zip(blocks, rows, strict=True))
 
@@ -226,6 +241,17 @@ class Weights:
     def __init__(self, word: dict[str, float], shape: np.ndarray, tag: float) -> None:
         self.word, self.shape, self.tag = word, shape, tag
 
+    def to_json(self) -> str:
+        """The weights to four digits, one name a line."""
+        word = ",\n".join(f"  {json.dumps(f)}: {round(v, 4)}" for f, v in sorted(self.word.items()))
+        return f'{{"tag": {round(self.tag, 4)},\n "shape": {json.dumps([round(float(v), 4) for v in self.shape])},\n "word": {{\n{word}\n}}}}\n'
+
+    @classmethod
+    def read(cls, path: str | Path) -> Weights:
+        """Weights that :meth:`to_json` wrote."""
+        saved = json.loads(Path(path).read_text(encoding="utf-8"))
+        return cls(saved["word"], np.array(saved["shape"]), saved["tag"])
+
     def score(self, around: tuple[str, ...], shape: float) -> float:
         """Log odds that a word is main text."""
         return shape + sum(self.word.get(f, 0.0) for f in around)

@@ -2,8 +2,13 @@
 
 Every page is put together from parts that are main text or not, so that the label of
 each block is known. A part is told by its element, by the name in its class or id, or
-by its form only: a share of all parts has names that mean nothing, and some main
+by its form only: a share of all parts has names that mean nothing, and many main
 parts have names that usually stand for something else, so that no name decides alone.
+Articles can end in lists of linked references; what lies beside them can be prose under a
+meaningless name, or cards that are article elements themselves.
+
+``python -m tidemark.llm.labelled_pages`` learns the weights of all these pages and saves
+them as ``page_weights.json`` beside this file.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ MAIN = {"article": ("article", "post", "entry", "story"), "main": ("main", "cont
 NAMES = sorted({n for names in BOILERPLATE.values() for n in names})
 
 
-def labelled_pages(count: int = 1600, seed: int = 7) -> list[tuple[str, set[str]]]:
+def labelled_pages(count: int = 2400, seed: int = 7) -> list[tuple[str, set[str]]]:
     """(page, set of main blocks) for ``count`` layouts."""
     rng = random.Random(seed)
     letters = "abcdefghijklmnoprstuvwz"
@@ -82,6 +87,11 @@ def labelled_pages(count: int = 1600, seed: int = 7) -> list[tuple[str, set[str]
             body = "".join(f"<label>{phrase(rng.randint(1, 4))}</label><input>" for _ in range(rng.randint(1, 4)))
             body = body if rng.random() < 0.7 else f"<p>{prose(rng.randint(2, 30))}</p>{body}"
             return f"{opening(holder, names, 0)}{body}</{holder}>"
+        if not inside and kind > 0.94:  # prose that only its place tells from an article
+            return f'<div class="{name()}">' + "".join(f"<p>{prose(rng.randint(4, 30))}</p>" for _ in range(rng.randint(2, 7))) + "</div>"
+        if not inside and kind > 0.88:  # cards of other articles
+            cards = "".join(f"<article><a href='/{name()}'>{phrase(rng.randint(2, 8))}</a>{rng.choice(('', f'<p>{prose(rng.randint(3, 12))}</p>'))}</article>" for _ in range(rng.randint(2, 6)))
+            return f"{opening('div', BOILERPLATE['aside'], 0.3)}{cards}</div>"
         if kind < 0.4 and not inside:
             return f"{opening(holder, names, 0.5)}{menu()}</{holder}>"
         if kind < 0.45:
@@ -103,11 +113,18 @@ def labelled_pages(count: int = 1600, seed: int = 7) -> list[tuple[str, set[str]
             linked = " ".join([*w[:k], f"<a href='/{name()}'>{w[k]}</a>", *w[k + 1 :]])
             bold = f"<b>{m}</b>" if rng.random() < 0.5 else f"<b>{m}"
             parts.append(rng.choice((f"<p>{m}</p>", f"<p>{m}</p>", f"<p>{m}", f"<p>{bold}<br></p>", f"<p>{linked}</p>", f"<div><p>{m}<br></div>", f"<ul><li>{m}</li></ul>", f"<ol><li>{linked}</li></ol>", f"<blockquote>{m}</blockquote>", f"<section><h2>{m}</h2></section>", f"<table><tr><td>{m}</td></tr></table>", f"<figure><figcaption>{m}</figcaption></figure>", f'<p class="{name()}">{m}</p>')))
+        tag = rng.choice(list(MAIN))
+        if rng.random() < 0.2:  # references: a list of links, with or without words around them
+            entries = [(phrase(rng.randint(0, 4)), phrase(rng.randint(2, 9)), phrase(rng.randint(0, 3))) for _ in range(rng.randint(2, 10))]
+            main |= {" ".join(" ".join(e).split()) for e in entries}
+            kind = rng.choice(("ul", "ol"))
+            named = rng.choice(("", "", f' class="{name()}"') if tag != "div" else (' class="references"', ' id="sources"', ' class="footnotes"'))
+            parts.append(f"<{kind}{named}>" + "".join(f"<li>{a} <a href='/{name()}'>{b}</a> {c}</li>" for a, b, c in entries) + f"</{kind}>")
         while rng.random() < 0.7:
             parts.insert(rng.randint(1, len(parts)), noise(inside=True))
-        tag = rng.choice(list(MAIN))
         odd = rng.random()
-        start = opening(tag, MAIN[tag], 0.4) if odd > 0.25 else f'<{tag} class="{rng.choice(NAMES)}{rng.choice(("", "-" + name(), "-text"))}">'
+        wrong = rng.choice(NAMES if rng.random() < 0.7 else BOILERPLATE["section"])
+        start = opening(tag, MAIN[tag], 0.4) if odd > 0.4 or sum(len(m.split()) for m in main) < 80 else f'<{tag} class="{wrong}{rng.choice(("", "-" + name(), "-text"))}">'
         title = prose(rng.randint(2, 9)).rstrip(".")
         main.add(title)
         head = rng.choice((f"<h1>{title}</h1>", f"<header><h1>{title}</h1></header>"))
@@ -116,3 +133,11 @@ def labelled_pages(count: int = 1600, seed: int = 7) -> list[tuple[str, set[str]
             body = f'<div class="{name()}"><div>{body}</div></div>'
         out.append((f"<html><head><title>{title}</title></head><body>{body}</body></html>", main))
     return out
+
+
+if __name__ == "__main__":
+    from pathlib import Path
+
+    from tidemark.llm import html_extract
+
+    Path(__file__).with_name("page_weights.json").write_text(html_extract.learn(labelled_pages()).to_json(), encoding="utf-8")

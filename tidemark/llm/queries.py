@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from functools import cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm._common import remainder
-from tidemark.llm import decontaminate, exact_dedup, filter_audit, html_extract, labelled_pages, language_id, mixing, near_dedup, piece_encoding, sharding, substring_dedup, token_count, toxicity, whitening
+from tidemark.llm import decontaminate, exact_dedup, filter_audit, html_extract, language_id, mixing, near_dedup, piece_encoding, sharding, substring_dedup, token_count, toxicity, whitening
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -56,8 +57,8 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @cache
 def page_weights() -> html_extract.Weights:
-    """The weights of the made pages, learned once in a process."""
-    return html_extract.learn(labelled_pages.labelled_pages())
+    """The weights that ``tidemark.llm.labelled_pages`` has learned from made pages."""
+    return html_extract.Weights.read(Path(__file__).with_name("page_weights.json"))
 
 
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
