@@ -20,8 +20,9 @@ of the window: at most ``max_edit`` of its length. White space and case are norm
 rate up to ``max_edit`` = 0.2, whether letters or words are edited; the tests measure it
 by rate and kind of edit. Items too short for the first tier have walks of shorter ones.
 
-A sample that many items share goes on to a longer stretch of its walk, and stays as it is
-where its item has no longer one: no sample is left out. Items that share half of their
+A sample that many items share goes on to a longer stretch of its walk. Where its item has
+no longer one, it stays as it is if the item needs it, having other samples for less than
+half of its walks: no item is left without. Items that share half of their
 samples or more (made from one template, or near copies) are one family and count as one
 there, so that their samples stay short; each sample leads to all members that have it.
 Equal items are one entry with several ids.
@@ -41,6 +42,7 @@ here, so that other columns can have any name. Texts of any length are read whol
 from __future__ import annotations
 
 import pickle
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -258,7 +260,7 @@ class Index:
         self.tables = []
         for plan, (_, at, below) in enumerate(self.walks.plans):
             walks = [self.moved(plan, 0, number, s, place, np.arange(len(s)), *self.walks.start(plan, s)) for number, (s, place) in enumerate(symbols) if 0 < len(s) < below]
-            levels = []
+            levels, total, have = [], {m[0]: len(m[5]) for m in walks}, Counter()
             for stretch in range(len(at)):
                 if not walks:
                     break
@@ -273,8 +275,10 @@ class Index:
                     if longer and len(longer[5]):
                         fits[np.flatnonzero(go)[np.isin(begin[go], longer[3])]] = True
                         further.append(longer)
-                    # What has no longer walk stays here, however many share it.
-                    stay.append((number, place[begin[~fits]], key[~fits], key[fits]))
+                    have[number] += int((~go).sum())
+                    # What has no longer walk stays here, however many share it, if too little else is left of the item.
+                    here = ~fits if 2 * (have[number] + fits.sum()) < total[number] else ~go
+                    stay.append((number, place[begin[here]], key[here], key[fits]))
                 levels.append(self.level(stay, keys))
                 walks = further
             self.tables.append(levels)
