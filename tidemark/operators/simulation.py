@@ -211,38 +211,60 @@ def margin_rate(notional: float) -> float:
     return next((r for below, r in MARGIN_TIERS if notional < below), LAST_TIER)
 
 
+#: Parameter sets of one grid search.
+MOST_SETS = 10_000
+
+
+def crossing_book(close: np.ndarray, fast: np.ndarray, slow: np.ndarray, capital: float) -> tuple[np.ndarray, int]:
+    """Equity after every bar, and trades, of a book that holds whole shares while fast is above slow.
+
+    Only the bars on which the means cross are walked through; between them cash and shares
+    stay as they are.
+    """
+    up = (fast[:-1] <= slow[:-1]) & (fast[1:] > slow[1:])
+    down = (fast[:-1] >= slow[:-1]) & (fast[1:] < slow[1:])
+    cash, shares = np.full(len(close), capital), np.zeros(len(close))
+    now, held, n = capital, 0, 0
+    for i in (np.flatnonzero(up | down) + 1).tolist():
+        if up[i - 1] and not held:
+            held = int(now / close[i])
+            now -= held * close[i]
+        elif down[i - 1] and held:
+            now += held * close[i]
+            held = 0
+        else:
+            continue
+        n += 1
+        cash[i:], shares[i:] = now, held
+    return cash + shares * close, n
+
+
 def grid_search(bars: DataFrame, params: DataFrame, capital: float) -> DataFrame:
-    """Every (symbol, fast, slow) as its own group: a dual-EMA long-only book in whole shares.
+    """Every (symbol, fast, slow): a dual-EMA long-only book in whole shares.
 
-    A set of parameters that fails keeps its row with the error. The rows of a symbol
-    are repeated once for each parameter set.
+    A symbol's bars go to one task once, and all sets of parameters run on them there. A set
+    that fails keeps its row with the error.
     """
+    sets = [(r.fast, r.slow) for r in params.select("fast", "slow").limit(MOST_SETS + 1).collect()]
+    if len(sets) > MOST_SETS:
+        raise ValueError(f"a grid has at most {MOST_SETS} sets of parameters")
+    cols = ["symbol", "fast", "slow", "total_return", "sharpe", "n_trades", "error"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("d")
-        symbol, fast, slow = pdf.symbol.iloc[0], int(pdf.fast.iloc[0]), int(pdf.slow.iloc[0])
-        if fast >= slow:
-            return pd.DataFrame([(symbol, fast, slow, None, None, None, "fast must be below slow")], columns=cols)
-        c = pdf.close
-        f, s = c.ewm(span=fast, adjust=False).mean().to_numpy(), c.ewm(span=slow, adjust=False).mean().to_numpy()
-        cash, shares, curve, n = capital, 0, [], 0
-        for i, px in enumerate(c.to_numpy()):
-            if i and f[i - 1] <= s[i - 1] and f[i] > s[i] and not shares:
-                shares = int(cash / px)
-                cash -= shares * px
-                n += 1
-            elif i and f[i - 1] >= s[i - 1] and f[i] < s[i] and shares:
-                cash += shares * px
-                shares = 0
-                n += 1
-            curve.append(cash + shares * px)
-        e = np.array(curve)
-        r = e[1:] / e[:-1] - 1
-        sharpe = float(r.mean() / r.std(ddof=1) * np.sqrt(252)) if len(r) > 1 and r.std(ddof=1) > 0 else None
-        return pd.DataFrame([(symbol, fast, slow, float(e[-1] / capital - 1), sharpe, n, None)], columns=cols)
-
-    cols = ["symbol", "fast", "slow", "total_return", "sharpe", "n_trades", "error"]
-    return bars.crossJoin(params).groupBy("symbol", "fast", "slow").applyInPandas(run, "symbol string, fast int, slow int, total_return double, sharpe double, n_trades long, error string")
+        symbol, close, out = pdf.symbol.iloc[0], pdf.close.to_numpy(), []
+        means = {n: pdf.close.ewm(span=n, adjust=False).mean().to_numpy() for n in {n for pair in sets for n in pair}}
+        for fast, slow in sets:
+            if fast >= slow:
+                out.append((symbol, fast, slow, None, None, None, "fast must be below slow"))
+                continue
+            e, n = crossing_book(close, means[fast], means[slow], capital)
+            r = e[1:] / e[:-1] - 1
+            sharpe = float(r.mean() / r.std(ddof=1) * np.sqrt(252)) if len(r) > 1 and r.std(ddof=1) > 0 else None
+            out.append((symbol, fast, slow, float(e[-1] / capital - 1), sharpe, n, None))
+        return pd.DataFrame(out, columns=cols)
+
+    return bars.groupBy("symbol").applyInPandas(run, "symbol string, fast int, slow int, total_return double, sharpe double, n_trades long, error string")
 
 
 def in_order(rows: DataFrame, by: str, order: list[str], schema, make) -> DataFrame:

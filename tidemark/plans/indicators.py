@@ -93,9 +93,12 @@ def ema(spark, sf):
     return with_emas(spark, sf).select("symbol", "d", r6(F.col("ema8"), "ema8"), r6(F.col("ema21"), "ema21"))
 
 
-@plan("ema_cross", f"""WITH RECURSIVE {N}, {ema_sql('e8', 8)}, {ema_sql('e21', 21)}, j AS (SELECT e8.symbol, e8.d, e8.e AS f, e21.e AS s FROM e8 JOIN e21 USING (symbol, i)),
-    l AS (SELECT *, lag(f) OVER (PARTITION BY symbol ORDER BY d) AS pf, lag(s) OVER (PARTITION BY symbol ORDER BY d) AS ps FROM j)
-    SELECT symbol, d, CASE WHEN pf <= ps AND f > s THEN 'buy' WHEN pf >= ps AND f < s THEN 'sell' ELSE 'hold' END AS action FROM l""")
+CROSS = f"""WITH RECURSIVE {N}, {ema_sql('e8', 8)}, {ema_sql('e21', 21)}, j AS (SELECT e8.symbol, e8.d, e8.e AS f, e21.e AS s FROM e8 JOIN e21 USING (symbol, i)),
+    l AS (SELECT *, lag(f) OVER (PARTITION BY symbol ORDER BY d) AS pf, lag(s) OVER (PARTITION BY symbol ORDER BY d) AS ps FROM j),
+    x AS (SELECT symbol, d, CASE WHEN pf <= ps AND f > s THEN 'buy' WHEN pf >= ps AND f < s THEN 'sell' ELSE 'hold' END AS action FROM l)"""
+
+
+@plan("ema_cross", f"{CROSS} SELECT * FROM x")
 def ema_cross(spark, sf):
     w = X.series()
     return with_emas(spark, sf).select("symbol", "d", X.crossover(F.col("ema8"), F.col("ema21"), w).alias("action"))

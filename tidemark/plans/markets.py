@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import windows as X
 from tidemark.operators import joins, memo, models, portfolio
-from tidemark.plans import indicators, market
+from tidemark.plans import indicators, market, reports
 from tidemark.plans.stream import folder
 from tidemark.sources import adapters as A
 from tidemark.sources.adapters import with_views
@@ -163,6 +163,32 @@ def json_ensemble(spark, sf):
     return joins.latest_per_key(x, ["symbol"], [F.desc("d")])
 
 
+@plan("workflow_records", f"""WITH RECURSIVE asked AS (SELECT unnest(['AF', 'NO', 'RF:USDT', 'XX/USDT']) AS symbol), t AS ({indicators.SQL['crypto_ensemble']}),
+    last AS (SELECT symbol, signal, score FROM t QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY d DESC) = 1), c AS ({market.SQL['onchain_combined']}), chain AS (SELECT asset, signal AS chain_signal, confidence AS chain_confidence FROM c QUALIFY row_number() OVER (PARTITION BY asset ORDER BY d DESC) = 1),
+    r AS ({reports.SQL['crypto_risk']}), risk AS (SELECT symbol, size FROM r QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY d DESC) = 1),
+    j AS (SELECT a.symbol, l.symbol IS NOT NULL AS data_available, coalesce(signal, 'neutral') AS technical, coalesce(round(abs(score) * 100), 0)::INT AS technical_confidence, coalesce(chain_signal, 'neutral') AS chain, coalesce(chain_confidence, 0) AS chain_confidence, coalesce(size, 0) AS most FROM asked a
+      LEFT JOIN last l ON l.symbol = split_part(split_part(a.symbol, ':', 1), '/', 1) LEFT JOIN chain ON asset = split_part(split_part(a.symbol, ':', 1), '/', 1) LEFT JOIN risk k ON k.symbol = split_part(split_part(a.symbol, ':', 1), '/', 1)),
+    v AS (SELECT *, (0.6 * technical_confidence * CASE technical WHEN 'bullish' THEN 1 WHEN 'bearish' THEN -1 ELSE 0 END + 0.4 * chain_confidence * CASE chain WHEN 'bullish' THEN 1 WHEN 'bearish' THEN -1 ELSE 0 END) / 100 AS vote FROM j)
+    SELECT symbol, data_available, technical, technical_confidence, chain, chain_confidence, CASE WHEN vote > 0.05 THEN 'buy' WHEN vote < -0.05 THEN 'sell' ELSE 'hold' END AS action, round(abs(vote) * most, 4) AS quantity FROM v""", "")
+def workflow_records(spark, sf):
+    """One decision for each symbol asked for, from its technical signal, its chain signal and its risk size; what is not there is neutral, 0 and no quantity."""
+    newest = lambda df, key, d: joins.latest_per_key(df, [key], [F.desc(d)]).withColumnRenamed(key, "base")
+    technical = newest(indicators.crypto(spark, sf), "symbol", "d").select("base", "signal", "score")
+    chain = newest(market.onchain(spark, sf), "asset", "d").select("base", F.col("signal").alias("chain_signal"), F.col("confidence").alias("chain_conf"))
+    risk = newest(reports.crypto_risk(spark, sf), "symbol", "d").select("base", "size")
+    asked = spark.createDataFrame([(s,) for s in ("AF", "NO", "RF:USDT", "XX/USDT")], "symbol string").withColumn("base", base_symbol(F.col("symbol")))
+    x = asked.join(technical, "base", "left").join(chain, "base", "left").join(risk, "base", "left")
+    zero = F.lit(0)
+    x = x.select(
+        "symbol", F.col("signal").isNotNull().alias("data_available"), F.coalesce("signal", F.lit("neutral")).alias("technical"), F.coalesce(F.round(F.abs("score") * 100), zero).cast("int").alias("technical_confidence"),
+        F.coalesce("chain_signal", F.lit("neutral")).alias("chain"), F.coalesce("chain_conf", zero).alias("chain_confidence"), F.coalesce("size", zero).alias("most"),
+    )
+    sign = lambda c: F.when(F.col(c) == "bullish", 1).when(F.col(c) == "bearish", -1).otherwise(0)
+    x = x.withColumn("vote", (0.6 * F.col("technical_confidence") * sign("technical") + 0.4 * F.col("chain_confidence") * sign("chain")) / 100)
+    action = F.when(F.col("vote") > 0.05, "buy").when(F.col("vote") < -0.05, "sell").otherwise("hold")
+    return x.select("symbol", "data_available", "technical", "technical_confidence", "chain", "chain_confidence", action.alias("action"), F.round(F.abs("vote") * F.col("most"), 4).alias("quantity"))
+
+
 # Models as plug-ins
 
 REGISTRY = models.Registry()

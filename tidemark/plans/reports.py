@@ -6,8 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import windows as X
-from tidemark.operators import costs, joins, metrics, signals
-from tidemark.plans import books, indicators, research
+from tidemark.operators import alerts, costs, joins, metrics, signals
+from tidemark.plans import books, indicators, research, stream
 from tidemark.plans.indicators import P, full
 from tidemark.sources import adapters as A
 from tidemark.sources.adapters import with_views
@@ -33,21 +33,23 @@ def r6(c, name):
 # Sentiment
 
 
-VERDICTS = """llm AS (SELECT source, CASE h % 3 WHEN 0 THEN 'bullish' WHEN 1 THEN 'bearish' ELSE 'neutral' END AS verdict, (h % 101)::DOUBLE AS conf FROM (SELECT DISTINCT source, ('0x' || substr(md5(source), 1, 6))::BIGINT AS h FROM documents WHERE source IS NOT NULL))"""
+VERDICTS = """llm AS (SELECT source, CASE WHEN x > 0.1 THEN 'bullish' WHEN x < -0.1 THEN 'bearish' ELSE 'neutral' END AS verdict, floor(round(abs(x) * 100, 6)) AS conf
+    FROM (SELECT source, avg(quality) - avg(toxic) - 0.4 AS x FROM documents JOIN labels USING (doc_id) WHERE source IS NOT NULL GROUP BY 1))"""
 
 
 def verdicts(spark, sf):
-    """Given verdicts (source, verdict, conf), as a second opinion stored beside the texts would be."""
-    h = F.conv(F.substring(F.md5("source"), 1, 6), 16, 10).cast("long")
-    v = F.when(h % 3 == 0, "bullish").when(h % 3 == 1, "bearish").otherwise("neutral")
-    return table(spark, sf, "documents").where("source is not null").select("source").distinct().select("source", v.alias("verdict"), (h % 101).cast("double").alias("conf"))
+    """Verdicts (source, verdict, conf) of the recorded labels: the share of good less that of toxic texts, against 0.4."""
+    d = table(spark, sf, "documents").where("source is not null").select("doc_id", "source").join(table(spark, sf, "labels"), "doc_id")
+    x = d.groupBy("source").agg((F.avg("quality") - F.avg("toxic") - 0.4).alias("x"))
+    v = F.when(F.col("x") > 0.1, "bullish").when(F.col("x") < -0.1, "bearish").otherwise("neutral")
+    return x.select("source", v.alias("verdict"), F.floor(F.round(F.abs("x") * 100, 6)).alias("conf"))
 
 
 @plan("sentiment_layers", f"""WITH {research.LEX}, {VERDICTS}, g AS (SELECT source, sum(CASE label WHEN 'bullish' THEN confidence WHEN 'bearish' THEN -confidence ELSE 0 END) / sum(confidence) AS score FROM l GROUP BY 1),
     c AS (SELECT source, score, 0.4 * CASE WHEN score > 0.1 THEN 1 WHEN score < -0.1 THEN -1 ELSE 0 END + 0.6 * CASE verdict WHEN 'bullish' THEN 1 WHEN 'bearish' THEN -1 ELSE 0 END AS x, 0.4 * abs(score) * 100 + 0.6 * conf AS k FROM g JOIN llm USING (source))
     SELECT source, CASE WHEN x > 0.15 THEN 'bullish' WHEN x < -0.15 THEN 'bearish' ELSE 'neutral' END AS signal, floor(round(k, 6))::BIGINT AS confidence FROM c""")
 def sentiment_layers(spark, sf):
-    """The lexicon's layer and a given verdict as one signal, weighted 0.4 and 0.6."""
+    """The lexicon's layer and the verdict of the labels as one signal, weighted 0.4 and 0.6."""
     s = signals.lexicon_sentiment(table(spark, sf, "documents").select("doc_id", "source", "text"), "text", research.UP, research.DOWN)
     g = signals.aggregate_sentiment(s, ["source"]).select("source", "score", "label").join(verdicts(spark, sf), "source")
     sign = lambda c: F.when(F.col(c) == "bullish", 1).when(F.col(c) == "bearish", -1).otherwise(0)
@@ -254,35 +256,35 @@ def symbol_normalise(spark, sf):
     return table(spark, sf, "part").select("p_name", F.upper(F.split_part(plain, F.lit(" "), F.lit(1))).alias("base")).distinct()
 
 
-@plan("order_lifecycle", """WITH x AS (SELECT o_custkey, o_orderkey, o_orderdate, o_orderstatus, o_totalprice FROM orders)
-    SELECT o_custkey, count(*) AS n_orders, count(*) FILTER (o_orderstatus = 'O') AS n_active, count(*) FILTER (o_orderstatus = 'F') AS n_done, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS last_order, round(sum(o_totalprice) FILTER (o_orderstatus = 'O'), 2) AS open_value FROM x GROUP BY 1""")
+@plan("order_lifecycle", f"""{stream.ORDER_STATES} SELECT account, status, count(*) AS n_orders, sum(filled) AS filled, max(opened) AS last_order, sum(n_changes)::BIGINT AS n_changes FROM orders_now GROUP BY 1, 2""", "order_log")
 def order_lifecycle(spark, sf):
-    """Active and finished orders of each account, its newest order and what is open."""
-    open_, value = F.col("o_orderstatus") == "O", F.col("o_totalprice")
-    g = table(spark, sf, "orders").groupBy("o_custkey")
-    return g.agg(F.count(F.lit(1)).alias("n_orders"), F.sum(open_.cast("long")).alias("n_active"), F.sum((F.col("o_orderstatus") == "F").cast("long")).alias("n_done"), F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("last_order"), F.round(F.sum(F.when(open_, value)), 2).alias("open_value"))
+    """How the recorded orders of each account stand: their number, what was filled and the newest, by status."""
+    g = stream.order_states_now(spark, sf).groupBy("account", "status")
+    return g.agg(F.count(F.lit(1)).alias("n_orders"), F.sum("filled").alias("filled"), F.max("opened").alias("last_order"), F.sum("n_changes").alias("n_changes"))
 
 
-@plan("signal_targets", """WITH t AS (SELECT symbol, ts, trade_id, CASE WHEN price > 100 THEN 'buy' WHEN price > 50 THEN 'hold' WHEN price > 20 THEN 'sell' ELSE 'short' END AS action FROM trades),
-    a AS (SELECT *, count(*) FILTER (action <> 'hold') OVER (PARTITION BY symbol ORDER BY ts, trade_id) AS g FROM t),
-    v AS (SELECT symbol, ts, trade_id, action, coalesce(CASE first_value(action) OVER (PARTITION BY symbol, g ORDER BY ts, trade_id) WHEN 'buy' THEN 1 WHEN 'sell' THEN 0 WHEN 'short' THEN -1 END, 0) AS target FROM a)
-    SELECT symbol, trade_id, action, target, target - coalesce(lag(target) OVER (PARTITION BY symbol ORDER BY ts, trade_id), 0) AS order_qty FROM v""", "trades")
+@plan("signal_targets", f"""{indicators.CROSS}, a AS (SELECT *, count(*) FILTER (action <> 'hold') OVER (PARTITION BY symbol ORDER BY d) AS g FROM x),
+    v AS (SELECT symbol, d, action, coalesce(CASE first_value(action) OVER (PARTITION BY symbol, g ORDER BY d) WHEN 'buy' THEN 1 WHEN 'sell' THEN 0 END, 0) AS target FROM a)
+    SELECT symbol, d, action, target, target - coalesce(lag(target) OVER (PARTITION BY symbol ORDER BY d), 0) AS order_qty FROM v""", "bars")
 def signal_targets(spark, sf):
-    """Target position after each signal (a hold keeps it) and the order that leads from the last target to it."""
-    w = W.partitionBy("symbol").orderBy("ts", "trade_id")
-    p = F.col("price")
-    t = A.trades(spark, sf).select("symbol", "ts", "trade_id", F.when(p > 100, "buy").when(p > 50, "hold").when(p > 20, "sell").otherwise("short").alias("action"))
-    said = F.when(F.col("action") == "buy", 1).when(F.col("action") == "sell", 0).when(F.col("action") == "short", -1)
-    t = t.withColumn("target", F.coalesce(F.last(said, ignorenulls=True).over(w), F.lit(0)))
-    return t.select("symbol", "trade_id", "action", "target", (F.col("target") - F.coalesce(F.lag("target").over(w), F.lit(0))).alias("order_qty"))
+    """Target position after each crossing (a hold keeps it) and the order that leads from the last target to it."""
+    w = W.partitionBy("symbol").orderBy("d")
+    said = F.when(F.col("action") == "buy", 1).when(F.col("action") == "sell", 0)
+    t = indicators.ema_cross(spark, sf).withColumn("target", F.coalesce(F.last(said, ignorenulls=True).over(w), F.lit(0)))
+    return t.select("symbol", "d", "action", "target", (F.col("target") - F.coalesce(F.lag("target").over(w), F.lit(0))).alias("order_qty"))
 
 
-@plan("alert_list", """SELECT trade_id, symbol, CASE WHEN price > 250 THEN 'critical' WHEN price > 150 THEN 'warning' ELSE 'info' END AS severity, user_id % 3 = 0 AS acknowledged, count(*) FILTER (user_id % 3 <> 0) OVER (PARTITION BY symbol) AS unacknowledged FROM trades WHERE price > 100""", "trades")
+@plan("alert_list", """WITH l AS (SELECT user_id, arg_max(symbol, (ts, trade_id)) AS action, max(ts) AS log_ts FROM trades WHERE symbol IN ('error', 'signup') GROUP BY 1),
+    a AS (SELECT trade_id, symbol, CASE WHEN price > 250 THEN 'critical' WHEN price > 150 THEN 'warning' ELSE 'info' END AS severity, coalesce(action = 'error' AND log_ts >= ts, false) AS acknowledged FROM trades LEFT JOIN l USING (user_id) WHERE price > 100)
+    SELECT *, count(*) FILTER (NOT acknowledged) OVER (PARTITION BY symbol) AS unacknowledged FROM a""", "trades")
 def alert_list(spark, sf):
-    """Alerts by severity with whether they were seen, and how many of the symbol's were not."""
-    p, seen = F.col("price"), F.col("user_id") % 3 == 0
+    """Alerts by severity with what the log of acknowledgements says of them, and how many of the symbol's are open."""
+    p, t = F.col("price"), A.trades(spark, sf)
+    action = F.when(F.col("symbol") == "error", "ack").when(F.col("symbol") == "signup", "reopen")
+    log = t.select("user_id", F.col("ts").alias("log_ts"), F.col("trade_id").alias("log_seq"), action.alias("action")).where("action is not null")
     severity = F.when(p > 250, "critical").when(p > 150, "warning").otherwise("info")
-    return A.trades(spark, sf).where("price > 100").select("trade_id", "symbol", severity.alias("severity"), seen.alias("acknowledged"), F.sum((~seen).cast("long")).over(W.partitionBy("symbol")).alias("unacknowledged"))
+    x = alerts.acknowledged(t.where("price > 100").withColumn("severity", severity), log, ["user_id"])
+    return x.select("trade_id", "symbol", "severity", "acknowledged", F.count_if(~F.col("acknowledged")).over(W.partitionBy("symbol")).alias("unacknowledged"))
 
 
 @plan("position_lines", """WITH g AS (SELECT symbol, round(sum(amount), 2) AS v, round(sum(price * amount) / nullif(sum(amount), 0), 2) AS a FROM trades WHERE side = 'buy' GROUP BY 1)
@@ -293,16 +295,16 @@ def position_lines(spark, sf):
     return g.select("symbol", F.format_string("%s: %.2f @ %.2f", "symbol", "v", "a").alias("line"))
 
 
-@plan("market_fallback", """WITH f AS (SELECT ticker, arg_max(bvps, report_period) AS facts FROM fundamentals WHERE filing_date <= DATE '1996-06-30' GROUP BY 1), m AS (SELECT ticker, arg_max(gross_margin, report_period) AS metric FROM fundamentals GROUP BY 1)
-    SELECT s_suppkey AS ticker, round(coalesce(facts, metric * 1000), 6) AS market_cap, CASE WHEN facts IS NOT NULL THEN 'facts' WHEN metric IS NOT NULL THEN 'metrics' ELSE 'none' END AS origin FROM supplier LEFT JOIN f ON f.ticker = s_suppkey LEFT JOIN m ON m.ticker = s_suppkey""", "fundamentals")
+@plan("market_fallback", """WITH k AS (SELECT ticker, report_period, bvps FROM fundamentals WHERE filing_date <= DATE '1996-06-30'), f AS (SELECT ticker, bvps AS facts FROM k WHERE report_period = DATE '1996-01-01'), m AS (SELECT ticker, arg_max(bvps, report_period) AS metric FROM k GROUP BY 1)
+    SELECT s_suppkey AS ticker, round(coalesce(facts, metric), 6) AS book_value, CASE WHEN facts IS NOT NULL THEN 'facts' WHEN metric IS NOT NULL THEN 'metrics' ELSE 'none' END AS origin FROM supplier LEFT JOIN f ON f.ticker = s_suppkey LEFT JOIN m ON m.ticker = s_suppkey""", "fundamentals")
 def market_fallback(spark, sf):
-    """A value with a chain of fallbacks: the facts of the day, else the newest metric, else nothing."""
-    f = A.fundamentals(spark, sf)
-    facts = f.where("filing_date <= date'1996-06-30'").groupBy("ticker").agg(F.max_by("bvps", "report_period").alias("facts"))
-    metric = f.groupBy("ticker").agg(F.max_by("gross_margin", "report_period").alias("metric"))
+    """A value with a chain of fallbacks, all as known on a date: the facts of its last closed quarter, else the newest metric, else nothing."""
+    known = A.fundamentals(spark, sf).where("filing_date <= date'1996-06-30'")
+    facts = known.where("report_period = date'1996-01-01'").select("ticker", F.col("bvps").alias("facts"))
+    metric = known.groupBy("ticker").agg(F.max_by("bvps", "report_period").alias("metric"))
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("ticker")).join(facts, "ticker", "left").join(metric, "ticker", "left")
     origin = F.when(F.col("facts").isNotNull(), "facts").when(F.col("metric").isNotNull(), "metrics").otherwise("none")
-    return s.select("ticker", F.round(F.coalesce("facts", F.col("metric") * 1000), 6).alias("market_cap"), origin.alias("origin"))
+    return s.select("ticker", r6(F.coalesce("facts", "metric"), "book_value"), origin.alias("origin"))
 
 
 @plan("filings_range", """SELECT ticker, filing_id, filing_date FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY filing_date DESC, filing_id) AS n FROM filings WHERE filing_date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31') WHERE n <= 10""", "filings")
@@ -323,11 +325,9 @@ def unrealised(spark, sf):
     return p.groupBy("symbol").agg(F.round(F.sum(F.when(F.col("side") == "buy", gain).otherwise(-gain)), 4).alias("pnl"), F.round(F.sum(F.col("q") * F.col("entry") / 5), 4).alias("margin"))
 
 
-@plan("ema_sized", f"""WITH {P}, m AS (SELECT symbol, d, close, {full('avg(close)', 20, 'close')} AS m FROM p)
-    SELECT symbol, d, trunc(100000 * 0.95 / close)::BIGINT AS shares, round(floor(round(100000 * 0.95 / close / 0.001, 6)) * 0.001, 8) AS lots FROM m WHERE close > m""", "bars")
+@plan("ema_sized", f"""{indicators.CROSS} SELECT symbol, d, trunc(100000 * 0.95 / close)::BIGINT AS shares, round(floor(round(100000 * 0.95 / close / 0.001, 6)) * 0.001, 8) AS lots FROM x JOIN bars USING (symbol, d) WHERE action = 'buy'""", "bars")
 def ema_sized(spark, sf):
-    """Sizes where the price is above its mean: whole shares, and multiples of the smallest lot for crypto assets."""
-    w = X.series()
+    """Sizes of the buys at a crossing: whole shares, and multiples of the smallest lot for crypto assets."""
     c = F.col("close")
-    x = A.bars_1d(spark, sf).withColumn("m", X.roll(F.avg, c, w, 20)).where("close > m")
+    x = indicators.ema_cross(spark, sf).where("action = 'buy'").join(A.bars_1d(spark, sf).select("symbol", "d", "close"), ["symbol", "d"])
     return x.select("symbol", "d", (100_000 * 0.95 / c).cast("long").alias("shares"), F.round(F.floor(F.round(100_000 * 0.95 / c / 0.001, 6)) * 0.001, 8).alias("lots"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import windows as X
 from tidemark.operators import costs
-from tidemark.plans import books
+from tidemark.plans import books, stream
 from tidemark.plans.stream import folder
 from tidemark.sources import adapters as A
 from tidemark.sources.adapters import with_views
@@ -123,17 +123,40 @@ def synthetic_bars(spark, sf):
     return g.select("symbol", "d", *[r6(F.col(c), c) for c in ("open", "high", "low", "close")])
 
 
-@plan("synthetic_news", "SELECT d, 'SYN' AS symbol, 'Report ' || d AS title FROM (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i FROM bench) WHERE i % 3 = 0", "bench")
-def synthetic_news(spark, sf):
-    """A headline on every third trading day; trading days are numbered by month, so that no window holds all."""
-    b = A.bench_1d(spark, sf).select("d", F.trunc("d", "month").alias("m"))
+def numbered_days(bars: DataFrame) -> DataFrame:
+    """Days with their number ``i`` from 0; they are numbered by month, so that no window holds all."""
+    b = bars.select("d", F.trunc("d", "month").alias("m"))
     per = b.groupBy("m").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(W.orderBy("m").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     i = F.col("before") + F.row_number().over(W.partitionBy("m").orderBy("d")) - 1
-    x = b.join(per.select("m", before.alias("before")), "m").withColumn("i", i).where("i % 3 = 0")
+    return b.join(per.select("m", before.alias("before")), "m").withColumn("i", i)
+
+
+@plan("synthetic_news", "SELECT d, 'SYN' AS symbol, 'Report ' || d AS title FROM (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i FROM bench) WHERE i % 3 = 0", "bench")
+def synthetic_news(spark, sf):
+    """A headline on every third trading day."""
+    x = numbered_days(A.bench_1d(spark, sf)).where("i % 3 = 0")
     return x.select("d", F.lit("SYN").alias("symbol"), F.concat(F.lit("Report "), F.col("d").cast("string")).alias("title"))
 
 
+@plan("synthetic_insiders", """WITH b AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i FROM bench), x AS (SELECT d, (('0x' || substr(md5('u|insider|' || d), 1, 8))::BIGINT + 1) / 4294967297.0::DOUBLE AS u, i FROM b WHERE i % 15 = 0)
+    SELECT d AS filing_date, d - 2 AS transaction_date, CASE WHEN u > 0.5 THEN 'A' ELSE 'D' END AS code, (floor(u * 10000) + 100)::BIGINT AS shares FROM x""", "bench")
+def synthetic_insiders(spark, sf):
+    """An insider trade on every fifteenth trading day, filed two days later: acquired or disposed, and how many shares, by hash of the day."""
+    x = numbered_days(A.bench_1d(spark, sf)).where("i % 15 = 0").withColumn("u", uniform(F.lit("u"), F.lit("insider"), F.col("d")))
+    return x.select(F.col("d").alias("filing_date"), F.date_sub("d", 2).alias("transaction_date"), F.when(F.col("u") > 0.5, "A").otherwise("D").alias("code"), (F.floor(F.col("u") * 10_000) + 100).cast("long").alias("shares"))
+
+
+@plan("synthetic_fundamentals", """WITH q AS (SELECT DISTINCT date_trunc('quarter', d)::DATE AS report_period FROM bench), x AS (SELECT report_period, (('0x' || substr(md5('u|margin|' || report_period), 1, 8))::BIGINT + 1) / 4294967297.0::DOUBLE AS u, row_number() OVER (ORDER BY report_period) - 1 AS i FROM q)
+    SELECT report_period, report_period + 135 AS filing_date, round(0.3 + 0.2 * u, 6) AS gross_margin, round(8 * pow(1.02, i), 6) AS bvps FROM x""", "bench")
+def synthetic_fundamentals(spark, sf):
+    """Quarterly figures for every quarter of the benchmark, known 45 days after it ends: a margin by hash and a growing book value."""
+    q = A.bench_1d(spark, sf).select(F.trunc("d", "quarter").alias("report_period")).distinct()
+    u = uniform(F.lit("u"), F.lit("margin"), F.col("report_period"))
+    x = q.withColumn("i", F.row_number().over(W.orderBy("report_period")) - 1)
+    return x.select("report_period", F.date_add("report_period", 135).alias("filing_date"), r6(0.3 + 0.2 * u, "gross_margin"), r6(8 * F.pow(F.lit(1.02), F.col("i")), "bvps"))
+
+
 # Sinks
 
 
@@ -165,21 +188,22 @@ def mid_prices(spark, sf):
     return A.trades(spark, sf).groupBy("symbol", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("h")).agg(r6((bid + ask) / 2, "mid"), r6(ask - bid, "spread"))
 
 
-@plan("open_after_cancel", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+@plan("open_after_cancel", f"{stream.ORDER_STATES} SELECT order_id, account, opened, side, qty - filled AS remaining FROM orders_now WHERE status IN ('submitting', 'not_traded', 'part_traded')", "order_log")
 def open_after_cancel(spark, sf):
-    """Orders that are neither finished nor cancelled (a returned line cancels its order)."""
-    cancelled = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, sf, "orders").where("o_orderstatus <> 'F'").select("o_orderkey", "o_custkey").join(cancelled, "o_orderkey", "left_anti")
+    """Recorded orders that are still active after all fills, cancellations and expiries, and what remains of them."""
+    o = stream.order_states_now(spark, sf).where("status in ('submitting', 'not_traded', 'part_traded')")
+    return o.select("order_id", "account", "opened", "side", (F.col("qty") - F.col("filled")).alias("remaining"))
 
 
-@plan("portfolio_value", """WITH p AS (SELECT symbol, sum(amount) FILTER (side = 'buy') AS q, sum(price * amount) FILTER (side = 'buy') / nullif(sum(amount) FILTER (side = 'buy'), 0) AS entry, arg_max(price, (ts, trade_id)) FILTER (ts >= TIMESTAMP '2024-01-30' AND symbol <> 'purchase') AS mark FROM trades GROUP BY 1)
+@plan("portfolio_value", """WITH now AS (SELECT max(ts) AS t FROM trades), p AS (SELECT symbol, sum(amount) FILTER (side = 'buy') AS q, sum(price * amount) FILTER (side = 'buy') / nullif(sum(amount) FILTER (side = 'buy'), 0) AS entry, arg_max(price, (ts, trade_id)) FILTER (ts >= t - INTERVAL 20 MINUTE) AS mark FROM trades, now GROUP BY 1)
     SELECT round(1000000 + sum(q * coalesce(mark, entry)), 2) AS value, count(*) FILTER (mark IS NULL) AS n_at_entry FROM p""", "trades")
 def portfolio_value(spark, sf):
-    """Cash and positions at the last mark, or at what they cost where there is no fresh one."""
+    """Cash and positions at their last price of the last 20 minutes, or at what they cost where there is none so fresh."""
+    t = A.trades(spark, sf)
+    now = t.agg(F.max("ts").alias("now"))
     buy = F.col("side") == "buy"
-    fresh = (F.col("ts") >= F.expr("timestamp'2024-01-30'")) & (F.col("symbol") != "purchase")
-    k = F.when(fresh, F.struct("ts", "trade_id"))
-    p = A.trades(spark, sf).groupBy("symbol").agg(F.sum(F.when(buy, F.col("amount"))).alias("q"), F.sum(F.when(buy, F.col("price") * F.col("amount"))).alias("v"), F.max_by("price", k).alias("mark"))
+    k = F.when(F.col("ts") >= F.col("now") - F.expr("interval 20 minutes"), F.struct("ts", "trade_id"))
+    p = t.join(now, F.col("ts") <= F.col("now")).groupBy("symbol").agg(F.sum(F.when(buy, F.col("amount"))).alias("q"), F.sum(F.when(buy, F.col("price") * F.col("amount"))).alias("v"), F.max_by(F.when(k.isNotNull(), F.col("price")), k).alias("mark"))
     entry = F.try_divide("v", "q")
     return p.agg(F.round(1_000_000 + F.sum(F.col("q") * F.coalesce("mark", entry)), 2).alias("value"), F.sum(F.col("mark").isNull().cast("long")).alias("n_at_entry"))
 
