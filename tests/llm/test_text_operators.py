@@ -344,6 +344,35 @@ def test_cuts_are_weighted_medians(spark):
         left += len(r[1]) + 1
 
 
+def test_every_node_is_halved_along_one_dimension(spark):
+    """The whole tree: at each node the two sides have equal bytes and do not overlap in some dimension."""
+    rng = np.random.default_rng(12)
+    rows = [(i, "x" * int(rng.integers(1, 900)) + f" {i}", "lang" + str(int(rng.integers(40))), "source" + str(int(rng.integers(400))), 1) for i in range(6000)]
+    got = {r.doc_id: r.shard for r in sharding.kd_shards(spark.createDataFrame(rows, SCHEMA), 8).collect()}
+    at = {d: {r[0]: v(r) for r in rows} for d, v in {"length": lambda r: len(r[1]), "source": lambda r: zlib.crc32(r[3].encode()), "lang": lambda r: zlib.crc32(r[2].encode())}.items()}
+    weight = {r[0]: len(r[1]) + 1 for r in rows}
+    used = set()
+    for width in (4, 2, 1):
+        for first in range(0, 8, 2 * width):
+            left = [i for i, s in got.items() if first <= s < first + width]
+            right = [i for i, s in got.items() if first + width <= s < first + 2 * width]
+            a, b = sum(weight[i] for i in left), sum(weight[i] for i in right)
+            assert abs(a - b) <= 0.02 * (a + b)
+            parted = [d for d, v in at.items() if max(v[i] for i in left) <= min(v[i] for i in right)]
+            assert parted, (width, first)
+            used |= set(parted)
+    assert len(used) > 1
+
+
+@pytest.mark.parametrize(("target", "leaves"), [(10**9, 1), (60_000, 8), (40_000, 8), (30_000, 16)])
+def test_leaves_reach_the_target_bytes(spark, target, leaves):
+    rows = [(i, "t" * (i % 200) + str(i), "en", f"s{i % 7}", 1) for i in range(2500)]
+    got = sharding.kd_shards(spark.createDataFrame(rows, SCHEMA), target_bytes=target).groupBy("shard").agg(F.sum("size").alias("w")).collect()
+    assert len(got) == leaves and max(r.w for r in got) <= 1.02 * target
+    with pytest.raises(ValueError, match="power of two"):
+        sharding.kd_shards(spark.createDataFrame(rows, SCHEMA), 7)
+
+
 def test_shards_of_edge_rows(edge, empty):
     assert sharding.kd_shards(edge, 2).count() == len(EDGE)
     assert sharding.kd_shards(empty, 8).count() == 0

@@ -3,7 +3,8 @@
 Equal texts form an atom, placed by the metadata of its first row and weighing the
 bytes of all its rows. A node of the tree is split along its widest dimension (by the
 weighted standard deviation, in parts of that of the whole table, so that dimensions of
-different units compare) at the weighted median, until there are as many leaves as shards. Medians are found by
+different units compare) at the weighted median, until leaves reach the target bytes; as all cuts
+are medians, that is a number of levels, and a number of shards says the same. Medians are found by
 distributed histograms: every pass adds up weights in ``BINS`` bins, shared by all nodes of
 a level, and the driver sees those sums only; the bin with the median is refined until it
 is light or a single point, then ties are cut along a hash of the text. No node is
@@ -136,14 +137,25 @@ def medians(light: DataFrame, targets: dict[int, tuple[str, float, float]]) -> l
     return list(cuts.values())
 
 
-def kd_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+def shards_for(total: float, target_bytes: int) -> int:
+    """The least power of two of leaves that hold ``target_bytes`` at most when all are equal."""
+    if target_bytes < 1:
+        raise ValueError("the target is a number of bytes")
+    return 1 << max(0, math.ceil(total / target_bytes) - 1).bit_length()
+
+
+def kd_shards(docs: DataFrame, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", target_bytes: int | None = None) -> DataFrame:
     """The shard and the slot of every document.
 
     Returns doc_id, size (UTF-8 bytes plus 1), text_crc32, shard and slot (0, 1, 2, ...
-    within each shard). ``shards`` must be a power of two.
+    within each shard). Leaves are split until they hold ``target_bytes`` at most, or until
+    there are ``shards`` of them, a power of two (8 if neither is given).
     """
-    if shards < 1 or shards & (shards - 1):
-        raise ValueError("the number of shards must be a power of two")
+    if shards is not None and target_bytes is not None:
+        raise ValueError("give a number of shards or a target in bytes")
+    shards = 8 if shards is None and target_bytes is None else shards
+    if shards is not None and (shards < 1 or shards & (shards - 1)):
+        raise ValueError("the number of shards must be a power of two; a target in bytes can be any number")
     size = F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) + 1
     atom = F.when(F.col(text_col).isNull(), F.lit("null").cast("binary")).otherwise(F.unhex(F.sha2(F.col(text_col), 256)))
     crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
@@ -152,6 +164,7 @@ def kd_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col
     rows = scratch.write(rows)
     atoms = scratch.write(atoms_of(rows, source_col, lang_col))
     total = atoms.agg(F.sum("weight")).first()[0] or 0
+    shards = shards or shards_for(total, target_bytes)
     heavy = {}
     sizes = {1: 0.0}
     if total:
