@@ -129,6 +129,35 @@ def test_paper_orders_fill_at_once_wait_or_are_rejected(spark):
     assert match(spark, [("bar", "buy", 600.0, 0.0), ("market", "buy", 1.0, 2.0), ("market", "sell", 1.0, 2.0)]) == [(1, "rejected", 600.0, 0.0), (2, "rejected", 600.0, 0.0)]
 
 
+def test_waiting_orders_fill_as_a_walk_over_all_of_them_would(spark):
+    import random
+
+    rng = random.Random(5)
+    orders = [(rng.choice(["bar", "limit", "limit", "market"]), rng.choice(["buy", "sell"]), float(rng.randrange(80, 120)), float(rng.randrange(1, 4))) for _ in range(400)]
+    cash, held, last, queue, want = 2000.0, 0.0, None, [], []
+
+    def fill(seq, side, price, qty):
+        nonlocal cash, held
+        n = (qty if price * qty <= cash else 0.0) if side == "buy" else min(qty, held)
+        cash, held = (cash - price * n, held + n) if side == "buy" else (cash + price * n, held - n)
+        want.append((seq, "filled" if n else "rejected", price, n))
+
+    crossed = lambda side, price: last is not None and (last <= price if side == "buy" else last >= price)
+    for seq, (kind, side, price, qty) in enumerate(orders):
+        if kind == "bar":
+            last = price
+            now = [q for q in queue if crossed(q[1], q[2])]
+            queue = [q for q in queue if q not in now]
+            for q in now:
+                fill(*q)
+        elif kind == "limit" and not crossed(side, price):
+            queue.append((seq, side, price, qty))
+        else:
+            fill(seq, side, price if kind == "limit" or not last else last, qty)
+    want += [(q[0], "waiting", q[2], 0.0) for q in queue]
+    assert match(spark, orders, 2000.0) == want
+
+
 def test_folds_carry_their_state_over_batches(spark):
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     t = dt.datetime(2024, 1, 1)

@@ -9,6 +9,8 @@ sorted rows only. Everything before the fold (signals, weights, marks) is set-ba
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -317,12 +319,17 @@ def cooldown(rows: DataFrame, by: str, ts: str, seconds: int) -> DataFrame:
 
 
 class Matching:
-    """Paper account of one symbol: cash, shares, the last price and the limits that wait."""
+    """Paper account of one symbol: cash, shares, the last price and the limits that wait.
+
+    Waiting buys are a heap from the highest limit, sells from the lowest, so that a bar
+    looks only at the orders that it fills; these fill in the order of their arrival.
+    """
 
     columns = ["symbol", "seq", "ts", "status", "price", "filled", "cash", "held"]
 
     def __init__(self, cash: float) -> None:
-        self.cash, self.held, self.last, self.queue = cash, 0.0, None, []
+        self.cash, self.held, self.last, self.arrived = cash, 0.0, None, 0
+        self.waiting: dict[bool, list[tuple]] = {True: [], False: []}
 
     def row(self, o, ts, price: float, status: str | None = None) -> tuple:
         """Fill the order at the price (or give it the status without a fill)."""
@@ -345,18 +352,23 @@ class Matching:
         for o in part.itertuples(index=False):
             if o.kind == "bar":
                 self.last = o.price
-                now = [q for q in self.queue if self.crossed(q)]
-                self.queue = [q for q in self.queue if not self.crossed(q)]
-                out += [self.row(q, o.ts, q.price) for q in now]
+                now = []
+                for heap in self.waiting.values():
+                    while heap and self.crossed(heap[0][2]):
+                        now.append(heapq.heappop(heap)[1:])
+                out += [self.row(q, o.ts, q.price) for _, q in sorted(now, key=lambda x: x[0])]
             elif o.kind == "limit" and not self.crossed(o):
-                self.queue.append(o)
+                buys = o.side == "buy"
+                heapq.heappush(self.waiting[buys], (-o.price if buys else o.price, self.arrived, o))
+                self.arrived += 1
             else:  # at once: a limit that the last price satisfies, or a market order
                 price = o.price if o.kind == "limit" or not self.last or self.last <= 0 else self.last
                 out.append(self.row(o, o.ts, price))
         return pd.DataFrame(out, columns=self.columns)
 
     def end(self, _: str) -> pd.DataFrame:
-        return pd.DataFrame([self.row(q, q.ts, q.price, "waiting") for q in self.queue], columns=self.columns)
+        left = sorted((x[1:] for heap in self.waiting.values() for x in heap), key=lambda x: x[0])
+        return pd.DataFrame([self.row(q, q.ts, q.price, "waiting") for _, q in left], columns=self.columns)
 
 
 def paper_match(orders: DataFrame, cash: float) -> DataFrame:
