@@ -141,24 +141,85 @@ class Book:
         return self.cash + self.margin + self.long * price - self.short * price
 
 
-def margin_book(rows: DataFrame, capital: float, margin_ratio: float = 0.5) -> DataFrame:
-    """Daily books of (ticker, d, price, action, qty) with actions buy, sell, short, cover, hold."""
+class DailyBook:
+    """A margin book fed day by day."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        book, out = Book(capital, margin_ratio), []
-        act = {"buy": book.buy, "sell": book.sell, "short": book.open_short, "cover": book.cover}
-        for r in pdf.sort_values("d").itertuples():
-            filled = act[r.action](r.qty, r.price) if r.action in act else 0.0
-            out.append((r.ticker, r.d, filled, book.cash, book.margin, book.long, book.short, book.gain, book.value(r.price)))
-        return pd.DataFrame(out, columns=["ticker", "d", "filled", "cash", "margin", "long", "short", "realised", "equity"])
+    columns = ["ticker", "d", "filled", "cash", "margin", "long", "short", "realised", "equity"]
 
-    return rows.groupBy("ticker").applyInPandas(run, "ticker string, d date, filled double, cash double, margin double, long double, short double, realised double, equity double")
+    def __init__(self, capital: float, margin_ratio: float) -> None:
+        self.book = Book(capital, margin_ratio)
+        self.act = {"buy": self.book.buy, "sell": self.book.sell, "short": self.book.open_short, "cover": self.book.cover}
+
+    def step(self, _: str, part: pd.DataFrame) -> pd.DataFrame:
+        b, out = self.book, []
+        for r in part.itertuples(index=False):
+            filled = self.act[r.action](r.qty, r.price) if r.action in self.act else 0.0
+            out.append((r.ticker, r.d, filled, b.cash, b.margin, b.long, b.short, b.gain, b.value(r.price)))
+        return pd.DataFrame(out, columns=self.columns)
+
+    def end(self, _: str) -> pd.DataFrame:
+        return pd.DataFrame([], columns=self.columns)
+
+
+def margin_book(rows: DataFrame, capital: float, margin_ratio: float = 0.5) -> DataFrame:
+    """Daily books of (ticker, d, price, action, qty) with actions buy, sell, short, cover, hold."""
+    schema = "ticker string, d date, filled double, cash double, margin double, long double, short double, realised double, equity double"
+    return in_order(rows, "ticker", ["d"], schema, lambda: DailyBook(capital, margin_ratio))
 
 
 #: Of the free cash, the part that goes into the margin of a position, and again into each addition to it.
 MARGIN_PART = 0.1
 
 
+class Ledger:
+    """Cash and the isolated-margin position of one symbol: (side, size, entry, margin, liquidation price)."""
+
+    columns = ["symbol", "ts", "event", "cash", "equity"]
+
+    def __init__(self, capital: float, leverage: float, rate_of, fee: float) -> None:
+        self.cash, self.leverage, self.rate_of, self.fee, self.pos = capital, leverage, rate_of, fee, None
+
+    def opened(self, side: int, size: float, entry: float, margin: float) -> tuple:
+        return side, size, entry, margin, entry * (1 - side * (1 / self.leverage - self.rate_of(size * entry)))
+
+    def held(self, r) -> str:
+        """What a mark does to the open position."""
+        side, size, entry, margin, liq = self.pos
+        if (r.price <= liq) if side > 0 else (r.price >= liq):
+            self.pos = None
+            return "liquidated"
+        self.cash -= side * size * r.price * r.rate
+        if r.side != side:
+            self.cash += margin + side * size * (r.price - entry) - size * r.price * self.fee
+            self.pos = None
+            return "closed"
+        if not r.adds:
+            return "hold"
+        put = max(self.cash, 0.0) * MARGIN_PART
+        more = put * self.leverage / r.price
+        if not put or put + more * r.price * self.fee > self.cash:
+            return "rejected"
+        self.cash -= put + more * r.price * self.fee
+        self.pos = self.opened(side, size + more, (entry * size + r.price * more) / (size + more), margin + put)
+        return "added"
+
+    def step(self, _: str, part: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for r in part.itertuples(index=False):
+            event = self.held(r) if self.pos else "hold"
+            if self.pos is None and r.side != 0 and event != "liquidated" and self.cash > 0:
+                put = self.cash * MARGIN_PART
+                self.cash -= put + put * self.leverage * self.fee
+                self.pos = self.opened(r.side, put * self.leverage / r.price, r.price, put)
+                event = "opened" if event == "hold" else "reversed"
+            value = self.pos[3] + self.pos[0] * self.pos[1] * (r.price - self.pos[2]) if self.pos else 0.0
+            out.append((r.symbol, r.ts, event, self.cash, self.cash + value))
+        return pd.DataFrame(out, columns=self.columns)
+
+    def end(self, _: str) -> pd.DataFrame:
+        return pd.DataFrame([], columns=self.columns)
+
+
 def perp_ledger(rows: DataFrame, capital: float, leverage: float, rate_of, fee: float = 0.0005) -> DataFrame:
     """Isolated-margin perpetual positions: (symbol, ts, price, rate, side, adds) in time order.
 
@@ -167,43 +228,8 @@ def perp_ledger(rows: DataFrame, capital: float, leverage: float, rate_of, fee:
     the open one closes and opens, and ``adds`` adds to an open position of the same side at
     the mean entry, or is rejected where the cash does not suffice for margin and fee.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cash, pos, out = capital, None, []
-
-        def opened(side: int, size: float, entry: float, margin: float) -> tuple:
-            return side, size, entry, margin, entry * (1 - side * (1 / leverage - rate_of(size * entry)))
-
-        for r in pdf.sort_values("ts").itertuples():
-            event, margin = "hold", 0.0
-            if pos is not None:
-                side, size, entry, held, liq = pos
-                if (r.price <= liq) if side > 0 else (r.price >= liq):
-                    pos, event = None, "liquidated"
-                else:
-                    cash -= side * size * r.price * r.rate
-                    if r.side != side:
-                        cash += held + side * size * (r.price - entry) - size * r.price * fee
-                        pos, event = None, "closed"
-                    elif r.adds:
-                        margin = max(cash, 0.0) * MARGIN_PART
-                        more = margin * leverage / r.price
-                        if margin and margin + more * r.price * fee <= cash:
-                            cash -= margin + more * r.price * fee
-                            pos = opened(side, size + more, (entry * size + r.price * more) / (size + more), held + margin)
-                            event = "added"
-                        else:
-                            event = "rejected"
-            if pos is None and r.side != 0 and event != "liquidated" and cash > 0:
-                margin = cash * MARGIN_PART
-                cash -= margin + margin * leverage * fee
-                pos = opened(r.side, margin * leverage / r.price, r.price, margin)
-                event = "opened" if event == "hold" else "reversed"
-            open_value = 0.0 if pos is None else pos[3] + pos[0] * pos[1] * (r.price - pos[2])
-            out.append((r.symbol, r.ts, event, cash, cash + open_value))
-        return pd.DataFrame(out, columns=["symbol", "ts", "event", "cash", "equity"])
-
-    return rows.groupBy("symbol").applyInPandas(run, "symbol string, ts timestamp, event string, cash double, equity double")
+    schema = "symbol string, ts timestamp, event string, cash double, equity double"
+    return in_order(rows, "symbol", ["ts"], schema, lambda: Ledger(capital, leverage, rate_of, fee))
 
 
 def margin_rate(notional: float) -> float:
