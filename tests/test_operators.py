@@ -277,6 +277,20 @@ def test_zipped_candles_skip_headers_and_odd_times(spark, tmp_path):
     assert [r.ts for r in got] == [dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 1, 0, 1)] and got[0].taker_ratio == 0.4
 
 
+def test_chain_metrics_of_two_providers(spark, tmp_path):
+    from tidemark.sources import files
+
+    (tmp_path / "chart").mkdir()
+    (tmp_path / "node").mkdir()
+    (tmp_path / "chart" / "a.json").write_text('{"asset": "X", "prices": [[1704067200000, 5.0], [1704153600000, null], [1]], "market_caps": [[1704067200000, 9.0]]}\n')
+    (tmp_path / "node" / "b.json").write_text('{"asset": "X", "metric": "price", "t": 1704067200, "v": 7.0}\n{"asset": "X", "metric": "price", "t": 1704153600, "v": 8.0}\n{"asset": "X", "metric": "mvrv", "t": null, "v": 1.0}\n')
+    paths = {k: str(tmp_path / k) for k in ("chart", "node")}
+    got = sorted(map(tuple, files.chain_metrics(spark, paths).collect()))
+    assert got == [("X", "mcap", 1_704_067_200_000, 9.0), ("X", "price", 1_704_067_200_000, 5.0), ("X", "price", 1_704_153_600_000, 8.0)]
+    other = files.chain_metrics(spark, dict(reversed(paths.items()))).where("ts_ms = 1704067200000 and metric = 'price'")
+    assert [r.value for r in other.collect()] == [7.0]
+
+
 def test_json_arrays_keep_what_was_collected_last(spark, tmp_path):
     from tidemark.sources import files
 

@@ -88,3 +88,19 @@ def macro_series(spark, sf):
     b.select(F.concat(F.lit("M"), "symbol").alias("symbol"), F.date_format("d", "yyyy-MM-dd HH:mm:ss").alias("ts"), "open", "high", "low", "close", volume.alias("volume")).write.option("header", True).csv(path)
     x = files.macro_csv(spark, path, "GMT-05:00")
     return x.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), r6(F.col("close"), "close"), "volume")
+
+
+@plan("chain_backfill", """SELECT asset, metric, ts_ms, round(CASE WHEN metric = 'price' AND (ts_ms // 86400000) % 3 = 0 THEN value + 1 ELSE value END, 5) AS value FROM eav
+    UNION ALL SELECT asset, 'mvrv', ts_ms, round(value / 97, 5) FROM eav WHERE metric = 'price'""", "eav")
+def chain_backfill(spark, sf):
+    """Metrics of two providers, as charts in milliseconds and records in seconds, that overlap in part: the first one's values stay."""
+    path, e = folder(spark), A.metrics_eav(spark, sf)
+    day = F.floor(F.col("ts_ms") / 86_400_000)
+    first = F.when((F.col("metric") == "price") & (day % 3 == 0), F.col("value") + 1).otherwise(F.col("value"))
+    points = lambda m: F.collect_list(F.when(F.col("metric") == m, F.array(F.col("ts_ms").cast("double"), first)))
+    charts = e.groupBy("asset", F.floor(day / 90).alias("q")).agg(*[points(m).alias(c) for c, m in files.CHART.items()])
+    charts.drop("q").write.json(f"{path}/chart")
+    seconds = F.floor(F.col("ts_ms") / 1000).alias("t")
+    price = e.where("metric = 'price'")
+    price.select("asset", "metric", seconds, F.col("value").alias("v")).union(price.select("asset", F.lit("mvrv"), seconds, F.col("value") / 97)).write.json(f"{path}/node")
+    return files.chain_metrics(spark, {"chart": f"{path}/chart", "node": f"{path}/node"}).select("asset", "metric", "ts_ms", F.round("value", 5).alias("value"))

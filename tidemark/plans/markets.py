@@ -163,6 +163,25 @@ def json_ensemble(spark, sf):
     return joins.latest_per_key(x, ["symbol"], [F.desc("d")])
 
 
+@plan("collector_records", f"""WITH n AS (SELECT symbol, max(ts) AS ts, arg_max(price, (ts, trade_id)) AS last, max(price) FILTER (side = 'buy' AND ts > TIMESTAMP '{NOW}' - INTERVAL 1 HOUR) AS bid, min(price) FILTER (side = 'sell' AND ts > TIMESTAMP '{NOW}' - INTERVAL 1 HOUR) AS ask,
+      coalesce(sum(amount) FILTER (ts > TIMESTAMP '{NOW}' - INTERVAL 1 DAY), 0) AS volume_24h FROM trades WHERE ts <= TIMESTAMP '{NOW}' GROUP BY 1),
+    c AS (SELECT symbol, ts::DATE AS day, arg_min(price, (ts, trade_id)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts, trade_id)) AS close, sum(amount) AS volume FROM trades WHERE ts < TIMESTAMP '{NOW}'::DATE GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY day DESC) = 1)
+    SELECT n.*, day, open, high, low, close, volume FROM n LEFT JOIN c USING (symbol)""")
+def collector_records(spark, sf):
+    """What a collector stores of each symbol at a time: the ticker (last, best bid and ask of the hour, volume of the day) and the last completed daily candle."""
+    now = F.expr(f"timestamp'{NOW}'")
+    k, side = F.struct("ts", "trade_id"), F.col("side")
+    t = A.trades(spark, sf).where(F.col("ts") <= now)
+    hour, day = F.col("ts") > now - F.expr("interval 1 hour"), F.col("ts") > now - F.expr("interval 1 day")
+    ticker = t.groupBy("symbol").agg(
+        F.max("ts").cast("timestamp_ntz").alias("ts"), F.max_by("price", k).alias("last"), F.max(F.when(hour & (side == "buy"), F.col("price"))).alias("bid"),
+        F.min(F.when(hour & (side == "sell"), F.col("price"))).alias("ask"), F.coalesce(F.sum(F.when(day, F.col("amount"))), F.lit(0.0)).alias("volume_24h"),
+    )
+    done = t.where(F.col("ts") < F.date_trunc("day", now)).groupBy("symbol", F.to_date("ts").alias("day"))
+    candles_ = done.agg(F.min_by("price", k).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", k).alias("close"), F.sum("amount").alias("volume"))
+    return ticker.join(joins.latest_per_key(candles_, ["symbol"], [F.desc("day")]), "symbol", "left")
+
+
 @plan("workflow_records", f"""WITH RECURSIVE asked AS (SELECT unnest(['AF', 'NO', 'RF:USDT', 'XX/USDT']) AS symbol), t AS ({indicators.SQL['crypto_ensemble']}),
     last AS (SELECT symbol, signal, score FROM t QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY d DESC) = 1), c AS ({market.SQL['onchain_combined']}), chain AS (SELECT asset, signal AS chain_signal, confidence AS chain_confidence FROM c QUALIFY row_number() OVER (PARTITION BY asset ORDER BY d DESC) = 1),
     r AS ({reports.SQL['crypto_risk']}), risk AS (SELECT symbol, size FROM r QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY d DESC) = 1),

@@ -109,6 +109,42 @@ def markets_json(spark: SparkSession, path: str, least_volume: float = 0.0, word
     return latest_per_key(rows.where(F.col("volume") >= least_volume), ["id"], [F.col("n")]).drop("n")
 
 
+#: Names of a chart's arrays and of the metrics that they are.
+CHART = {"prices": "price", "total_volumes": "volume", "market_caps": "mcap"}
+
+
+def chart_json(spark: SparkSession, path: str) -> DataFrame:
+    """(asset, metric, ts_ms, value) of market charts: records with arrays of [milliseconds, value] by metric."""
+    arrays = ", ".join(f"{c} array<array<double>>" for c in CHART)
+    raw = spark.read.schema(f"asset string, {arrays}").json(path)
+    named = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(c).alias("points")) for c, m in CHART.items()])).alias("m")
+    x = raw.select("asset", named).select("asset", "m.metric", F.explode("m.points").alias("point"))
+    return x.select("asset", "metric", F.try_element_at("point", F.lit(1)).cast("long").alias("ts_ms"), F.try_element_at("point", F.lit(2)).alias("value"))
+
+
+def node_json(spark: SparkSession, path: str) -> DataFrame:
+    """(asset, metric, ts_ms, value) of records (asset, metric, t in seconds, v)."""
+    raw = spark.read.schema("asset string, metric string, t long, v double").json(path)
+    return raw.select("asset", "metric", to_millis(F.col("t")).alias("ts_ms"), F.col("v").alias("value"))
+
+
+#: Reader of each provider of chain metrics.
+CHAIN = {"chart": chart_json, "node": node_json}
+
+
+def chain_metrics(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """Chain metrics of several providers in one table; of a (asset, metric, ts_ms) the provider named first has the word.
+
+    Rows without time or value, or with NaN, are left out.
+    """
+    parts = [CHAIN[kind](spark, path).withColumn("rank", F.lit(rank)) for rank, (kind, path) in enumerate(paths.items())]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    fine = every.where("asset is not null and metric is not null and ts_ms is not null and value is not null and not isnan(value)")
+    return latest_per_key(fine, ["asset", "metric", "ts_ms"], [F.col("rank"), F.col("value")]).drop("rank")
+
+
 def macro_csv(spark: SparkSession, path: str, zone: str = "UTC") -> DataFrame:
     """Macro series from CSV: (symbol, ts in UTC, OHLCV) with NaN as null."""
     raw = spark.read.schema("symbol string, ts string, open double, high double, low double, close double, volume double").option("header", True).option("nanValue", "NaN").csv(path)
