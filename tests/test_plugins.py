@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import memo, models
+from tidemark.operators import memo, models, runs
 from tidemark.streaming import flows, late
 
 T = dt.datetime(2024, 1, 1)
@@ -125,6 +125,24 @@ def test_folding_answers(spark):
     assert got == [(0.8, False), (-0.05, False), (0.0, False)] + [(0.0, True)] * 6
 
 
+# runs
+
+
+def test_runs_are_saved_once_renamed_deleted_and_listed(spark, tmp_path):
+    schema = "run_id string, name string, created timestamp, params string, metrics map<string, double>"
+    made = spark.createDataFrame([(f"r{i}", f"run {i}", minute(i // 2), "{}", {"sharpe": float(i)}) for i in range(6)], schema)
+    store = runs.RunStore(spark, str(tmp_path / "runs"), 3)
+    assert store.page().count() == 0
+    store.save(made)
+    store.rename(spark.createDataFrame([("r1", " one "), ("r2", "  "), ("none", "x")], "run_id string, name string"))
+    store.delete(spark.createDataFrame([("r5",), ("r5",), ("none",)], "run_id string"))
+    store.save(made.withColumn("name", F.lit("again")))
+    assert [(r.run_id, r.name) for r in store.page().collect()] == [("r4", "run 4"), ("r2", "run 2"), ("r3", "run 3"), ("r0", "run 0"), ("r1", "one")]
+    assert [r.run_id for r in store.page(1, 2).collect()] == ["r2", "r3"]
+    assert store.get("r5").count() == 0 and store.get("r1").first().metrics == {"sharpe": 1.0}
+    assert sorted((r.run_id, r.sharpe, r.other) for r in store.compare(["sharpe", "other"]).collect()) == [(f"r{i}", float(i), None) for i in range(5)]
+
+
 # late rows and windows
 
 ROW = "trade_id long, symbol string, ts timestamp, price double, amount double"

@@ -9,8 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import windows as X
-from tidemark.operators import joins, memo, models, portfolio
-from tidemark.plans import indicators, market, reports
+from tidemark.operators import joins, memo, models, portfolio, runs
+from tidemark.plans import books, indicators, market, reports
 from tidemark.plans.stream import folder
 from tidemark.sources import adapters as A
 from tidemark.sources.adapters import with_views
@@ -295,3 +295,26 @@ def memo_signals(spark, sf):
         answers = kept.serve(snapshots, "outlook", columns, lambda m, c=count: analyst(m, c))
     value, abstained = memo.signal_of(F.col("body"))
     return answers.select("ticker", r6(value, "value"), abstained.alias("abstained"), F.lit(asked[1].value).cast("long").alias("asked_again"))
+
+
+# Stored runs
+
+
+@plan("run_pages", f"{books.GRID_RUN}, kept AS (SELECT md5(symbol || '|' || fast || '|' || slow) AS run_id, symbol, fast, slow, total_return, sharpe, TIMESTAMP '2024-01-01' + to_days(fast) + to_minutes(slow) AS created FROM o WHERE error IS NULL AND slow <> 89)"
+      " SELECT run_id, CASE WHEN fast = 8 THEN 'fast ' || symbol ELSE symbol || ' ' || fast || '/' || slow END AS name, created, round(sharpe, 4) AS sharpe, round(total_return, 4) AS total_return FROM kept ORDER BY created DESC, run_id LIMIT 10 OFFSET 2", "bars")
+def run_pages(spark, sf):
+    """The second page of the stored runs of a grid search: all are saved (twice), some renamed, those with the slowest mean deleted."""
+    g = books.grid(spark, sf).where("error is null")
+    created = F.expr("timestamp'2024-01-01'") + F.make_dt_interval(F.col("fast"), F.lit(0), F.col("slow"))
+    runs_ = g.select(
+        F.md5(F.concat_ws("|", "symbol", "fast", "slow")).alias("run_id"), F.format_string("%s %d/%d", "symbol", "fast", "slow").alias("name"), created.alias("created"),
+        F.to_json(F.struct("fast", "slow")).alias("params"), F.create_map(F.lit("sharpe"), "sharpe", F.lit("total_return"), "total_return").alias("metrics"), "symbol", "fast", "slow",
+    )
+    store = runs.RunStore(spark, folder(spark), 4)
+    store.save(runs_)
+    known = store.all().select("run_id", "name", F.from_json("params", "fast int, slow int").alias("p"))
+    store.rename(known.where("p.fast = 8").select("run_id", F.concat(F.lit("fast "), F.split_part("name", F.lit(" "), F.lit(1))).alias("name")))
+    store.delete(known.where("p.slow = 89"))
+    store.save(runs_)
+    p = store.page(2, 10)
+    return p.select("run_id", "name", F.col("created").cast("timestamp_ntz").alias("created"), F.round(F.col("metrics")["sharpe"], 4).alias("sharpe"), F.round(F.col("metrics")["total_return"], 4).alias("total_return"))
