@@ -67,12 +67,23 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
+#: Rows that become Python objects at a time.
+SLICE = 1_000
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of ``SLICE`` rows, so that what is made of texts stays small beside them."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, SLICE):
+            yield batch.slice(i, SLICE)
+
+
 def map_batches(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], dict[str, object]]],
     schema: str,
 ) -> DataFrame:
-    """Apply a function to Arrow batches inside the tasks.
+    """Apply a function to Arrow batches inside the tasks, ``SLICE`` rows at a time.
 
     ``make`` is called once per task and returns the function, so that caches and
     tables live as long as the task. The function returns columns by name.
@@ -80,9 +91,8 @@ def map_batches(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_pydict(work(batch))
+        for part in sliced(batches):
+            yield pa.RecordBatch.from_pydict(work(part))
 
     return df.mapInArrow(run, schema)
 

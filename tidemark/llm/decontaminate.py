@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import Scratch, map_batches, mix64
+from tidemark.llm._common import Scratch, map_batches, mix64, sliced
 
 #: ((steps, sampled steps) of each stretch of the walk, walks, items of fewer pieces have them).
 TIERS = ((((6, 5), (6, 4), (8, 4), (12, 6)), 3, 1 << 30), (((3, 2),), 2, 12), (((1, 1),), 1, 4))
@@ -552,10 +552,10 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             blocks = finders(shared)
-            for batch in batches:
-                clean = np.ones(batch.num_rows, bool)
-                clean[[r[0] for r in find_all(blocks, batch.column(at).to_pylist())]] = False
-                yield batch.filter(pa.array(clean))
+            for part in sliced(batches):
+                clean = np.ones(part.num_rows, bool)
+                clean[[r[0] for r in find_all(blocks, part.column(at).to_pylist())]] = False
+                yield part.filter(pa.array(clean))
 
         return rows.mapInArrow(run, rows.schema)
 

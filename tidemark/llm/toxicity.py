@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import map_batches, remainder, sample
+from tidemark.llm._common import map_batches, remainder, sample, sliced
 from tidemark.llm.near_dedup import Signer
 
 EDGES = ".,;:!?()[]{}<>\"'`*%$&#/\\|~^_+=-“”„‟«»‹›‘’‚…–—"
@@ -356,8 +356,8 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int, threshold
     def run(batches):
         m = shared.value
         matcher = Matcher(m.entries)
-        for batch in batches:
-            keep = [m.score(matcher.find(t)) < threshold for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        for part in sliced(batches):
+            keep = [m.score(matcher.find(t)) < threshold for t in part.column(at).to_pylist()]
+            yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, schema)
