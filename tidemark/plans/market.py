@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators import joins, upsert
+from tidemark.operators import upsert
 from tidemark.sources import adapters as A
 from tidemark.sources.adapters import with_views
 
