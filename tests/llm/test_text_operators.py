@@ -134,6 +134,23 @@ def test_families_with_links_that_pass_the_centre_by(spark, pairs_up_to):
     assert {r.doc_id: r.component_id for r in got} == {i: c for i, (_, c) in brute_components(rows, 3, 85).items()}
 
 
+def test_near_duplicates_broadcast_no_table_that_grows(spark, monkeypatch):
+    """Left to itself, Spark takes exploded rows and compressed files for small and sends them through the driver."""
+    plans, write = [], near_dedup.Scratch.write
+
+    def watched(scratch, df):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return write(scratch, df)
+
+    monkeypatch.setattr(near_dedup.Scratch, "write", watched)
+    texts = [" ".join(f"w{i}" if i % 17 != k else f"x{k}" for i in range(120)) for k in range(17)]
+    near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    joins = [line for plan in plans for line in plan.splitlines() if "Join " in line]
+    assert any("SortMergeJoin" in line for line in joins)
+    # But for the centres of groups that are still split: one row for each, which only the right side of the semi join can be.
+    assert all("SortMergeJoin" in line or "[centre#" in line and "LeftSemi, BuildRight" in line for line in joins), joins
+
+
 def test_near_duplicates_of_edge_rows(edge, empty):
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(edge, size=3, percent=85).collect()}
     assert got[5] == 4 and got[1] == 1 and got[2] == 2 and got[3] == 3

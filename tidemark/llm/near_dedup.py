@@ -175,6 +175,15 @@ def masked_keys(classes: DataFrame, symbols: int, radius: int) -> DataFrame:
     return map_batches(classes.select("node", "signature"), make, "key long, node long")
 
 
+def meet(left: DataFrame, right: DataFrame, on: Column | str | list[str], how: str = "inner") -> DataFrame:
+    """Join of two tables that grow with the input, always by sort and merge.
+
+    Spark takes what an explode or a Python step gives for no larger than what went into it, and
+    a compressed file for as large as its rows: left to itself it broadcasts such a table through the driver.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def may_link(n_a: Column, n_b: Column, sig_a: Column, sig_b: Column, symbols: int, radius: int, percent: int) -> Column:
     """Whether two sets are of fitting sizes and their signatures within the radius."""
     return (n_a * 100 >= n_b * percent) & (n_b * 100 >= n_a * percent) & (hamming(sig_a, sig_b, symbols) <= radius)
@@ -188,7 +197,7 @@ def compared(edges: DataFrame, texts: DataFrame, size: int, percent: int, differ
     """
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    both = edges.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    both = meet(meet(edges.select("a", "b"), left, "a"), right, "b").select("a", "b", "text_a", "text_b")
 
     def make():
         signer, last = Signer(size, 1, 0), {}
@@ -231,12 +240,13 @@ def within_groups(compared_to: DataFrame, label: DataFrame, percent: int) -> Dat
     at least need - 1 more behind it in either: so a set is entered with a prefix only,
     a shorter one where its partner has as many differences or more.
     """
-    m = compared_to.select(F.col("b").alias("centre"), F.col("a").alias("node"), F.col("n_a").alias("n"), "differ").join(label, "node")
+    m = compared_to.select(F.col("b").alias("centre"), F.col("a").alias("node"), F.col("n_a").alias("n"), "differ")
+    m = meet(m, label, "node")
     several = m.groupBy("centre").agg((F.min("component") < F.max("component")).alias("split")).where("split").select("centre")
-    m = m.join(several, "centre").withColumn("d", F.size("differ").cast("long"))
+    m = m.join(several, "centre", "left_semi").withColumn("d", F.size("differ").cast("long"))
     x = m.select("centre", "node", "component", "n", "d", F.explode("differ").alias("difference"))
     shared = x.groupBy("centre", "difference").agg((F.min("component") < F.max("component")).alias("split"), F.count(F.lit(1)).alias("often"))
-    x = x.join(shared.where("split").drop("split"), ["centre", "difference"])
+    x = meet(x, shared.where("split").drop("split"), ["centre", "difference"])
     mine = Window.partitionBy("centre", "node")
     x = x.withColumn("place", F.row_number().over(mine.orderBy("often", "difference"))).withColumn("last", F.count(F.lit(1)).over(mine))
     p = F.lit(percent)
@@ -249,7 +259,7 @@ def within_groups(compared_to: DataFrame, label: DataFrame, percent: int) -> Dat
     sizes = (F.col("x.n") * 100 >= F.col("y.n") * p) & (F.col("y.n") * 100 >= F.col("x.n") * p)
     left = F.least(F.col("x.last") - F.col("x.place"), F.col("y.last") - F.col("y.place")) + 1
     same = (F.col("x.centre") == F.col("y.centre")) & (F.col("x.difference") == F.col("y.difference"))
-    pairs = a.join(b, same & (F.col("x.component") != F.col("y.component")) & in_order & sizes & (left >= need))
+    pairs = meet(a, b, same & (F.col("x.component") != F.col("y.component")) & in_order & sizes & (left >= need))
     return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
@@ -265,9 +275,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     while mark[0]:
         both = pairs.union(pairs.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = meet(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m"))
+        small = meet(large, low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m"))
         old, pairs = pairs, scratch.write(small.where("u <> v").distinct())
         scratch.drop(old)
         before, mark = mark, fingerprint(pairs)
@@ -290,10 +300,10 @@ class Labels:
     def merge(self, found: DataFrame) -> None:
         """The new links (a, b) join components, which are again named after their smallest node."""
         a, b = self.table.toDF("a", "ca"), self.table.toDF("b", "cb")
-        between = found.select("a", "b").join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        between = meet(meet(found.select("a", "b"), a, "a"), b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         named = components(between, self.scratch).toDF("component", "root")
         old = self.table
-        self.table = self.scratch.write(old.join(named, "component", "left").select("node", F.coalesce("root", "component").alias("component")))
+        self.table = self.scratch.write(meet(old, named, "component", "left").select("node", F.coalesce("root", "component").alias("component")))
         self.scratch.drop(old)
 
 
@@ -310,17 +320,17 @@ def classes_of(docs: DataFrame, size: int, percent: int, symbols: int, miss: flo
     keys = masked_keys(classes, symbols, radius)
     # Keys of one class only are of no use: the rest is small.
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = scratch.write(keys.join(shared, "key"))
-    wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
-    texts = keyed(docs, id_col, text_col).join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
+    members = scratch.write(meet(keys, shared, "key"))
+    wanted = meet(classes, members.select("node").distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+    texts = meet(keyed(docs, id_col, text_col), wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
     texts = scratch.write(texts.select("node", "text").dropDuplicates(["node"]))
     labels = Labels(node, scratch)
 
     # A member that shares many keys with many others lies in the middle of a family.
     popular = scratch.write(members.groupBy("node").agg(F.sum("members").alias("popularity")))
     draw = F.struct(F.col("popularity"), F.xxhash64("node").alias("draw"), F.col("node").alias("centre"))
-    centre = scratch.write(members.join(popular, "node").groupBy("key").agg(F.max(draw).alias("c")).select("key", "c.centre", F.col("c.popularity").alias("p")))
-    star = members.join(centre, "key").where("node <> centre").groupBy("node", "centre").agg(F.count(F.lit(1)).alias("keys"), F.first("p").alias("p"))
+    centre = scratch.write(meet(members, popular, "node").groupBy("key").agg(F.max(draw).alias("c")).select("key", "c.centre", F.col("c.popularity").alias("p")))
+    star = meet(members, centre, "key").where("node <> centre").groupBy("node", "centre").agg(F.count(F.lit(1)).alias("keys"), F.first("p").alias("p"))
     # At most as many centres as a class has keys.
     star = star.groupBy("node").agg(F.collect_list(F.struct("p", "centre", "keys")).alias("centres"), F.max("keys").alias("most"))
     many = F.filter("centres", lambda c: c["keys"] * 2 >= F.col("most"))
@@ -328,36 +338,37 @@ def classes_of(docs: DataFrame, size: int, percent: int, symbols: int, miss: flo
     to_centre = scratch.write(compared(star, texts, size, percent, differences=True))
     labels.merge(to_centre.where("same"))
     # Who did not link tries the centre of another component with which it shares most keys.
-    other = to_centre.where("not same").select("a").join(star, "a").select("a", F.col("b").alias("family"), F.explode("centres").alias("c")).where("c.centre <> family")
-    other = other.select("a", F.col("c.keys").alias("keys"), F.col("c.centre").alias("b")).join(labels.table.toDF("a", "ca"), "a").join(labels.table.toDF("b", "cb"), "b")
+    other = meet(to_centre.where("not same").select("a"), star, "a").select("a", F.col("b").alias("family"), F.explode("centres").alias("c")).where("c.centre <> family")
+    other = other.select("a", F.col("c.keys").alias("keys"), F.col("c.centre").alias("b"))
+    other = meet(meet(other, labels.table.toDF("a", "ca"), "a"), labels.table.toDF("b", "cb"), "b")
     other = other.where("ca <> cb").groupBy("a").agg(F.max(F.struct("keys", "b")).alias("m")).select("a", "m.b")
     labels.merge(scratch.write(compared(other, texts, size, percent)).where("same"))
 
     # Keys whose members are neither all of one component nor all of one family.
     family = star.select(F.col("a").alias("node"), F.col("b").alias("family"))
     family = family.union(family.select("family", "family")).groupBy("node").agg(F.min("family").alias("family"))
-    tagged = members.join(labels.table, "node").join(family, "node", "left")
+    tagged = meet(meet(members, labels.table, "node"), family, "node", "left")
     mixed = tagged.groupBy("key").agg((F.min("component") < F.max("component")).alias("split"), (F.min("family") < F.max("family")).alias("families"), (F.count("family") < F.count(F.lit(1))).alias("alone"))
     mixed = mixed.where("split and (families or alone)").select("key")
-    rest = scratch.write(tagged.join(mixed, "key"))
-    large = rest.where(F.col("members") > pairs_up_to).select("key", F.col("node").alias("a")).join(centre, "key")
-    large = large.select("a", F.col("centre").alias("b")).where("a <> b").distinct().join(star, ["a", "b"], "left_anti")
+    rest = scratch.write(meet(tagged, mixed, "key", "left_semi"))
+    large = meet(rest.where(F.col("members") > pairs_up_to).select("key", F.col("node").alias("a")), centre, "key")
+    large = meet(large.select("a", F.col("centre").alias("b")).where("a <> b").distinct(), star, ["a", "b"], "left_anti")
     to_key = scratch.write(compared(large, texts, size, percent, differences=True))
     labels.merge(to_key.where("same"))
 
     inside = within_groups(to_centre.union(to_key), labels.table, percent)
-    small = rest.where(F.col("members") <= pairs_up_to).drop("component").join(labels.table, "node").join(node, "node")
+    small = meet(meet(rest.where(F.col("members") <= pairs_up_to).drop("component"), labels.table, "node"), node, "node")
     x, y = small.alias("x"), small.alias("y")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & ~F.coalesce(F.col("x.family") == F.col("y.family"), F.lit(False))
     close = may_link(F.col("x.n"), F.col("y.n"), F.col("x.signature"), F.col("y.signature"), symbols, radius, percent)
-    across = x.join(y, apart & close).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    across = meet(x, y, apart & close).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     pairs = inside.union(across).distinct()
     labels.merge(scratch.write(compared(pairs, texts, size, percent)).where("same"))
 
-    named = classes.join(labels.table, "node")
+    named = meet(classes, labels.table, "node")
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(smallest, "component").select("digest", "component_id")
-    out = rows.drop("signature").join(named, "digest", "left").drop("digest")
+    named = meet(named, smallest, "component").select("digest", "component_id")
+    out = meet(rows.drop("signature"), named, "digest", "left").drop("digest")
     own = F.col("n_shingles") == 0
     out = Scratch(docs.sparkSession).write(out.withColumn("component_id", F.when(own, F.col("doc_id")).otherwise(F.col("component_id"))))
     scratch.drop()
