@@ -90,3 +90,13 @@ def test_no_bin_holds_many_rows(spark, kind):
     df = spark.createDataFrame([(g, v) for g, _, v in ranked_rows(kind) if v is not None], "g string, v double")
     bins = stats.quantile_bins(df, ["g"], "v").groupBy("g", "bin").count()
     assert max(r["count"] for r in bins.collect()) < 0.02 * df.count()
+
+
+def test_the_mean_of_one_value_is_that_value(spark):
+    """Means of different spans start out equal to the last bit, so that no crossing is lost or made up there."""
+    rng = random.Random(3)
+    first = {f"s{i}": rng.uniform(900, 1100) for i in range(200)}
+    rows = [(s, d, None if d == 0 and s < "s5" else x) for s, x in first.items() for d in (0, 1)] + [(s, 2, 1.0) for s in first]
+    specs = {"f": ("x", 8, False), "s": ("x", 21, False), "a": ("x", 14, True)}
+    got = ewm(spark.createDataFrame(rows, "symbol string, d long, x double"), specs, span=1).where("d = 0 or d = 1 and symbol < 's5'").where("f is not null").collect()
+    assert len(got) == 200 and all(r.f == r.s == r.a == first[r.symbol] for r in got)
