@@ -76,3 +76,17 @@ def test_books_add_up(spark):
     assert t.p.between(0, 1).all() and (t.t.abs().argsort().values[::-1][:1] == t.p.argsort().values[:1]).all()
     b = QUERIES["bootstrap_ci"](spark, SF).toPandas()
     assert (b.ci_low < b["mean"]).all() and (b["mean"] < b.ci_high).all()
+
+
+def test_event_windows_take_the_nearest_second(spark, tmp_path):
+    """Times with fractions of a second at the ends of the windows, as the SQL's cast rounds them."""
+    import pandas as pd
+
+    at = [0.0, 0.4, 0.5, 0.6, 1.5, 2.5, 14399.5, 14400.4, 14400.5, 14400.6, 14401.5, 28800.49, 28801.5, 28802.6]
+    events = pd.DataFrame({"event_id": range(len(at)), "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(at, unit="s"), "user_id": 1, "event_type": "view", "value": [100.0 + 10 * i for i in range(len(at))], "props": "{}"})
+    events["ts"] = events.ts.dt.round("us").astype("datetime64[us]")
+    events.to_parquet(tmp_path / "events.parquet", index=False)
+    db = duckdb.connect()
+    db.sql(f"create view events as select * from '{tmp_path}/events.parquet'")
+    got, want = normal(QUERIES["event_window_vol"](spark, str(tmp_path)).toPandas()), normal(db.sql(SQL["event_window_vol"]).df())
+    assert len(want) == 8 and got.equals(want)

@@ -186,7 +186,8 @@ def horizons(spark, sf):
     SELECT e.trade_id, count(*) FILTER (q < s) AS n_pre, count(*) FILTER (q > s) AS n_post, round(avg(price) FILTER (q < s), 6) AS pre, round(avg(price) FILTER (q > s), 6) AS post
     FROM e JOIN t ON e.symbol = t.symbol AND q BETWEEN s - 14400 AND s + 14400 GROUP BY 1""", "trades")
 def event_windows(spark, sf):
-    t = A.trades(spark, sf).select("trade_id", "symbol", F.unix_seconds("ts").alias("q"), "price")
+    nearest = F.rint(F.unix_micros("ts") / 1_000_000).cast("long")  # the whole second next to it, as the SQL's cast takes it
+    t = A.trades(spark, sf).select("trade_id", "symbol", nearest.alias("q"), "price")
     e = t.where("price > 150").select("trade_id", "symbol", F.col("q").alias("s"), (F.col("q") - 14400).alias("lo"), (F.col("q") + 14400).alias("hi"))
     x = joins.range_join(e, t.select("symbol", "q", "price"), "symbol", "q", "lo", "hi", 14400)
     pre, post = F.when(F.col("q") < F.col("s"), F.col("price")), F.when(F.col("q") > F.col("s"), F.col("price"))
