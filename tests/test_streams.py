@@ -76,3 +76,36 @@ def test_the_state_of_an_account_is_its_active_orders():
     assert account.apply(event(3, 0, "accept"))[5:7] == ("ignored", "not_traded")
     assert [r[5] for r in account.expire(59_999_999)] == [] and [r[5] for r in account.expire(60_000_000)] == ["expired"]
     assert account.active == {}
+
+
+def test_only_active_orders_and_one_timer_reach_the_state():
+    """What an account's micro-batch asks of the state store grows with its active orders, not with its events."""
+    import pandas as pd
+
+    calls, held = [], {}
+
+    class Map:
+        iterator = lambda self: iter(list(held.items()))
+        containsKey = lambda self, k: calls.append("has") or k in held  # noqa: E731, N815
+        updateValue = lambda self, k, v: calls.append("put") or held.__setitem__(k, v)  # noqa: E731, N815
+        removeKey = lambda self, k: calls.append("drop") or held.pop(k)  # noqa: E731, N815
+
+    class Handle:
+        getMapState = lambda self, *a: Map()  # noqa: E731, N815
+        registerTimer = lambda self, ms: calls.append(("timer", ms))  # noqa: E731, N815
+        deleteTimer = lambda self, ms: calls.append(("no timer", ms))  # noqa: E731, N815
+
+    def events(first, n, left):
+        rows = [(1, s, None, kind, f"o{i}", "buy", 1.0, 2.0, (s + 1) * 1_000_000) for i in range(n) for s, kind in ((first + 2 * i, "submit"), (first + 2 * i + 1, "cancel")) if kind == "submit" or i >= left]
+        return iter([pd.DataFrame(rows, columns="account seq ts kind order_id side qty price at".split())])
+
+    states = orders.OrderStates(3600)
+    states.init(Handle())
+    out = pd.concat(states.handleInputRows((1,), events(0, 50, 2), None))
+    assert len(out) == 98 and sorted(k[0] for k in held) == ["o0", "o1"]
+    assert calls == ["put", "put", ("timer", 3_601_000)]
+    calls.clear()
+    passed = type("T", (), {"getCurrentWatermarkInMs": lambda self: 3_602_000})()
+    fired = type("I", (), {"getExpiryTimeInMs": lambda self: 3_601_000})()
+    out = pd.concat(states.handleExpiredTimer((1,), passed, fired))
+    assert list(out.effect) == ["expired"] and list(held) == [("o1",)] and calls == ["drop", ("timer", 3_603_000)]

@@ -16,8 +16,10 @@ left. An id can be used again once its order has ended; ``opened`` tells such or
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +27,7 @@ from pyspark.sql.streaming import StatefulProcessor
 
 CHANGES = "account long, order_id string, opened long, ts timestamp, seq long, effect string, status string, side string, qty double, filled double, avg_price double"
 ORDER = "opened long, status string, side string, qty double, filled double, notional double, expires long"
+Event = namedtuple("Event", "at seq kind order_id side qty price")
 
 
 class Account:
@@ -32,13 +35,17 @@ class Account:
 
     def __init__(self, account: int, active: dict[str, list], ttl: int) -> None:
         self.account, self.active, self.ttl = account, active, ttl
+        self.stored, self.alarm = set(active), self.next_expiry()
         self.changed: set[str] = set()
-        self.new: list[int] = []
+
+    def next_expiry(self) -> int | None:
+        """When the first of the active orders ends, in milliseconds, as timers have them."""
+        return min((-(-o[6] // 1000) for o in self.active.values()), default=None)
 
     def row(self, order_id: str, order: list | None, at: int, seq: int | None, effect: str) -> tuple:
         opened, status, side, qty, filled, notional, _ = order or [None] * 7
         average = notional / filled if filled else None
-        return self.account, order_id, opened, pd.Timestamp(at, unit="us"), seq, effect, status, side, qty, filled, average
+        return self.account, order_id, opened, at, seq, effect, status, side, qty, filled, average
 
     def close(self, order_id: str, status: str) -> list:
         order = self.active.pop(order_id)
@@ -57,7 +64,6 @@ class Account:
         at, order = e.at, self.active.get(e.order_id)
         if e.kind == "submit" and order is None:
             order = self.active[e.order_id] = [e.seq, "submitting", e.side, e.qty, 0.0, 0.0, at + self.ttl]
-            self.new.append(order[6])
             effect = "opened"
         elif order is not None and e.kind == "accept" and order[1] == "submitting":
             order[1], effect = "not_traded", "accepted"
@@ -78,7 +84,11 @@ class Account:
 
 
 class OrderStates(StatefulProcessor):
-    """Keeps the map of active orders and a timer for the expiry of each."""
+    """Keeps the map of active orders and one timer, for the next expiry among them.
+
+    Only what differs from the stored state is sent to it: orders that open and end within a
+    micro-batch never reach it, and their expiry needs no timer.
+    """
 
     columns = [c.split()[0] for c in CHANGES.split(", ")]
 
@@ -96,26 +106,39 @@ class OrderStates(StatefulProcessor):
         for order_id in account.changed:
             if order_id in account.active:
                 self.orders.updateValue((order_id,), tuple(account.active[order_id]))
-            elif self.orders.containsKey((order_id,)):
+            elif order_id in account.stored:
                 self.orders.removeKey((order_id,))
-        for expires in account.new:  # timers have milliseconds
-            self.handle.registerTimer(-(-expires // 1000))
+        alarm = account.next_expiry()
+        if alarm != account.alarm:
+            if account.alarm is not None:
+                self.handle.deleteTimer(account.alarm)
+            if alarm is not None:
+                self.handle.registerTimer(alarm)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         account, out = self.load(key[0]), []
         # An account's rows of one micro-batch are put in order; maxFilesPerTrigger bounds them.
-        events = pd.concat(list(rows)).sort_values(["at", "seq"], kind="stable")
-        for e in events.itertuples(index=False):
+        parts = [[f[c].to_numpy() for c in Event._fields] for f in rows]
+        columns = dict(zip(Event._fields, (np.concatenate(x) for x in zip(*parts, strict=True)), strict=True))
+        order = np.lexsort((columns["seq"], columns["at"]))
+        for e in map(Event, *(c[order].tolist() for c in columns.values())):
             out += account.expire(e.at)
             out.append(account.apply(e))
         self.save(account)
-        yield pd.DataFrame(out, columns=self.columns)
+        yield self.frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         account = self.load(key[0])
-        out = list(account.expire(expiredTimerInfo.getExpiryTimeInMs() * 1000))
+        # All that the watermark has passed, so that the next timer lies ahead of it.
+        upto = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        out = list(account.expire(upto * 1000))
+        account.alarm = None  # has gone off
         self.save(account)
-        yield pd.DataFrame(out, columns=self.columns)
+        yield self.frame(out)
+
+    def frame(self, rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=self.columns)
+        return out.assign(ts=pd.to_datetime(out["ts"], unit="us"))
 
     def close(self) -> None:
         pass
