@@ -90,3 +90,19 @@ def test_event_windows_take_the_nearest_second(spark, tmp_path):
     db.sql(f"create view events as select * from '{tmp_path}/events.parquet'")
     got, want = normal(QUERIES["event_window_vol"](spark, str(tmp_path)).toPandas()), normal(db.sql(SQL["event_window_vol"]).df())
     assert len(want) == 8 and got.equals(want)
+
+
+def test_a_part_of_the_delayed_replay_is_many_files(spark, con, tmp_path):
+    """No part passes through a single task; what is late stays the same."""
+    from tidemark.plans import stream
+
+    for i in range(3):
+        con[SMALL].sql(f"select * from events where event_id % 3 = {i}").df().astype({"ts": "datetime64[us]"}).to_parquet(tmp_path / f"{i}.parquet", index=False)
+    (tmp_path / "sf").mkdir()
+    spark.read.parquet(str(tmp_path / "*.parquet")).repartition(3).write.parquet(str(tmp_path / "sf" / "events.parquet"))
+    split, path = stream.delayed_replay(spark, str(tmp_path / "sf"))
+    n_files = len({r[0] for r in spark.read.parquet(f"{path}/in").selectExpr("input_file_name()").collect()})
+    n_parts = spark.read.parquet(f"{path}/in").select("part").distinct().count()
+    assert n_files > n_parts == split.manifest()["batch"] + 1 > 5
+    want = {r[0] for r in con[SMALL].sql(SQL["stream_late_rows"]).fetchall()}
+    assert {r.trade_id for r in split.late().collect()} == want

@@ -130,11 +130,13 @@ def delayed_replay(spark, sf):
     second = F.floor(F.unix_micros("ts") / 1_000_000)
     ticks = A.trades(spark, sf).withColumn("part", F.floor((second + F.when(x % 20 == 0, x % 21_600).otherwise(x % 300)) / PART))
     path = folder(spark)
-    for (part,) in ticks.select("part").distinct().orderBy("part").collect():  # files are read in the order of their writing
-        ticks.where(F.col("part") == part).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    stream = spark.readStream.schema(ticks.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    ticks.write.partitionBy("part").parquet(f"{path}/arrivals")  # one pass over the ticks for all parts
     split = late.LateSplit(spark, f"{path}/split", ticks.schema, "ts", LATE)
-    late.split_stream(stream, split, f"{path}/state")
+    arrived = spark.read.schema(ticks.schema).parquet(f"{path}/arrivals")
+    for (part,) in arrived.select("part").distinct().orderBy("part").collect():
+        # What is there when the stream goes on is one micro-batch, of as many files as tasks wrote.
+        arrived.where(F.col("part") == part).write.mode("append").parquet(f"{path}/in")
+        late.split_stream(spark.readStream.schema(ticks.schema).parquet(f"{path}/in"), split, f"{path}/state")
     return split, path
 
 
