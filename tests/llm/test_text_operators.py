@@ -151,6 +151,20 @@ def test_near_duplicates_broadcast_no_table_that_grows(spark, monkeypatch):
     assert all("SortMergeJoin" in line or "[centre#" in line and "LeftSemi, BuildRight" in line for line in joins), joins
 
 
+def test_no_plan_of_near_duplicates_holds_many_steps(spark, monkeypatch):
+    """The driver keeps a plan anew for every stage of it that ends, so its memory grows with the square of a plan."""
+    joins, write = [], near_dedup.Scratch.write
+
+    def watched(scratch, df):
+        joins.append(df._jdf.queryExecution().sparkPlan().toString().count("Join "))
+        return write(scratch, df)
+
+    monkeypatch.setattr(near_dedup.Scratch, "write", watched)
+    texts = [" ".join(f"w{i}" if i % 17 != k else f"x{k}" for i in range(120)) for k in range(17)]
+    near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert max(joins) <= 6, joins
+
+
 def test_near_duplicates_of_edge_rows(edge, empty):
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(edge, size=3, percent=85).collect()}
     assert got[5] == 4 and got[1] == 1 and got[2] == 2 and got[3] == 3

@@ -229,7 +229,7 @@ def compared(edges: DataFrame, texts: DataFrame, size: int, percent: int, differ
     return map_batches(both, make, "a long, b long, n_a long, n_b long, same boolean" + (", differ array<long>" if differences else ""))
 
 
-def within_groups(compared_to: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+def within_groups(compared_to: DataFrame, label: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of different components that can link, of members of one group (rows with equal ``b``, the centre).
 
     With d = |D|, n = |set| and p = ``percent``, a and b link only if they have ``need`` =
@@ -239,11 +239,14 @@ def within_groups(compared_to: DataFrame, label: DataFrame, percent: int) -> Dat
     rarest first. Of two sets with ``need`` elements in common, the first common one has
     at least need - 1 more behind it in either: so a set is entered with a prefix only,
     a shorter one where its partner has as many differences or more.
+
+    Members and prefixes are written, as each is read twice: one plan of all steps holds
+    every step four times, and the driver keeps such a plan anew for every stage that ends.
     """
     m = compared_to.select(F.col("b").alias("centre"), F.col("a").alias("node"), F.col("n_a").alias("n"), "differ")
     m = meet(m, label, "node")
     several = m.groupBy("centre").agg((F.min("component") < F.max("component")).alias("split")).where("split").select("centre")
-    m = m.join(several, "centre", "left_semi").withColumn("d", F.size("differ").cast("long"))
+    m = scratch.write(m.join(several, "centre", "left_semi").withColumn("d", F.size("differ").cast("long")))
     x = m.select("centre", "node", "component", "n", "d", F.explode("differ").alias("difference"))
     shared = x.groupBy("centre", "difference").agg((F.min("component") < F.max("component")).alias("split"), F.count(F.lit(1)).alias("often"))
     x = meet(x, shared.where("split").drop("split"), ["centre", "difference"])
@@ -253,6 +256,7 @@ def within_groups(compared_to: DataFrame, label: DataFrame, percent: int) -> Dat
     as_larger = F.greatest(F.lit(1), F.ceil(F.col("d") - F.col("n") * (100 - p) / p))
     as_smaller = F.greatest(F.lit(1), F.ceil(F.col("d") - F.col("n") * (100 - p) / (2 * p)))
     x = x.where(F.col("place") <= F.col("last") - as_larger + 1).withColumn("probes", F.col("place") <= F.col("last") - as_smaller + 1)
+    x = scratch.write(x.drop("often"))
     a, b = x.where("probes").alias("x"), x.alias("y")
     need = F.ceil(((100 + p) * (F.col("x.d") + F.col("y.d")) - (100 - p) * (F.col("x.n") + F.col("y.n"))) / (2 * (100 + p)))
     in_order = (F.col("x.d") < F.col("y.d")) | ((F.col("x.d") == F.col("y.d")) & (F.col("x.node") < F.col("y.node")))
@@ -260,7 +264,9 @@ def within_groups(compared_to: DataFrame, label: DataFrame, percent: int) -> Dat
     left = F.least(F.col("x.last") - F.col("x.place"), F.col("y.last") - F.col("y.place")) + 1
     same = (F.col("x.centre") == F.col("y.centre")) & (F.col("x.difference") == F.col("y.difference"))
     pairs = meet(a, b, same & (F.col("x.component") != F.col("y.component")) & in_order & sizes & (left >= need))
-    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    pairs = scratch.write(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+    scratch.drop(m, x)
+    return pairs
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -356,13 +362,13 @@ def classes_of(docs: DataFrame, size: int, percent: int, symbols: int, miss: flo
     to_key = scratch.write(compared(large, texts, size, percent, differences=True))
     labels.merge(to_key.where("same"))
 
-    inside = within_groups(to_centre.union(to_key), labels.table, percent)
+    inside = within_groups(to_centre.union(to_key), labels.table, percent, scratch)
     small = meet(meet(rest.where(F.col("members") <= pairs_up_to).drop("component"), labels.table, "node"), node, "node")
     x, y = small.alias("x"), small.alias("y")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & ~F.coalesce(F.col("x.family") == F.col("y.family"), F.lit(False))
     close = may_link(F.col("x.n"), F.col("y.n"), F.col("x.signature"), F.col("y.signature"), symbols, radius, percent)
     across = meet(x, y, apart & close).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    pairs = inside.union(across).distinct()
+    pairs = scratch.write(inside.union(across).distinct())
     labels.merge(scratch.write(compared(pairs, texts, size, percent)).where("same"))
 
     named = meet(classes, labels.table, "node")
