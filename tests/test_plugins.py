@@ -108,6 +108,16 @@ def test_only_distinct_requests_without_an_answer_are_computed(spark, tmp_path):
     assert asked[3].value == 10
 
 
+def test_requests_that_differ_by_run_are_evaluated_once(spark, tmp_path):
+    """As a mean can, whose sum depends on the order in which its rows come."""
+    kept = memo.Memo(spark, str(tmp_path / "memo"))
+    drawn = F.udf(lambda _: random.random(), "double").asNondeterministic()
+    requests = spark.range(20).select("id", drawn("id").alias("x"))
+    got = kept.serve(requests, "m", ["id", "x"], answering(spark, spark.sparkContext.accumulator(0))).collect()
+    assert len(got) == 20 and [r.body for r in got] == [f"answer {r.x}" for r in got]
+    assert kept.asked == 20
+
+
 def test_an_answer_that_is_not_valid_is_asked_for_again(spark, tmp_path):
     kept = memo.Memo(spark, str(tmp_path / "memo"))
     requests = spark.createDataFrame([(1,), (2,)], "x long")

@@ -4,10 +4,15 @@ A request is known by a digest of its method and its parameters as canonical JSO
 order, nulls kept). Requests are joined to the memo; only distinct requests without an
 answer are computed, and their answers are added. A stored answer that is not valid counts
 as none. A request that fails has no answer and is asked again the next time.
+
+Requests are evaluated once and written beside the memo, in a folder of each call: a mean whose
+sum depends on the order of its rows could else have one digest when it is asked and another one
+when its answer is looked up. What was asked is counted over these rows, not by tasks, which can run twice.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,15 +35,20 @@ class Memo:
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 16) -> None:
         self.table = KeyedTable(spark, path, ENTRY, ["key"], ["body"], buckets)
+        #: Number of requests that the last call gave to ``compute``.
+        self.asked = 0
 
     def serve(self, requests: DataFrame, method: str, columns: list[str], compute: Callable[[DataFrame], DataFrame], valid: Column | None = None) -> DataFrame:
         """The requests with ``key`` and ``body``; ``compute`` takes (key, columns) of misses and gives (key, body).
 
         ``valid`` says of a stored ``body`` whether it still counts.
         """
-        keyed = requests.withColumn("key", request_key(method, columns))
+        keyed, path = requests.withColumn("key", request_key(method, columns)), f"{self.table.path}/requests-{uuid.uuid4().hex}"
+        keyed.write.parquet(path)
+        keyed = self.table.spark.read.schema(keyed.schema).parquet(path)
         known = self.table.read() if valid is None else self.table.read().where(valid)
         misses = keyed.select("key", *columns).dropDuplicates(["key"]).join(known.select("key"), "key", "left_anti")
+        self.asked = misses.count()
         fresh = compute(misses).select("key", "body").where("body is not null")
         self.table.apply(fresh, self.table.manifest()["batch"] + 1)
         return keyed.join(self.table.read(), "key", "left")

@@ -260,12 +260,11 @@ def plugin_blend(spark, sf):
 ANSWER = """CASE WHEN ticker % 11 = 0 THEN 'no idea' WHEN n < 4 THEN NULL WHEN tax_rate > gross_margin THEN '{"signal": "bearish", "confidence": ' || (ticker % 90 + 5) || '}' WHEN ticker % 7 = 0 THEN '{"signal": "Neutral ", "confidence": 50}' ELSE '{"signal": "bullish", "confidence": ' || (ticker % 120) || '}' END"""
 
 
-def analyst(misses, asked):
-    """Stands for a costly model: answers requests in batches and counts them; some answers cannot be read, some do not come."""
+def analyst(misses):
+    """Stands for a costly model: answers requests in batches; some answers cannot be read, some do not come."""
 
     def run(frames):
         for pdf in frames:
-            asked.add(len(pdf))
             out = []
             for r in pdf.itertuples(index=False):
                 if r.ticker % 11 == 0:
@@ -290,11 +289,11 @@ def memo_signals(spark, sf):
     f = A.fundamentals(spark, sf).where("filing_date <= date'1996-06-30'")
     snapshots = f.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("gross_margin"), 4).alias("gross_margin"), F.round(F.avg("tax_rate"), 4).alias("tax_rate"))
     kept, columns = memo.Memo(spark, folder(spark)), ["ticker", "n", "gross_margin", "tax_rate"]
-    asked = [spark.sparkContext.accumulator(0) for _ in range(2)]
-    for count in asked:
-        answers = kept.serve(snapshots, "outlook", columns, lambda m, c=count: analyst(m, c))
+    answers = snapshots
+    for _ in range(2):
+        answers = kept.serve(answers.select(*columns), "outlook", columns, analyst)
     value, abstained = memo.signal_of(F.col("body"))
-    return answers.select("ticker", r6(value, "value"), abstained.alias("abstained"), F.lit(asked[1].value).cast("long").alias("asked_again"))
+    return answers.select("ticker", r6(value, "value"), abstained.alias("abstained"), F.lit(kept.asked).cast("long").alias("asked_again"))
 
 
 # Stored runs
